@@ -50,7 +50,7 @@ def date_in_name(name: Column) -> Column:
 
 
 def batch_start(name: Column, zone: str = "Europe/Berlin") -> Column:
-    """UTC start of ``batch_YYYYMMDD_HHMMSS``, whose stamp is local time."""
+    """UTC start of ``batch_YYYYMMDD_HHMMSS``, a local stamp (first of two in a repeated hour)."""
     rx = r"^batch_(\d{8})_(\d{6})"
     stamp = F.nullif(
         F.concat(F.regexp_extract(name, rx, 1), F.regexp_extract(name, rx, 2)), F.lit("")

@@ -89,8 +89,8 @@ def gap_intervals(heartbeats: DataFrame, slots: int = SLOTS_90_DAYS) -> DataFram
     observed = join_on(minutes, slot_windows(minutes, slots), ["node_id"]).where(
         F.col("minute") <= F.col("slot_last")
     ).select("node_id", "minute", "slot_last")
-    stepped = next_in_time(observed, ["node_id"], "minute", "_next")
-    end = F.coalesce(F.col("_next") - F.expr(_MINUTE), F.col("slot_last"))
+    stepped = next_in_time(observed, ["node_id"], "minute", "next_minute")
+    end = F.coalesce(F.col("next_minute") - F.expr(_MINUTE), F.col("slot_last"))
     return (
         stepped.select("node_id", (F.col("minute") + F.expr(_MINUTE)).alias("gap_start"), end.alias("gap_end"))
         .where(F.col("gap_end") >= F.col("gap_start"))
