@@ -1,0 +1,289 @@
+"""Registered queries: trials, resource samples, condition summaries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from gapspark.functions.labels import significance_marker
+from gapspark.operators import experiments as ex
+from gapspark.registry import query
+from gapspark.session import shared_dir
+from gapspark.sources import trials as trial_files
+from gapspark.sources.driver_tables import load, view
+
+LONG = """
+l AS (
+ SELECT batch, pattern, rps, trial, 'baseline' AS system, 'loss_rate' AS metric, CAST(baseline_loss AS DOUBLE) AS value, NOT baseline_verification_failed AS verified FROM trials
+ UNION ALL SELECT batch, pattern, rps, trial, 'proposed', 'loss_rate', CAST(proposed_loss AS DOUBLE), NOT proposed_verification_failed FROM trials
+ UNION ALL SELECT batch, pattern, rps, trial, 'baseline', 'cpu_peak', baseline_cpu_peak, true FROM trials
+ UNION ALL SELECT batch, pattern, rps, trial, 'proposed', 'cpu_peak', proposed_cpu_peak, true FROM trials
+ UNION ALL SELECT batch, pattern, rps, trial, 'baseline', 'mem_peak', baseline_mem_peak, true FROM trials
+ UNION ALL SELECT batch, pattern, rps, trial, 'proposed', 'mem_peak', proposed_mem_peak, true FROM trials),
+v AS (SELECT *, CASE WHEN verified THEN value END AS x FROM l),
+loss AS (SELECT * FROM v WHERE metric = 'loss_rate')
+"""
+
+
+def _long(spark, d):
+    return ex.long_trials(view(spark, d, "trials"))
+
+
+DESC = ("round(avg(x), 6) AS mean, CASE WHEN count(x) = 1 THEN 0.0 ELSE round(stddev_samp(x), 6) END AS std, "
+        "round(min(x), 6) AS min, round(max(x), 6) AS max, count(x) AS n")
+
+
+@query("condition_summary", "G14 G15 B18", f"""
+WITH {LONG} SELECT pattern, CAST(rps AS BIGINT) AS rps, system, metric, count(*) AS n_trials, {DESC},
+  count(*) FILTER (WHERE NOT verified) AS n_verification_failed FROM v GROUP BY 1, 2, 3, 4""")
+def _(spark, d):
+    return ex.condition_summary(_long(spark, d))
+
+
+@query("pooled_conditions", "G32 U3", f"""
+WITH {LONG} SELECT pattern, CAST(rps AS BIGINT) AS rps, system, metric, count(*) AS n_trials, {DESC},
+  count(*) FILTER (WHERE NOT verified) AS n_verification_failed FROM v WHERE batch IN ('b1995', 'b1997', 'b1999') GROUP BY 1, 2, 3, 4""")
+def _(spark, d):
+    t = view(spark, d, "trials")
+    return ex.pooled_conditions([t.where(F.col("batch") == b) for b in ("b1995", "b1997", "b1999")])[0]
+
+
+@query("trials_per_batch", "G32", "SELECT batch, count(*) AS n_trials FROM trials GROUP BY 1")
+def _(spark, d):
+    t = view(spark, d, "trials")
+    return ex.pooled_conditions([t])[1]
+
+
+@query("loss_matrix", "G26", f"""
+WITH {LONG} SELECT system, pattern, {', '.join(f'round(avg(x) FILTER (WHERE rps = {r}), 6) AS rps_{r}' for r in range(1, 8))}
+FROM loss GROUP BY 1, 2""")
+def _(spark, d):
+    return ex.loss_matrix(_long(spark, d), list(range(1, 8)))
+
+
+@query("throughput_curve", "G27", f"""
+WITH {LONG} SELECT system, pattern, CAST(rps AS BIGINT) AS rps, round(avg(x), 6) AS mean,
+  CASE WHEN count(x) = 1 THEN 0.0 ELSE round(stddev_samp(x), 6) END AS std FROM loss GROUP BY 1, 2, 3 HAVING count(x) > 0""")
+def _(spark, d):
+    return ex.throughput_curve(_long(spark, d))
+
+
+@query("box_data", "G28", f"""
+WITH {LONG} SELECT system, pattern, CAST(rps AS BIGINT) AS rps, count(x) AS n_values,
+  round(quantile_cont(x, 0), 6) AS minimum, round(quantile_cont(x, 0.25), 6) AS q25, round(quantile_cont(x, 0.5), 6) AS median,
+  round(quantile_cont(x, 0.75), 6) AS q75, round(quantile_cont(x, 1), 6) AS maximum FROM loss WHERE x IS NOT NULL GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return ex.box_data(_long(spark, d))
+
+
+PAIRS = """
+p AS (SELECT batch, pattern, rps, trial, CAST(baseline_loss AS DOUBLE) - CAST(proposed_loss AS DOUBLE) AS diff FROM trials
+  WHERE NOT baseline_verification_failed AND NOT proposed_verification_failed)
+"""
+
+
+@query("paired_differences", "J11", f"WITH {PAIRS} SELECT batch, pattern, CAST(rps AS BIGINT) AS rps, trial, round(diff, 6) AS diff FROM p")
+def _(spark, d):
+    return ex.paired_differences(view(spark, d, "trials"))
+
+
+@query("batch_means", "G29", f"""
+WITH {PAIRS} SELECT pattern, CAST(rps AS BIGINT) AS rps, batch, round(avg(diff), 6) AS mean_diff FROM p GROUP BY 1, 2, 3""")
+def _(spark, d):
+    return ex.batch_means(ex.paired_differences(view(spark, d, "trials")))
+
+
+@query("resource_stats", "G12 A9 B11 B12", """
+SELECT file, round(max(TRY_CAST(cpu_percent AS DOUBLE)), 2) AS cpu_peak, round(avg(TRY_CAST(cpu_percent AS DOUBLE)), 2) AS cpu_mean,
+  round(max(TRY_CAST(mem_percent AS DOUBLE)), 2) AS mem_peak, round(avg(TRY_CAST(mem_percent AS DOUBLE)), 2) AS mem_mean
+FROM resource_samples WHERE starts_with(container, 'proposed-') GROUP BY 1""")
+def _(spark, d):
+    return ex.resource_stats(view(spark, d, "resource_samples"), ["file"], "proposed-")
+
+
+TOTALS = """
+u AS (SELECT *, trim(split_part(mem_usage, '/', 1)) AS m FROM resource_samples WHERE starts_with(container, 'proposed-')),
+k AS (SELECT file, timestamp, TRY_CAST(cpu_percent AS DOUBLE) AS cpu,
+  TRY_CAST(regexp_extract(m, '^([0-9.]+)\\s*(B|KiB|MiB|GiB|TiB)$', 1) AS DOUBLE) *
+  CASE regexp_extract(m, '^([0-9.]+)\\s*(B|KiB|MiB|GiB|TiB)$', 2) WHEN 'B' THEN 1.0 / 1048576 WHEN 'KiB' THEN 1.0 / 1024
+    WHEN 'MiB' THEN 1.0 WHEN 'GiB' THEN 1024.0 WHEN 'TiB' THEN 1048576.0 END AS mem FROM u),
+t AS (SELECT file, timestamp, sum(cpu) AS cpu, sum(mem) AS mem FROM k GROUP BY 1, 2)
+"""
+
+
+@query("resource_totals", "G13 B13", f"""
+WITH {TOTALS} SELECT file, count(cpu) AS n_timestamps, round(avg(cpu), 1) AS cpu_mean, round(quantile_cont(cpu, 0.5), 1) AS cpu_median,
+  round(quantile_cont(cpu, 0.95), 1) AS cpu_p95, round(avg(mem), 1) AS mem_mean, round(quantile_cont(mem, 0.5), 1) AS mem_median,
+  round(quantile_cont(mem, 0.95), 1) AS mem_p95 FROM t GROUP BY 1""")
+def _(spark, d):
+    samples = view(spark, d, "resource_samples").withColumn("stack", F.col("file"))
+    return ex.resource_totals(samples, "proposed-", ["stack"]).withColumnRenamed("stack", "file")
+
+
+@query("readable_series", "B27", """
+SELECT file, count(*) AS n_rows, round(avg(TRY_CAST(cpu_percent AS DOUBLE)), 6) AS cpu_mean FROM resource_samples
+WHERE TRY_CAST(cpu_percent AS DOUBLE) IS NOT NULL AND TRY_CAST(mem_percent AS DOUBLE) IS NOT NULL GROUP BY 1""")
+def _(spark, d):
+    return ex.readable_series(view(spark, d, "resource_samples")).groupBy("file").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.avg("cpu").alias("cpu_mean"))
+
+
+def _trial_tree(spark, d):
+    """Condition totals of all lines as a trial tree: 6 patterns x 7 rates x 5 trials."""
+    li = load(spark, d, "lineitem")
+    run = F.concat("l_returnflag", "l_linestatus", F.lit("_rps"), "l_linenumber", F.lit("_trial"), F.col("l_suppkey") % 5)
+
+    def side(column, failed):
+        n, lost = F.count(F.lit(1)), F.count_if(F.col(column) > 0.05)
+        return F.struct(n.alias("total_injected"), (n - lost).alias("total_recorded"), lost.alias("total_lost"),
+                        (100.0 * lost / n).alias("loss_rate_percent"), failed.alias("verification_failed"))
+
+    # every seventh trial folder has no loss file
+    loss = li.groupBy(run.alias("run"), F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 5).alias("t")).agg(
+        side("l_discount", F.first(F.lit(False))).alias("baseline"), side("l_tax", F.max(F.col("l_linenumber") == 3)).alias("proposed"))
+    samples = li.groupBy(run.alias("run"), (F.col("l_suppkey") % 3).alias("s"), "l_linestatus").agg(
+        F.max("l_quantity").alias("q"), F.max("l_partkey").alias("p"))
+    system = F.when(F.col("s") == 0, "baseline").otherwise("proposed")
+    samples = samples.select(
+        "run", system.alias("system"), F.col("s").cast("string").alias("timestamp"),
+        F.concat(F.when(F.col("s") == 2, "other").otherwise(system), F.lit("-1")).alias("container"),
+        F.col("q").cast("string").alias("cpu_percent"), F.lit("1MiB / 2MiB").alias("mem_usage"),
+        (F.col("p") % 100).cast("string").alias("mem_percent"), F.lit("0B / 0B").alias("block_io"))
+    base = shared_dir(spark, "trials")
+    trial_files.write_trials(loss.where((F.col("k") + F.col("t")) % 7 != 0), samples, base)
+    return base
+
+
+@query("trial_folder_scan", "A10 J10 B15 A9", """
+WITH b AS (SELECT concat(l_returnflag, l_linestatus, '_rps', l_linenumber, '_trial', l_suppkey % 5) AS run, concat(l_returnflag, l_linestatus) AS pattern,
+  CAST(l_linenumber AS BIGINT) AS rps, l_suppkey % 5 AS trial, * FROM lineitem),
+g AS (SELECT run, pattern, rps, trial, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS bl, count(*) FILTER (WHERE l_tax > 0.05) AS pl,
+  max(l_quantity) FILTER (WHERE l_suppkey % 3 = 0) AS bq, max(l_quantity) FILTER (WHERE l_suppkey % 3 = 1) AS pq FROM b GROUP BY 1, 2, 3, 4)
+SELECT run, pattern, rps, trial, CASE WHEN (rps + trial) % 7 <> 0 THEN round(100.0 * bl / n, 6) END AS baseline_loss,
+  CASE WHEN (rps + trial) % 7 <> 0 THEN round(100.0 * pl / n, 6) END AS proposed_loss,
+  CASE WHEN (rps + trial) % 7 <> 0 THEN rps = 3 END AS proposed_verification_failed, bq AS baseline_cpu_peak, pq AS proposed_cpu_peak FROM g""")
+def _(spark, d):
+    scanned = trial_files.scan_trials(spark, _trial_tree(spark, d))
+    return scanned.select(
+        "run", "pattern", "rps", "trial", F.col("baseline.loss_rate_percent").alias("baseline_loss"),
+        F.col("proposed.loss_rate_percent").alias("proposed_loss"),
+        F.col("proposed.verification_failed").alias("proposed_verification_failed"),
+        F.col("baseline_resources.cpu_peak").alias("baseline_cpu_peak"),
+        F.col("proposed_resources.cpu_peak").alias("proposed_cpu_peak"))
+
+
+@query("edge_trial_scan", "A13 B26", """
+SELECT edge_mode, CAST(edge_count AS BIGINT) AS edge_count, has_meta AND has_loss AS complete, count(*) AS n_trials,
+  CASE WHEN edge_mode IS NULL THEN NULL ELSE CAST(sum(CASE WHEN edge_mode = 'fixed-total' THEN greatest(1, base_rps // edge_count) ELSE base_rps END) AS BIGINT) END AS sum_per_edge_rps
+FROM (SELECT CASE WHEN has_meta THEN edge_mode END AS edge_mode, CASE WHEN has_meta THEN edge_count END AS edge_count, base_rps, has_meta, has_loss
+  FROM edge_trials WHERE has_meta OR has_loss) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    t = view(spark, d, "edge_trials")
+    meta = t.where("has_meta").select("trial_id", "edge_mode", "edge_count", "base_rps")
+    loss = t.where("has_loss").select("trial_id", "loss_rate_percent", "verification_failed")
+    return ex.load_regimes(ex.assemble_edge_trials(meta, loss)).groupBy("edge_mode", "edge_count", "complete").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.sum("per_edge_rps").alias("sum_per_edge_rps"))
+
+
+@query("occurrence_per_dose", "G21", """
+SELECT edge_mode, CAST(edge_count AS BIGINT) AS edge_count, count(*) FILTER (WHERE NOT verification_failed) AS n,
+  count(*) FILTER (WHERE NOT verification_failed AND loss_rate_percent > 0) AS x, count(*) FILTER (WHERE verification_failed) AS n_unverified
+FROM edge_trials GROUP BY 1, 2 HAVING count(*) FILTER (WHERE NOT verification_failed) > 0""")
+def _(spark, d):
+    return ex.occurrence_counts(view(spark, d, "edge_trials"), ["edge_mode", "edge_count"], "loss_rate_percent", "verification_failed")
+
+
+@query("ablation_trial_scan", "A14", """
+WITH s AS (SELECT l_orderkey AS trial, max(TRY_CAST(c AS DOUBLE)) AS cpu_peak, avg(TRY_CAST(c AS DOUBLE)) AS cpu_mean, count(TRY_CAST(c AS DOUBLE)) AS n,
+  string_agg(DISTINCT k, ',' ORDER BY k) AS containers FROM (SELECT l_orderkey, CASE WHEN l_partkey % 41 = 0 THEN 'bad' ELSE CAST(l_quantity AS VARCHAR) END AS c,
+  CASE WHEN l_suppkey % 11 = 0 THEN concat('stray-', l_linenumber) ELSE 'obs-ablation-vector' END AS k FROM lineitem) GROUP BY 1)
+SELECT coalesce(o_orderkey, s.trial) AS trial, round(cpu_peak, 6) AS cpu_peak, round(cpu_mean, 6) AS cpu_mean, n AS n_resource_samples,
+  containers AS containers_seen, o_orderkey IS NOT NULL AND s.trial IS NOT NULL AS complete FROM orders FULL JOIN s ON o_orderkey = s.trial""")
+def _(spark, d):
+    results = load(spark, d, "orders").select(F.col("o_orderkey").alias("trial"))
+    samples = load(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("trial"),
+        F.when(F.col("l_partkey") % 41 == 0, "bad").otherwise(F.col("l_quantity").cast("string")).alias("cpu_percent"),
+        F.lit("1").alias("mem_percent"),
+        F.when(F.col("l_suppkey") % 11 == 0, F.concat(F.lit("stray-"), "l_linenumber")).otherwise("obs-ablation-vector").alias("container"))
+    t = ex.assemble_ablation(results, samples)
+    return t.select("trial", "cpu_peak", "cpu_mean", "n_resource_samples", F.array_join("containers_seen", ",").alias("containers_seen"), "complete")
+
+
+ABL = ", ".join(
+    f"round({f}({s}_{c}), 6) AS {s}_{label}" for s in ("upper", "lower")
+    for f, c, label in (("avg", "mean", "mean_of_means"), ("avg", "p95", "mean_of_p95"), ("max", "max", "max_of_max")))
+ABL = f"""count(*) AS n_trials, count(*) FILTER (WHERE count_matches) AS n_count_matches, round(count(*) FILTER (WHERE count_matches) / count(*), 6) AS correctness_rate,
+  {ABL}, round(avg(cpu_peak), 6) AS cpu_peak_mean, max(cpu_peak) AS cpu_peak_max, round(avg(mem_percent_peak), 6) AS mem_percent_peak_mean,
+  count(*) FILTER (WHERE lower_mean IS NULL) AS n_without_latency"""
+
+
+@query("ablation_summary", "G16", f"SELECT CAST(window_ms AS BIGINT) AS window_ms, {ABL} FROM ablation_trials GROUP BY 1")
+def _(spark, d):
+    return ex.ablation_summary(view(spark, d, "ablation_trials"))
+
+
+@query("ablation_per_batch", "G17", f"SELECT batch, CAST(window_ms AS BIGINT) AS window_ms, {ABL} FROM ablation_trials GROUP BY 1, 2")
+def _(spark, d):
+    return ex.ablation_summary(view(spark, d, "ablation_trials"), ["batch", "window_ms"])
+
+
+@query("unexpected_containers", "G16", """
+SELECT DISTINCT CAST(window_ms AS BIGINT) AS window_ms, container FROM ablation_trials WHERE container <> 'obs-ablation-vector'""")
+def _(spark, d):
+    return ex.unexpected_containers(view(spark, d, "ablation_trials"))
+
+
+def _runs(spark, d):
+    r = view(spark, d, "drift_runs")
+    return r.withColumn("fidelity_leads", F.coalesce(F.col("detection_lag") < 0, F.lit(False))).withColumn(
+        "confirming_detected", F.coalesce(F.col("detection_lag") <= 8, F.lit(False)))
+
+
+RUNS = """
+r AS (SELECT *, coalesce(detection_lag < 0, false) AS leads, coalesce(detection_lag <= 8, false) AS conf,
+  row_number() OVER (PARTITION BY scenario, trial, seed ORDER BY run, run_order) AS rn FROM drift_runs)
+"""
+
+
+@query("first_wins_runs", "A15 W14", f"""
+WITH {RUNS} SELECT scenario, CAST(trial AS BIGINT) AS trial, CAST(seed AS BIGINT) AS seed, run, run_order, CAST(detection_lag AS BIGINT) AS detection_lag FROM r WHERE rn = 1""")
+def _(spark, d):
+    kept, _ = ex.first_wins(_runs(spark, d), ["scenario", "trial", "seed"], ["run", "run_order"])
+    return kept.select("scenario", "trial", "seed", "run", "run_order", "detection_lag")
+
+
+@query("duplicate_runs", "A15", f"WITH {RUNS} SELECT run, count(*) AS n_trials, count(*) FILTER (WHERE rn > 1) AS n_duplicates FROM r GROUP BY 1")
+def _(spark, d):
+    return ex.first_wins(_runs(spark, d), ["scenario", "trial", "seed"], ["run", "run_order"])[1]
+
+
+@query("drift_run_summary", "G30 B20 T6", f"""
+WITH {RUNS}, s AS (SELECT scenario, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (WHERE leads) AS l, CAST(count(*) FILTER (WHERE conf) AS DOUBLE) AS c,
+  avg(detection_lag) FILTER (WHERE conf) AS lag FROM r WHERE rn = 1 GROUP BY 1),
+w AS (SELECT *, 1.959963984540054 AS z, c / n AS p FROM s)
+SELECT scenario, CAST(n AS BIGINT) AS n_trials, l AS leads, CAST(c AS BIGINT) AS confirmed, round(lag, 6) AS mean_detection_lag, round(100 * c / n, 6) AS confirmed_percent,
+  round(100 * ((p + z*z/(2*n)) / (1 + z*z/n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 6) AS ci_lower,
+  round(100 * ((p + z*z/(2*n)) / (1 + z*z/n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n)) / (1 + z*z/n)), 6) AS ci_upper,
+  CASE WHEN 100 * l / n >= 66.7 THEN 'Confirmed' WHEN l > 0 THEN 'Partial' ELSE 'Not confirmed' END AS lead_verdict FROM w""")
+def _(spark, d):
+    kept, _ = ex.first_wins(_runs(spark, d), ["scenario", "trial", "seed"], ["run", "run_order"])
+    return ex.drift_run_summary(kept)
+
+
+@query("null_run_summary", "G31 T6", """
+WITH s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE false_alarms > 0) AS DOUBLE) AS c, CAST(sum(false_alarms) AS BIGINT) AS fa,
+  CAST(sum(n_evaluated_windows) AS BIGINT) AS ev, 1.96 AS z FROM drift_runs WHERE scenario = 'none'), w AS (SELECT *, c / n AS p FROM s)
+SELECT CAST(n AS BIGINT) AS n_trials, CAST(c AS BIGINT) AS false_alarm_trial_count, fa AS false_alarm_window_count, ev AS evaluated_window_count,
+  round(p, 6) AS false_alarm_trial_rate,
+  round(greatest(0, (p + z*z/(2*n) - z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 6) AS wilson_lower,
+  round(least(1, (p + z*z/(2*n) + z * sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 6) AS wilson_upper, round(fa / ev, 6) AS false_alarm_window_rate FROM w""")
+def _(spark, d):
+    return ex.null_run_summary(_runs(spark, d).where("scenario = 'none'"))
+
+
+@query("significance_markers", "B20", """
+SELECT l_tax AS p, CASE WHEN l_tax < 0.001 THEN '***' WHEN l_tax < 0.01 THEN '**' WHEN l_tax < 0.05 THEN '*' ELSE '' END AS marker, count(*) AS n_rows
+FROM lineitem GROUP BY 1, 2""")
+def _(spark, d):
+    return load(spark, d, "lineitem").groupBy(F.col("l_tax").alias("p"), significance_marker(F.col("l_tax")).alias("marker")).agg(
+        F.count(F.lit(1)).alias("n_rows"))

@@ -16,14 +16,6 @@ from gapspark.schemas import COUNT_RANGE, MAX_LINE_BYTES, SEVERITY_RANGE
 DEFAULT_SEVERITY = 3
 
 
-def _at(v: str, path: str) -> Column:
-    return F.try_variant_get(F.col(v), path, "variant")
-
-
-def _text(v: str, path: str) -> Column:
-    return F.try_variant_get(F.col(v), path, "string")
-
-
 def _kind(variant: Column) -> Column:
     """OBJECT, ARRAY, VOID (JSON null), ... ; NULL when the field is absent."""
     return F.regexp_extract(F.schema_of_variant(variant), "^([A-Z]+)", 1)
@@ -53,6 +45,36 @@ def _python_int(variant: Column) -> Column:
     )
 
 
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once per row.
+
+    A plain projection may be folded into later ones, and filters are pushed below it with the
+    expression copied in; for JSON work that multiplies the parsing. A one-element generator is
+    a border the optimizer keeps, and it stays inside whole-stage code generation.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _parsed(lines: DataFrame, value: str, fields: dict[str, str]) -> DataFrame:
+    """Adds ``_j``: parse state and the requested fields of the line, each as a VARIANT."""
+    too_long = F.octet_length(value) > MAX_LINE_BYTES
+    with_v = _once(lines, "_v", F.when(~too_long, F.try_parse_json(F.col(value))))
+    is_object = F.ltrim(F.col(value), F.lit(" \t\r\n")).startswith("{")
+    state = (
+        F.when(too_long, "oversize").when(F.col("_v").isNull(), "parse_error")
+        .when(~is_object, "not_an_object").otherwise("ok")
+    )
+    v = F.when(is_object, F.col("_v"))
+    return _once(with_v, "_j", F.struct(
+        state.alias("state"),
+        *[F.try_variant_get(v, path, "variant").alias(n) for n, path in fields.items()],
+    )).drop("_v")
+
+
+def _plain(variant: Column) -> Column:
+    return F.try_variant_get(variant, "$", "string")
+
+
 def parse_edge(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_ts") -> DataFrame:
     """Edge rule set: one collapsed-flow row per line, plus ``parse_status``.
 
@@ -60,31 +82,31 @@ def parse_edge(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_
     is marked; an over-long line keeps only its mark. A default replaces a value only where the
     text conversion fails, i.e. for nested values; an absent field is an empty text.
     """
-    too_long = F.octet_length(value) > MAX_LINE_BYTES
-    parsed = lines.withColumn(
-        "_v", F.when(~too_long, F.try_parse_json(F.col(value)))
-    ).withColumn("_o", F.when(_kind(F.col("_v")) == "OBJECT", F.col("_v")))
+    parsed = _parsed(lines, value, {
+        "timestamp": "$.timestamp", "src_ip": "$.src_ip", "event_type": "$.event_type",
+        "inject_id": "$.inject_id", "alert_severity": "$.alert.severity", "severity": "$.severity",
+    })
 
-    def text(path: str, on_nested: str) -> Column:
-        return F.when(_nested(_at("_o", path)), F.lit(on_nested)).otherwise(
-            F.coalesce(_text("_o", path), F.lit(""))
-        )
+    def text(name: str, on_nested: str) -> Column:
+        v = F.col(f"_j.{name}")
+        return F.when(_nested(v), F.lit(on_nested)).otherwise(F.coalesce(_plain(v), F.lit("")))
 
-    alert = _at("_o", "$.alert.severity")
-    top = _at("_o", "$.severity")
+    alert, top = F.col("_j.alert_severity"), F.col("_j.severity")
     chosen = F.when(~_absent(alert), _python_int(alert)).when(~_absent(top), _python_int(top))
-    event_time = iso_timestamp(text("$.timestamp", ""))
-    return parsed.select(
-        *[c for c in lines.columns if c != ingest_ts],
-        F.coalesce(event_time, F.date_trunc("MILLISECOND", ingest_ts)).alias("timestamp"),
-        event_time.isNull().alias("ts_substituted"),
-        empty_to_unknown(text("$.src_ip", "")).alias("sensor_id"),
-        text("$.event_type", "unknown").alias("event_type"),
-        text("$.inject_id", "").alias("inject_id"),
+    typed = _once(parsed, "_r", F.struct(
+        iso_timestamp(text("timestamp", "")).alias("event_time"),
+        empty_to_unknown(text("src_ip", "")).alias("sensor_id"),
+        text("event_type", "unknown").alias("event_type"),
+        text("inject_id", "").alias("inject_id"),
         F.coalesce(chosen, F.lit(DEFAULT_SEVERITY)).cast("int").alias("severity"),
+    ))
+    return typed.select(
+        *[c for c in lines.columns if c != ingest_ts],
+        F.coalesce("_r.event_time", F.date_trunc("MILLISECOND", ingest_ts)).alias("timestamp"),
+        F.col("_r.event_time").isNull().alias("ts_substituted"),
+        "_r.sensor_id", "_r.event_type", "_r.inject_id", "_r.severity",
         F.lit(1).cast("bigint").alias("count"),
-        F.when(too_long, "oversize").when(F.col("_v").isNull(), "parse_error")
-        .when(F.col("_o").isNull(), "not_an_object").otherwise("ok").alias("parse_status"),
+        F.col("_j.state").alias("parse_status"),
     )
 
 
@@ -94,50 +116,62 @@ def validate_rows(lines: DataFrame, value: str = "value", ingest_ts: str = "inge
     Severity comes from the top level, then from the alert, then the default; a value that is
     present but not usable quarantines the row.
     """
-    too_long = F.octet_length(value) > MAX_LINE_BYTES
-    parsed = lines.withColumn(
-        "_v", F.when(~too_long, F.try_parse_json(F.col(value)))
-    ).withColumn("_o", F.when(_kind(F.col("_v")) == "OBJECT", F.col("_v")))
-    top, alert, count = _at("_o", "$.severity"), _at("_o", "$.alert"), _at("_o", "$.count")
-    nested_severity = _at("_o", "$.alert.severity")
-    falsy_alert = _absent(alert) | (
-        ~_nested(alert) & F.coalesce(_text("_o", "$.alert"), F.lit("")).isin("", "0", "0.0", "false")
-    ) | F.coalesce(_text("_o", "$.alert"), F.lit("")).isin("[]", "{}")
+    parsed = _parsed(lines, value, {
+        "timestamp": "$.timestamp", "sensor_id": "$.sensor_id", "event_type": "$.event_type",
+        "inject_id": "$.inject_id", "alert": "$.alert", "alert_severity": "$.alert.severity",
+        "severity": "$.severity", "count": "$.count",
+    })
+    alert, alert_text = F.col("_j.alert"), F.coalesce(_plain(F.col("_j.alert")), F.lit(""))
+    empty_alert = F.when(
+        _nested(alert), alert_text.isin("[]", "{}")
+    ).otherwise(alert_text.isin("", "0", "0.0", "false"))
+    kinds = _once(parsed, "_k", F.struct(
+        (_absent(alert) | empty_alert).alias("no_alert"),
+        (_kind(alert) == "OBJECT").alias("alert_object"),
+        _absent(F.col("_j.severity")).alias("no_top"),
+        _python_int(F.col("_j.severity")).alias("top"),
+        _python_int(F.col("_j.alert_severity")).alias("nested"),
+        F.when(F.col("_j.count").isNull(), F.lit(1).cast("bigint"))
+        .otherwise(_python_int(F.col("_j.count"))).alias("count"),
+    ))
     severity = (
-        F.when(~_absent(top), _python_int(top))
-        .when(falsy_alert, F.lit(DEFAULT_SEVERITY).cast("bigint"))
-        .when(nested_severity.isNull(), F.lit(DEFAULT_SEVERITY).cast("bigint"))
-        .otherwise(_python_int(nested_severity))
+        F.when(~F.col("_k.no_top"), F.col("_k.top"))
+        .when(F.col("_k.no_alert") | F.col("_j.alert_severity").isNull(), DEFAULT_SEVERITY)
+        .otherwise(F.col("_k.nested"))
     )
-    amount = F.when(count.isNull(), F.lit(1).cast("bigint")).otherwise(_python_int(count))
     reason = (
-        F.when(too_long, "oversize").when(F.col("_v").isNull(), "parse_error")
-        .when(F.col("_o").isNull(), "not_an_object")
-        .when(_absent(top) & ~falsy_alert & (_kind(alert) != "OBJECT"), "alert_not_an_object")
+        F.when(F.col("_j.state") != "ok", F.col("_j.state"))
+        .when(F.col("_k.no_top") & ~F.col("_k.no_alert") & ~F.col("_k.alert_object"), "alert_not_an_object")
         .when(severity.isNull(), "severity_not_an_integer")
         .when(~severity.between(*SEVERITY_RANGE), "severity_out_of_range")
-        .when(amount.isNull(), "count_not_an_integer")
-        .when(~amount.between(*COUNT_RANGE), "count_out_of_range")
+        .when(F.col("_k.count").isNull(), "count_not_an_integer")
+        .when(~F.col("_k.count").between(*COUNT_RANGE), "count_out_of_range")
     )
 
-    def text(path: str, default: str) -> Column:
-        return F.when(_absent(_at("_o", path)), F.lit(default)).otherwise(_text("_o", path))
-
-    event_time = iso_timestamp(text("$.timestamp", ""))
-    good = reason.isNull()
-    inject_id = text("$.inject_id", "")
-    return parsed.select(
+    def text(name: str, default: str) -> Column:
+        v = F.col(f"_j.{name}")
+        return F.when(_absent(v), F.lit(default)).otherwise(_plain(v))
+
+    typed = _once(kinds, "_r", F.struct(
+        reason.alias("reason"), severity.cast("int").alias("severity"),
+        iso_timestamp(text("timestamp", "")).alias("event_time"),
+        text("sensor_id", "unknown").alias("sensor_id"),
+        text("event_type", "unknown").alias("event_type"),
+        text("inject_id", "").alias("inject_id"),
+    ))
+    good = F.col("_r.reason").isNull()
+    return typed.select(
         *[c for c in lines.columns if c != ingest_ts],
         F.col(ingest_ts),
-        reason.alias("reason"),
-        F.when(good, F.coalesce(event_time, F.date_trunc("MILLISECOND", ingest_ts))).alias("timestamp"),
-        F.when(good, event_time.isNull()).alias("ts_substituted"),
-        F.when(good, text("$.sensor_id", "unknown")).alias("sensor_id"),
-        F.when(good, text("$.event_type", "unknown")).alias("event_type"),
-        F.when(good, severity).cast("int").alias("severity"),
-        F.when(good, amount).alias("count"),
-        F.when(good, inject_id).alias("inject_id"),
-        F.when(good, route(inject_id)).otherwise("quarantine").alias("target"),
+        "_r.reason",
+        F.when(good, F.coalesce("_r.event_time", F.date_trunc("MILLISECOND", ingest_ts))).alias("timestamp"),
+        F.when(good, F.col("_r.event_time").isNull()).alias("ts_substituted"),
+        F.when(good, F.col("_r.sensor_id")).alias("sensor_id"),
+        F.when(good, F.col("_r.event_type")).alias("event_type"),
+        F.when(good, F.col("_r.severity")).alias("severity"),
+        F.when(good, F.col("_k.count")).alias("count"),
+        F.when(good, F.col("_r.inject_id")).alias("inject_id"),
+        F.when(good, route(F.col("_r.inject_id"))).otherwise("quarantine").alias("target"),
     )
 
 
@@ -147,20 +181,21 @@ def decode_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
     Adds ``body_status`` (accepted, invalid_json, invalid_event) and ``events``, an array of
     VARIANT that is empty for ``[]`` and NULL for a rejected body.
     """
-    v = F.try_parse_json(F.col(body))
-    with_v = bodies.withColumn("_v", v)
-    kind = _kind(F.col("_v"))
-    elements = F.when(kind == "ARRAY", F.try_variant_get("_v", "$", "array<variant>")).when(
-        kind == "OBJECT", F.array("_v")
+    with_v = _once(bodies, "_v", F.try_parse_json(F.col(body)))
+    first = F.substring(F.ltrim(F.col(body), F.lit(" \t\r\n")), 1, 1)
+    elements = F.when(first == "[", F.try_variant_get("_v", "$", "array<variant>")).when(
+        first == "{", F.array("_v")
     )
-    all_objects = F.forall(elements, lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    with_elements = _once(with_v, "_e", elements)
+    all_objects = F.forall("_e", lambda e: F.schema_of_variant(e).startswith("OBJECT"))
     status = (
         F.when(F.col("_v").isNull(), "invalid_json")
         .when(F.coalesce(all_objects, F.lit(False)), "accepted").otherwise("invalid_event")
     )
-    return with_v.withColumn("body_status", status).withColumn(
-        "events", F.when(F.col("body_status") == "accepted", elements)
-    ).drop("_v")
+    decoded = _once(with_elements, "body_status", status)
+    return decoded.withColumn(
+        "events", F.when(F.col("body_status") == "accepted", F.col("_e"))
+    ).drop("_v", "_e")
 
 
 def accepted_events(decoded: DataFrame, received_at: str = "received_at") -> DataFrame:
@@ -171,46 +206,53 @@ def accepted_events(decoded: DataFrame, received_at: str = "received_at") -> Dat
 
 def decode_heartbeats(bodies: DataFrame, body: str = "body", received_at: str = "received_at") -> DataFrame:
     """Heartbeat payloads with defaults; a stored receive time wins over the ingest time."""
-    parsed = bodies.withColumn("_v", F.try_parse_json(F.col(body))).withColumn(
-        "_o", F.when(_kind(F.col("_v")) == "OBJECT", F.col("_v"))
-    )
-
-    def text(path: str, default: str) -> Column:
-        return F.when(_absent(_at("_o", path)), F.lit(default)).otherwise(_text("_o", path))
-
-    ok = F.col("_o").isNotNull()
-    stamp = epoch_timestamp(_text("_o", "$._received_at"))
-    return parsed.select(
+    parsed = _parsed(bodies, body, {
+        "received": "$._received_at", "node_id": "$.node_id", "status": "$.status",
+    })
+
+    def text(name: str, default: str) -> Column:
+        v = F.col(f"_j.{name}")
+        return F.when(_absent(v), F.lit(default)).otherwise(_plain(v))
+
+    typed = _once(parsed, "_r", F.struct(
+        epoch_timestamp(_plain(F.col("_j.received"))).alias("stamp"),
+        text("node_id", "unknown").alias("node_id"), text("status", "ok").alias("status"),
+    ))
+    ok = F.col("_j.state") == "ok"
+    return typed.select(
         *[c for c in bodies.columns if c not in (body, received_at)],
-        F.when(F.col("_v").isNull(), "invalid_json").when(~ok, "invalid_heartbeat")
-        .otherwise("accepted").alias("body_status"),
-        F.when(ok, F.coalesce(stamp, F.date_trunc("SECOND", received_at))).alias("timestamp"),
-        F.when(ok, stamp.isNull()).alias("ts_substituted"),
-        F.when(ok, text("$.node_id", "unknown")).alias("node_id"),
-        F.when(ok, text("$.status", "ok")).alias("status"),
+        F.when(ok, "accepted").when(F.col("_j.state") == "not_an_object", "invalid_heartbeat")
+        .otherwise("invalid_json").alias("body_status"),
+        F.when(ok, F.coalesce("_r.stamp", F.date_trunc("SECOND", received_at))).alias("timestamp"),
+        F.when(ok, F.col("_r.stamp").isNull()).alias("ts_substituted"),
+        F.when(ok, F.col("_r.node_id")).alias("node_id"),
+        F.when(ok, F.col("_r.status")).alias("status"),
     )
 
 
 def normalise_documents(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_ts") -> DataFrame:
     """Document-store rule set: event time from the ISO field, two default fields, month index."""
-    parsed = lines.withColumn("_v", F.try_parse_json(F.col(value)))
-
-    def present(path: str, default: str) -> Column:
-        raw = F.col("_raw_" + path)
-        falsy = _absent(raw) | ((_kind(raw) == "BOOLEAN") & (F.try_variant_get(raw, "$", "string") == "false"))
-        return F.when(falsy, F.lit(default)).otherwise(F.try_variant_get(raw, "$", "string"))
-
-    for name in ("timestamp", "inject_id", "event_type"):
-        parsed = parsed.withColumn("_raw_" + name, _at("_v", f"$.{name}"))
-    event_time = iso_timestamp(F.try_variant_get("_raw_timestamp", "$", "string"))
-    at = F.coalesce(event_time, F.date_trunc("MILLISECOND", ingest_ts))
-    return parsed.select(
+    parsed = _parsed(lines, value, {
+        "timestamp": "$.timestamp", "inject_id": "$.inject_id", "event_type": "$.event_type",
+        "src_ip": "$.src_ip",
+    })
+
+    def present(name: str, default: str) -> Column:
+        v = F.col(f"_j.{name}")
+        falsy = _absent(v) | ((_kind(v) == "BOOLEAN") & (_plain(v) == "false"))
+        return F.when(falsy, F.lit(default)).otherwise(_plain(v))
+
+    typed = _once(parsed, "_r", F.struct(
+        iso_timestamp(_plain(F.col("_j.timestamp"))).alias("event_time"),
+        present("inject_id", "").alias("inject_id"), present("event_type", "unknown").alias("event_type"),
+    ))
+    at = F.coalesce("_r.event_time", F.date_trunc("MILLISECOND", ingest_ts))
+    return typed.select(
         *[c for c in lines.columns if c not in (value, ingest_ts)],
         at.alias("event_ts"),
-        event_time.isNull().alias("ts_substituted"),
-        present("inject_id", "").alias("inject_id"),
-        present("event_type", "unknown").alias("event_type"),
-        _text("_v", "$.src_ip").alias("src_ip"),
+        F.col("_r.event_time").isNull().alias("ts_substituted"),
+        "_r.inject_id", "_r.event_type",
+        _plain(F.col("_j.src_ip")).alias("src_ip"),
         F.concat(F.lit("threat-events-"), F.date_format(at, "yyyy.MM")).alias("index_name"),
-        F.col("_v").isNull().alias("parse_failed"),
+        (F.col("_j.state") != "ok").alias("parse_failed"),
     )

@@ -144,13 +144,13 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CAST(l_partkey % 53 AS DOUBLE) AS mem_percent_peak",
         "CASE WHEN l_suppkey % 11 = 0 THEN concat('stray-', CAST(l_linenumber AS STRING)) ELSE 'obs-ablation-vector' END AS container",
     ]),
-    "edge_trials": ("lineitem", [
-        "CAST(power(2, l_linenumber % 4) AS INT) AS edge_count",
-        "CASE WHEN l_linestatus = 'F' THEN 'fixed-total' ELSE 'scaled' END AS edge_mode",
-        "CAST(100 + 50 * (l_suppkey % 3) AS INT) AS base_rps",
-        "CASE WHEN l_suppkey % 4 < l_linenumber % 4 THEN l_discount * 100 ELSE 0.0 END AS loss_rate_percent",
-        "l_quantity >= 48 AS verification_failed", "l_partkey % 19 <> 0 AS has_meta",
-        "l_partkey % 23 <> 0 AS has_loss",
+    "edge_trials": ("orders", [
+        "o_orderkey AS trial_id", "CAST(power(2, o_custkey % 4) AS INT) AS edge_count",
+        "CASE WHEN o_orderstatus = 'F' THEN 'fixed-total' ELSE 'scaled' END AS edge_mode",
+        "CAST(100 + 50 * (o_orderkey % 3) AS INT) AS base_rps",
+        "CASE WHEN o_orderkey % 7 < o_custkey % 4 THEN CAST(o_orderkey % 50 + 1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS loss_rate_percent",
+        "o_orderkey % 13 = 0 AS verification_failed", "o_orderkey % 19 <> 0 AS has_meta",
+        "o_orderkey % 23 <> 0 AS has_loss",
     ]),
     "drift_runs": ("orders", [
         "CASE o_custkey % 4 WHEN 0 THEN 'sudden' WHEN 1 THEN 'gradual' WHEN 2 THEN 'recurring' ELSE 'none' END AS scenario",
