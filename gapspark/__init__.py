@@ -3,3 +3,10 @@
 The rule behind every operator: a gap is counted and reported, never hidden. Bad rows go to a
 counted side output, and "could not verify" is never merged with "verified zero".
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with their code, so executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

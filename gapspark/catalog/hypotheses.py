@@ -69,9 +69,9 @@ oc AS (SELECT pattern, rps, count(*) FILTER (WHERE system = 'baseline' AND x > 0
 @query("fisher_loss_occurrence", "T2 T0", f"""
 WITH {LONG}, {OCC},
 e AS (SELECT *, a + c AS k, unnest(generate_series(greatest(0, a + c - n2), least(n1, a + c))) AS xx FROM oc),
-l AS (SELECT *, lgamma(n1 + 1) + lgamma(n2 + 1) + lgamma(k + 1) + lgamma(n1 + n2 - k + 1) - lgamma(n1 + n2 + 1) AS base FROM e),
+lb AS (SELECT *, lgamma(n1 + 1) + lgamma(n2 + 1) + lgamma(k + 1) + lgamma(n1 + n2 - k + 1) - lgamma(n1 + n2 + 1) AS base FROM e),
 q AS (SELECT *, base - lgamma(xx + 1) - lgamma(n1 - xx + 1) - lgamma(k - xx + 1) - lgamma(n2 - k + xx + 1) AS lp,
-  base - lgamma(a + 1) - lgamma(n1 - a + 1) - lgamma(c + 1) - lgamma(n2 - c + 1) AS lo FROM l)
+  base - lgamma(a + 1) - lgamma(n1 - a + 1) - lgamma(c + 1) - lgamma(n2 - c + 1) AS lo FROM lb)
 SELECT pattern, CAST(rps AS BIGINT) AS rps, a AS baseline_loss_count, n1 AS n_baseline, c AS proposed_loss_count, n2 AS n_proposed,
   round(a * (n2 - c) / nullif((n1 - a) * c, 0), 6) AS odds_ratio, round(least(1, sum(CASE WHEN lp <= lo + 1e-7 THEN exp(lp) END)), 6) AS p_value
 FROM q GROUP BY pattern, rps, a, n1, c, n2""")

@@ -237,10 +237,13 @@ def bootstrap_ci(
     )
     masses = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_mass"))).alias("_m"))
     last = (n_bootstrap + rep_block - 1) // rep_block - 1
+    # an explicit number: the rows are few but each stands for much work, so they must not be merged
+    tasks = 4 * max(samples.sparkSession.sparkContext.defaultParallelism,
+                    int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranges = masses.select(
         *keys, key_hash.alias("_key"), F.col("_m._b").alias("_bs"), F.col("_m._mass").alias("_ms"),
         F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_range"),
-    ).repartition(*keys, "_range")
+    ).repartition(tasks, *keys, "_range")
 
     key_fields = [f for f in counts.schema.fields if f.name in keys]
     key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in key_fields)
@@ -276,14 +279,17 @@ def bootstrap_ci(
                 weights = np.asarray(row["_counts"], dtype=np.int64)
                 draws = np.asarray(row["_draws"], dtype=np.int64)
                 rng = _rng(seed, row["_key"], row["_b"] + 1, row["_range"])
+                mass = int(weights.sum())
                 if len(values) == 1:
                     part = draws * values[0]
-                elif draws.mean() <= 4 * len(values):
-                    ends = np.cumsum(weights)
-                    picks = np.searchsorted(ends, rng.integers(0, ends[-1], int(draws.sum())), side="right")
-                    part = np.bincount(np.repeat(np.arange(len(draws)), draws), values[picks], len(draws))
+                elif mass <= 4_000_000 and draws.mean() <= 10 * len(values):
+                    picked = np.repeat(values, weights)[rng.integers(0, mass, int(draws.sum()))]
+                    if (draws == draws[0]).all():
+                        part = picked.reshape(len(draws), -1).sum(axis=1)
+                    else:
+                        part = np.bincount(np.repeat(np.arange(len(draws)), draws), picked, len(draws))
                 else:
-                    part = rng.multinomial(draws, weights / weights.sum()) @ values
+                    part = rng.multinomial(draws, weights / mass) @ values
                 sums.append(part.tolist())
             out = pdf[[*keys, "_range"]].copy()
             out["_sums"] = sums
@@ -291,7 +297,8 @@ def bootstrap_ci(
 
     draws = ranges.mapInPandas(
         split_over_blocks, f"{key_ddl}_key bigint, _b bigint, _range int, _draws array<bigint>")
-    inside = join_on(draws, blocks, [*keys, "_b"]).mapInPandas(
+    paired = join_on(draws, blocks, [*keys, "_b"]).repartition(tasks, *keys, "_b", "_range")
+    inside = paired.mapInPandas(
         sum_inside_block, f"{key_ddl}_range int, _sums array<double>")
     means = inside.select(*keys, "_range", F.posexplode("_sums").alias("_rep", "_sum")).groupBy(
         *keys, "_range", "_rep").agg(F.sum("_sum").alias("_sum"))

@@ -174,8 +174,8 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "WHEN 1 THEN 'ramp_up' ELSE 'wave' END, '_rps', CAST(o_custkey AS STRING), '_trial', "
         "CAST(o_orderkey % 6 AS STRING)) END AS run_dir",
         "concat(CASE o_custkey % 2 WHEN 0 THEN 'batch_' ELSE 'ablation_batch_' END, "
-        "replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', ''), '_1', "
-        "CAST(o_orderkey % 10 AS STRING), '1530') AS batch_dir",
+        "replace(substr(CAST(o_orderdate AS STRING), 1, 10), '-', ''), '_0', "
+        "CAST(4 + o_orderkey % 6 AS STRING), '1530') AS batch_dir",
     ]),
 }
 
