@@ -159,6 +159,15 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN o_custkey % 9 = 0 THEN NULL ELSE CAST(o_custkey % 14 - 2 AS INT) END AS detection_lag",
         "CAST(o_orderkey % 5 AS INT) AS false_alarms", "CAST(11 AS INT) AS n_evaluated_windows",
     ]),
+    "attributions": ("lineitem", [
+        "concat(l_returnflag, l_linestatus) AS run",
+        "CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS BIGINT) AS block",
+        "l_linenumber AS feature",
+        "CASE WHEN year(l_shipdate) >= 1999 AND l_linenumber <= 2 THEN 3 * (l_discount - l_tax) "
+        "ELSE l_discount - l_tax END AS value",
+        "l_quantity AS actual", "l_quantity + (l_discount - l_tax) * 40 AS explained",
+        "CASE WHEN year(l_shipdate) >= 1999 THEN l_discount * 30 ELSE l_discount END AS error",
+    ]),
     "partition_inventory": ("orders", [
         "CAST(o_orderdate AS DATE) AS part_date", "o_orderkey AS part_id",
         "CAST(o_custkey * 1000000 AS BIGINT) AS bytes",
