@@ -1,0 +1,178 @@
+"""Registered queries: streaming jobs run to completion over the tables, and sinks."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import functions as F
+
+from gapspark.catalog.features import WINDOWS
+from gapspark.catalog.ingestion import BURSTS, GAP, VALID
+from gapspark.operators import features as ft
+from gapspark.operators import monitor, reconcile
+from gapspark.registry import query
+from gapspark.schemas import FEATURE_TYPES
+from gapspark.session import shared_dir
+from gapspark.sinks import tables
+from gapspark.sources.driver_tables import VIEWS, load, view
+from gapspark.streaming import jobs
+
+
+def stream_view(spark, d, name):
+    base, exprs = VIEWS[name]
+    return jobs.table_source(spark, f"{d}/{base}.parquet", load(spark, d, base).schema).selectExpr(*exprs)
+
+
+def _drained(spark, name, stream):
+    table, checkpoint = jobs.job_dirs(spark, name)
+    jobs.run_to_table(stream, table, checkpoint)
+    return spark.read.schema(stream.schema).parquet(table)
+
+
+@query("stream_burst_collapse", "X1 X2", f"""
+WITH {BURSTS}, m AS (SELECT max(timestamp) AS mx FROM threat_events)
+SELECT sensor_id, event_type, CAST(first_ts AS VARCHAR) AS first_ts, CAST(last_ts AS VARCHAR) AS timestamp, count, severity, raw_rows,
+  CASE WHEN last_ts + INTERVAL 6 HOUR <= date_trunc('milliseconds', mx) - INTERVAL 10 MINUTE THEN 'stream' ELSE 'correction' END AS origin FROM bursts, m""")
+def _(spark, d):
+    emitted = _drained(spark, "bursts", jobs.burst_stream(stream_view(spark, d, "threat_events"), "6 hours", "10 minutes"))
+    return jobs.corrected_bursts(view(spark, d, "threat_events"), emitted, GAP)
+
+
+_COLS = ", ".join(["event_count", *(f"{t}_count" for t in FEATURE_TYPES)])
+
+
+@query("stream_feature_windows", "X3", f"""
+WITH {WINDOWS}, m AS (SELECT max(timestamp) AS mx FROM threat_events)
+SELECT CAST(window_start AS VARCHAR) AS window_start, round(avg_severity, 6) AS avg_severity, max_severity, {_COLS} FROM fw, m
+WHERE window_start + INTERVAL 5 MINUTE <= mx - INTERVAL 10 MINUTE""")
+def _(spark, d):
+    out = _drained(spark, "features", jobs.feature_stream(stream_view(spark, d, "threat_events"), "10 minutes"))
+    return out.drop("unique_sensors")
+
+
+@query("stream_feature_sensors_approx", "X3")
+def _(spark, d):
+    out = _drained(spark, "features", jobs.feature_stream(stream_view(spark, d, "threat_events"), "10 minutes"))
+    return out.select("window_start", "unique_sensors")
+
+
+@query("stream_routed_ingest", "X4 X5 X6 S1 S2 S3", f"""
+{VALID} SELECT CASE WHEN reason IS NOT NULL THEN 'quarantine' WHEN coalesce(j->>'$.inject_id', '') <> '' THEN 'threat_events_experiment' ELSE 'threat_events' END AS target,
+  coalesce(CASE WHEN reason IS NULL THEN coalesce(j->>'$.event_type', 'unknown') END, reason) AS label, count(*) AS n_rows FROM r GROUP BY 1, 2""")
+def _(spark, d):
+    base, checkpoint = jobs.job_dirs(spark, "ingest")
+    jobs.routed_ingest(stream_view(spark, d, "raw_lines"), base, checkpoint)
+    parts = [
+        tables.read_route(spark, base, t).select(F.lit(t).alias("target"), F.col("reason" if t == "quarantine" else "event_type").alias("label"))
+        for t in tables.ROUTES
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("target", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_ingest_metrics", "X9 G33", f"""
+{VALID} SELECT count(*) AS received, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(*) FILTER (WHERE reason IS NOT NULL) AS quarantined,
+  count(*) FILTER (WHERE reason = 'parse_error') AS parse_errors, count(*) FILTER (WHERE reason IS NULL AND t = '') AS ts_substituted FROM r""")
+def _(spark, d):
+    base, checkpoint = jobs.job_dirs(spark, "metrics")
+    job = jobs.routed_ingest(stream_view(spark, d, "raw_lines"), base, checkpoint)
+    seen = [p["observedMetrics"]["ingest"] for p in _progress(job) if "ingest" in p["observedMetrics"]]
+    names = ("received", "accepted", "quarantined", "parse_errors", "ts_substituted")
+    return spark.range(1).select(*[F.lit(sum(int(m[n]) for m in seen)).cast("bigint").alias(n) for n in names])
+
+
+def _progress(job):
+    import json
+    out = []
+    for p in job.recentProgress:
+        raw = json.loads(p.json if isinstance(p.json, str) else p.json())
+        out.append({"observedMetrics": raw.get("observedMetrics") or {}})
+    return out
+
+
+@query("stream_resent_ids", "X7", "SELECT inject_id, count(*) AS n_rows FROM threat_events WHERE inject_id <> '' GROUP BY 1")
+def _(spark, d):
+    tagged = stream_view(spark, d, "threat_events").where("inject_id <> ''")
+    resent = tagged.unionByName(stream_view(spark, d, "threat_events").where("inject_id <> '' AND event_id % 3 <> 0"))
+    return _drained(spark, "resent", jobs.deduplicated(resent, "10 minutes")).groupBy("inject_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("stream_silence_alarms", "X8", """
+WITH g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp) <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM heartbeats),
+i AS (SELECT *, sum(b) OVER (PARTITION BY node_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS g FROM g), m AS (SELECT max(timestamp) AS mx FROM heartbeats),
+s AS (SELECT node_id, min(timestamp) AS f, max(timestamp) AS l, count(*) AS n FROM i GROUP BY node_id, i.g)
+SELECT node_id, CAST(f AS VARCHAR) AS first_seen, CAST(l AS VARCHAR) AS last_seen, CAST(l + INTERVAL 15 MINUTE AS VARCHAR) AS alarm_at, n AS n_heartbeats
+FROM s, m WHERE l + INTERVAL 15 MINUTE <= date_trunc('milliseconds', mx) - INTERVAL 2 MINUTE""")
+def _(spark, d):
+    return _drained(spark, "silence", jobs.silence_alarms(stream_view(spark, d, "heartbeats"), "15 minutes", "2 minutes"))
+
+
+@query("stream_heartbeat_append", "S4 A4", """
+WITH v AS (SELECT body, json_valid(body) AS ok, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS o FROM heartbeat_bodies)
+SELECT CASE WHEN NOT ok THEN 'invalid_json' WHEN o IS NULL THEN 'invalid_heartbeat' ELSE 'accepted' END AS body_status,
+  CASE WHEN o IS NOT NULL THEN coalesce(o->>'$.node_id', 'unknown') END AS node_id, count(*) AS n_rows FROM v GROUP BY 1, 2""")
+def _(spark, d):
+    table, checkpoint = jobs.job_dirs(spark, "heartbeats")
+    jobs.heartbeat_append(stream_view(spark, d, "heartbeat_bodies"), table, checkpoint)
+    return spark.read.parquet(table).groupBy("body_status", "node_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("late_rows", "X2", """
+SELECT event_id, sensor_id FROM threat_events WHERE severity = 4 AND CAST(timestamp AS DATE) = DATE '2024-01-12'""")
+def _(spark, d):
+    ev = view(spark, d, "threat_events")
+    stored = ev.where(~((F.col("severity") == 4) & (F.to_date("timestamp") == F.lit("2024-01-12").cast("date"))))
+    return reconcile.late_rows(ev, stored, ["event_id"]).select("event_id", "sensor_id")
+
+
+@query("verified_day_export", "S7 S5", """
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS backup_date, 'central' AS node_id, 'threat_events' AS table_name, 'success' AS status,
+  count(*) AS row_count, '' AS error_message, '2024-02-01 00:00:00' AS created_at FROM threat_events GROUP BY 1""")
+def _(spark, d):
+    base = shared_dir(spark, "export")
+    status = tables.verified_export(view(spark, d, "threat_events"), f"{base}/days")
+    tables.append_ledger(tables.ledger_rows(status, "central", "threat_events", datetime(2024, 2, 1)), f"{base}/ledger")
+    return spark.read.parquet(f"{base}/ledger")
+
+
+@query("synthetic_cleanup", "S8", """
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) FILTER (WHERE inject_id = '') AS table_rows,
+  count(*) FILTER (WHERE inject_id <> '') AS exported_rows FROM threat_events GROUP BY 1""")
+def _(spark, d):
+    base = shared_dir(spark, "cleanup")
+    ev = view(spark, d, "threat_events").withColumn("event_date", F.to_date("timestamp"))
+    ev.write.partitionBy("event_date").parquet(f"{base}/table")
+    tables.cleanup_synthetic(f"{base}/table", f"{base}/exported", spark)
+    left = spark.read.parquet(f"{base}/table").groupBy("event_date").agg(F.count(F.lit(1)).alias("table_rows"))
+    out = spark.read.parquet(f"{base}/exported").groupBy("event_date").agg(F.count(F.lit(1)).alias("exported_rows"))
+    return left.join(out, "event_date", "full_outer").select(
+        "event_date", F.coalesce("table_rows", F.lit(0)).alias("table_rows"), F.coalesce("exported_rows", F.lit(0)).alias("exported_rows"))
+
+
+@query("feature_csv_export", "S9 S10", """
+SELECT CAST(date_trunc('minute', timestamp) AS VARCHAR) AS window_start, count(*) AS event_count FROM documents_in GROUP BY 1""")
+def _(spark, d):
+    base = shared_dir(spark, "feature-csv")
+    tables.write_feature_csv(ft.document_windows(view(spark, d, "documents_in")), f"{base}/csv")
+    rows = spark.read.option("header", True).schema("window_start TIMESTAMP, event_count BIGINT").csv(f"{base}/csv")
+    tables.write_json(rows, f"{base}/json")
+    return spark.read.schema(rows.schema).json(f"{base}/json")
+
+
+@query("purged_indices", "S12 S13", """
+SELECT concat('threat-events-', strftime(o_orderdate, '%Y.%m')) AS table_name, 'success' AS status, CAST(0 AS BIGINT) AS row_count FROM orders GROUP BY 1""")
+def _(spark, d):
+    from gapspark.operators.retention import month_index
+    from gapspark.schemas import BACKUP_LOG
+    parts = load(spark, d, "orders").select(month_index(F.col("o_orderdate")).alias("index_name")).distinct()
+    empty = view(spark, d, "backup_log").where(F.lit(False)).withColumn("error_message", F.lit("")).select(
+        *BACKUP_LOG.fieldNames())
+    return tables.purge(empty, parts, "central", datetime(2024, 2, 1)).select("table_name", "status", "row_count")
+
+
+@query("health_ledger_append", "S6", """
+SELECT CAST(date_trunc('hour', timestamp) AS VARCHAR) AS checked_at, count(*) AS events_last_hour,
+  count(DISTINCT sensor_id) AS unique_sensors FROM threat_events GROUP BY date_trunc('hour', timestamp)""")
+def _(spark, d):
+    path = shared_dir(spark, "health")
+    tables.append_ledger(monitor.health_history(view(spark, d, "threat_events")), path)
+    return spark.read.parquet(path)
