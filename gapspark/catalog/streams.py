@@ -20,7 +20,9 @@ from gapspark.streaming import jobs
 
 def stream_view(spark, d, name):
     base, exprs = VIEWS[name]
-    return jobs.table_source(spark, f"{d}/{base}.parquet", load(spark, d, base).schema).selectExpr(*exprs)
+    # as a glob the path may be one file or a folder of files
+    path = f"{d}/[{base[0]}]{base[1:]}.parquet"
+    return jobs.table_source(spark, path, load(spark, d, base).schema).selectExpr(*exprs)
 
 
 def _drained(spark, name, stream):
@@ -74,19 +76,25 @@ def _(spark, d):
   count(*) FILTER (WHERE reason = 'parse_error') AS parse_errors, count(*) FILTER (WHERE reason IS NULL AND t = '') AS ts_substituted FROM r""")
 def _(spark, d):
     base, checkpoint = jobs.job_dirs(spark, "metrics")
-    job = jobs.routed_ingest(stream_view(spark, d, "raw_lines"), base, checkpoint)
-    seen = [p["observedMetrics"]["ingest"] for p in _progress(job) if "ingest" in p["observedMetrics"]]
-    names = ("received", "accepted", "quarantined", "parse_errors", "ts_substituted")
-    return spark.range(1).select(*[F.lit(sum(int(m[n]) for m in seen)).cast("bigint").alias(n) for n in names])
-
-
-def _progress(job):
-    import json
-    out = []
-    for p in job.recentProgress:
-        raw = json.loads(p.json if isinstance(p.json, str) else p.json())
-        out.append({"observedMetrics": raw.get("observedMetrics") or {}})
-    return out
+    jobs.routed_ingest(stream_view(spark, d, "raw_lines"), base, checkpoint)
+    m = spark.read.parquet(f"{base}/ingest_metrics")
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n_rows"))), F.lit(0))
+    return m.agg(
+        F.sum("n_rows").alias("received"), n(F.col("target") != "quarantine").alias("accepted"),
+        n(F.col("target") == "quarantine").alias("quarantined"), n(F.col("reason") == "parse_error").alias("parse_errors"),
+        F.sum("n_ts_substituted").alias("ts_substituted"))
+
+
+@query("stream_heartbeat_metrics", "X9", """
+WITH v AS (SELECT body, json_valid(body) AS ok, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS o FROM heartbeat_bodies)
+SELECT count(*) AS received, count(o) AS accepted, count(*) FILTER (WHERE o IS NOT NULL AND TRY_CAST(o->>'$._received_at' AS DOUBLE) IS NULL) AS ts_substituted FROM v""")
+def _(spark, d):
+    table, checkpoint = jobs.job_dirs(spark, "heartbeats")
+    job = jobs.heartbeat_append(stream_view(spark, d, "heartbeat_bodies"), table, checkpoint)
+    seen = jobs.observed(job, "heartbeats")
+    total = {n: sum(int(m[n]) for m in seen) for n in ("received", "accepted", "ts_substituted")}
+    one_row = spark.read.parquet(table).limit(1)
+    return one_row.select(*[F.lit(v).cast("bigint").alias(n) for n, v in total.items()])
 
 
 @query("stream_resent_ids", "X7", "SELECT inject_id, count(*) AS n_rows FROM threat_events WHERE inject_id <> '' GROUP BY 1")

@@ -66,12 +66,8 @@ ISO_SHAPE = (
 
 def iso_timestamp(raw: Column) -> Column:
     """UTC timestamp of an ISO text, cut to milliseconds; text without offset is UTC."""
-    compact = F.regexp_replace(raw, r"([+-]\d{2})(\d{2})$", "$1:$2")
-    short_zone = F.when(
-        raw.rlike(r"[T ]\d{2}.*[+-]\d{2}$"), F.concat(raw, F.lit(":00"))
-    ).when(raw.rlike(r"[+-]\d{4}$"), compact).otherwise(raw)
-    text = F.replace(short_zone, F.lit(","), F.lit("."))
-    return F.when(raw.rlike(ISO_SHAPE), F.date_trunc("MILLISECOND", text.try_cast("timestamp")))
+    return F.when(raw.rlike(ISO_SHAPE), F.date_trunc(
+        "MILLISECOND", F.replace(raw, F.lit(","), F.lit(".")).try_cast("timestamp")))
 
 
 def epoch_timestamp(seconds: Column) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gapspark.functions.special import (
@@ -44,7 +45,7 @@ def _exact_rank_sum_p(n1: int, n2: int, u: float) -> float:
     return float(min(1.0, 2.0 * tail))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
     return pd.Series([
         None if pd.isna(x) else _exact_rank_sum_p(int(a), int(b), float(x))

@@ -16,32 +16,23 @@ from gapspark.schemas import COUNT_RANGE, MAX_LINE_BYTES, SEVERITY_RANGE
 DEFAULT_SEVERITY = 3
 
 
-def _kind(variant: Column) -> Column:
-    """OBJECT, ARRAY, VOID (JSON null), ... ; NULL when the field is absent."""
-    return F.regexp_extract(F.schema_of_variant(variant), "^([A-Z]+)", 1)
+def _nested(json: Column) -> Column:
+    """Whether a field, given as JSON text, is an object or an array."""
+    return F.coalesce(F.substring(json, 1, 1).isin("{", "["), F.lit(False))
 
 
-def _nested(variant: Column) -> Column:
-    return F.coalesce(_kind(variant).isin("OBJECT", "ARRAY"), F.lit(False))
-
-
-def _absent(variant: Column) -> Column:
+def _absent(json: Column) -> Column:
     """Missing field and JSON null are the same: the default applies."""
-    return variant.isNull() | (_kind(variant) == "VOID")
+    return json.isNull() | (json == "null")
 
 
-def _python_int(variant: Column) -> Column:
+def _python_int(json: Column) -> Column:
     """Integer coercion: numbers truncate, booleans are 0/1, texts must be whole numbers."""
-    kind = _kind(variant)
-    text = F.trim(F.try_variant_get(variant, "$", "string"))
-    whole = F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("bigint"))
-    number = F.try_variant_get(variant, "$", "double")
+    inner = F.substring(json, F.lit(2), F.length(json) - 2)
     return (
-        F.when(kind.isin("OBJECT", "ARRAY", "VOID"), F.lit(None).cast("bigint"))
-        .when(kind == "STRING", whole)
-        .when(kind == "BIGINT", F.try_variant_get(variant, "$", "bigint"))
-        .when(kind == "BOOLEAN", F.try_variant_get(variant, "$", "boolean").cast("bigint"))
-        .otherwise(F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number)))
+        F.when(F.substring(json, 1, 1) == '"', inner.try_cast("bigint"))
+        .when(json == "true", 1).when(json == "false", 0)
+        .otherwise(F.coalesce(json.try_cast("bigint"), json.try_cast("double").try_cast("bigint")))
     )
 
 
@@ -55,8 +46,13 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _parsed(lines: DataFrame, value: str, fields: dict[str, str]) -> DataFrame:
-    """Adds ``_j``: parse state and the requested fields of the line, each as a VARIANT."""
+def _parsed(
+    lines: DataFrame, value: str, texts: dict[str, str], json: dict[str, str] | None = None,
+) -> DataFrame:
+    """Adds ``_j``: parse state, fields as text, and fields as JSON text (quotes tell the type).
+
+    The line is parsed once. Text of an absent or null field is NULL.
+    """
     too_long = F.octet_length(value) > MAX_LINE_BYTES
     with_v = _once(lines, "_v", F.when(~too_long, F.try_parse_json(F.col(value))))
     is_object = F.ltrim(F.col(value), F.lit(" \t\r\n")).startswith("{")
@@ -64,15 +60,12 @@ def _parsed(lines: DataFrame, value: str, fields: dict[str, str]) -> DataFrame:
         F.when(too_long, "oversize").when(F.col("_v").isNull(), "parse_error")
         .when(~is_object, "not_an_object").otherwise("ok")
     )
-    v = F.when(is_object, F.col("_v"))
-    return _once(with_v, "_j", F.struct(
+    objects = _once(with_v, "_o", F.when(is_object, F.col("_v")))
+    return _once(objects, "_j", F.struct(
         state.alias("state"),
-        *[F.try_variant_get(v, path, "variant").alias(n) for n, path in fields.items()],
-    )).drop("_v")
-
-
-def _plain(variant: Column) -> Column:
-    return F.try_variant_get(variant, "$", "string")
+        *[F.try_variant_get("_o", path, "string").alias(n) for n, path in texts.items()],
+        *[F.to_json(F.try_variant_get("_o", path, "variant")).alias(n) for n, path in (json or {}).items()],
+    )).drop("_v", "_o")
 
 
 def parse_edge(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_ts") -> DataFrame:
@@ -82,23 +75,23 @@ def parse_edge(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_
     is marked; an over-long line keeps only its mark. A default replaces a value only where the
     text conversion fails, i.e. for nested values; an absent field is an empty text.
     """
-    parsed = _parsed(lines, value, {
-        "timestamp": "$.timestamp", "src_ip": "$.src_ip", "event_type": "$.event_type",
-        "inject_id": "$.inject_id", "alert_severity": "$.alert.severity", "severity": "$.severity",
-    })
+    names = ("timestamp", "src_ip", "event_type", "inject_id")
+    parsed = _parsed(
+        lines, value, {n: f"$.{n}" for n in names},
+        {**{f"{n}_json": f"$.{n}" for n in names}, "alert_severity": "$.alert.severity", "severity": "$.severity"},
+    )
 
     def text(name: str, on_nested: str) -> Column:
-        v = F.col(f"_j.{name}")
-        return F.when(_nested(v), F.lit(on_nested)).otherwise(F.coalesce(_plain(v), F.lit("")))
+        return F.when(_nested(F.col(f"_j.{name}_json")), F.lit(on_nested)).otherwise(
+            F.coalesce(f"_j.{name}", F.lit("")))
 
-    alert, top = F.col("_j.alert_severity"), F.col("_j.severity")
-    chosen = F.when(~_absent(alert), _python_int(alert)).when(~_absent(top), _python_int(top))
+    chosen = F.coalesce(F.nullif("_j.alert_severity", F.lit("null")), "_j.severity")
     typed = _once(parsed, "_r", F.struct(
         iso_timestamp(text("timestamp", "")).alias("event_time"),
         empty_to_unknown(text("src_ip", "")).alias("sensor_id"),
         text("event_type", "unknown").alias("event_type"),
         text("inject_id", "").alias("inject_id"),
-        F.coalesce(chosen, F.lit(DEFAULT_SEVERITY)).cast("int").alias("severity"),
+        F.coalesce(_python_int(chosen), F.lit(DEFAULT_SEVERITY)).cast("int").alias("severity"),
     ))
     return typed.select(
         *[c for c in lines.columns if c != ingest_ts],
@@ -116,62 +109,44 @@ def validate_rows(lines: DataFrame, value: str = "value", ingest_ts: str = "inge
     Severity comes from the top level, then from the alert, then the default; a value that is
     present but not usable quarantines the row.
     """
-    parsed = _parsed(lines, value, {
-        "timestamp": "$.timestamp", "sensor_id": "$.sensor_id", "event_type": "$.event_type",
-        "inject_id": "$.inject_id", "alert": "$.alert", "alert_severity": "$.alert.severity",
-        "severity": "$.severity", "count": "$.count",
-    })
-    alert, alert_text = F.col("_j.alert"), F.coalesce(_plain(F.col("_j.alert")), F.lit(""))
-    empty_alert = F.when(
-        _nested(alert), alert_text.isin("[]", "{}")
-    ).otherwise(alert_text.isin("", "0", "0.0", "false"))
-    kinds = _once(parsed, "_k", F.struct(
-        (_absent(alert) | empty_alert).alias("no_alert"),
-        (_kind(alert) == "OBJECT").alias("alert_object"),
-        _absent(F.col("_j.severity")).alias("no_top"),
-        _python_int(F.col("_j.severity")).alias("top"),
-        _python_int(F.col("_j.alert_severity")).alias("nested"),
-        F.when(F.col("_j.count").isNull(), F.lit(1).cast("bigint"))
-        .otherwise(_python_int(F.col("_j.count"))).alias("count"),
-    ))
-    severity = (
-        F.when(~F.col("_k.no_top"), F.col("_k.top"))
-        .when(F.col("_k.no_alert") | F.col("_j.alert_severity").isNull(), DEFAULT_SEVERITY)
-        .otherwise(F.col("_k.nested"))
+    parsed = _parsed(
+        lines, value, {n: f"$.{n}" for n in ("timestamp", "sensor_id", "event_type", "inject_id")},
+        {"alert": "$.alert", "alert_severity": "$.alert.severity", "severity": "$.severity", "count": "$.count"},
     )
+    alert = F.col("_j.alert")
+    no_alert = _absent(alert) | alert.isin("[]", "{}", '""', "0", "0.0", "false")
+    no_top = _absent(F.col("_j.severity"))
+    chosen = F.when(~no_top, F.col("_j.severity")).when(
+        no_alert | F.col("_j.alert_severity").isNull(), str(DEFAULT_SEVERITY)).otherwise(F.col("_j.alert_severity"))
+    numbers = _once(parsed, "_k", F.struct(
+        (no_top & ~no_alert & ~alert.startswith("{")).alias("bad_alert"),
+        _python_int(chosen).alias("severity"),
+        _python_int(F.coalesce("_j.count", F.lit("1"))).alias("count"),
+        iso_timestamp(F.col("_j.timestamp")).alias("event_time"),
+    ))
+    severity, count = F.col("_k.severity"), F.col("_k.count")
     reason = (
         F.when(F.col("_j.state") != "ok", F.col("_j.state"))
-        .when(F.col("_k.no_top") & ~F.col("_k.no_alert") & ~F.col("_k.alert_object"), "alert_not_an_object")
+        .when(F.col("_k.bad_alert"), "alert_not_an_object")
         .when(severity.isNull(), "severity_not_an_integer")
         .when(~severity.between(*SEVERITY_RANGE), "severity_out_of_range")
-        .when(F.col("_k.count").isNull(), "count_not_an_integer")
-        .when(~F.col("_k.count").between(*COUNT_RANGE), "count_out_of_range")
+        .when(count.isNull(), "count_not_an_integer")
+        .when(~count.between(*COUNT_RANGE), "count_out_of_range")
     )
-
-    def text(name: str, default: str) -> Column:
-        v = F.col(f"_j.{name}")
-        return F.when(_absent(v), F.lit(default)).otherwise(_plain(v))
-
-    typed = _once(kinds, "_r", F.struct(
-        reason.alias("reason"), severity.cast("int").alias("severity"),
-        iso_timestamp(text("timestamp", "")).alias("event_time"),
-        text("sensor_id", "unknown").alias("sensor_id"),
-        text("event_type", "unknown").alias("event_type"),
-        text("inject_id", "").alias("inject_id"),
-    ))
-    good = F.col("_r.reason").isNull()
-    return typed.select(
+    judged = _once(numbers, "reason", reason)
+    good = F.col("reason").isNull()
+    inject_id = F.coalesce("_j.inject_id", F.lit(""))
+    return judged.select(
         *[c for c in lines.columns if c != ingest_ts],
-        F.col(ingest_ts),
-        "_r.reason",
-        F.when(good, F.coalesce("_r.event_time", F.date_trunc("MILLISECOND", ingest_ts))).alias("timestamp"),
-        F.when(good, F.col("_r.event_time").isNull()).alias("ts_substituted"),
-        F.when(good, F.col("_r.sensor_id")).alias("sensor_id"),
-        F.when(good, F.col("_r.event_type")).alias("event_type"),
-        F.when(good, F.col("_r.severity")).alias("severity"),
-        F.when(good, F.col("_k.count")).alias("count"),
-        F.when(good, F.col("_r.inject_id")).alias("inject_id"),
-        F.when(good, route(F.col("_r.inject_id"))).otherwise("quarantine").alias("target"),
+        F.col(ingest_ts), "reason",
+        F.when(good, F.coalesce("_k.event_time", F.date_trunc("MILLISECOND", ingest_ts))).alias("timestamp"),
+        F.when(good, F.col("_k.event_time").isNull()).alias("ts_substituted"),
+        F.when(good, F.coalesce("_j.sensor_id", F.lit("unknown"))).alias("sensor_id"),
+        F.when(good, F.coalesce("_j.event_type", F.lit("unknown"))).alias("event_type"),
+        F.when(good, severity).cast("int").alias("severity"),
+        F.when(good, count).alias("count"),
+        F.when(good, inject_id).alias("inject_id"),
+        F.when(good, route(inject_id)).otherwise("quarantine").alias("target"),
     )
 
 
@@ -187,7 +162,7 @@ def decode_bodies(bodies: DataFrame, body: str = "body") -> DataFrame:
         first == "{", F.array("_v")
     )
     with_elements = _once(with_v, "_e", elements)
-    all_objects = F.forall("_e", lambda e: F.schema_of_variant(e).startswith("OBJECT"))
+    all_objects = F.forall("_e", lambda e: F.to_json(e).startswith("{"))
     status = (
         F.when(F.col("_v").isNull(), "invalid_json")
         .when(F.coalesce(all_objects, F.lit(False)), "accepted").otherwise("invalid_event")
@@ -207,52 +182,40 @@ def accepted_events(decoded: DataFrame, received_at: str = "received_at") -> Dat
 def decode_heartbeats(bodies: DataFrame, body: str = "body", received_at: str = "received_at") -> DataFrame:
     """Heartbeat payloads with defaults; a stored receive time wins over the ingest time."""
     parsed = _parsed(bodies, body, {
-        "received": "$._received_at", "node_id": "$.node_id", "status": "$.status",
-    })
-
-    def text(name: str, default: str) -> Column:
-        v = F.col(f"_j.{name}")
-        return F.when(_absent(v), F.lit(default)).otherwise(_plain(v))
-
-    typed = _once(parsed, "_r", F.struct(
-        epoch_timestamp(_plain(F.col("_j.received"))).alias("stamp"),
-        text("node_id", "unknown").alias("node_id"), text("status", "ok").alias("status"),
-    ))
+        "received": "$._received_at", "node_id": "$.node_id", "status": "$.status"})
+    typed = _once(parsed, "_stamp", epoch_timestamp(F.col("_j.received")))
     ok = F.col("_j.state") == "ok"
     return typed.select(
         *[c for c in bodies.columns if c not in (body, received_at)],
         F.when(ok, "accepted").when(F.col("_j.state") == "not_an_object", "invalid_heartbeat")
         .otherwise("invalid_json").alias("body_status"),
-        F.when(ok, F.coalesce("_r.stamp", F.date_trunc("SECOND", received_at))).alias("timestamp"),
-        F.when(ok, F.col("_r.stamp").isNull()).alias("ts_substituted"),
-        F.when(ok, F.col("_r.node_id")).alias("node_id"),
-        F.when(ok, F.col("_r.status")).alias("status"),
+        F.when(ok, F.coalesce("_stamp", F.date_trunc("SECOND", received_at))).alias("timestamp"),
+        F.when(ok, F.col("_stamp").isNull()).alias("ts_substituted"),
+        F.when(ok, F.coalesce("_j.node_id", F.lit("unknown"))).alias("node_id"),
+        F.when(ok, F.coalesce("_j.status", F.lit("ok"))).alias("status"),
     )
 
 
 def normalise_documents(lines: DataFrame, value: str = "value", ingest_ts: str = "ingest_ts") -> DataFrame:
     """Document-store rule set: event time from the ISO field, two default fields, month index."""
-    parsed = _parsed(lines, value, {
-        "timestamp": "$.timestamp", "inject_id": "$.inject_id", "event_type": "$.event_type",
-        "src_ip": "$.src_ip",
-    })
+    parsed = _parsed(
+        lines, value, {n: f"$.{n}" for n in ("timestamp", "inject_id", "event_type", "src_ip")},
+        {"inject_json": "$.inject_id", "type_json": "$.event_type"})
+    typed = _once(parsed, "_time", iso_timestamp(F.col("_j.timestamp")))
+    at = F.coalesce("_time", F.date_trunc("MILLISECOND", ingest_ts))
 
-    def present(name: str, default: str) -> Column:
-        v = F.col(f"_j.{name}")
-        falsy = _absent(v) | ((_kind(v) == "BOOLEAN") & (_plain(v) == "false"))
-        return F.when(falsy, F.lit(default)).otherwise(_plain(v))
+    def present(name: str, json: str, default: str) -> Column:
+        # a literal false counts as a missing field in this rule set
+        return F.when(F.coalesce(F.col(f"_j.{json}"), F.lit("null")).isin("null", "false"), F.lit(default)).otherwise(
+            F.col(f"_j.{name}"))
 
-    typed = _once(parsed, "_r", F.struct(
-        iso_timestamp(_plain(F.col("_j.timestamp"))).alias("event_time"),
-        present("inject_id", "").alias("inject_id"), present("event_type", "unknown").alias("event_type"),
-    ))
-    at = F.coalesce("_r.event_time", F.date_trunc("MILLISECOND", ingest_ts))
     return typed.select(
         *[c for c in lines.columns if c not in (value, ingest_ts)],
         at.alias("event_ts"),
-        F.col("_r.event_time").isNull().alias("ts_substituted"),
-        "_r.inject_id", "_r.event_type",
-        _plain(F.col("_j.src_ip")).alias("src_ip"),
+        F.col("_time").isNull().alias("ts_substituted"),
+        present("inject_id", "inject_json", "").alias("inject_id"),
+        present("event_type", "type_json", "unknown").alias("event_type"),
+        F.col("_j.src_ip").alias("src_ip"),
         F.concat(F.lit("threat-events-"), F.date_format(at, "yyyy.MM")).alias("index_name"),
         (F.col("_j.state") != "ok").alias("parse_failed"),
     )

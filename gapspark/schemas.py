@@ -5,54 +5,63 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "date": T.DateType(),
+    "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(),
+    "double": T.DoubleType(), "boolean": T.BooleanType(),
+}
+
+
+def _schema(**fields: str | T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField(n, _TYPES[t] if isinstance(t, str) else t) for n, t in fields.items()
+    ])
 
 
 THREAT_EVENTS = _schema(
-    "timestamp TIMESTAMP, sensor_id STRING, event_type STRING, severity SMALLINT, "
-    "count BIGINT, inject_id STRING, traffic_class STRING"
+    timestamp="timestamp", sensor_id="string", event_type="string", severity="smallint",
+    count="bigint", inject_id="string", traffic_class="string",
 )
 PIPELINE_HEALTH = _schema(
-    "checked_at TIMESTAMP, events_last_hour BIGINT, unique_sensors BIGINT, "
-    "experiment_table_rows BIGINT, experiment_table_bytes BIGINT"
+    checked_at="timestamp", events_last_hour="bigint", unique_sensors="bigint",
+    experiment_table_rows="bigint", experiment_table_bytes="bigint",
 )
-HEARTBEATS = _schema("timestamp TIMESTAMP, node_id STRING, status STRING")
+HEARTBEATS = _schema(timestamp="timestamp", node_id="string", status="string")
 BACKUP_LOG = _schema(
-    "backup_date DATE, node_id STRING, table_name STRING, status STRING, row_count BIGINT, "
-    "error_message STRING, created_at TIMESTAMP"
+    backup_date="date", node_id="string", table_name="string", status="string",
+    row_count="bigint", error_message="string", created_at="timestamp",
 )
-KNOWN_NODES = _schema("ip STRING, node_id STRING, role STRING, added_at TIMESTAMP")
+KNOWN_NODES = _schema(ip="string", node_id="string", role="string", added_at="timestamp")
 SEND_LOG = _schema(
-    "inject_id STRING, timestamp STRING, event_type STRING, target STRING, sent_ok STRING"
+    inject_id="string", timestamp="string", event_type="string", target="string", sent_ok="string",
 )
 RESOURCE_SAMPLES = _schema(
-    "timestamp STRING, container STRING, cpu_percent STRING, mem_usage STRING, "
-    "mem_percent STRING, block_io STRING"
+    timestamp="string", container="string", cpu_percent="string", mem_usage="string",
+    mem_percent="string", block_io="string",
 )
-_SYSTEM_LOSS = (
-    "STRUCT<total_injected: BIGINT, total_recorded: BIGINT, total_lost: BIGINT, "
-    "loss_rate_percent: DOUBLE, verification_failed: BOOLEAN>"
+_SYSTEM_LOSS = _schema(
+    total_injected="bigint", total_recorded="bigint", total_lost="bigint",
+    loss_rate_percent="double", verification_failed="boolean",
 )
-LOSS_RESULT = _schema(f"baseline {_SYSTEM_LOSS}, proposed {_SYSTEM_LOSS}")
+LOSS_RESULT = _schema(baseline=_SYSTEM_LOSS, proposed=_SYSTEM_LOSS)
 EDGE_META = _schema(
-    "edge_count INT, edge_mode STRING, base_rps INT, per_edge_rps INT, pattern STRING, "
-    "duration INT, timestamp STRING"
+    edge_count="int", edge_mode="string", base_rps="int", per_edge_rps="int", pattern="string",
+    duration="int", timestamp="string",
 )
-_LATENCY = "STRUCT<mean: DOUBLE, p50: DOUBLE, p95: DOUBLE, max: DOUBLE>"
+_LATENCY = _schema(mean="double", p50="double", p95="double", max="double")
 ABLATION_RESULT = _schema(
-    "window_ms INT, raw_event_count BIGINT, aggregated_count_sum BIGINT, count_matches BOOLEAN, "
-    "count_diff BIGINT, n_aggregated_groups BIGINT, parse_errors BIGINT, "
-    f"latency_upper_ms {_LATENCY}, latency_lower_ms {_LATENCY}"
+    window_ms="int", raw_event_count="bigint", aggregated_count_sum="bigint",
+    count_matches="boolean", count_diff="bigint", n_aggregated_groups="bigint",
+    parse_errors="bigint", latency_upper_ms=_LATENCY, latency_lower_ms=_LATENCY,
 )
 COLLAPSED_RECORD = _schema(
-    "sensor_id STRING, event_type STRING, timestamp STRING, severity INT, count BIGINT, "
-    "inject_id STRING, vector_ingest_ts_first BIGINT, vector_ingest_ts_last BIGINT"
+    sensor_id="string", event_type="string", timestamp="string", severity="int", count="bigint",
+    inject_id="string", vector_ingest_ts_first="bigint", vector_ingest_ts_last="bigint",
 )
 DRIFT_RUN = _schema(
-    "scenario STRING, trial INT, seed INT, fidelity_leads BOOLEAN, "
-    "confirming_detected BOOLEAN, detection_lag INT, false_alarm_windows ARRAY<INT>, "
-    "n_evaluated_windows INT"
+    scenario="string", trial="int", seed="int", fidelity_leads="boolean",
+    confirming_detected="boolean", detection_lag="int",
+    false_alarm_windows=T.ArrayType(T.IntegerType()), n_evaluated_windows="int",
 )
 
 # Ranges of the unsigned columns: severity is one byte, count must not be negative.

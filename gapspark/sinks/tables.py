@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +28,27 @@ def append_routes(validated: DataFrame, batch_id: int, base: str, value: str = "
 
     A failed target can be retried alone; the sides already written are overwritten with the
     same rows, so nothing is stored twice. Event rows are laid out by day and ordered by time
-    and sensor; the quarantine keeps the payload unchanged.
+    and sensor; the quarantine keeps the payload unchanged. A small count table per batch says
+    how many rows went where and why. The batch is parsed once and kept for its writers only;
+    losing an executor just recomputes the lost part.
     """
-    for target in ROUTES:
-        rows = validated.where(F.col("target") == target)
-        path = f"{base}/{target}/batch_id={batch_id}"
-        if target == "quarantine":
-            rows.select(F.col(value).alias("raw"), "reason", "ingest_ts").write.mode("overwrite").parquet(path)
-        else:
-            day = rows.select(*_EVENT_COLUMNS).withColumn("event_date", F.to_date("timestamp"))
-            day.sortWithinPartitions("event_date", "timestamp", "sensor_id").write.mode("overwrite").options(
-                **_BLOOM).partitionBy("event_date").parquet(path)
+    batch = validated.persist(StorageLevel.DISK_ONLY)
+    try:
+        batch.groupBy("target", "reason").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_if(F.coalesce("ts_substituted", F.lit(False))).alias("n_ts_substituted"),
+        ).coalesce(1).write.mode("overwrite").parquet(f"{base}/ingest_metrics/batch_id={batch_id}")
+        for target in ROUTES:
+            rows = batch.where(F.col("target") == target)
+            path = f"{base}/{target}/batch_id={batch_id}"
+            if target == "quarantine":
+                rows.select(F.col(value).alias("raw"), "reason", "ingest_ts").write.mode("overwrite").parquet(path)
+            else:
+                day = rows.select(*_EVENT_COLUMNS).withColumn("event_date", F.to_date("timestamp"))
+                day.sortWithinPartitions("event_date", "timestamp", "sensor_id").write.mode("overwrite").options(
+                    **_BLOOM).partitionBy("event_date").parquet(path)
+    finally:
+        batch.unpersist()
 
 
 def read_route(spark: SparkSession, base: str, target: str) -> DataFrame:

@@ -7,6 +7,7 @@ checkpoint repeats at most the last micro-batch, and its sinks overwrite that ba
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,17 +57,8 @@ def run_batches(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpo
 
 
 def routed_ingest(lines: DataFrame, base: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Validate raw lines and write each target; invalid rows are isolated, never fatal.
-
-    ``observe`` reports accepted, tagged and quarantined counts per micro-batch.
-    """
-    validated = ingest.validate_rows(lines).observe(
-        "ingest", F.count(F.lit(1)).alias("received"),
-        F.count_if(F.col("target") != "quarantine").alias("accepted"),
-        F.count_if(F.col("target") == "quarantine").alias("quarantined"),
-        F.count_if(F.col("reason") == "parse_error").alias("parse_errors"),
-        F.count_if(F.coalesce("ts_substituted", F.lit(False))).alias("ts_substituted"),
-    )
+    """Validate raw lines and write each target; invalid rows are isolated, never fatal."""
+    validated = ingest.validate_rows(lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         append_routes(batch, batch_id, base)
@@ -125,8 +117,22 @@ def silence_alarms(heartbeats: DataFrame, silence: str, lateness: str) -> DataFr
 
 
 def heartbeat_append(bodies: DataFrame, path: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Decoded heartbeats as an exactly-once file sink; rejected bodies stay in it by status."""
-    return run_to_table(ingest.decode_heartbeats(bodies), path, checkpoint, drain)
+    """Decoded heartbeats as an exactly-once file sink; rejected bodies stay in it by status.
+
+    Progress reports carry the counts as the observed metrics ``heartbeats``.
+    """
+    decoded = ingest.decode_heartbeats(bodies).observe(
+        "heartbeats", F.count(F.lit(1)).alias("received"),
+        F.count_if(F.col("body_status") == "accepted").alias("accepted"),
+        F.count_if(F.coalesce("ts_substituted", F.lit(False))).alias("ts_substituted"),
+    )
+    return run_to_table(decoded, path, checkpoint, drain)
+
+
+def observed(query: StreamingQuery, name: str) -> list[dict]:
+    """The observed metrics of the query's recent micro-batches."""
+    reports = [json.loads(p.json) for p in query.recentProgress]
+    return [r["observedMetrics"][name] for r in reports if name in (r.get("observedMetrics") or {})]
 
 
 def job_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
