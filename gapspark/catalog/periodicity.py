@@ -9,7 +9,7 @@ from gapspark.operators import periodicity as pe
 from gapspark.operators.monitor import clean_daily_counts
 from gapspark.plans.periodicity_claims import BANDS, periodicity_claims
 from gapspark.registry import query
-from gapspark.session import shared_dir
+from gapspark.session import materialize, shared_dir
 from gapspark.sources import daily_files
 from gapspark.sources.driver_tables import view
 
@@ -47,6 +47,11 @@ def _resid(spark, d):
     return pe.detrended(pe.variant_series(pe.log_series(_daily(spark, d)), VARIANTS, START))
 
 
+def _arrays(spark, d):
+    """One row per variant; written once, because the tests read it several times."""
+    return materialize(pe.as_arrays(materialize(_resid(spark, d), "residuals"), ["variant"]), "series")
+
+
 _GROUP = "count(c) AS n_days, CAST(coalesce(sum(c), 0) AS BIGINT) AS total, round(avg(c), 6) AS mean_count, quantile_cont(c, 0.5) AS median_count"
 
 
@@ -121,7 +126,7 @@ hp AS (SELECT pr.variant, perm, 12 / (any_value(n) * (any_value(n) + 1)) * sum(r
 ge AS (SELECT hp.variant, count(*) FILTER (WHERE hx / cf >= h0 / cf - 1e-9) AS ge FROM hp JOIN oh USING (variant) JOIN tc USING (variant) GROUP BY 1)
 SELECT variant, n AS n_days, round(h0 / cf, 6) AS "H", round(h0 / cf / (n - 1), 6) AS eps2, round((ge + 1) / 10001, 6) AS p FROM oh JOIN tc USING (variant) JOIN ge USING (variant)""")
 def _(spark, d):
-    return pe.weekday_permutation_test(pe.as_arrays(_resid(spark, d), ["variant"]), ["variant"])
+    return pe.weekday_permutation_test(_arrays(spark, d), ["variant"])
 
 
 FREQ = """
@@ -138,7 +143,7 @@ bp AS (SELECT po.variant, po.band, max((yc * yc / c2 + ys * ys / s2) / yy) AS po
 @query("band_power", "T11", f"""
 WITH {SERIES}, {FREQ} SELECT variant, round(max(power) FILTER (WHERE band = '7d'), 6) AS "7d", round(max(power) FILTER (WHERE band = '24d'), 6) AS "24d" FROM bp GROUP BY 1""")
 def _(spark, d):
-    return pe.band_power(pe.as_arrays(_resid(spark, d), ["variant"]), ["variant"], BANDS)
+    return pe.band_power(_arrays(spark, d), ["variant"], BANDS)
 
 
 @query("periodicity_permutation_test", "T12 J15", f"""
@@ -152,7 +157,7 @@ SELECT bp.variant, (SELECT any_value(n) FROM se WHERE se.variant = bp.variant) A
   round(max(power) FILTER (WHERE bp.band = '24d'), 6) AS power_24d, round(max((ge + 1) / 10001) FILTER (WHERE bp.band = '24d'), 6) AS p_perm_24d
 FROM bp JOIN ge ON ge.variant = bp.variant AND ge.band = bp.band GROUP BY 1""")
 def _(spark, d):
-    arrays = pe.as_arrays(_resid(spark, d).where(F.col("variant").isin("main", "rolling_median")), ["variant"])
+    arrays = _arrays(spark, d).where(F.col("variant").isin("main", "rolling_median"))
     return pe.periodicity_test(arrays, ["variant"], BANDS)
 
 

@@ -34,8 +34,17 @@ def _horner(x: Column, coefficients: tuple[float, ...]) -> Column:
     return out
 
 
+def _let(x: Column, formula) -> Column:
+    """Evaluates ``x`` once and hands it to ``formula``, instead of copying its expression."""
+    return F.get(F.transform(F.array(x), formula), F.lit(0))
+
+
 def normal_upper_tail(x: Column) -> Column:
     """P(Z > x) for a standard normal Z."""
+    return _let(x, _normal_upper_tail)
+
+
+def _normal_upper_tail(x: Column) -> Column:
     a = F.abs(x)
     e = F.exp(-a * a / 2)
     near = e * _horner(a, _HART_NUM) / _horner(a, _HART_DEN)
@@ -110,9 +119,10 @@ def ln_factorial(n: Column) -> Column:
     """ln n! in constant time: a short table, then Stirling's series."""
     table = F.array(*[F.lit(math.lgamma(k + 1)) for k in range(16)])
     x = n.cast("double")
-    stirling = (
-        x * F.ln(x) - x + 0.5 * F.ln(F.lit(2 * math.pi) * x)
-        + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    r = 1 / x
+    r2 = r * r
+    stirling = (x + 0.5) * F.ln(x) - x + F.lit(0.5 * math.log(2 * math.pi)) + r * (
+        F.lit(1 / 12) - r2 * (F.lit(1 / 360) - r2 * (F.lit(1 / 1260) - r2 * F.lit(1 / 1680)))
     )
     return F.when(n < 16, F.get(table, n.cast("int"))).otherwise(stirling)
 

@@ -113,14 +113,16 @@ def fisher_exact(table: DataFrame, keys: list[str]) -> DataFrame:
     k = a + c
     block = 8192
 
+    fixed = (
+        ln_factorial(n1) + ln_factorial(n2) + ln_factorial(k) + ln_factorial(n1 + n2 - k)
+        - ln_factorial(n1 + n2)
+    )
+
     def ln_prob(x):
-        return (
-            ln_factorial(n1) - ln_factorial(x) - ln_factorial(n1 - x)
-            + ln_factorial(n2) - ln_factorial(k - x) - ln_factorial(n2 - k + x)
-            - ln_factorial(n1 + n2) + ln_factorial(k) + ln_factorial(n1 + n2 - k)
-        )
+        return F.col("_fixed") - (
+            ln_factorial(x) + ln_factorial(n1 - x) + ln_factorial(k - x) + ln_factorial(n2 - k + x))
 
-    usable = table.where((n1 > 0) & (n2 > 0))
+    usable = table.where((n1 > 0) & (n2 > 0)).withColumn("_fixed", fixed)
     lo, hi = F.greatest(F.lit(0), k - n2), F.least(n1, k)
     blocks = usable.withColumn("_obs", ln_prob(a)).withColumn("_hi", hi).withColumn(
         "_from", F.explode(F.sequence(lo, hi, F.lit(block))))

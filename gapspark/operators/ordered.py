@@ -53,25 +53,28 @@ def running_totals(
     ``bucket`` is a column that never decreases along ``order``; rows of one (keys, bucket) are
     summed in one window, and bucket totals are carried over a table of one row per bucket.
     """
-    local = Window.partitionBy(*keys, bucket).orderBy(order).rowsBetween(
+    # Keys travel as one struct: it is never NULL itself and compares NULL fields as equal, so
+    # grouping, window and join share one hash partitioning on (key, bucket).
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
+    packed = df.withColumn("_key", key)
+    local = Window.partitionBy("_key", bucket).orderBy(order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys, bucket)
+        packed.groupBy("_key", bucket)
         .agg(*[F.sum(c).alias(f"_t_{n}") for n, c in measures.items()])
         .select(
-            *keys, bucket,
+            "_key", bucket,
             *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
               for n in measures],
         )
     )
-    inside = df.select("*", *[F.sum(c).over(local).alias(f"_w_{n}") for n, c in measures.items()])
-    joined = join_on(inside, offsets, [*keys, bucket])
-    out = joined.select(
-        "*", *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in measures]
+    inside = packed.select("*", *[F.sum(c).over(local).alias(f"_w_{n}") for n, c in measures.items()])
+    joined = inside.join(offsets, ["_key", bucket])
+    return joined.select(
+        *df.columns, *[(F.col(f"_w_{n}") + F.col(f"_o_{n}")).alias(n) for n in measures]
     )
-    return out.drop(*[f"_{p}_{n}" for p in "wo" for n in measures])
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
