@@ -179,6 +179,6 @@ def _(spark, d):
     day = F.date_add(F.to_date("timestamp"), F.when(F.col("event_id") % 1000 == 7, 1).otherwise(0))
     base = shared_dir(spark, "daily-files")
     filed = ev.withColumn("file_day", day).where(F.col("file_day") != F.lit("2024-01-15").cast("date"))
-    filed.repartition("file_day").write.partitionBy("file_day").parquet(base)
+    filed.hint("rebalance", "file_day").write.partitionBy("file_day").parquet(base)
     rows = daily_files.read_days(spark, base, ev.schema)
     return daily_files.day_violations(rows, "2024-01-01", "2024-01-30", ("2024-01-07", "2024-01-13"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.operators.ordered import join_on, next_in_time
+from gapspark.operators.ordered import join_on, next_in_time, spread
 
 SLOTS_90_DAYS = 129_600  # one-minute slots in 90 days
 _MINUTE = "INTERVAL 1 MINUTE"
@@ -33,7 +33,7 @@ def slot_windows(minutes: DataFrame, slots: int = SLOTS_90_DAYS) -> DataFrame:
 def expected_slots(windows: DataFrame) -> DataFrame:
     """The calendar: one row per (node, minute), exploded day by day to spread a long window."""
     day_first = F.explode(F.sequence("slot_first", "slot_last", F.expr("INTERVAL 1 DAY")))
-    days = windows.select("node_id", "slot_last", day_first.alias("_from")).repartition("node_id", "_from")
+    days = spread(windows.select("node_id", "slot_last", day_first.alias("_from")), "node_id", "_from")
     day_last = F.least("slot_last", F.col("_from") + F.expr("INTERVAL 1439 MINUTES"))
     return days.select(
         "node_id", F.explode(F.sequence("_from", day_last, F.expr(_MINUTE))).alias("minute")

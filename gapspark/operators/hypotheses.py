@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from gapspark.functions.special import (
     chi2_upper_tail, ln_factorial, normal_two_sided, normal_upper_tail, student_two_sided,
 )
-from gapspark.operators.ordered import join_on, midranks, value_counts
+from gapspark.operators.ordered import join_on, midranks, spread, value_counts
 
 N_BOOTSTRAP = 10_000
 SEED = 42
@@ -126,7 +126,7 @@ def fisher_exact(table: DataFrame, keys: list[str]) -> DataFrame:
     lo, hi = F.greatest(F.lit(0), k - n2), F.least(n1, k)
     blocks = usable.withColumn("_obs", ln_prob(a)).withColumn("_hi", hi).withColumn(
         "_from", F.explode(F.sequence(lo, hi, F.lit(block))))
-    terms = blocks.withColumn("_x", F.explode(F.sequence(
+    terms = spread(blocks, *keys, "_from").withColumn("_x", F.explode(F.sequence(
         F.col("_from"), F.least("_hi", F.col("_from") + block - 1)))).withColumn("_p", ln_prob(F.col("_x")))
     summed = terms.groupBy(*keys).agg(
         F.sum(F.when(F.col("_p") <= F.col("_obs") + F.lit(1e-7), F.exp("_p"))).alias("_sum"))
@@ -240,13 +240,10 @@ def bootstrap_ci(
     )
     masses = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_mass"))).alias("_m"))
     last = (n_bootstrap + rep_block - 1) // rep_block - 1
-    # an explicit number: the rows are few but each stands for much work, so they must not be merged
-    tasks = 4 * max(samples.sparkSession.sparkContext.defaultParallelism,
-                    int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranges = masses.select(
+    ranges = spread(masses.select(
         *keys, key_hash.alias("_key"), F.col("_m._b").alias("_bs"), F.col("_m._mass").alias("_ms"),
         F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_range"),
-    ).repartition(tasks, *keys, "_range")
+    ), *keys, "_range")
 
     key_fields = [f for f in counts.schema.fields if f.name in keys]
     key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in key_fields)
@@ -300,7 +297,7 @@ def bootstrap_ci(
 
     draws = ranges.mapInPandas(
         split_over_blocks, f"{key_ddl}_key bigint, _b bigint, _range int, _draws array<bigint>")
-    paired = join_on(draws, blocks, [*keys, "_b"]).repartition(tasks, *keys, "_b", "_range")
+    paired = spread(join_on(draws, blocks, [*keys, "_b"]), *keys, "_b", "_range")
     inside = paired.mapInPandas(
         sum_inside_block, f"{key_ddl}_range int, _sums array<double>")
     means = inside.select(*keys, "_range", F.posexplode("_sums").alias("_rep", "_sum")).groupBy(
@@ -324,13 +321,17 @@ def sign_flip_exact(values: DataFrame, keys: list[str], value: str, order: str)
     one ordered pass. More than 48 non-zero values is an error, never an approximation.
     """
     nonzero = values.where(F.col(value) != 0)
-    s = nonzero.groupBy(*keys).agg(
+    sizes = nonzero.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    # checked row by row before anything is gathered
+    checked = join_on(nonzero, sizes, keys).withColumn(value, F.when(
+        F.col("_size") > MAX_SIGN_FLIPS,
+        F.raise_error(F.lit("too many non-zero values for an exact sign-flip test")).cast("double"),
+    ).otherwise(F.col(value)))
+    s = checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.abs(F.sum(value)).alias("_obs"),
         F.count_if(F.col(value) > 0).alias("n_positive"), F.count_if(F.col(value) < 0).alias("n_negative"),
         F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: F.abs(r[value])).alias("_v"),
-    ).withColumn("_v", F.when(
-        F.col("_n") > MAX_SIGN_FLIPS, F.raise_error(F.lit("too many non-zero values for an exact sign-flip test"))
-    ).otherwise(F.col("_v")))
+    )
     half = F.floor(F.col("_n") / 2).cast("int")
     halves = s.select(*keys, "_n", "_obs", F.explode(F.array(
         F.struct(F.lit(0).alias("part"), F.slice("_v", F.lit(1), half).alias("v")),

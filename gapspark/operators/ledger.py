@@ -19,16 +19,21 @@ def record_gaps(
 ) -> DataFrame:
     """Pairs of consecutive records more than ``over_minutes`` minute boundaries apart.
 
-    Equal times collapse first (a zero gap can never exceed the limit). The following record is
-    looked up day by day, so neither one busy key nor a keyless ledger lands in one task. The
-    last record of a key has no successor and yields no row.
+    Records of one minute are no minute apart, so they first reduce to their first and last time
+    (map-side, at most one row per key and minute). The following minute is looked up day by
+    day, so neither one busy key nor a keyless ledger lands in one task. The last record of a
+    key has no successor and yields no row.
     """
-    distinct = records.select(*keys, F.col(ts).cast("timestamp").alias("gap_start")).distinct()
+    if over_minutes < 0:
+        raise ValueError("over_minutes must not be negative")
+    at = F.col(ts).cast("timestamp")
+    minutes_seen = records.where(at.isNotNull()).groupBy(*keys, F.date_trunc("MINUTE", at).alias("_minute")).agg(
+        F.min(at).alias("_first"), F.max(at).alias("gap_start"))
     minutes = F.timestamp_diff(
         "MINUTE", F.date_trunc("MINUTE", "gap_start"), F.date_trunc("MINUTE", "gap_end")
     )
     return (
-        next_in_time(distinct, keys, "gap_start", "gap_end")
+        next_in_time(minutes_seen, keys, "_first", "gap_end")
         .withColumn("gap_minutes", minutes)
         .where(F.col("gap_minutes") > over_minutes)
         .select(*keys, "gap_start", "gap_end", "gap_minutes")

@@ -29,6 +29,18 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """Repartitions few rows that each stand for much work (a range to enumerate or to draw).
+
+    The explicit number keeps adaptive execution from merging them back into one task.
+    """
+    spark = df.sparkSession
+    tasks = 2 * max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    return df.repartition(tasks, *cols)
+
+
 def quantile_bucket(df: DataFrame, keys: list[str], value: str, name: str = "_bucket") -> DataFrame:
     """Adds an order-preserving bucket number per key, from approximate value quantiles.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gapspark.operators.ordered import halo_blocks, join_on, midranks, value_counts
+from gapspark.operators.ordered import halo_blocks, join_on, midranks, spread, value_counts
 from gapspark.schemas import WEEKDAY_LABELS
 
 N_PERM = 10_000
@@ -113,11 +113,11 @@ def rolling_median_detrend(series: DataFrame, keys: list[str], window: int = 15)
     """Subtracts a centred rolling median whose half-width shrinks symmetrically at both ends."""
     half = window // 2
     sizes = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    spread, w = halo_blocks(join_on(series, sizes, keys), keys, "idx", half, half)
+    blocks, w = halo_blocks(join_on(series, sizes, keys), keys, "idx", half, half)
     i = F.col("idx")
     h = F.least(F.lit(half), i, F.col("_n") - 1 - i).cast("int")
     centre = F.least(i, F.lit(half)).cast("int")
-    near = spread.withColumn("_near", F.collect_list("y").over(w.rowsBetween(-half, half))).where("_own")
+    near = blocks.withColumn("_near", F.collect_list("y").over(w.rowsBetween(-half, half))).where("_own")
     inner = F.sort_array(F.slice("_near", centre - h + 1, 2 * h + 1))
     return near.withColumn("resid", F.col("y") - F.get(inner, h)).drop("_near", "_own", "_block", "_n")
 
@@ -156,10 +156,6 @@ def as_arrays(resid: DataFrame, keys: list[str]) -> DataFrame:
         F.col("_a.midrank").alias("ranks"), "_ties")
 
 
-def _spread_tasks(df: DataFrame) -> int:
-    return 2 * max(df.sparkSession.sparkContext.defaultParallelism, 4)
-
-
 def permutations(arrays: DataFrame, keys: list[str], n_perm: int = N_PERM, seed: int = SEED) -> DataFrame:
     """One row per (series, permutation) with shuffled ``resid`` and ``ranks``.
 
@@ -169,8 +165,7 @@ def permutations(arrays: DataFrame, keys: list[str], n_perm: int = N_PERM, seed:
     chunks = F.explode(F.sequence(F.lit(0), F.lit((n_perm - 1) // 100)))
     perm = F.explode(F.sequence(
         F.col("_chunk") * 100, F.least(F.col("_chunk") * 100 + 99, F.lit(n_perm - 1))))
-    spread = arrays.withColumn("_chunk", chunks).repartition(_spread_tasks(arrays), *keys, "_chunk")
-    rows = spread.withColumn("perm", perm).drop("_chunk")
+    rows = spread(arrays.withColumn("_chunk", chunks), *keys, "_chunk").withColumn("perm", perm).drop("_chunk")
     keyed = F.transform("resid", lambda r, i: F.struct(
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), i.cast("string")).cast("binary")).alias("h"),
         r.alias("r"), F.get("ranks", i).alias("k")))
@@ -241,8 +236,9 @@ def ar1_surrogates(fits: DataFrame, keys: list[str], n: int = N_PERM, seed: int
     (seed, series, range).
     """
     step = 250
-    spread = fits.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // step)))).withColumn(
-        "_key", F.xxhash64(*keys)).repartition(_spread_tasks(fits), *keys, "_range")
+    ranges = spread(
+        fits.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // step)))).withColumn(
+            "_key", F.xxhash64(*keys)), *keys, "_range")
     types = {f.name: f.dataType.simpleString() for f in fits.schema.fields}
 
     def simulate(frames):
@@ -262,7 +258,7 @@ def ar1_surrogates(fits: DataFrame, keys: list[str], n: int = N_PERM, seed: int
                 yield out[[*keys, "resid"]]
 
     ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "resid array<double>"])
-    return spread.select(*keys, "n_days", "phi", "sigma", "_key", "_range").mapInPandas(simulate, ddl)
+    return ranges.select(*keys, "n_days", "phi", "sigma", "_key", "_range").mapInPandas(simulate, ddl)
 
 
 def _exceedances(replicates: DataFrame, observed: DataFrame, keys: list[str], bands, label: str) -> DataFrame:

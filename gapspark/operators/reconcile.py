@@ -17,7 +17,7 @@ SLACK_MINUTES = 10
 def sent_ids(send_log: DataFrame) -> DataFrame:
     """Distinct (host, inject_id) that left the sender; a log without the flag keeps all rows.
 
-    The host is resolved per distinct target, and two targets on one host are one system.
+    Two targets on one host are one system. Re-sent ids collapse map-side before the shuffle.
     """
     if "sent_ok" in send_log.columns:
         send_log = send_log.where(F.coalesce("sent_ok", F.lit("1")) == "1")

@@ -18,6 +18,8 @@ def build_session(app: str = "gapspark", master: str | None = None, **conf: str)
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # sessions of one input partition merge before the shuffle
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     for key, value in settings.items():

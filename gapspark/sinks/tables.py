@@ -56,11 +56,9 @@ def read_route(spark: SparkSession, base: str, target: str) -> DataFrame:
 
 
 def export_days(rows: DataFrame, base: str, ts: str = "timestamp") -> None:
-    """One folder per UTC day. Days are salted over several files, so a busy day has many writers."""
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(8))
+    """One folder per UTC day. Rebalancing splits a busy day over as many writers as it needs."""
     (
-        rows.withColumn("file_day", F.to_date(ts)).withColumn("_salt", salt)
-        .repartition("file_day", "_salt").drop("_salt")
+        rows.withColumn("file_day", F.to_date(ts)).hint("rebalance", "file_day")
         .write.mode("overwrite").partitionBy("file_day").parquet(base)
     )
 
@@ -106,14 +104,34 @@ def cleanup_synthetic(table_path: str, export_path: str, spark: SparkSession) ->
     days = exported.select("event_date").distinct()
     kept = table.join(days, "event_date", "left_semi").where(F.col("inject_id") == "")
     staging = f"{export_path}.kept"
-    kept.write.mode("overwrite").partitionBy("event_date").parquet(staging)
+    kept.hint("rebalance", "event_date").write.mode("overwrite").partitionBy("event_date").parquet(staging)
     rewritten = spark.read.schema(table.schema).parquet(staging)
     rewritten.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "event_date").parquet(table_path)
-    # a touched day made of tagged rows only has no replacement; the same filter keeps it empty
+    # a touched day made of tagged rows only has no replacement: its folder goes
+    emptied = days.join(rewritten.select("event_date").distinct(), "event_date", "left_anti")
+    drop_days(spark, table_path, [r["event_date"] for r in emptied.collect()])
     return expected, rewritten.count()
 
 
+def drop_days(spark: SparkSession, table_path: str, days: list[date], column: str = "event_date") -> int:
+    """Removes whole day folders (one per calendar day); returns how many existed."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(table_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    paths = [jvm.org.apache.hadoop.fs.Path(root, f"{column}={day.isoformat()}") for day in days]
+    return sum(bool(fs.delete(p, True)) for p in paths if fs.exists(p))
+
+
+def expire_days(spark: SparkSession, table_path: str, as_of: date, keep_days: int, column: str = "event_date") -> list[date]:
+    """Drops day folders older than the retention; only partition values are read."""
+    cutoff = F.date_sub(F.lit(as_of.isoformat()).cast("date"), keep_days)
+    old = spark.read.parquet(table_path).where(F.col(column) < cutoff).select(column).distinct()
+    days = sorted(r[0] for r in old.collect())
+    drop_days(spark, table_path, days, column)
+    return days
+
+
 def purge(entries: DataFrame, partitions: DataFrame, node_id: str, at: datetime) -> DataFrame:
     """Ledger rows for partitions removed unconditionally."""
     return partitions.select(

@@ -52,6 +52,6 @@ def scan_trials(spark: SparkSession, base: str) -> DataFrame:
 
 def write_trials(loss: DataFrame, samples: DataFrame, base: str) -> str:
     """Writes a trial tree: ``loss``: (run, baseline, proposed), ``samples``: with run and system."""
-    loss.select("run", "baseline", "proposed").repartition("run").write.partitionBy("run").json(f"{base}/loss")
-    samples.repartition("run").write.partitionBy("system", "run").option("header", True).csv(f"{base}/resource")
+    loss.select("run", "baseline", "proposed").hint("rebalance", "run").write.partitionBy("run").json(f"{base}/loss")
+    samples.hint("rebalance", "run").write.partitionBy("system", "run").option("header", True).csv(f"{base}/resource")
     return base

@@ -200,7 +200,7 @@ def test_silence_alarm_and_resent_ids(spark, tmp_path):
 
 def test_verified_export_and_cleanup(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
-    data = [(t0 + timedelta(days=d), f"s{i}", "inj" if (d + i) % 3 == 0 else "") for d in range(4) for i in range(5)]
+    data = [(t0 + timedelta(days=d), f"s{i}", "inj" if d == 2 or (d + i) % 3 == 0 else "") for d in range(4) for i in range(5)]
     df = spark.createDataFrame(data, "timestamp TIMESTAMP, sensor_id STRING, inject_id STRING")
     status = tables.verified_export(df, str(tmp_path / "days"))
     assert sorted((str(r.day), r.status, r.row_count) for r in status.collect()) == [(f"2024-01-0{d}", "success", 5) for d in range(1, 5)]
@@ -210,6 +210,8 @@ def test_verified_export_and_cleanup(spark, tmp_path):
     left = spark.read.parquet(table)
     assert moved == sum(1 for r in data if r[2]) and left.where("inject_id <> ''").count() == 0
     assert left.count() + moved == len(data)
+    assert tables.expire_days(spark, table, (t0 + timedelta(days=3)).date(), 2) == [t0.date()]
+    assert spark.read.parquet(table).select("event_date").distinct().count() == 2
 
 
 def test_feature_export_needs_a_row(spark, tmp_path):
