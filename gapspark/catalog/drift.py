@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gapspark.catalog.features import WINDOWS
 from gapspark.operators import drift as dr
 from gapspark.operators import features as ft
 from gapspark.operators.filters import clean_events
@@ -90,6 +91,28 @@ def _(spark, d):
     return dr.false_alarms(_monitor(spark, d), ["run"], BASE - 1)
 
 
+_VECTOR = ", ".join(f"CAST({c} AS DOUBLE)" for c in FEATURE_COLUMNS)
+
+
+@query("attribution_values", "D3", f"""
+WITH {WINDOWS}, i AS (SELECT row_number() OVER (ORDER BY window_start) - 1 AS idx, count(*) OVER () AS n, [{_VECTOR}] AS v FROM fw),
+e AS (SELECT s.idx AS seq, (w.idx - s.idx) * 10 + f AS j, w.v[f + 1] AS x FROM i s JOIN i w ON w.idx BETWEEN s.idx AND s.idx + 11, range(0, 10) t(f) WHERE s.idx < s.n - 12),
+b AS (SELECT j, avg(x) AS m FROM e WHERE seq < 20 GROUP BY 1)
+SELECT seq AS seq_index, round(sum(x / (e.j + 1)), 6) AS actual, round(sum((x - m) / (e.j + 1)), 6) AS contribution,
+  round(max(CASE WHEN e.j = 0 THEN x - m END), 6) AS first_part, round(max(CASE WHEN e.j = 119 THEN (x - m) / 120 END), 6) AS last_part
+FROM e JOIN b ON e.j = b.j GROUP BY 1""")
+def _(spark, d):
+    import numpy as np
+    series = ft.vectors(ft.feature_windows(view(spark, d, "threat_events")))
+    seq = ft.sliding_sequences(series).withColumn("x", F.flatten("x")).withColumn("block", F.lit(0).cast("bigint"))
+    seq = study.materialize(seq, "sequences")
+    background = np.mean([r["x"] for r in seq.where("seq_index < 20").select("x").collect()], axis=0)
+    coef = np.tile(1.0 / np.arange(1, 121), (len(FEATURE_COLUMNS), 1))
+    scored = study.apply_forecaster(seq, coef, np.zeros(len(FEATURE_COLUMNS)), background)
+    return scored.select("seq_index", "actual", F.aggregate("parts", F.lit(0.0), lambda a, v: a + v).alias("contribution"),
+                         F.get("parts", F.lit(0)).alias("first_part"), F.get("parts", F.lit(119)).alias("last_part"))
+
+
 def _hourly_study(spark, d):
     hourly = ft.hourly_features(clean_events(view(spark, d, "threat_events")))
     series = ft.on_hour_calendar(hourly, "2024-01-01", "2024-01-30").drop("is_filled")

@@ -39,7 +39,7 @@ def _(spark, d):
     return ft.document_windows(view(spark, d, "documents_in"), exact=True)
 
 
-@query("document_minute_features_approx", "G8 S9")
+@query("document_minute_features_approx", "G8 S9", DOC_SQL)  # a handful of types: the sketch is exact
 def _(spark, d):
     return ft.document_windows(view(spark, d, "documents_in"))
 

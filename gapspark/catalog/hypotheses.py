@@ -131,6 +131,19 @@ def _(spark, d):
     return hy.bootstrap_ci(_long(spark, d).where("metric = 'loss_rate'"), [*ex.CONDITION, "system"])
 
 
+@query("bootstrap_interval_check", "T5", f"""
+WITH {LONG} SELECT pattern, CAST(rps AS BIGINT) AS rps, system, count(x) AS n_values, round(avg(x), 6) AS mean,
+  true AS lower_near_normal, true AS upper_near_normal FROM loss WHERE x IS NOT NULL GROUP BY 1, 2, 3""")
+def _(spark, d):
+    """The resampled bounds against the normal interval of the mean, which they approach."""
+    loss = _long(spark, d).where("metric = 'loss_rate'")
+    keys = [*ex.CONDITION, "system"]
+    spread = loss.groupBy(*keys).agg((F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("se"))
+    both = hy.bootstrap_ci(loss, keys).join(spread, keys)
+    near = lambda c, sign: F.abs(F.col(c) - (F.col("mean") + sign * sp.Z_975 * F.col("se"))) < 0.2 * F.col("se")
+    return both.select(*keys, "n_values", "mean", near("lower", -1).alias("lower_near_normal"), near("upper", 1).alias("upper_near_normal"))
+
+
 @query("wilson_intervals", "T6", """
 WITH s AS (SELECT l_returnflag AS pattern, l_linenumber AS rps, CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE l_discount > 0.05) AS DOUBLE) AS k, 1.959963984540054 AS z
   FROM lineitem GROUP BY 1, 2), w AS (SELECT *, k / n AS p FROM s)

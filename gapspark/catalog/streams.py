@@ -52,7 +52,9 @@ def _(spark, d):
     return out.drop("unique_sensors")
 
 
-@query("stream_feature_sensors_approx", "X3")
+@query("stream_feature_sensors_approx", "X3", f"""
+WITH {WINDOWS}, m AS (SELECT max(timestamp) AS mx FROM threat_events)
+SELECT CAST(window_start AS VARCHAR) AS window_start, unique_sensors FROM fw, m WHERE window_start + INTERVAL 5 MINUTE <= mx - INTERVAL 10 MINUTE""")
 def _(spark, d):
     out = _drained(spark, "features", jobs.feature_stream(stream_view(spark, d, "threat_events"), "10 minutes"))
     return out.select("window_start", "unique_sensors")

@@ -35,8 +35,8 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     The explicit number keeps adaptive execution from merging them back into one task.
     """
     spark = df.sparkSession
-    tasks = 2 * max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(
+        2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
     )
     return df.repartition(tasks, *cols)
 

@@ -11,8 +11,8 @@ from gapspark import registry
 from gapspark.sources.driver_tables import VIEWS
 
 WITHOUT_ORACLE = {
-    "bootstrap_ci", "condition_battery", "document_minute_features_approx", "forecast_by_block",
-    "observed_drift_monitor", "observed_drift_study", "periodicity_claims", "stream_feature_sensors_approx",
+    "bootstrap_ci", "condition_battery", "forecast_by_block", "observed_drift_monitor",
+    "observed_drift_study", "periodicity_claims",
 }
 QUICK = [
     "clean_daily_counts", "heartbeat_coverage", "backup_log_gaps", "sent_vs_recorded", "burst_collapse",
