@@ -164,7 +164,9 @@ o AS (SELECT pattern, rps, count(*) AS n, abs(sum(v)) AS obs, count(*) FILTER (W
 k AS (SELECT o.*, unnest(range(0, CAST(power(2, n) AS BIGINT))) AS mask FROM o),
 f AS (SELECT k.pattern, k.rps, k.mask, any_value(n) AS n, any_value(obs) AS obs, any_value(pos) AS pos, any_value(neg) AS neg,
   sum(CASE WHEN (mask >> i) % 2 = 1 THEN -abs(v) ELSE abs(v) END) AS s FROM k JOIN nz ON k.pattern = nz.pattern AND k.rps = nz.rps GROUP BY 1, 2, 3),
-sf AS (SELECT pattern, rps, any_value(n) AS n, any_value(pos) AS pos, any_value(neg) AS neg, count(*) FILTER (WHERE abs(s) >= obs - 1e-12) / count(*) AS pv FROM f GROUP BY 1, 2)
+sg AS (SELECT pattern, rps, any_value(pos) AS pos, any_value(neg) AS neg, count(*) FILTER (WHERE abs(s) >= obs - 1e-12) / count(*) AS pv FROM f GROUP BY 1, 2),
+sf AS (SELECT a.pattern, a.rps, nv AS n, coalesce(pos, 0) AS pos, coalesce(neg, 0) AS neg, coalesce(pv, 1) AS pv
+  FROM (SELECT pattern, rps, count(*) AS nv FROM m GROUP BY 1, 2) a LEFT JOIN sg ON sg.pattern = a.pattern AND sg.rps = a.rps)
 """
 
 
@@ -191,7 +193,7 @@ def _(spark, d):
 
 
 BATCHES = """
-bt AS (SELECT batch_dir, avg(o_totalprice) AS cpu_mean, CAST(strptime(regexp_extract(batch_dir, '^batch_(\\d{8})_(\\d{6})', 1) ||
+bt AS (SELECT batch_dir, avg(floor(o_totalprice)) AS cpu_mean, CAST(strptime(regexp_extract(batch_dir, '^batch_(\\d{8})_(\\d{6})', 1) ||
   regexp_extract(batch_dir, '^batch_(\\d{8})_(\\d{6})', 2), '%Y%m%d%H%M%S') AT TIME ZONE 'Europe/Berlin' AS TIMESTAMP) AS t0
   FROM (SELECT r.batch_dir, o.o_totalprice FROM run_dirs r JOIN orders o ON o.o_orderkey = r.o_orderkey) WHERE starts_with(batch_dir, 'batch_') GROUP BY 1),
 hl AS (SELECT created_at AS checked_at, row_count FROM backup_log WHERE table_name = 'pipeline_health'),
@@ -203,7 +205,7 @@ bw AS (SELECT batch_dir, any_value(cpu_mean) AS cpu_mean, count(*) AS n_rows, av
 def _batch_windows(spark, d):
     dirs = view(spark, d, "run_dirs").where(F.col("batch_dir").startswith("batch_"))
     prices = load(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    starts = dirs.join(prices, "o_orderkey").groupBy("batch_dir").agg(F.avg("o_totalprice").alias("cpu_mean")).withColumn(
+    starts = dirs.join(prices, "o_orderkey").groupBy("batch_dir").agg(F.avg(F.floor("o_totalprice")).alias("cpu_mean")).withColumn(
         "started", parsing.batch_start(F.col("batch_dir")))
     health = view(spark, d, "backup_log").where("table_name = 'pipeline_health'").select(
         F.col("created_at").cast("timestamp").alias("checked_at"), "row_count")

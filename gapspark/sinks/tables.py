@@ -17,9 +17,10 @@ from gapspark.schemas import BACKUP_LOG
 
 ROUTES = ("threat_events", "threat_events_experiment", "quarantine")
 _EVENT_COLUMNS = ["timestamp", "sensor_id", "event_type", "severity", "count", "inject_id", "ts_substituted"]
+# ids are looked up in the tagged table only; the filter sizes itself to the ids of each file
 _BLOOM = {
     "parquet.bloom.filter.enabled#inject_id": "true",
-    "parquet.bloom.filter.expected.ndv#inject_id": "1000000",
+    "parquet.bloom.filter.adaptive.enabled": "true",
 }
 
 
@@ -45,8 +46,9 @@ def append_routes(validated: DataFrame, batch_id: int, base: str, value: str = "
                 rows.select(F.col(value).alias("raw"), "reason", "ingest_ts").write.mode("overwrite").parquet(path)
             else:
                 day = rows.select(*_EVENT_COLUMNS).withColumn("event_date", F.to_date("timestamp"))
+                bloom = _BLOOM if target == "threat_events_experiment" else {}
                 day.sortWithinPartitions("event_date", "timestamp", "sensor_id").write.mode("overwrite").options(
-                    **_BLOOM).partitionBy("event_date").parquet(path)
+                    **bloom).partitionBy("event_date").parquet(path)
     finally:
         batch.unpersist()
 

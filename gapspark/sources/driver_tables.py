@@ -1,7 +1,9 @@
 """Engine tables derived from the driver's Parquet tables.
 
 Each view is a base table plus a list of column expressions. The expressions are plain SQL that
-means the same in Spark and in DuckDB, so the oracle queries start from the same rows.
+means the same in Spark and in DuckDB, so the oracle queries start from the same rows. Measured
+values are whole numbers or halves, quarters, ... of them: such sums are exact in any order, so a
+rounded mean never depends on the order of addition.
 """
 
 from __future__ import annotations
@@ -113,12 +115,12 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "concat('b', CAST(year(l_shipdate) AS STRING)) AS batch",
         "concat(l_returnflag, l_linestatus) AS pattern",
         "l_linenumber AS rps", "l_orderkey AS trial",
-        "CASE WHEN l_suppkey % 3 = 0 THEN 0.0 ELSE l_discount * 100 END AS baseline_loss",
-        "CASE WHEN l_partkey % 2 = 0 THEN 0.0 ELSE l_tax * 100 END AS proposed_loss",
+        "CASE WHEN l_suppkey % 3 = 0 THEN 0.0 ELSE round(l_discount * 100) END AS baseline_loss",
+        "CASE WHEN l_partkey % 2 = 0 THEN 0.0 ELSE round(l_tax * 100) END AS proposed_loss",
         "l_quantity >= 48 AS baseline_verification_failed",
         "l_suppkey % 40 = 0 AS proposed_verification_failed",
-        "l_quantity AS baseline_cpu_peak", "l_quantity * (1 - l_discount) AS proposed_cpu_peak",
-        "CASE WHEN l_orderkey % 61 <> 0 THEN l_extendedprice / 1000 END AS baseline_mem_peak",
+        "l_quantity AS baseline_cpu_peak", "l_quantity * (100 - round(l_discount * 100)) / 64 AS proposed_cpu_peak",
+        "CASE WHEN l_orderkey % 61 <> 0 THEN floor(l_extendedprice) / 64 END AS baseline_mem_peak",
         "CAST(l_partkey % 100 AS DOUBLE) AS proposed_mem_peak",
     ]),
     "resource_samples": ("lineitem", [
@@ -163,10 +165,10 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
         "concat(l_returnflag, l_linestatus) AS run",
         "CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS BIGINT) AS block",
         "l_linenumber AS feature",
-        "CASE WHEN year(l_shipdate) >= 1999 AND l_linenumber <= 2 THEN 3 * (l_discount - l_tax) "
-        "ELSE l_discount - l_tax END AS value",
-        "l_quantity AS actual", "l_quantity + (l_discount - l_tax) * 40 AS explained",
-        "CASE WHEN year(l_shipdate) >= 1999 THEN l_discount * 30 ELSE l_discount END AS error",
+        "CASE WHEN year(l_shipdate) >= 1999 AND l_linenumber <= 2 THEN 3 * (round(l_discount * 100) - round(l_tax * 100)) / 64 "
+        "ELSE (round(l_discount * 100) - round(l_tax * 100)) / 64 END AS value",
+        "l_quantity AS actual", "l_quantity + (round(l_discount * 100) - round(l_tax * 100)) / 2 AS explained",
+        "CASE WHEN year(l_shipdate) >= 1999 THEN round(l_discount * 100) / 4 ELSE round(l_discount * 100) / 128 END AS error",
     ]),
     "partition_inventory": ("orders", [
         "CAST(o_orderdate AS DATE) AS part_date", "o_orderkey AS part_id",
