@@ -9,23 +9,55 @@ from pyspark.sql.window import Window
 from gapspark.operators.ordered import join_on, quantiles
 
 KEYS = ["sensor_id", "event_type"]
+HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 
 
 def collapse_bursts(
     events: DataFrame, gap_seconds: float = 1.0, keys: list[str] | None = None,
-    chunk_seconds: int = 60, ingest_ms: str | None = None,
+    ingest_ms: str | None = None, hot_rows: int = HOT_ROWS, chunk_seconds: int = 600,
 ) -> DataFrame:
     """One row per burst: events of a key with no idle time longer than ``gap_seconds``.
 
-    Equals a session window per key, but no key is sorted in one task. Rows first combine
-    map-side to one per (key, instant); bursts are found inside each (key, time chunk); a
-    summary of one row per (key, chunk) then tells which chunk-border bursts belong together.
-    The chunk bounds the rows of one task whatever share of the data a key has: with a third of
-    100 TB over 90 days on one key, a minute of it is some hundred MB.
     Two events exactly one gap apart belong to the same burst. ``timestamp`` is the last event
     time of the burst, ``first_ts`` the first. ``ingest_ms`` adds min/max ingest times.
+
+    A session window sorts all rows of a key in one task, which is the cheapest plan for keys of
+    moderate size. A first pass counts rows per key (key columns only, combined map-side). Keys
+    above ``hot_rows`` are collapsed in time chunks and stitched instead, with the same result.
     """
     keys = keys or KEYS
+    per_key = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = per_key.where(F.col("_n") > hot_rows).select(*keys)
+    if hot.isEmpty():
+        return _sessions(events, gap_seconds, keys, ingest_ms)
+    marked = join_on(events, hot.withColumn("_hot", F.lit(True)), keys, "left")
+    cold = marked.where(F.col("_hot").isNull()).drop("_hot")
+    busy = marked.where(F.col("_hot")).drop("_hot")
+    return _sessions(cold, gap_seconds, keys, ingest_ms).unionByName(
+        _stitched(busy, gap_seconds, keys, ingest_ms, chunk_seconds))
+
+
+def _sessions(events: DataFrame, gap_seconds: float, keys: list[str], ingest_ms: str | None) -> DataFrame:
+    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    extra = [F.min(ingest_ms).alias("ingest_ms_first"), F.max(ingest_ms).alias("ingest_ms_last")] if ingest_ms else []
+    gap = F.session_window("timestamp", f"{int(gap_seconds * 1_000_000)} microseconds")
+    out = timed.groupBy(*keys, gap.alias("_s")).agg(
+        F.max("timestamp").alias("_last"), F.min("timestamp").alias("first_ts"), F.sum("count").alias("count"),
+        F.max("severity").alias("severity"), F.count(F.lit(1)).alias("raw_rows"), *extra)
+    return out.select(
+        *keys, F.col("_last").alias("timestamp"), "first_ts", "count", "severity", "raw_rows",
+        *(["ingest_ms_first", "ingest_ms_last"] if ingest_ms else []))
+
+
+def _stitched(
+    events: DataFrame, gap_seconds: float, keys: list[str], ingest_ms: str | None, chunk_seconds: int,
+) -> DataFrame:
+    """Bursts of busy keys: collapsed inside (key, time chunk), then joined across chunk borders.
+
+    Rows first combine map-side to one per (key, instant). A summary of one row per (key, chunk)
+    tells which border bursts belong together. Event times have millisecond resolution, so ten
+    minutes of a key are at most 600,000 instants, whatever share of the data the key has.
+    """
     gap_us = int(gap_seconds * 1_000_000)
     measures = {
         "count": F.sum("count"), "severity": F.max("severity"), "raw_rows": F.sum("raw_rows"),
@@ -38,22 +70,24 @@ def collapse_bursts(
         first_pass |= {"ingest_ms_first": F.min(ingest_ms), "ingest_ms_last": F.max(ingest_ms)}
     aggs = [c.alias(n) for n, c in measures.items()]
 
+    # One struct key is never NULL, so windows, join and grouping share their partitioning.
+    key = F.struct(*[F.col(k) for k in keys]).alias("_key")
     instants = events.groupBy(
-        *keys, F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us")
+        key, F.unix_micros(F.col("timestamp").cast("timestamp")).alias("_us")
     ).agg(*[c.alias(n) for n, c in first_pass.items()])
     chunked = instants.withColumn("_chunk", F.floor(F.col("_us") / F.lit(chunk_seconds * 1_000_000)))
-    inner = Window.partitionBy(*keys, "_chunk").orderBy("_us")
+    inner = Window.partitionBy("_key", "_chunk").orderBy("_us")
     starts = F.coalesce(F.col("_us") - F.lag("_us").over(inner) > gap_us, F.lit(True)).cast("int")
     local = (
         chunked.withColumn("_starts", starts)
         .withColumn("_burst", F.sum("_starts").over(inner))
-        .groupBy(*keys, "_chunk", "_burst")
+        .groupBy("_key", "_chunk", "_burst")
         .agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), *aggs)
     )
 
     # Which burst does the first burst of a chunk continue?
-    along = Window.partitionBy(*keys).orderBy("_chunk")
-    summary = local.groupBy(*keys, "_chunk").agg(
+    along = Window.partitionBy("_key").orderBy("_chunk")
+    summary = local.groupBy("_key", "_chunk").agg(
         F.min("_first").alias("_head"), F.max("_last").alias("_tail"), F.max("_burst").alias("_n")
     )
     continues = F.coalesce(F.col("_head") - F.lag("_tail").over(along) <= gap_us, F.lit(False))
@@ -61,21 +95,21 @@ def collapse_bursts(
         F.lag("_n").over(along) > 1,
         F.struct(F.lag("_chunk").over(along).alias("c"), F.lag("_n").over(along).cast("bigint").alias("b")),
     )
-    anchored = summary.select(*keys, "_chunk", anchor.alias("_own")).select(
-        *keys, "_chunk",
+    anchored = summary.select("_key", "_chunk", anchor.alias("_own")).select(
+        "_key", "_chunk",
         F.last("_own", ignorenulls=True).over(
             along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ).alias("_anchor"),
     )
     mine = F.struct(F.col("_chunk").alias("c"), F.col("_burst").cast("bigint").alias("b"))
-    stitched = join_on(local, anchored, [*keys, "_chunk"]).withColumn(
+    stitched = local.join(anchored, ["_key", "_chunk"]).withColumn(
         "_id", F.when(F.col("_burst") == 1, F.col("_anchor")).otherwise(mine)
     )
-    merged = stitched.groupBy(*keys, "_id").agg(
+    merged = stitched.groupBy("_key", "_id").agg(
         F.min("_first").alias("_first"), F.max("_last").alias("_last"), *aggs
     )
     return merged.select(
-        *keys, F.timestamp_micros("_last").alias("timestamp"),
+        *[F.col(f"_key.{k}").alias(k) for k in keys], F.timestamp_micros("_last").alias("timestamp"),
         F.timestamp_micros("_first").alias("first_ts"), *measures,
     )
 
