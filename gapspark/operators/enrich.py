@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from ipaddress import IPv4Address
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Public IPv4 ranges (name, first, last address as integers).
-PUBLIC_RANGES = (
-    ("1.0.0.0/7", 0x01000000, 0x02FFFFFF),
-    ("5.0.0.0+", 0x05000000, 0x09FFFFFF),
-    ("11.0.0.0+", 0x0B000000, 0x0CFFFFFF),
-    ("14.0.0.0+", 0x0E000000, 0x63FFFFFF),
-    ("101.0.0.0+", 0x65000000, 0x7EFFFFFF),
-    ("128.0.0.0+", 0x80000000, 0x9FFFFFFF),
-    ("162.0.0.0+", 0xA2000000, 0xA9FEFFFF),
-    ("171.0.0.0/8", 0xAB000000, 0xABFFFFFF),
-    ("176.0.0.0+", 0xB0000000, 0xBFFFFFFF),
-    ("193.0.0.0+", 0xC1000000, 0xC5FFFFFF),
-    ("200.0.0.0+", 0xC8000000, 0xDFFFFFFF),
+# Public IPv4 ranges, first and last address.
+_PUBLIC_BOUNDS = (
+    ("1.0.0.0", "2.255.255.255"), ("5.0.0.0", "9.255.255.255"), ("11.0.0.0", "12.255.255.255"),
+    ("14.0.0.0", "99.255.255.255"), ("101.0.0.0", "126.255.255.255"), ("128.0.0.0", "159.255.255.255"),
+    ("162.0.0.0", "169.254.255.255"), ("171.0.0.0", "171.255.255.255"), ("176.0.0.0", "191.255.255.255"),
+    ("193.0.0.0", "197.255.255.255"), ("200.0.0.0", "223.255.255.255"),
+)
+PUBLIC_RANGES = tuple(
+    (f"{lo}-{hi}", int(IPv4Address(lo)), int(IPv4Address(hi))) for lo, hi in _PUBLIC_BOUNDS
 )
 _PREFIX = 65_536  # addresses per /16 bucket
 

@@ -17,7 +17,7 @@ from gapspark.operators.ordered import join_on, quantiles
 
 SYSTEMS = ("baseline", "proposed")
 CONDITION = ["pattern", "rps"]
-STRAY_FREE_CONTAINER = "obs-ablation-vector"
+STRAY_FREE_CONTAINER = "obs-ablation-vector"  # fixed value: the only container of that experiment
 
 
 # --- resource samples -------------------------------------------------------------------------

@@ -75,7 +75,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
     "heartbeat_bodies": ("events", ["event_id", "ts AS received_at", f"{_HEARTBEAT_BODY} AS body"]),
     "documents_in": ("events", [
         "ts AS timestamp",
-        "CASE user_id % 4 WHEN 0 THEN 'Cowrie' WHEN 1 THEN 'Suricata' WHEN 2 THEN 'Dionaea' ELSE 'Honeytrap' END AS type",
+        "CASE user_id % 4 WHEN 0 THEN 'Cowrie' WHEN 1 THEN 'Network' WHEN 2 THEN 'Malware' ELSE 'Other' END AS type",
         "CASE event_type WHEN 'error' THEN 'alert' WHEN 'click' THEN 'http' WHEN 'view' THEN 'flow' "
         "WHEN 'purchase' THEN 'tls' ELSE 'dns' END AS event_type",
         "CASE WHEN event_id % 5 = 0 THEN 22 ELSE 80 END AS dest_port",
