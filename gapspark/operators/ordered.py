@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 QUANTILE_BUCKETS = 64
+BUCKET_ABOVE = 100_000  # rows of one key that one window may order
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -45,12 +46,15 @@ def quantile_bucket(df: DataFrame, keys: list[str], value: str, name: str = "_bu
     """Adds an order-preserving bucket number per key, from approximate value quantiles.
 
     The quantile sketch merges map-side and has a fixed size per key; the bucket is only a way to
-    spread the work, so its approximation never reaches a result.
+    spread the work, so its approximation never reaches a result. A key of moderate size keeps
+    one bucket.
     """
     probs = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
     bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 1000).alias("_bounds")
-    )
+        F.percentile_approx(value, probs, 1000).alias("_all"), F.count(F.lit(1)).alias("_size")
+    ).select(*keys, F.when(
+        F.col("_size") > BUCKET_ABOVE, F.col("_all")
+    ).otherwise(F.slice("_all", 1, 0)).alias("_bounds"))
     return join_on(df, bounds, keys).withColumn(
         name, F.size(F.filter("_bounds", lambda b: b < F.col(value)))
     ).drop("_bounds")

@@ -22,6 +22,14 @@ def spark():
     s.stop()
 
 
+@pytest.fixture(autouse=True)
+def small_buckets(monkeypatch):
+    """Tests take the path of large keys already at a handful of rows."""
+    from gapspark.operators import ordered
+
+    monkeypatch.setattr(ordered, "BUCKET_ABOVE", 20)
+
+
 @pytest.fixture
 def sf():
     return SF
