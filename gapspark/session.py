@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: Application id -> its temporary folder, for local sessions without a shared folder.
+LOCAL_DIRS: dict[str, str] = {}
+
 
 def build_session(app: str = "gapspark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators assume; ``conf`` keys use ``__`` for dots."""
@@ -36,12 +39,17 @@ def use_utc(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) does a local temporary folder take its place.
+    The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local master may leave it
+    unset: one temporary folder of the session then takes its place. On a cluster executors would
+    write to their own disks and a later read would miss rows, so that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="gapspark-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on master {master}")
+        base = LOCAL_DIRS.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="gapspark-")
+        LOCAL_DIRS[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
