@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gapspark.llm import id_files, packing, token_counts
+from gapspark.llm import id_files, line_spread, packing, simhash, token_counts
 from gapspark.llm.common import read_table
 
 SEQUENCE_TOKENS = 1024
@@ -26,12 +26,41 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), False, WORD_BPE_END)
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(read_table(spark, sf_dir, "documents"), radius=2, size=3)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.remove_widespread_lines(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "text", "n_removed_lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_token_id_files, op9_token_counts)
+    f.__name__: f for f in (
+        op2_best_fit_packing, op4_token_id_files, op6_simhash, op9_token_counts, op10_line_spread)
+}
+
+ORACLES: dict[str, str] = {
+    "op10_line_spread": """
+WITH lines AS (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+wide AS (
+  SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+judged AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS cleaned,
+         count(*) FILTER (WHERE gone) AS n_gone,
+         sum(length(line)) FILTER (WHERE NOT gone) AS n_left, sum(length(line)) AS n_all
+  FROM (SELECT doc_id, pos, line, line IN (SELECT line FROM wide) AS gone FROM lines) GROUP BY doc_id)
+SELECT d.doc_id,
+       CASE WHEN n_gone > 0 AND coalesce(n_left, 0) >= 0.5 * n_all THEN coalesce(cleaned, '') ELSE d.text END AS text,
+       CASE WHEN n_gone > 0 AND coalesce(n_left, 0) >= 0.5 * n_all THEN n_gone ELSE 0 END AS n_removed_lines
+FROM documents d LEFT JOIN judged USING (doc_id)
+""",
 }
-ORACLES: dict[str, str] = {}
