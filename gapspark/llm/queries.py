@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gapspark.llm import id_files, line_spread, packing, simhash, token_counts
-from gapspark.llm.common import read_table
+from gapspark.llm import (
+    decontamination, id_files, impact_search, language, line_spread, packing, simhash, token_counts, warc,
+)
+from gapspark.llm.common import materialize, read_table
 
 SEQUENCE_TOKENS = 1024
 BYTE_BPE, BYTE_BPE_END = "byte_bpe_50k.json", 2
 WORD_BPE, WORD_BPE_END = "word_bpe_49k.json", 1
 
 
+def op1_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = materialize(impact_search.whole_vectors(read_table(spark, sf_dir, "embeddings"), 64), "whole-vectors")
+    return impact_search.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), True, BYTE_BPE_END, SEQUENCE_TOKENS)
@@ -26,10 +34,25 @@ def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), False, WORD_BPE_END)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), radius=2, size=3)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.benchmark_overlaps(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "coverage", F.size("tiles").cast("long").alias("n_tiles"), "tiles")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_captures(read_table(spark, sf_dir, "pages"), with_blocks=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -42,10 +65,34 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op2_best_fit_packing, op4_token_id_files, op6_simhash, op9_token_counts, op10_line_spread)
+        op1_impact_search, op2_best_fit_packing, op4_token_id_files, op5_language_id, op6_simhash,
+        op7_decontamination, op8_warc, op9_token_counts, op10_line_spread)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_impact_search": """
+WITH sound AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+         list_sum(list_transform(list_zip(q.v, d.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM sound q, sound d WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+""",
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes,
+         sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
     "op10_line_spread": """
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
