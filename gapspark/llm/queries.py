@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapspark.llm import (
-    decontamination, id_files, impact_search, language, line_spread, packing, simhash, token_counts, warc,
+    decontamination, id_files, impact_search, language, line_spread, packing, repeated_bytes, simhash, token_counts,
+    warc,
 )
 from gapspark.llm.common import materialize, read_table
 
@@ -29,6 +30,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes.remove_repeated_bytes(read_table(spark, sf_dir, "documents"), 400, with_bytes=False)
+
+
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.token_id_table(
         read_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), False, WORD_BPE_END)
@@ -65,7 +70,7 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_impact_search, op2_best_fit_packing, op4_token_id_files, op5_language_id, op6_simhash,
+        op1_impact_search, op2_best_fit_packing, op3_repeated_bytes, op4_token_id_files, op5_language_id, op6_simhash,
         op7_decontamination, op8_warc, op9_token_counts, op10_line_spread)
 }
 
