@@ -152,7 +152,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     ddl = ", ".join([f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep] + ["lang_pred string", "score double"])
     schema = arrow_schema(ddl)
     names = list(prototypes)
-    table = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), -1)
+    table = np.array([prototypes[k] for k in names], np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -307,23 +307,30 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("root", "node", "text").mapInArrow(run, ddl)
 
 
+def loose_groups(nodes: DataFrame, least: float = 0.8) -> DataFrame:
+    """(node, root) of nodes that fingerprints of 256 bits within ``WIDE_RADIUS`` connect; ``nodes`` has
+    node, fp0.. and n, the number of distinct shingles. Tiles are size classes, and tile pairs whose
+    sizes cannot reach the similarity ``least`` are never formed."""
+    level = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / np.log(1 / least))).otherwise(-10)
+    payload = ["node", *[f"fp{k}" for k in range(WIDE_WORDS)], "n"]
+    blocks = materialize(blocks_of(nodes, level.cast("int"), payload), "size-tiles")
+    pairs = pairs_of(blocks, [F.col("tile"), F.col("tile") + 1])
+    return connected_components(links_within(pairs, WIDE_WORDS, WIDE_RADIUS, least))
+
+
+def exact_groups(members: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
+    """(node, root) of the texts that shingle sets connect within the groups named by root;
+    ``members`` has root, node and text."""
+    grouped = materialize(shingle_sets(members, size), "group-shingles")
+    blocks = materialize(blocks_of(grouped, F.col("root"), ["node", "shingles"], GROUP_BLOCK), "group-blocks")
+    return connected_components(jaccard_links(pairs_of(blocks, [F.col("tile")]), least))
+
+
 def near_duplicates(texts: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
-    """(node, root) of the texts in groups of near copies; ``texts`` has node (long, one row each),
+    """(node, root) of the texts in groups of near copies; ``texts`` has node (long, one row each)
     and text. Texts link if their sets of ``size``-word shingles reach a Jaccard similarity of
     ``least``; texts without words link with one another. The root is the group's smallest node.
-
-    Fingerprints of 256 bits within ``WIDE_RADIUS`` propose groups; tiles are size classes, and tile
-    pairs whose sizes cannot reach ``least`` are never formed. Exact sets then decide inside groups.
     """
     prints = materialize(fingerprints(texts, size, WIDE_WORDS, ("node",)), "wide-fingerprints")
-    nodes = prints.select("node", *[f"fp{k}" for k in range(WIDE_WORDS)], F.col("n_shingles").alias("n"))
-    step = np.log(1 / least)
-    level = F.when(F.col("n") > 0, F.floor(F.log(F.col("n").cast("double")) / step)).otherwise(-10).cast("int")
-    payload = ["node", *[f"fp{k}" for k in range(WIDE_WORDS)], "n"]
-    blocks = materialize(blocks_of(nodes, level, payload), "size-tiles")
-    pairs = pairs_of(blocks, [F.col("tile"), F.col("tile") + 1])
-    loose = connected_components(links_within(pairs, WIDE_WORDS, WIDE_RADIUS, least))
-    grouped = materialize(shingle_sets(texts.join(loose, "node"), size), "group-shingles")
-    group_blocks = materialize(blocks_of(grouped, F.col("root"), ["node", "shingles"], GROUP_BLOCK), "group-blocks")
-    exact = jaccard_links(pairs_of(group_blocks, [F.col("tile")]), least)
-    return connected_components(exact)
+    loose = loose_groups(prints.withColumnRenamed("n_shingles", "n"), least)
+    return exact_groups(texts.join(loose, "node"), size, least)
