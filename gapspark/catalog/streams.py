@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gapspark.catalog.features import WINDOWS
 from gapspark.catalog.ingestion import BURSTS, GAP, VALID
 from gapspark.operators import features as ft
-from gapspark.operators import monitor, reconcile
+from gapspark.operators import monitor, reconcile, retention
 from gapspark.registry import query
 from gapspark.schemas import FEATURE_TYPES
 from gapspark.session import shared_dir
@@ -45,11 +45,11 @@ _COLS = ", ".join(["event_count", *(f"{t}_count" for t in FEATURE_TYPES)])
 
 @query("stream_feature_windows", "X3", f"""
 WITH {WINDOWS}, m AS (SELECT max(timestamp) AS mx FROM threat_events)
-SELECT CAST(window_start AS VARCHAR) AS window_start, round(avg_severity, 6) AS avg_severity, max_severity, {_COLS} FROM fw, m
-WHERE window_start + INTERVAL 5 MINUTE <= mx - INTERVAL 10 MINUTE""")
+SELECT CAST(window_start AS VARCHAR) AS window_start, unique_sensors, round(avg_severity, 6) AS avg_severity, max_severity, {_COLS},
+  CASE WHEN window_start + INTERVAL 5 MINUTE <= date_trunc('milliseconds', mx) - INTERVAL 10 MINUTE THEN 'stream' ELSE 'correction' END AS origin FROM fw, m""")
 def _(spark, d):
     out = _drained(spark, "features", jobs.feature_stream(stream_view(spark, d, "threat_events"), "10 minutes"))
-    return out.drop("unique_sensors")
+    return jobs.corrected_windows(view(spark, d, "threat_events"), out)
 
 
 @query("stream_feature_sensors_approx", "X3", f"""
@@ -92,11 +92,8 @@ WITH v AS (SELECT body, json_valid(body) AS ok, CASE WHEN json_valid(body) AND j
 SELECT count(*) AS received, count(o) AS accepted, count(*) FILTER (WHERE o IS NOT NULL AND TRY_CAST(o->>'$._received_at' AS DOUBLE) IS NULL) AS ts_substituted FROM v""")
 def _(spark, d):
     table, checkpoint = jobs.job_dirs(spark, "heartbeats")
-    job = jobs.heartbeat_append(stream_view(spark, d, "heartbeat_bodies"), table, checkpoint)
-    seen = jobs.observed(job, "heartbeats")
-    total = {n: sum(int(m[n]) for m in seen) for n in ("received", "accepted", "ts_substituted")}
-    one_row = spark.read.parquet(table).limit(1)
-    return one_row.select(*[F.lit(v).cast("bigint").alias(n) for n, v in total.items()])
+    jobs.heartbeat_append(stream_view(spark, d, "heartbeat_bodies"), table, checkpoint)
+    return jobs.heartbeat_totals(spark.read.parquet(table))
 
 
 @query("stream_resent_ids", "X7", "SELECT inject_id, count(*) AS n_rows FROM threat_events WHERE inject_id <> '' GROUP BY 1")
@@ -116,6 +113,20 @@ def _(spark, d):
     return _drained(spark, "silence", jobs.silence_alarms(stream_view(spark, d, "heartbeats"), "15 minutes", "2 minutes"))
 
 
+@query("stream_outage_alarms", "X8", """
+WITH g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY node_id ORDER BY timestamp) <= INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS b FROM heartbeats),
+i AS (SELECT *, sum(b) OVER (PARTITION BY node_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS g FROM g),
+m AS (SELECT max(timestamp) + INTERVAL 1 DAY AS mx FROM heartbeats),
+s AS (SELECT node_id, min(timestamp) AS f, max(timestamp) AS l, count(*) AS n FROM i GROUP BY node_id, i.g)
+SELECT node_id, CAST(f AS VARCHAR) AS first_seen, CAST(l AS VARCHAR) AS last_seen, CAST(l + INTERVAL 15 MINUTE AS VARCHAR) AS alarm_at, n AS n_heartbeats
+FROM s, m WHERE l + INTERVAL 15 MINUTE <= date_trunc('milliseconds', mx) - INTERVAL 2 MINUTE""")
+def _(spark, d):
+    beats = stream_view(spark, d, "heartbeats")
+    # all nodes stop, the clock goes on for a day: every node's last silence must be an alarm too
+    clock = stream_view(spark, d, "heartbeats").selectExpr("timestamp + INTERVAL 1 DAY AS timestamp")
+    return _drained(spark, "outage", jobs.silence_alarms(beats, "15 minutes", "2 minutes", clock))
+
+
 @query("stream_heartbeat_append", "S4 A4", """
 WITH v AS (SELECT body, json_valid(body) AS ok, CASE WHEN json_valid(body) AND json_type(body) = 'OBJECT' THEN body END AS o FROM heartbeat_bodies)
 SELECT CASE WHEN NOT ok THEN 'invalid_json' WHEN o IS NULL THEN 'invalid_heartbeat' ELSE 'accepted' END AS body_status,
@@ -140,8 +151,40 @@ SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS backup_date, 'central' AS nod
 def _(spark, d):
     base = shared_dir(spark, "export")
     status = tables.verified_export(view(spark, d, "threat_events"), f"{base}/days")
-    tables.append_ledger(tables.ledger_rows(status, "central", "threat_events", datetime(2024, 2, 1)), f"{base}/ledger")
-    return spark.read.parquet(f"{base}/ledger")
+    for _ in range(2):  # a retried run adds nothing
+        tables.append_ledger(tables.ledger_rows(status, "central", "threat_events", datetime(2024, 2, 1)), f"{base}/ledger", "r1")
+    return spark.read.parquet(f"{base}/ledger").drop("run_id")
+
+
+@query("export_day_by_day", "S7", """
+SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS day, count(*) AS n_rows, 'success' AS status FROM threat_events GROUP BY 1""")
+def _(spark, d):
+    base = shared_dir(spark, "export")
+    ev = view(spark, d, "threat_events")
+    even = F.dayofmonth("timestamp") % 2 == 0
+    both = [tables.verified_export(ev.where(part), base) for part in (even, ~even)]  # two runs, other days each
+    stored = spark.read.parquet(base).groupBy(F.col("file_day").alias("day")).agg(F.count(F.lit(1)).alias("n_rows"))
+    return stored.join(both[0].unionByName(both[1]).select("day", "status"), "day", "full_outer")
+
+
+@query("routes_expire", "S11 S1", """
+WITH t AS (SELECT *, CASE WHEN inject_id <> '' THEN 'threat_events_experiment' ELSE 'threat_events' END AS target,
+  CAST(timestamp AS DATE) AS d, max(CAST(timestamp AS DATE)) OVER () AS mx FROM threat_events)
+SELECT target, CAST(d AS VARCHAR) AS event_date, count(*) AS n_rows FROM t
+WHERE d >= mx - CAST(CASE WHEN target = 'threat_events' THEN 20 ELSE 3 END AS INTEGER) GROUP BY 1, 2""")
+def _(spark, d):
+    base = shared_dir(spark, "routes")
+    ev = view(spark, d, "threat_events")
+    ready = ev.select(
+        "*", retention.route(F.col("inject_id")).alias("target"), F.lit(None).cast("string").alias("reason"),
+        F.lit(False).alias("ts_substituted"), F.col("timestamp").alias("ingest_ts"), F.lit(None).cast("string").alias("value"))
+    for batch in range(2):
+        tables.append_routes(ready.where(F.col("event_id") % 2 == batch), batch, base)
+    days = [r[0] for r in ev.select(F.to_date("timestamp")).distinct().collect()]
+    tables.compact_days(spark, tables.route_path(base, "threat_events"), days, 1)
+    tables.expire_routes(spark, base, max(days), {"threat_events": 20, "threat_events_experiment": 3})
+    left = [tables.read_route(spark, base, t).withColumn("target", F.lit(t)) for t in tables.ROUTES[:2]]
+    return left[0].unionByName(left[1]).groupBy("target", "event_date").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("synthetic_cleanup", "S8", """
@@ -150,8 +193,10 @@ SELECT CAST(CAST(timestamp AS DATE) AS VARCHAR) AS event_date, count(*) FILTER (
 def _(spark, d):
     base = shared_dir(spark, "cleanup")
     ev = view(spark, d, "threat_events").withColumn("event_date", F.to_date("timestamp"))
-    ev.write.partitionBy("event_date").parquet(f"{base}/table")
-    tables.cleanup_synthetic(f"{base}/table", f"{base}/exported", spark)
+    odd = F.col("event_id") % 2 == 1
+    for run, part in (("first", odd), ("second", ~odd)):  # tagged rows of a second run join the first ones
+        ev.where(part).write.mode("append").partitionBy("event_date").parquet(f"{base}/table")
+        tables.cleanup_synthetic(f"{base}/table", f"{base}/exported", spark, run)
     left = spark.read.parquet(f"{base}/table").groupBy("event_date").agg(F.count(F.lit(1)).alias("table_rows"))
     out = spark.read.parquet(f"{base}/exported").groupBy("event_date").agg(F.count(F.lit(1)).alias("exported_rows"))
     return left.join(out, "event_date", "full_outer").select(
@@ -169,14 +214,20 @@ def _(spark, d):
 
 
 @query("purged_indices", "S12 S13", """
-SELECT concat('threat-events-', strftime(o_orderdate, '%Y.%m')) AS table_name, 'success' AS status, CAST(0 AS BIGINT) AS row_count FROM orders GROUP BY 1""")
+WITH m AS (SELECT strftime(o_orderdate, '%Y.%m') AS index_month, count(*) AS n FROM orders GROUP BY 1)
+SELECT index_month, CASE WHEN index_month < '1995.01' THEN 0 ELSE n END AS rows_left,
+  CASE WHEN index_month < '1995.01' THEN 'success' END AS purge_status FROM m""")
 def _(spark, d):
-    from gapspark.operators.retention import month_index
-    from gapspark.schemas import BACKUP_LOG
-    parts = load(spark, d, "orders").select(month_index(F.col("o_orderdate")).alias("index_name")).distinct()
-    empty = view(spark, d, "backup_log").where(F.lit(False)).withColumn("error_message", F.lit("")).select(
-        *BACKUP_LOG.fieldNames())
-    return tables.purge(empty, parts, "central", datetime(2024, 2, 1)).select("table_name", "status", "row_count")
+    base = shared_dir(spark, "months")
+    orders = load(spark, d, "orders")
+    tables.write_monthly(orders, f"{base}/months", "o_orderdate")
+    tables.purge_months(spark, f"{base}/months", "1995.01", "central", datetime(2024, 2, 1), f"{base}/ledger")
+    months = orders.select(F.date_format("o_orderdate", "yyyy.MM").alias("index_month")).distinct()
+    left = tables.read_monthly(spark, f"{base}/months").groupBy("index_month").agg(F.count(F.lit(1)).alias("rows_left"))
+    done = spark.read.parquet(f"{base}/ledger").select(
+        F.substring_index("table_name", "-", -1).alias("index_month"), F.col("status").alias("purge_status"))
+    return months.join(left, "index_month", "left").join(done, "index_month", "left").select(
+        "index_month", F.coalesce("rows_left", F.lit(0)).alias("rows_left"), "purge_status")
 
 
 @query("health_ledger_append", "S6", """
@@ -184,5 +235,5 @@ SELECT CAST(date_trunc('hour', timestamp) AS VARCHAR) AS checked_at, count(*) AS
   count(DISTINCT sensor_id) AS unique_sensors FROM threat_events GROUP BY date_trunc('hour', timestamp)""")
 def _(spark, d):
     path = shared_dir(spark, "health")
-    tables.append_ledger(monitor.health_history(view(spark, d, "threat_events")), path)
-    return spark.read.parquet(path)
+    tables.append_ledger(monitor.health_history(view(spark, d, "threat_events")), path, "r1")
+    return spark.read.parquet(path).drop("run_id")

@@ -7,8 +7,9 @@ checkpoint repeats at most the last micro-batch, and its sinks overwrite that ba
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gapspark.operators import ingest
 from gapspark.operators.collapse import KEYS, collapse_bursts
-from gapspark.operators.features import _slot
+from gapspark.operators.features import feature_windows
 from gapspark.schemas import FEATURE_TYPES
 from gapspark.session import shared_dir
 from gapspark.sinks.tables import append_routes
@@ -104,42 +105,61 @@ def feature_stream(events: DataFrame, lateness: str, seconds: int = 300) -> Data
     ).select(F.col("_w.start").alias("window_start"), "*").drop("_w")
 
 
+def corrected_windows(raw: DataFrame, emitted: DataFrame, seconds: int = 300) -> DataFrame:
+    """Batch correction of a feature stream: windows that late rows changed and windows still open
+    are added with their exact values. ``origin`` tells which windows the stream had right."""
+    final = feature_windows(raw, seconds)
+    # the stream's distinct sensors are approximate, so they do not decide
+    keys = [c for c in emitted.columns if c not in ("unique_sensors", "avg_severity")]
+    seen = emitted.select(*keys).withColumn("_stream", F.lit(True))
+    same = reduce(and_, [final[c].eqNullSafe(seen[c]) for c in keys])
+    joined = final.join(seen, same, "left")
+    return joined.select(*[final[c] for c in final.columns],
+                         F.when(F.col("_stream"), "stream").otherwise("correction").alias("origin"))
+
+
+def late_for_stream(raw: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``raw`` whose key the stream never emitted: behind the watermark, counted not lost."""
+    return raw.join(emitted.select(key).distinct(), key, "left_anti")
+
+
 def deduplicated(tagged: DataFrame, lateness: str) -> DataFrame:
     """Re-sent ids are suppressed while their first copy is inside the watermark."""
     timed = tagged.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
     return timed.dropDuplicatesWithinWatermark(["inject_id"])
 
 
-def silence_alarms(heartbeats: DataFrame, silence: str, lateness: str) -> DataFrame:
+def silence_alarms(heartbeats: DataFrame, silence: str, lateness: str, clock: DataFrame | None = None) -> DataFrame:
     """One alarm per node silence: a heartbeat session closes when the node stays quiet.
 
     The session end is the last heartbeat plus the allowed silence; append mode emits it as soon
-    as the watermark proves that no further heartbeat arrived in time.
+    as the watermark proves that no further heartbeat arrived in time. Heartbeats alone move no
+    watermark once all nodes are silent, so ``clock``, a stream whose ``timestamp`` goes on (other
+    events, or a rate source), carries time through a total outage.
     """
     _merge_sessions_early(heartbeats.sparkSession)
-    timed = heartbeats.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
+    beats = heartbeats.select("node_id", F.col("timestamp").cast("timestamp").alias("timestamp"))
+    if clock is not None:
+        ticks = clock.select(F.lit(None).cast("string").alias("node_id"), F.col("timestamp").cast("timestamp").alias("timestamp"))
+        beats = beats.unionByName(ticks)
+    # the condition names the event time, else it would move below the watermark and stop the clock
+    beat = F.when(F.col("timestamp").isNotNull(), F.col("node_id")).isNotNull()
+    timed = beats.withWatermark("timestamp", lateness).where(beat)
     return timed.groupBy("node_id", F.session_window("timestamp", silence).alias("_s")).agg(
         F.count(F.lit(1)).alias("n_heartbeats"), F.max("timestamp").alias("last_seen")
     ).select("node_id", F.col("_s.start").alias("first_seen"), "last_seen", F.col("_s.end").alias("alarm_at"), "n_heartbeats")
 
 
 def heartbeat_append(bodies: DataFrame, path: str, checkpoint: str, drain: bool = True) -> StreamingQuery:
-    """Decoded heartbeats as an exactly-once file sink; rejected bodies stay in it by status.
+    """Decoded heartbeats as an exactly-once file sink; rejected bodies stay in it by status."""
+    return run_to_table(ingest.decode_heartbeats(bodies), path, checkpoint, drain)
 
-    Progress reports carry the counts as the observed metrics ``heartbeats``.
-    """
-    decoded = ingest.decode_heartbeats(bodies).observe(
-        "heartbeats", F.count(F.lit(1)).alias("received"),
-        F.count_if(F.col("body_status") == "accepted").alias("accepted"),
-        F.count_if(F.coalesce("ts_substituted", F.lit(False))).alias("ts_substituted"),
-    )
-    return run_to_table(decoded, path, checkpoint, drain)
-
-
-def observed(query: StreamingQuery, name: str) -> list[dict]:
-    """The observed metrics of the query's recent micro-batches."""
-    reports = [json.loads(p.json) for p in query.recentProgress]
-    return [r["observedMetrics"][name] for r in reports if name in (r.get("observedMetrics") or {})]
+
+def heartbeat_totals(stored: DataFrame) -> DataFrame:
+    """received, accepted and ts_substituted over all stored heartbeats, whatever the batch count."""
+    return stored.agg(
+        F.count(F.lit(1)).alias("received"), F.count_if(F.col("body_status") == "accepted").alias("accepted"),
+        F.count_if(F.coalesce("ts_substituted", F.lit(False))).alias("ts_substituted"))
 
 
 def job_dirs(spark: SparkSession, name: str) -> tuple[str, str]:

@@ -198,20 +198,82 @@ def test_silence_alarm_and_resent_ids(spark, tmp_path):
     assert got == [("a", 2, 7), ("a", 21, 26)]
 
 
-def test_verified_export_and_cleanup(spark, tmp_path):
+def test_total_outage_raises_alarms(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    beats = spark.createDataFrame([(n, t0 + timedelta(minutes=m)) for n in "ab" for m in (0, 1, 2)], "node_id STRING, timestamp TIMESTAMP")
+    clock = spark.createDataFrame([(t0 + timedelta(minutes=m),) for m in range(0, 60, 5)], "timestamp TIMESTAMP")
+    beats.coalesce(1).write.parquet(str(tmp_path / "hb"))
+    clock.coalesce(1).write.parquet(str(tmp_path / "clock"))
+    s = jobs.silence_alarms(jobs.table_source(spark, str(tmp_path / "hb"), beats.schema), "5 minutes", "1 minute",
+                            jobs.table_source(spark, str(tmp_path / "clock"), clock.schema))
+    jobs.run_to_table(s, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    assert sorted(r.node_id for r in spark.read.schema(s.schema).parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_late_windows_are_corrected(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    schema = "sensor_id STRING, event_type STRING, timestamp TIMESTAMP, severity INT, count BIGINT"
+    events = [("s", "ssh", t0 + timedelta(minutes=m), 1, 1) for m in (0, 1, 7, 40)]
+    df = spark.createDataFrame(events, schema)
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.feature_stream(jobs.table_source(spark, str(tmp_path / "in"), df.schema), "10 minutes")
+    jobs.run_to_table(stream, str(tmp_path / "t"), str(tmp_path / "c"))
+    late = spark.createDataFrame([("late", "ssh", t0 + timedelta(minutes=2), 1, 1)], schema)
+    out = jobs.corrected_windows(df.unionByName(late), spark.read.schema(stream.schema).parquet(str(tmp_path / "t"))).collect()
+    got = sorted(((r.window_start - t0).seconds // 60, r.event_count, r.origin) for r in out)
+    assert got == [(0, 3, "correction"), (5, 1, "stream"), (40, 1, "correction")]
+
+
+def test_verified_export_day_by_day(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    data = [(t0 + timedelta(days=d), f"s{i}") for d in range(4) for i in range(5)]
+    df = spark.createDataFrame(data, "timestamp TIMESTAMP, sensor_id STRING")
+    for day in (1, 2):  # the second call must leave the first day alone and report on its own only
+        status = tables.verified_export(df.where(F.dayofmonth("timestamp") == day), str(tmp_path / "days"))
+        assert [(str(r.day), r.status, r.row_count) for r in status.collect()] == [(f"2024-01-0{day}", "success", 5)]
+    assert spark.read.parquet(str(tmp_path / "days")).count() == 10
+
+
+def test_cleanup_twice_keeps_both_exports(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     data = [(t0 + timedelta(days=d), f"s{i}", "inj" if d == 2 or (d + i) % 3 == 0 else "") for d in range(4) for i in range(5)]
-    df = spark.createDataFrame(data, "timestamp TIMESTAMP, sensor_id STRING, inject_id STRING")
-    status = tables.verified_export(df, str(tmp_path / "days"))
-    assert sorted((str(r.day), r.status, r.row_count) for r in status.collect()) == [(f"2024-01-0{d}", "success", 5) for d in range(1, 5)]
-    table = str(tmp_path / "table")
-    df.withColumn("event_date", F.to_date("timestamp")).write.partitionBy("event_date").parquet(table)
-    moved, _ = tables.cleanup_synthetic(table, str(tmp_path / "exp"), spark)
-    left = spark.read.parquet(table)
-    assert moved == sum(1 for r in data if r[2]) and left.where("inject_id <> ''").count() == 0
-    assert left.count() + moved == len(data)
+    df = spark.createDataFrame(data, "timestamp TIMESTAMP, sensor_id STRING, inject_id STRING").withColumn(
+        "event_date", F.to_date("timestamp"))
+    table, out = str(tmp_path / "table"), str(tmp_path / "exp")
+    for run in ("one", "two"):
+        df.write.mode("append").partitionBy("event_date").parquet(table)
+        moved, _ = tables.cleanup_synthetic(table, out, spark, run)
+        left = spark.read.parquet(table)
+        assert moved == sum(1 for r in data if r[2]) and left.where("inject_id <> ''").count() == 0
+    assert spark.read.parquet(out).count() == 2 * moved
+    assert left.count() + 2 * moved == 2 * len(data)
+    with pytest.raises(Exception, match="already exists"):
+        tables.cleanup_synthetic(table, out, spark, "two")
     assert tables.expire_days(spark, table, (t0 + timedelta(days=3)).date(), 2) == [t0.date()]
     assert spark.read.parquet(table).select("event_date").distinct().count() == 2
+    with pytest.raises(FileNotFoundError):
+        tables.drop_days(spark, table, [t0.date()])
+
+
+def test_retention_and_compaction_act_on_ingested_tables(spark, tmp_path):
+    base = str(tmp_path)
+    for b, day in enumerate((1, 1, 5)):
+        texts = [json.dumps({"sensor_id": f"s{i}", "timestamp": f"2024-01-0{day}T00:00:00"}) for i in range(4)]
+        tables.append_routes(ingest.validate_rows(lines(spark, texts)), b, base)
+    path = tables.route_path(base, "threat_events")
+    tables.compact_days(spark, path, [datetime(2024, 1, 1).date()], 1)
+    table = tables.read_route(spark, base, "threat_events")
+    assert table.count() == 12 and sorted({r.batch_id for r in table.collect()}) == [1, 2]
+    gone = tables.expire_routes(spark, base, datetime(2024, 1, 6).date(), {"threat_events": 3})
+    assert gone == {"threat_events": [datetime(2024, 1, 1).date()]}
+    assert tables.read_route(spark, base, "threat_events").count() == 4
+
+
+def test_ledger_retry_adds_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1,)], "n INT")
+    for run in ("a", "a", "b"):
+        tables.append_ledger(rows, str(tmp_path / "ledger"), run)
+    assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
 
 
 def test_feature_export_needs_a_row(spark, tmp_path):
