@@ -8,6 +8,7 @@ from gapspark.functions.labels import significance_marker
 from gapspark.operators import experiments as ex
 from gapspark.registry import query
 from gapspark.session import shared_dir
+from gapspark.sinks.files import write_texts
 from gapspark.sources import trials as trial_files
 from gapspark.sources.driver_tables import load, view
 
@@ -149,7 +150,17 @@ def _trial_tree(spark, d):
         F.col("q").cast("string").alias("cpu_percent"), F.lit("1MiB / 2MiB").alias("mem_usage"),
         (F.col("p") % 100).cast("string").alias("mem_percent"), F.lit("0B / 0B").alias("block_io"))
     base = shared_dir(spark, "trials")
-    trial_files.write_trials(loss.where((F.col("k") + F.col("t")) % 7 != 0), samples, base)
+    # and every seventh of the next kind breaks off in the middle
+    body = F.to_json(F.struct("baseline", "proposed"), {"pretty": "true"})
+    cut = (F.col("k") + F.col("t")) % 7 == 1
+    losses = loss.where((F.col("k") + F.col("t")) % 7 != 0).select(
+        F.concat("run", F.lit("/loss_rate.json")).alias("path"),
+        F.when(cut, F.substring(body, F.lit(1), F.floor(F.length(body) / 2).cast("int"))).otherwise(body).alias("content"))
+    columns = ["timestamp", "container", "cpu_percent", "mem_usage", "mem_percent", "block_io"]
+    tables = samples.groupBy("run", "system").agg(F.collect_list(F.concat_ws(",", *columns)).alias("rows")).select(
+        F.concat("run", F.lit("/resource_"), "system", F.lit(".csv")).alias("path"),
+        F.concat(F.lit(",".join(columns) + "\n"), F.array_join("rows", "\n"), F.lit("\n")).alias("content"))
+    write_texts(losses.unionByName(tables), base)
     return base
 
 
@@ -158,19 +169,57 @@ WITH b AS (SELECT concat(l_returnflag, l_linestatus, '_rps', l_linenumber, '_tri
   CAST(l_linenumber AS BIGINT) AS rps, l_suppkey % 5 AS trial, * FROM lineitem),
 g AS (SELECT run, pattern, rps, trial, count(*) AS n, count(*) FILTER (WHERE l_discount > 0.05) AS bl, count(*) FILTER (WHERE l_tax > 0.05) AS pl,
   max(l_quantity) FILTER (WHERE l_suppkey % 3 = 0) AS bq, max(l_quantity) FILTER (WHERE l_suppkey % 3 = 1) AS pq FROM b GROUP BY 1, 2, 3, 4)
-SELECT run, pattern, rps, trial, CASE WHEN (rps + trial) % 7 <> 0 THEN round(100.0 * bl / n, 6) END AS baseline_loss,
-  CASE WHEN (rps + trial) % 7 <> 0 THEN round(100.0 * pl / n, 6) END AS proposed_loss,
-  CASE WHEN (rps + trial) % 7 <> 0 THEN rps = 3 END AS proposed_verification_failed, bq AS baseline_cpu_peak, pq AS proposed_cpu_peak FROM g""")
+SELECT run, pattern, rps, trial, CASE (rps + trial) % 7 WHEN 0 THEN 'missing' WHEN 1 THEN 'unreadable' ELSE 'ok' END AS loss_status,
+  CASE WHEN (rps + trial) % 7 > 1 THEN round(100.0 * bl / n, 6) END AS baseline_loss,
+  CASE WHEN (rps + trial) % 7 > 1 THEN round(100.0 * pl / n, 6) END AS proposed_loss,
+  CASE WHEN (rps + trial) % 7 > 1 THEN rps = 3 END AS proposed_verification_failed, bq AS baseline_cpu_peak, pq AS proposed_cpu_peak FROM g""")
 def _(spark, d):
     scanned = trial_files.scan_trials(spark, _trial_tree(spark, d))
     return scanned.select(
-        "run", "pattern", "rps", "trial", F.col("baseline.loss_rate_percent").alias("baseline_loss"),
+        "run", "pattern", "rps", "trial", "loss_status", F.col("baseline.loss_rate_percent").alias("baseline_loss"),
         F.col("proposed.loss_rate_percent").alias("proposed_loss"),
         F.col("proposed.verification_failed").alias("proposed_verification_failed"),
         F.col("baseline_resources.cpu_peak").alias("baseline_cpu_peak"),
         F.col("proposed_resources.cpu_peak").alias("proposed_cpu_peak"))
 
 
+@query("edge_folder_scan", "A13", """
+WITH g AS (SELECT edge_mode, edge_count, trial_id % 10 AS k, max(loss_rate_percent) AS loss, bool_or(verification_failed) AS failed, min(base_rps) AS base_rps
+  FROM edge_trials GROUP BY 1, 2, 3)
+SELECT edge_mode, CAST(edge_count AS BIGINT) AS edge_count, CASE k WHEN 3 THEN 'missing' WHEN 5 THEN 'unreadable' ELSE 'ok' END AS loss_status,
+  k NOT IN (3, 5) AS complete, count(*) AS n_trials, CAST(sum(base_rps) AS BIGINT) AS sum_base_rps,
+  CASE WHEN k NOT IN (3, 5) THEN round(max(loss), 6) END AS max_loss, count(*) FILTER (WHERE failed AND k NOT IN (3, 5)) AS n_unverified FROM g GROUP BY 1, 2, 3, 4, k NOT IN (3, 5)""")
+def _(spark, d):
+    g = view(spark, d, "edge_trials").groupBy("edge_mode", "edge_count", (F.col("trial_id") % 10).alias("k")).agg(
+        F.max("loss_rate_percent").alias("loss"), F.bool_or("verification_failed").alias("failed"), F.min("base_rps").alias("base_rps"))
+    folder = F.concat(F.lit("multiedge_"), "edge_mode", F.lit("_"), "edge_count", F.lit("_"), "k", F.lit("/"))
+    meta = g.select(F.concat(folder, F.lit("meta.json")).alias("path"),
+                    F.to_json(F.struct("edge_count", "edge_mode", "base_rps"), {"pretty": "true"}).alias("content"))
+    result = F.to_json(F.struct(F.struct(F.col("loss").alias("loss_rate_percent"), F.col("failed").alias("verification_failed")).alias("proposed")))
+    loss = g.where("k <> 3").select(F.concat(folder, F.lit("loss_rate.json")).alias("path"),
+                                    F.when(F.col("k") == 5, F.lit("{\"proposed\": {")).otherwise(result).alias("content"))
+    base = shared_dir(spark, "edge-trials")
+    write_texts(meta.unionByName(loss), base)
+    return trial_files.scan_edge_trials(spark, base).groupBy("edge_mode", "edge_count", "loss_status", "complete").agg(
+        F.count(F.lit(1)).alias("n_trials"), F.sum("base_rps").alias("sum_base_rps"), F.max("loss_rate_percent").alias("max_loss"),
+        F.count_if("verification_failed").alias("n_unverified"))
+
+
+@query("drift_folder_scan", "A15", """
+WITH g AS (SELECT run, scenario, trial % 7 AS k, min(detection_lag) AS lag, min(seed) AS seed FROM drift_runs GROUP BY 1, 2, 3)
+SELECT run, scenario, CAST(k AS BIGINT) AS trial, CAST(seed AS BIGINT) AS seed, CAST(lag AS BIGINT) AS detection_lag, 'ok' AS result_status FROM g WHERE k <> 2
+UNION ALL SELECT run, NULL, NULL, NULL, NULL, 'unreadable' FROM g WHERE k = 2""")
+def _(spark, d):
+    g = view(spark, d, "drift_runs").groupBy("run", "scenario", (F.col("trial") % 7).alias("trial")).agg(
+        F.min("detection_lag").alias("detection_lag"), F.min("seed").alias("seed"))
+    body = F.to_json(F.struct("scenario", "trial", "seed", "detection_lag"), {"pretty": "true"})
+    base = shared_dir(spark, "drift-runs")
+    write_texts(g.select(
+        F.concat("run", F.lit("/"), "scenario", F.lit("_trial"), "trial", F.lit("/fidelity_results.json")).alias("path"),
+        F.when(F.col("trial") == 2, F.lit("[1, ")).otherwise(body).alias("content")), base)
+    return trial_files.scan_drift_runs(spark, base).select("run", "scenario", "trial", "seed", "detection_lag", "result_status")
+
+
 @query("edge_trial_scan", "A13 B26", """
 SELECT edge_mode, CAST(edge_count AS BIGINT) AS edge_count, has_meta AND has_loss AS complete, count(*) AS n_trials,
   CASE WHEN edge_mode IS NULL THEN NULL ELSE CAST(sum(CASE WHEN edge_mode = 'fixed-total' THEN greatest(1, base_rps // edge_count) ELSE base_rps END) AS BIGINT) END AS sum_per_edge_rps
