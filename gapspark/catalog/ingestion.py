@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gapspark.functions import parsing
 from gapspark.operators import collapse, enrich, ingest
 from gapspark.registry import query
-from gapspark.sources.driver_tables import view
+from gapspark.sources.driver_tables import load, view
 
 
 def _stamp(x: str) -> str:
@@ -112,7 +112,8 @@ SELECT event_id, CASE WHEN NOT ok THEN 'invalid_json' WHEN o IS NULL THEN 'inval
   CASE WHEN o IS NOT NULL THEN CAST(coalesce(make_timestamp(CAST(floor(x) AS BIGINT) * 1000000), date_trunc('second', received_at)) AS VARCHAR) END AS timestamp,
   CASE WHEN o IS NOT NULL THEN x IS NULL END AS ts_substituted,
   CASE WHEN o IS NOT NULL THEN coalesce(o->>'$.node_id', 'unknown') END AS node_id,
-  CASE WHEN o IS NOT NULL THEN coalesce(o->>'$.status', 'ok') END AS status FROM e""")
+  CASE WHEN o IS NOT NULL THEN coalesce(o->>'$.status', 'ok') END AS status,
+  CASE WHEN o IS NULL THEN body END AS rejected_body FROM e""")
 def _(spark, d):
     return ingest.decode_heartbeats(view(spark, d, "heartbeat_bodies"))
 
@@ -123,7 +124,7 @@ SELECT event_id, coalesce({_stamp('t')}, CAST(date_trunc('milliseconds', ingest_
   NOT (ok AND t <> '') AS ts_substituted, coalesce(j->>'$.inject_id', '') AS inject_id,
   coalesce(j->>'$.event_type', 'unknown') AS event_type, j->>'$.src_ip' AS src_ip,
   concat('threat-events-', replace(substr(coalesce({_stamp('t')}, CAST(ingest_ts AS VARCHAR)), 1, 7), '-', '.')) AS index_name,
-  NOT ok AS parse_failed FROM q""")
+  NOT ok AS parse_failed, CASE WHEN NOT ok THEN value END AS rejected_value FROM q""")
 def _(spark, d):
     return ingest.normalise_documents(view(spark, d, "raw_lines"))
 
@@ -196,12 +197,16 @@ def _(spark, d):
         F.coalesce(F.sum(F.when(good, F.col("ingest_ms_last") - F.col("ingest_ms_first"))), F.lit(0)).cast("bigint").alias("total_span_ms"))
 
 
-@query("geo_enrichment", "J16", f"""
-WITH g AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {lo}, {hi})" for n, lo, hi in enrich.PUBLIC_RANGES)}) t(range_name, lo, hi)),
+@query("geo_enrichment", "J16", """
+WITH g AS (SELECT n_name AS range_name, CAST(n_nationkey AS BIGINT) * 9 * 16777216 AS lo, (CAST(n_nationkey AS BIGINT) * 9 + 6) * 16777216 - 1 AS hi FROM nation),
 i AS (SELECT event_id, src_ip, list_reduce(list_transform(string_split(src_ip, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b) AS n FROM source_ips)
 SELECT event_id, src_ip, range_name FROM i LEFT JOIN g ON n BETWEEN lo AND hi""")
 def _(spark, d):
-    return enrich.geo_lookup(view(spark, d, "source_ips"), enrich.public_ranges(spark), "src_ip", ["range_name"])
+    # the range table is the user's: here every nation has six of each nine first octets
+    first = F.col("n_nationkey").cast("bigint") * 9
+    ranges = load(spark, d, "nation").select(
+        F.col("n_name").alias("range_name"), (first * 16777216).alias("lo"), ((first + 6) * 16777216 - 1).alias("hi"))
+    return enrich.geo_lookup(view(spark, d, "source_ips"), ranges, "src_ip", ["range_name"])
 
 
 @query("memory_sizes", "B13", """

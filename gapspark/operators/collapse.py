@@ -9,44 +9,28 @@ from pyspark.sql.window import Window
 from gapspark.operators.ordered import join_on, quantiles
 
 KEYS = ["sensor_id", "event_type"]
-HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 
 
 def collapse_bursts(
     events: DataFrame, gap_seconds: float = 1.0, keys: list[str] | None = None,
-    ingest_ms: str | None = None, hot_rows: int = HOT_ROWS, chunk_seconds: int = 600,
+    ingest_ms: str | None = None, chunk_seconds: int = 600,
 ) -> DataFrame:
     """One row per burst: events of a key with no idle time longer than ``gap_seconds``.
 
     Two events exactly one gap apart belong to the same burst. ``timestamp`` is the last event
     time of the burst, ``first_ts`` the first. ``ingest_ms`` adds min/max ingest times.
 
-    A session window sorts all rows of a key in one task, which is the cheapest plan for keys of
-    moderate size. A first pass counts rows per key (key columns only, combined map-side). Keys
-    above ``hot_rows`` are collapsed in time chunks and stitched instead, with the same result.
+    Rows are collapsed inside (key, time chunk) and stitched across chunk borders, so no key sits
+    in one task. Rows without an event time belong to no burst: ``untimed_events`` counts them.
     """
-    keys = keys or KEYS
-    per_key = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = per_key.where(F.col("_n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _sessions(events, gap_seconds, keys, ingest_ms)
-    marked = join_on(events, hot.withColumn("_hot", F.lit(True)), keys, "left")
-    cold = marked.where(F.col("_hot").isNull()).drop("_hot")
-    busy = marked.where(F.col("_hot")).drop("_hot")
-    return _sessions(cold, gap_seconds, keys, ingest_ms).unionByName(
-        _stitched(busy, gap_seconds, keys, ingest_ms, chunk_seconds))
-
-
-def _sessions(events: DataFrame, gap_seconds: float, keys: list[str], ingest_ms: str | None) -> DataFrame:
-    timed = events.withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-    extra = [F.min(ingest_ms).alias("ingest_ms_first"), F.max(ingest_ms).alias("ingest_ms_last")] if ingest_ms else []
-    gap = F.session_window("timestamp", f"{int(gap_seconds * 1_000_000)} microseconds")
-    out = timed.groupBy(*keys, gap.alias("_s")).agg(
-        F.max("timestamp").alias("_last"), F.min("timestamp").alias("first_ts"), F.sum("count").alias("count"),
-        F.max("severity").alias("severity"), F.count(F.lit(1)).alias("raw_rows"), *extra)
-    return out.select(
-        *keys, F.col("_last").alias("timestamp"), "first_ts", "count", "severity", "raw_rows",
-        *(["ingest_ms_first", "ingest_ms_last"] if ingest_ms else []))
+    timed = events.where(F.col("timestamp").isNotNull())
+    return _stitched(timed, gap_seconds, keys or KEYS, ingest_ms, chunk_seconds)
+
+
+def untimed_events(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Rows and summed counts per key that no burst can hold, because they have no event time."""
+    return events.where(F.col("timestamp").isNull()).groupBy(*(keys or KEYS)).agg(
+        F.count(F.lit(1)).alias("raw_rows"), F.sum("count").alias("count"))
 
 
 def _stitched(

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-from ipaddress import IPv4Address
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Public IPv4 ranges, first and last address.
-_PUBLIC_BOUNDS = (
-    ("1.0.0.0", "2.255.255.255"), ("5.0.0.0", "9.255.255.255"), ("11.0.0.0", "12.255.255.255"),
-    ("14.0.0.0", "99.255.255.255"), ("101.0.0.0", "126.255.255.255"), ("128.0.0.0", "159.255.255.255"),
-    ("162.0.0.0", "169.254.255.255"), ("171.0.0.0", "171.255.255.255"), ("176.0.0.0", "191.255.255.255"),
-    ("193.0.0.0", "197.255.255.255"), ("200.0.0.0", "223.255.255.255"),
-)
-PUBLIC_RANGES = tuple(
-    (f"{lo}-{hi}", int(IPv4Address(lo)), int(IPv4Address(hi))) for lo, hi in _PUBLIC_BOUNDS
-)
 _PREFIX = 65_536  # addresses per /16 bucket
 
 
-def public_ranges(spark: SparkSession) -> DataFrame:
-    rows = F.array(*[
-        F.struct(F.lit(n).alias("range_name"), F.lit(lo).cast("bigint").alias("lo"),
-                 F.lit(hi).cast("bigint").alias("hi"))
-        for n, lo, hi in PUBLIC_RANGES
-    ])
-    return spark.range(1).select(F.inline(rows))
-
-
-def ipv4_number(ip):
+def ipv4_number(ip: Column) -> Column:
+    """The address as a number; NULL for anything but four decimal octets of 0 to 255."""
+    well_formed = ip.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
     parts = F.split(ip, r"\.")
-    total = F.lit(0).cast("bigint")
-    for i in range(4):
-        total = total * 256 + F.get(parts, F.lit(i)).try_cast("bigint")
-    return total
+    octets = [F.get(parts, F.lit(i)).try_cast("bigint") for i in range(4)]
+    in_range = reduce(lambda a, b: a & b, [o <= 255 for o in octets])
+    return F.when(well_formed & in_range, reduce(lambda total, o: total * 256 + o, octets))
 
 
 def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str, attributes: list[str]) -> DataFrame:
@@ -44,7 +26,6 @@ def geo_lookup(events: DataFrame, ranges: DataFrame, ip: str, attributes: list[s
     a nested loop; ranges of any number work, since disjoint ranges add at most one row per
     prefix beyond their own number. Distinct addresses are looked up once each.
     """
-    number = ipv4_number(F.col(ip))
     addresses = events.select(F.col(ip).alias("_ip")).distinct().withColumn("_n", ipv4_number(F.col("_ip")))
     spread = ranges.select(
         *attributes, "lo", "hi",

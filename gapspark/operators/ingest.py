@@ -180,7 +180,10 @@ def accepted_events(decoded: DataFrame, received_at: str = "received_at") -> Dat
 
 
 def decode_heartbeats(bodies: DataFrame, body: str = "body", received_at: str = "received_at") -> DataFrame:
-    """Heartbeat payloads with defaults; a stored receive time wins over the ingest time."""
+    """Heartbeat payloads with defaults; a stored receive time wins over the ingest time.
+
+    A rejected body stays unchanged in ``rejected_body``; its status tells why.
+    """
     parsed = _parsed(bodies, body, {
         "received": "$._received_at", "node_id": "$.node_id", "status": "$.status"})
     typed = _once(parsed, "_stamp", epoch_timestamp(F.col("_j.received")))
@@ -188,11 +191,12 @@ def decode_heartbeats(bodies: DataFrame, body: str = "body", received_at: str =
     return typed.select(
         *[c for c in bodies.columns if c not in (body, received_at)],
         F.when(ok, "accepted").when(F.col("_j.state") == "not_an_object", "invalid_heartbeat")
-        .otherwise("invalid_json").alias("body_status"),
+        .when(F.col("_j.state") == "oversize", "oversize").otherwise("invalid_json").alias("body_status"),
         F.when(ok, F.coalesce("_stamp", F.date_trunc("SECOND", received_at))).alias("timestamp"),
         F.when(ok, F.col("_stamp").isNull()).alias("ts_substituted"),
         F.when(ok, F.coalesce("_j.node_id", F.lit("unknown"))).alias("node_id"),
         F.when(ok, F.coalesce("_j.status", F.lit("ok"))).alias("status"),
+        F.when(~ok, F.col(body)).alias("rejected_body"),
     )
 
 
@@ -218,4 +222,5 @@ def normalise_documents(lines: DataFrame, value: str = "value", ingest_ts: str =
         F.col("_j.src_ip").alias("src_ip"),
         F.concat(F.lit("threat-events-"), F.date_format(at, "yyyy.MM")).alias("index_name"),
         (F.col("_j.state") != "ok").alias("parse_failed"),
+        F.when(F.col("_j.state") != "ok", F.col(value)).alias("rejected_value"),
     )

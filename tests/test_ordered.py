@@ -98,10 +98,10 @@ def test_burst_collapse_matches_brute_force_at_chunk_borders(spark):
                 cur = [t, t, n, sev, 1]
         want[(sensor, *cur)] += 1
     # no hot key; one hot key in chunks of different length; all keys hot
-    for hot_rows, chunk in ((10_000, 600), (100, 2), (100, 7), (0, 5), (0, 86_400)):
-        got = collapse.collapse_bursts(df, 1.0, hot_rows=hot_rows, chunk_seconds=chunk)
+    for chunk in (600, 2, 7, 86_400):
+        got = collapse.collapse_bursts(df, 1.0, chunk_seconds=chunk)
         assert Counter((r.sensor_id, r.first_ts, r.timestamp, r["count"], r.severity, r.raw_rows) for r in got.collect()) == want
-    conserved = collapse.count_conservation(df.withColumn("count", F.lit(1)), collapse.collapse_bursts(df.withColumn("count", F.lit(1)), 1.0, hot_rows=100, chunk_seconds=5)).first()
+    conserved = collapse.count_conservation(df.withColumn("count", F.lit(1)), collapse.collapse_bursts(df.withColumn("count", F.lit(1)), 1.0, chunk_seconds=5)).first()
     assert conserved.count_matches and conserved.raw_event_count == len(events)
 
 
