@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from gapspark.catalog.features import WINDOWS
 from gapspark.operators import drift as dr
 from gapspark.operators import features as ft
-from gapspark.operators.filters import clean_events
+from gapspark.operators.filters import clean_events, day_range
 from gapspark.plans import drift_study as study
 from gapspark.registry import query
 from gapspark.schemas import FEATURE_COLUMNS
@@ -114,10 +116,13 @@ def _(spark, d):
 
 
 def _hourly_study(spark, d):
-    hourly = ft.hourly_features(clean_events(view(spark, d, "threat_events")))
-    series = ft.on_hour_calendar(hourly, "2024-01-01", "2024-01-30").drop("is_filled")
+    events = view(spark, d, "threat_events")
+    first, end = day_range(events)
+    hourly = ft.hourly_features(clean_events(events))
+    series = ft.on_hour_calendar(hourly, str(first), str(end - timedelta(days=1))).drop("is_filled")
     columns = tuple(c for c in series.columns if c != "hour")
-    return study.drift_study(series, columns, "hour", n_normal=480, n_total=720, seeds=(42, 43))
+    hours = 24 * (end - first).days
+    return study.drift_study(series, columns, "hour", n_normal=hours * 2 // 3, n_total=hours, seeds=(42, 43))
 
 
 @query("observed_drift_study", "D11 D1 D3 D8")

@@ -173,7 +173,7 @@ sf AS (SELECT a.pattern, a.rps, nv AS n, coalesce(pos, 0) AS pos, coalesce(neg,
 @query("batch_level_loss", "T7 T8 T16", f"""
 WITH {PAIRS}, {SIGNFLIP}
 SELECT pattern, CAST(rps AS BIGINT) AS rps, n AS n_values, pos AS n_positive, neg AS n_negative, round(pv, 6) AS p_value,
-  round(least(1, pv * count(*) OVER ()), 6) AS p_bonferroni, pv * count(*) OVER () < 0.05 AS significant, pv < 0.05 AS significant_raw FROM sf""")
+  round(least(1, pv * count(*) OVER ()), 6) AS p_bonferroni, pv * count(*) OVER () < 0.05 AS significant, pv < 0.05 AS significant_raw, 'exact' AS status FROM sf""")
 def _(spark, d):
     return battery.batch_level_loss(view(spark, d, "trials"))
 

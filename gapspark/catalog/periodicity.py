@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gapspark.catalog.monitoring import CLEAN
 from gapspark.operators import periodicity as pe
+from gapspark.operators.filters import day_range
 from gapspark.operators.monitor import clean_daily_counts
 from gapspark.plans.periodicity_claims import BANDS, periodicity_claims
 from gapspark.registry import query
@@ -22,12 +23,13 @@ VARIANTS = {
 
 
 def _daily(spark, d):
-    return clean_daily_counts(view(spark, d, "threat_events"), "2024-01-01", "2024-02-01")
+    events = view(spark, d, "threat_events")
+    return clean_daily_counts(events, *day_range(events))
 
 
 DAILY = f"""
 dy AS (SELECT CAST(timestamp AS DATE) AS day, CAST(sum(count) AS BIGINT) AS c FROM threat_events WHERE {CLEAN}
-  AND timestamp >= TIMESTAMP '2024-01-01' AND timestamp < TIMESTAMP '2024-02-01' GROUP BY 1)
+  GROUP BY 1)
 """
 SERIES = f"""
 {DAILY},

@@ -23,6 +23,10 @@ _HART_DEN = (
 _HART_SWITCH = 7.07106781186547
 _SQRT_2PI = 2.506628274631
 
+#: Degrees of freedom that the finite series of Student's t covers.
+_LONG_DF = 1000
+_REACH = 12.0
+
 Z_975 = 1.959963984540054  # 97.5 % quantile of the standard normal
 Z_SHORT = 1.96
 
@@ -61,38 +65,37 @@ def normal_two_sided(z: Column) -> Column:
 
 
 def chi2_upper_tail(x: Column, df: Column) -> Column:
-    """P(X > x) for a chi-square X with an integer number of degrees of freedom."""
+    """P(X > x) for a chi-square X with an integer number of degrees of freedom.
+
+    The finite Poisson-like series, each term as the exponential of its logarithm, so that nothing
+    under- or overflows. Only terms within ``_REACH`` standard deviations of the largest one are
+    summed; all others together are below 1e-30.
+    """
     half = x / 2
-    even = F.exp(-half) * F.aggregate(
-        F.sequence(F.lit(1), F.greatest((df / 2).cast("int"), F.lit(1))),
-        F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * half / k).alias("term"), (acc["total"] + acc["term"]).alias("total")
-        ),
-        lambda acc: acc["total"],
-    )
-    root = F.sqrt(x)
-    steps = ((df - 1) / 2).cast("int")
-    series = F.when(steps < 1, F.lit(0.0)).otherwise(F.aggregate(
-        F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
-        F.struct(root.alias("term"), F.lit(0.0).alias("total")),
-        lambda acc, k: F.struct(
-            (acc["term"] * x / (2 * k + 1)).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
-        ),
-        lambda acc: acc["total"],
-    ))
-    density = F.exp(-half) / F.lit(math.sqrt(2 * math.pi))
-    odd = 2 * normal_upper_tail(root) + 2 * density * series
-    return F.when(x <= 0, F.lit(1.0)).when(df % 2 == 0, even).otherwise(odd)
+    reach = F.lit(_REACH) * F.sqrt(half) + F.lit(100.0)
+    shift = F.when(df % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.5))
+    last = F.floor(df / 2 + shift).cast("bigint") - 1  # terms i = 0 .. last, at i + (0 or 1/2)
+    low = F.greatest(F.lit(0).cast("bigint"), F.floor(half - reach).cast("bigint"))
+    start = F.when(df % 2 == 0, low).otherwise(F.greatest(F.lit(1).cast("bigint"), low))
+    end = F.least(last, F.ceil(half + reach).cast("bigint"))
+    series = F.when(end < start, F.lit(0.0)).otherwise(F.aggregate(
+        F.sequence(start, F.greatest(start, end)), F.lit(0.0),
+        lambda total, i: total + F.exp((i - shift) * F.ln(half) - half - ln_gamma(i - shift + 1))))
+    tail = series + F.when(df % 2 == 0, F.lit(0.0)).otherwise(2 * normal_upper_tail(F.sqrt(x)))
+    return F.when(x <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail))
 
 
 def student_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| > |t|) for Student's t with integer degrees of freedom."""
+    """P(|T| > |t|) for Student's t with integer degrees of freedom.
+
+    Up to ``_LONG_DF`` the finite trigonometric series; above it an expansion about the normal
+    tail, whose error there is far below 1e-12.
+    """
     theta = F.atan(F.abs(t) / F.sqrt(df))
     c2 = F.cos(theta) * F.cos(theta)
+    short = F.least(df, F.lit(_LONG_DF))
     even = F.sin(theta) * F.aggregate(
-        F.sequence(F.lit(1), F.greatest((df / 2).cast("int"), F.lit(1))),
+        F.sequence(F.lit(1), F.greatest((short / 2).cast("int"), F.lit(1))),
         F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total")),
         lambda acc, k: F.struct(
             (acc["term"] * c2 * (2 * k - 1) / (2 * k)).alias("term"),
@@ -100,7 +103,7 @@ def student_two_sided(t: Column, df: Column) -> Column:
         ),
         lambda acc: acc["total"],
     )
-    steps = ((df - 1) / 2).cast("int")
+    steps = ((short - 1) / 2).cast("int")
     series = F.when(steps < 1, F.lit(0.0)).otherwise(F.aggregate(
         F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),
         F.struct(F.cos(theta).alias("term"), F.lit(0.0).alias("total")),
@@ -112,7 +115,29 @@ def student_two_sided(t: Column, df: Column) -> Column:
     ))
     odd = F.lit(2 / math.pi) * (theta + F.sin(theta) * series)
     inside = F.when(df % 2 == 0, even).otherwise(odd)
-    return F.greatest(F.lit(0.0), 1 - inside)
+    a = df - 0.5
+    b = 48 * a * a
+    y2 = a * F.log1p(t * t / df)
+    y = F.sqrt(y2)
+    inner = ((((-0.4 * y2 - 3.3) * y2 - 24.0) * y2 - 85.5) / (0.8 * y2 * y2 + 100 + b) + y2 + 3.0) / b + 1.0
+    return F.when(df > _LONG_DF, normal_two_sided(inner * y)).otherwise(F.greatest(F.lit(0.0), 1 - inside))
+
+
+def ln_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series, reached by eight steps of recurrence."""
+    rising = z
+    for k in range(1, 8):
+        rising = rising * (z + k)
+    x = z + 7
+    r = 1 / (x + 1)
+    r2 = r * r
+    stirling = (x + 0.5) * F.ln(x + 1) - (x + 1) + F.lit(0.5 * math.log(2 * math.pi)) + r * (
+        F.lit(1 / 12) - r2 * (F.lit(1 / 360) - r2 * (F.lit(1 / 1260) - r2 * (F.lit(1 / 1680) - r2 * F.lit(1 / 1188)))))
+    return F.when(z > 1e6, _stirling(z)).otherwise(stirling - F.ln(rising))
+
+
+def _stirling(z: Column) -> Column:
+    return (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * z)
 
 
 def ln_factorial(n: Column) -> Column:

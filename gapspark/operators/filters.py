@@ -61,6 +61,14 @@ def latest(df: DataFrame, ts: str = "timestamp") -> datetime:
     return datetime.fromisoformat(value)
 
 
+def day_range(df: DataFrame, ts: str = "timestamp") -> tuple[date, date]:
+    """The first day of the data and the day after its last one."""
+    first, last = df.agg(F.to_date(F.min(ts)), F.to_date(F.max(ts))).first()
+    if first is None:
+        raise ValueError("no rows, so there is no range of days")
+    return first, last + timedelta(days=1)
+
+
 def resolve_as_of(df: DataFrame, as_of: datetime | str | None, ts: str = "timestamp") -> datetime:
     """Operators take ``as_of`` instead of reading a clock; None means the newest event."""
     if as_of is None:

@@ -16,12 +16,14 @@ from pyspark.sql.window import Window
 from gapspark.functions.special import (
     chi2_upper_tail, ln_factorial, normal_two_sided, normal_upper_tail, student_two_sided,
 )
-from gapspark.operators.ordered import join_on, midranks, spread, value_counts
+from gapspark.operators.ordered import (
+    join_on, midranks, quantile_bucket, running_totals, spread, value_counts,
+)
 
 N_BOOTSTRAP = 10_000
 SEED = 42
 EXACT_SIDE = 8  # a side this small and no ties: the exact rank-sum distribution applies
-MAX_SIGN_FLIPS = 48
+LISTABLE_FLIPS = 48  # values whose half sums, 2 ** 24 of them, can be listed
 
 
 # --- two samples ------------------------------------------------------------------------------
@@ -282,12 +284,6 @@ def bootstrap_ci(
                 mass = int(weights.sum())
                 if len(values) == 1:
                     part = draws * values[0]
-                elif mass <= 4_000_000 and draws.mean() <= 10 * len(values):
-                    picked = np.repeat(values, weights)[rng.integers(0, mass, int(draws.sum()))]
-                    if (draws == draws[0]).all():
-                        part = picked.reshape(len(draws), -1).sum(axis=1)
-                    else:
-                        part = np.bincount(np.repeat(np.arange(len(draws)), draws), picked, len(draws))
                 else:
                     part = rng.multinomial(draws, weights / mass) @ values
                 sums.append(part.tolist())
@@ -313,23 +309,25 @@ def bootstrap_ci(
     )
 
 
-def sign_flip_exact(values: DataFrame, keys: list[str], value: str, order: str) -> DataFrame:
+def sign_flip_exact(
+    values: DataFrame, keys: list[str], value: str, order: str, listable: int = LISTABLE_FLIPS,
+) -> DataFrame:
     """Exact two-sided sign-flip test of a zero mean per key; zeros carry no information.
 
     All 2^n sign patterns are counted without listing them: the values are split in two halves,
     each half lists its 2^(n/2) signed sums, and pairs reaching the observed sum are counted by
-    one ordered pass. More than 48 non-zero values is an error, never an approximation.
+    an ordered pass that is split by value, so a long list never sits in one task. A key with more
+    than ``listable`` non-zero values has no exact p: its ``status`` says so and its p is NULL, other
+    keys are not touched. ``sign_flip_sampled`` is the test to name for such keys.
     """
     nonzero = values.where(F.col(value) != 0)
-    sizes = nonzero.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    # checked row by row before anything is gathered
-    checked = join_on(nonzero, sizes, keys).withColumn(value, F.when(
-        F.col("_size") > MAX_SIGN_FLIPS,
-        F.raise_error(F.lit("too many non-zero values for an exact sign-flip test")).cast("double"),
-    ).otherwise(F.col(value)))
+    sizes = nonzero.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_size"), F.count_if(F.col(value) > 0).alias("n_positive"),
+        F.count_if(F.col(value) < 0).alias("n_negative"))
+    # decided before anything is gathered
+    checked = join_on(nonzero, sizes.where(F.col("_size") <= listable), keys)
     s = checked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.abs(F.sum(value)).alias("_obs"),
-        F.count_if(F.col(value) > 0).alias("n_positive"), F.count_if(F.col(value) < 0).alias("n_negative"),
         F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: F.abs(r[value])).alias("_v"),
     )
     half = F.floor(F.col("_n") / 2).cast("int")
@@ -353,8 +351,8 @@ def sign_flip_exact(values: DataFrame, keys: list[str], value: str, order: str)
     points = sums.select(
         *keys, "_n", "_obs", (F.col("_h.part") == 1).cast("int").alias("_kind"),
         F.when(F.col("_h.part") == 1, F.col("_sum")).otherwise(reach - F.col("_sum")).alias("_at"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = points.withColumn("_before", F.sum("_kind").over(w))
+    bucketed = quantile_bucket(points, keys, "_at").withColumn("_order", F.struct("_at", "_kind"))
+    counted = running_totals(bucketed, keys, "_order", {"_before": F.col("_kind")})
     hits = counted.groupBy(*keys).agg(
         F.sum(F.when(F.col("_kind") == 0, -F.col("_before").cast("double"))).alias("_minus"),
         F.sum("_kind").cast("double").alias("_right"), F.count_if(F.col("_kind") == 0).cast("double").alias("_left"),
@@ -364,11 +362,37 @@ def sign_flip_exact(values: DataFrame, keys: list[str], value: str, order: str)
     p = F.when(F.col("_o") - 1e-12 <= 0, F.lit(1.0)).otherwise(2 * upper / all_patterns)
     tested = hits.select(*keys, p.alias("_p"))
     everyone = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
-    out = join_on(join_on(everyone, s.select(*keys, "n_positive", "n_negative"), keys, "left"), tested, keys, "left")
+    out = join_on(join_on(everyone, sizes, keys, "left"), tested, keys, "left")
     zero = F.lit(0).cast("bigint")
+    listed = F.coalesce("_size", zero) <= listable
     return out.select(
         *keys, "n_values", F.coalesce("n_positive", zero).alias("n_positive"),
-        F.coalesce("n_negative", zero).alias("n_negative"), F.coalesce("_p", F.lit(1.0)).alias("p_value"))
+        F.coalesce("n_negative", zero).alias("n_negative"),
+        F.when(listed, F.coalesce("_p", F.lit(1.0))).alias("p_value"),
+        F.when(listed, "exact").otherwise("too_many_values").alias("status"))
+
+
+def sign_flip_sampled(
+    values: DataFrame, keys: list[str], value: str, order: str, n_draws: int = N_BOOTSTRAP, seed: int = SEED,
+) -> DataFrame:
+    """Sign-flip test by random signs, for any number of values; (hits + 1) / (draws + 1).
+
+    A draw's sign of a value depends on (seed, draw, key, order) alone. Sums combine map-side, in
+    blocks of draws, so neither a key nor a draw sits in one task.
+    """
+    nonzero = values.where(F.col(value) != 0)
+    flips = F.transform(
+        F.sequence(F.lit(0), F.lit(n_draws - 1)),
+        lambda r: F.when(F.xxhash64(F.lit(seed), r, *[F.col(k) for k in keys], F.col(order)) % 2 == 0, F.col(value))
+        .otherwise(-F.col(value)))
+    sums = nonzero.select(*keys, F.posexplode(flips).alias("_draw", "_signed")).groupBy(*keys, "_draw").agg(
+        F.abs(F.sum("_signed")).alias("_sum"))
+    observed = nonzero.groupBy(*keys).agg(F.abs(F.sum(value)).alias("_obs"))
+    hits = join_on(sums, observed, keys).groupBy(*keys).agg(
+        F.count_if(F.col("_sum") >= F.col("_obs") - F.lit(1e-12)).alias("_hits"))
+    everyone = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
+    p = (F.col("_hits") + 1) / F.lit(n_draws + 1.0)
+    return join_on(everyone, hits, keys, "left").select(*keys, "n_values", F.coalesce(p, F.lit(1.0)).alias("p_value"))
 
 
 # --- families of tests ------------------------------------------------------------------------

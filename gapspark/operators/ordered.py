@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUANTILE_BUCKETS = 64
+QUANTILE_BUCKETS = 1024  # bounds that the sketch gives; as many of them are used as a key needs
 BUCKET_ABOVE = 100_000  # rows of one key that one window may order
 
 
@@ -46,14 +46,17 @@ def quantile_bucket(df: DataFrame, keys: list[str], value: str, name: str = "_bu
     """Adds an order-preserving bucket number per key, from approximate value quantiles.
 
     The quantile sketch merges map-side and has a fixed size per key; the bucket is only a way to
-    spread the work, so its approximation never reaches a result. A key of moderate size keeps
-    one bucket.
+    spread the work, so its approximation never reaches a result. A key has one bucket for every
+    ``BUCKET_ABOVE`` of its rows.
     """
     probs = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
+    buckets = F.least(F.lit(QUANTILE_BUCKETS), F.ceil(F.col("_size") / F.lit(BUCKET_ABOVE)).cast("int"))
     bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 1000).alias("_all"), F.count(F.lit(1)).alias("_size")
-    ).select(*keys, F.when(
-        F.col("_size") > BUCKET_ABOVE, F.col("_all")
+        F.percentile_approx(value, probs, 10 * QUANTILE_BUCKETS).alias("_all"), F.count(F.lit(1)).alias("_size")
+    ).withColumn("_buckets", buckets).select(*keys, F.when(
+        F.col("_buckets") > 1, F.transform(
+            F.sequence(F.lit(1), F.greatest(F.col("_buckets") - 1, F.lit(1))),
+            lambda i: F.get("_all", F.floor(i * QUANTILE_BUCKETS / F.col("_buckets")).cast("int") - 1))
     ).otherwise(F.slice("_all", 1, 0)).alias("_bounds"))
     return join_on(df, bounds, keys).withColumn(
         name, F.size(F.filter("_bounds", lambda b: b < F.col(value)))

@@ -12,6 +12,7 @@ from conftest import rows
 from gapspark.functions import special as sp
 from gapspark.operators import experiments as ex
 from gapspark.operators import hypotheses as hy
+from gapspark.operators import ordered
 from gapspark.operators import periodicity as pe
 from gapspark.plans import condition_battery
 
@@ -147,6 +148,36 @@ def test_sign_flip_handles_many_batches_exactly(spark):
     assert hy.sign_flip_exact(df, ["k"], "v", "i").first().p_value == pytest.approx(want)
 
 
+def test_many_values_of_one_key_do_not_stop_the_others(spark):
+    data = [("big", i, 1.0 if i % 3 else -1.0) for i in range(60)] + [("small", i, 1.0) for i in range(6)]
+    df = spark.createDataFrame(data, "k STRING, i INT, v DOUBLE")
+    got = {r.k: r for r in hy.sign_flip_exact(df, ["k"], "v", "i").collect()}
+    assert (got["big"].p_value, got["big"].status, got["big"].n_positive) == (None, "too_many_values", 40)
+    assert (got["small"].p_value, got["small"].status) == (pytest.approx(2 / 64), "exact")
+    want = sum(math.comb(60, j) for j in range(61) if abs(60 - 2 * j) >= 20) / 2**60
+    sampled = {r.k: r.p_value for r in hy.sign_flip_sampled(df, ["k"], "v", "i", 2000).collect()}
+    assert sampled["big"] == pytest.approx(want, abs=0.01) and sampled["small"] == pytest.approx(2 / 64, abs=0.02)
+
+
+@pytest.mark.parametrize("df, x, want", [(2000, 2000.0, 0.4957949), (2001, 2001.0, 0.4957960), (1, 3.841458820694124, 0.05),
+                                         (2, 5.991464547107979, 0.05), (9, 16.91897760462045, 0.05), (5, 0.0, 1.0)])
+def test_chi_square_tail_for_few_and_many_degrees(spark, df, x, want):
+    p = sp.chi2_upper_tail(F.lit(x), F.lit(df))
+    assert spark.range(1).select(p.alias("p")).first().p == pytest.approx(want, abs=1e-6)
+
+
+def test_student_tail_for_many_degrees(spark):
+    p = lambda t, df: spark.range(1).select(sp.student_two_sided(F.lit(t), F.lit(df)).alias("p")).first().p
+    assert p(1.96, 5_000_000_000) == pytest.approx(0.04999579, abs=1e-7)
+    assert p(2.0, 1000) == pytest.approx(p(2.0, 1001), abs=1e-5)
+
+
+def test_bucket_count_follows_size(spark):
+    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("k"), F.col("id").alias("v"))
+    used = {r.k: r.n for r in ordered.quantile_bucket(df, ["k"], "v").groupBy("k").agg(F.count_distinct("_bucket").alias("n")).collect()}
+    assert used == {True: 17, False: 34}  # a bucket for every 20 rows here
+
+
 def test_holm_and_bonferroni(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03)], "f STRING, t STRING, p_value DOUBLE")
     assert {r.t: r.p_holm for r in hy.holm(df, ["f"]).collect()} == pytest.approx({"a": 0.03, "c": 0.06, "b": 0.06})
