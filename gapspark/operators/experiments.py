@@ -14,6 +14,7 @@ from gapspark.functions.labels import lead_verdict
 from gapspark.functions.parsing import mem_mib
 from gapspark.functions.special import wilson_bounds, wilson_clipped
 from gapspark.operators.ordered import join_on, quantiles
+from gapspark.session import materialize
 
 SYSTEMS = ("baseline", "proposed")
 CONDITION = ["pattern", "rps"]
@@ -47,15 +48,17 @@ def resource_totals(samples: DataFrame, prefix: str, keys: list[str] | None = No
         F.sum(F.col("cpu_percent").try_cast("double")).alias("cpu"),
         F.sum(mem_mib(F.col("mem_usage"))).alias("mem"),
     )
+    metrics = ("cpu", "mem")
+    series = totals.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in metrics])).alias("_m")).select(*keys, "_m.*")
+    series = materialize(series, "resource-series")  # both passes below read one row per (series, time)
     probs = {"median": 0.5, "p95": 0.95}
-    means = totals.groupBy(*keys).agg(
-        F.count("cpu").alias("n_timestamps"),
-        F.avg("cpu").alias("cpu_mean"), F.avg("mem").alias("mem_mean"))
-    out = means
-    for name in ("cpu", "mem"):
-        q = quantiles(totals, keys, name, probs).select(
-            *keys, *[F.col(k).alias(f"{name}_{k}") for k in probs])
-        out = join_on(out, q, keys, "left")
+    means = series.groupBy(*keys, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    both = join_on(means, quantiles(series, [*keys, "metric"], "value", probs), [*keys, "metric"], "left")
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    out = both.groupBy(*keys).agg(
+        of("cpu", "n").alias("n_timestamps"),
+        *[of(m, c).alias(f"{m}_{c}") for m in metrics for c in ("mean", *probs)])
     return out.select(
         *keys, "n_timestamps",
         *[F.round(f"{m}_{s}", 1).alias(f"{m}_{s}") for m in ("cpu", "mem") for s in ("mean", "median", "p95")],

@@ -6,6 +6,8 @@ distinct values only, so neither a large condition nor heavy ties end up in one
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,38 +21,67 @@ from gapspark.functions.special import (
 from gapspark.operators.ordered import (
     join_on, midranks, quantile_bucket, running_totals, spread, value_counts,
 )
+from gapspark.session import materialize
 
 N_BOOTSTRAP = 10_000
 SEED = 42
 EXACT_SIDE = 8  # a side this small and no ties: the exact rank-sum distribution applies
+PERIOD = 840  # of the counts below: the least common multiple of 1 to 8
 LISTABLE_FLIPS = 48  # values whose half sums, 2 ** 24 of them, can be listed
 
 
 # --- two samples ------------------------------------------------------------------------------
 
-def _exact_rank_sum_p(n1: int, n2: int, u: float) -> float:
+def _cumulated(m: int) -> list[int]:
+    """How many multisets of at most m parts have a sum of at most t, for the first t."""
+    size = PERIOD * (m + 2)
+    counts = [1] + [0] * (size - 1)
+    for part in (1, *range(1, m + 1)):  # the part 1 twice: once for itself, once to cumulate
+        for t in range(part, size):
+            counts[t] += counts[t - part]
+    return counts
+
+
+def _below(table: list[int], m: int, t: int) -> int:
+    """The cumulated count at any t: along one residue it is a polynomial of degree m."""
+    if t < 0:
+        return 0
+    k, r = divmod(t, PERIOD)
+    steps = [table[r + PERIOD * i] for i in range(m + 1)]
+    total, factor = 0, 1
+    for j in range(m + 1):
+        total += factor * steps[0]
+        factor = factor * (k - j) // (j + 1)
+        steps = [y - x for x, y in zip(steps, steps[1:])]
+    return total
+
+
+def _exact_rank_sum_p(n1: int, n2: int, u: float, tables: dict[int, list[int]]) -> float:
     """Two-sided exact p of the rank-sum statistic: P(U >= max(u, n1*n2-u)), doubled.
 
-    The frequencies of U are the coefficients of a Gaussian binomial, built factor by factor.
+    U counts pairs, so its frequencies are those of partitions inside an m by n box, m the small
+    side: all partitions of at most m parts, less those with too large parts (inclusion and
+    exclusion over subsets of the m sides). Whole numbers throughout; the work does not depend on n.
     """
-    small, large = min(n1, n2), max(n1, n2)
-    freq = np.zeros(n1 * n2 + 1)
-    freq[0] = 1.0
-    for j in range(1, small + 1):
-        up = freq.copy()
-        if large + j <= n1 * n2:
-            up[large + j:] -= freq[: n1 * n2 + 1 - large - j]
-        for r in range(j):
-            up[r::j] = np.cumsum(up[r::j])
-        freq = up
-    tail = freq[: int(round(n1 * n2 - max(u, n1 * n2 - u))) + 1].sum() / freq.sum()
-    return float(min(1.0, 2.0 * tail))
+    m, n = min(n1, n2), max(n1, n2)
+    if m not in tables:
+        tables[m] = _cumulated(m)
+    table = tables[m]
+    tail = int(round(n1 * n2 - max(u, n1 * n2 - u)))
+    shifts = {0: 1}
+    for i in range(1, m + 1):
+        for at, sign in list(shifts.items()):
+            if at + n + i <= tail:
+                shifts[at + n + i] = shifts.get(at + n + i, 0) - sign
+    hits = sum(sign * _below(table, m, tail - at) for at, sign in shifts.items())
+    return min(1.0, 2 * hits / math.comb(m + n, m))
 
 
 @F.pandas_udf(T.DoubleType())
 def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
+    tables: dict[int, list[int]] = {}
     return pd.Series([
-        None if pd.isna(x) else _exact_rank_sum_p(int(a), int(b), float(x))
+        None if pd.isna(x) else _exact_rank_sum_p(int(a), int(b), float(x), tables)
         for a, b, x in zip(n1, n2, u)
     ], dtype="float64")
 
@@ -170,8 +201,8 @@ def cochran_armitage(levels: DataFrame, keys: list[str], dose: str) -> DataFrame
 
 def kruskal_wallis(samples: DataFrame, keys: list[str], group: str, value: str = "value") -> DataFrame:
     """H with tie correction and its chi-square p per key; NULL below two groups."""
-    cells = samples.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
-        *keys, value, group).agg(F.count(F.lit(1)).alias("n"))
+    cells = materialize(samples.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
+        *keys, value, group).agg(F.count(F.lit(1)).alias("n")), "value-counts")
     at_value = cells.groupBy(*keys, value).agg(F.sum("n").alias("n"))
     ranked = midranks(at_value, keys, value)
     n = F.col("n").cast("double")

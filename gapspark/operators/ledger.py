@@ -108,16 +108,20 @@ def prune_decisions(
     backup_log: DataFrame, stored_rows: DataFrame, as_of=None, keep_days: int = 7,
     reexported: DataFrame | None = None,
 ) -> DataFrame:
-    """Decision per candidate day: delete, re-export first, keep, or skip.
+    """Decision per candidate day: delete, re-export first, keep, skip, or unverified.
 
-    ``stored_rows``: (day, n_rows) now in the store. ``reexported``: (day, backed_rows) after a
+    ``stored_rows``: (day, n_rows) now in the store; a NULL count means that the day could not be
+    counted, which is never taken for a measured zero. ``reexported``: (day, backed_rows) after a
     second export; a day that still holds more rows than its backup is kept.
     """
     candidates = not_yet_pruned(backup_log, as_of, keep_days)
-    stored = stored_rows.select(F.col("day").alias("backup_date"), F.col("n_rows").alias("stored_rows"))
+    stored = stored_rows.select(
+        F.col("day").alias("backup_date"), F.col("n_rows").alias("stored_rows"), F.lit(True).alias("_listed"))
     joined = candidates.join(stored, "backup_date", "left")
-    rows, backed = F.coalesce("stored_rows", F.lit(0)), F.coalesce("backed_rows", F.lit(0))
-    decision = F.when(rows == 0, "skip").when(rows <= backed, "delete")
+    uncounted = F.col("_listed") & F.col("stored_rows").isNull()
+    rows = F.when(~F.coalesce(uncounted, F.lit(False)), F.coalesce("stored_rows", F.lit(0)))
+    backed = F.coalesce("backed_rows", F.lit(0))
+    decision = F.when(rows.isNull(), "unverified").when(rows == 0, "skip").when(rows <= backed, "delete")
     if reexported is None:
         decision = decision.otherwise("re_export")
     else:

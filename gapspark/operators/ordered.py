@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gapspark.session import materialize
+
 QUANTILE_BUCKETS = 1024  # bounds that the sketch gives; as many of them are used as a key needs
 BUCKET_ABOVE = 100_000  # rows of one key that one window may order
 
@@ -102,7 +104,11 @@ def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n") -> Da
 
 
 def midranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
-    """Adds ``midrank`` to a table of one row per (keys, value) with multiplicity ``n``."""
+    """Adds ``midrank`` to a table of one row per (keys, value) with multiplicity ``n``.
+
+    The counts are written once: bounds, rows and offsets of the buckets all read them.
+    """
+    counts = materialize(counts, "value-counts")
     bucketed = quantile_bucket(counts, keys, value)
     ranked = running_totals(bucketed, keys, value, {"_through": F.col(n)})
     return ranked.withColumn(
@@ -119,7 +125,7 @@ def quantiles(
     ``min(floor(n*p), n-1)``. Both read at most two order statistics per probability, found by
     comparing positions, so no group is ever gathered into an array.
     """
-    counts = value_counts(df, keys, value)
+    counts = materialize(value_counts(df, keys, value), "value-counts")
     ranked = running_totals(
         quantile_bucket(counts, keys, value), keys, value, {"_through": F.col("n")}
     )

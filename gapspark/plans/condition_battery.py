@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gapspark.operators import experiments as ex
 from gapspark.operators import hypotheses as hy
 from gapspark.operators.ordered import join_on
+from gapspark.session import materialize
 
 
 def condition_battery(trials: DataFrame, n_bootstrap: int = hy.N_BOOTSTRAP) -> DataFrame:
@@ -45,6 +46,6 @@ def trend_per_edge_mode(trials: DataFrame) -> DataFrame:
 
 def batch_level_loss(trials: DataFrame) -> DataFrame:
     """Paired differences -> batch means -> exact sign-flip test -> family correction."""
-    means = ex.batch_means(ex.paired_differences(trials))
+    means = materialize(ex.batch_means(ex.paired_differences(trials)), "batch-means")  # a few rows, read often
     tests = hy.sign_flip_exact(means, ex.CONDITION, "mean_diff", "batch")
     return hy.bonferroni(tests)

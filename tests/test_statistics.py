@@ -148,6 +148,22 @@ def test_sign_flip_handles_many_batches_exactly(spark):
     assert hy.sign_flip_exact(df, ["k"], "v", "i").first().p_value == pytest.approx(want)
 
 
+@pytest.mark.parametrize("n1, n2", [(2, 3), (4, 4), (8, 9), (3, 12)])
+def test_exact_rank_sums_match_enumeration(n1, n2):
+    places = range(n1 + n2)
+    us = [sum(c) - n1 * (n1 - 1) // 2 for c in itertools.combinations(places, n1)]
+    for u in set(us):
+        far = max(u, n1 * n2 - u)
+        want = min(1.0, 2 * sum(x >= far for x in us) / len(us))
+        assert hy._exact_rank_sum_p(n1, n2, float(u), {}) == pytest.approx(want)
+
+
+def test_exact_rank_sum_of_a_huge_side_needs_no_array():
+    n, m = 10**9, 8
+    p = hy._exact_rank_sum_p(m, n, m * n / 2 + 1.5 * math.sqrt(m * n * (m + n + 1) / 12), {})
+    assert 0.12 < p < 0.15
+
+
 def test_many_values_of_one_key_do_not_stop_the_others(spark):
     data = [("big", i, 1.0 if i % 3 else -1.0) for i in range(60)] + [("small", i, 1.0) for i in range(6)]
     df = spark.createDataFrame(data, "k STRING, i INT, v DOUBLE")
