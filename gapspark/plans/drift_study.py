@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import LinearRegression
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +38,44 @@ def replicate_weight(seed: int, index: str = "seq_index"):
     return weight
 
 
-def fit_forecaster(training: DataFrame, n_targets: int, seed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """One linear model per target on the flattened sequence; training is distributed.
+def fit_forecaster(
+    training: DataFrame, n_targets: int, seed: int | None = None, ridge: float = 0.01,
+) -> tuple[np.ndarray, np.ndarray]:
+    """One ridge model per target on the flattened sequence, all from a single pass.
 
-    Returns coefficients (targets x inputs) and intercepts: model parameters of fixed size.
+    Every partition reduces to the weighted moments of inputs and targets, which add up cell by
+    cell; the driver solves one system of fixed size, inputs by inputs. The penalty acts on
+    standardised inputs and targets. Returns coefficients (targets x inputs) and intercepts.
     """
     weight = F.lit(1.0) if seed is None else replicate_weight(seed)
-    rows = training.withColumn("features", array_to_vector("x")).withColumn("weight", weight)
-    coefficients, intercepts = [], []
+    rows = training.select("x", "y", weight.alias("w"))
+
+    def moments(frames):
+        total = 0.0
+        for pdf in frames:
+            if len(pdf):
+                z = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_list()), np.stack(pdf["y"].to_list())])
+                total = total + (z * pdf["w"].to_numpy()[:, None]).T @ z
+        if not np.isscalar(total):
+            yield pd.DataFrame({"cell": np.arange(total.size), "value": total.ravel()})
+
+    cells = rows.mapInPandas(moments, "cell bigint, value double").groupBy("cell").agg(F.sum("value")).collect()
+    side = int(round(len(cells) ** 0.5))
+    m = np.zeros(side * side)
+    m[[c[0] for c in cells]] = [c[1] for c in cells]
+    m = m.reshape(side, side) / m[0]
+    mean, cov = m[0, 1:], m[1:, 1:] - np.outer(m[0, 1:], m[0, 1:])
+    n_inputs = side - 1 - n_targets
+    std = np.sqrt(np.maximum(np.diag(cov), 0))
+    scale = np.where(std > 0, std, 1.0)
+    corr = cov / np.outer(scale, scale)
+    inputs, targets = slice(0, n_inputs), slice(n_inputs, None)
+    coef = np.zeros((n_targets, n_inputs))
     for k in range(n_targets):
-        model = LinearRegression(
-            featuresCol="features", labelCol="label", weightCol="weight", regParam=0.01, solver="normal",
-        ).fit(rows.withColumn("label", F.get("y", F.lit(k))))
-        coefficients.append(model.coefficients.toArray())
-        intercepts.append(model.intercept)
-    return np.array(coefficients), np.array(intercepts)
+        y = n_inputs + k
+        system = corr[inputs, inputs] + ridge / scale[y] * np.eye(n_inputs)
+        coef[k] = np.linalg.lstsq(system, corr[inputs, y], rcond=None)[0] * scale[y] / scale[inputs]
+    return coef, mean[targets] - coef @ mean[inputs]
 
 
 def apply_forecaster(sequences: DataFrame, coef: np.ndarray, intercept: np.ndarray, background: np.ndarray) -> DataFrame:
