@@ -170,6 +170,24 @@ sf AS (SELECT a.pattern, a.rps, nv AS n, coalesce(pos, 0) AS pos, coalesce(neg,
 """
 
 
+@query("kruskal_many_groups", "T4 T0", """
+WITH s AS (SELECT l_linestatus AS k, l_orderkey % 2501 AS g, l_quantity AS v FROM lineitem),
+c AS (SELECT k, v, count(*) AS n FROM s GROUP BY 1, 2),
+r AS (SELECT k, v, n, sum(n) OVER (PARTITION BY k ORDER BY v) - (n - 1) / 2.0 AS mr FROM c),
+t AS (SELECT k, sum(CAST(n AS DOUBLE) ** 3 - n) AS ties, CAST(sum(n) AS DOUBLE) AS n FROM r GROUP BY 1),
+q AS (SELECT s.k, g, sum(CAST(mr AS DOUBLE)) AS rs, count(*) AS m FROM s JOIN r ON s.k = r.k AND s.v = r.v GROUP BY 1, 2),
+h AS (SELECT q.k, count(*) AS n_groups, any_value(n) AS n, (12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / m) - 3 * (any_value(n) + 1))
+  / (1 - any_value(ties) / (any_value(n) ** 3 - any_value(n))) AS hh FROM q JOIN t USING (k) GROUP BY 1),
+x AS (SELECT *, hh / 2 AS a, n_groups - 1 AS df, CASE WHEN n_groups % 2 = 1 THEN 0.0 ELSE 0.5 END AS sh FROM h)
+SELECT k, n_groups, CAST(n AS BIGINT) AS n_values, round(hh, 6) AS H_statistic, round(least(1.0, list_sum(list_transform(
+  range(CASE WHEN df % 2 = 0 THEN 0 ELSE 1 END, CAST(floor(df / 2.0 + sh) AS BIGINT)), lambda i: exp((i - sh) * ln(a) - a - lgamma(i - sh + 1))))), 6) AS p_value FROM x""")
+def _(spark, d):
+    # 2,501 groups: the tail of a chi-square with as many degrees of freedom, less one
+    samples = load(spark, d, "lineitem").select(
+        F.col("l_linestatus").alias("k"), (F.col("l_orderkey") % 2501).alias("g"), F.col("l_quantity").alias("v"))
+    return hy.kruskal_wallis(samples, ["k"], "g", "v")
+
+
 @query("batch_level_loss", "T7 T8 T16", f"""
 WITH {PAIRS}, {SIGNFLIP}
 SELECT pattern, CAST(rps AS BIGINT) AS rps, n AS n_values, pos AS n_positive, neg AS n_negative, round(pv, 6) AS p_value,
