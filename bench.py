@@ -18,7 +18,8 @@ HEADLINE = (
     "hourly_features_on_calendar", "condition_summary", "box_data", "resource_totals",
     "mann_whitney", "kruskal_batches", "fisher_loss_occurrence", "batch_level_loss",
     "prune_decisions", "backup_log_gaps", "weekday_permutation_test",
-    "periodicity_permutation_test", "drift_monitor", "stream_routed_ingest",
+    "periodicity_permutation_test", "drift_monitor", "stream_routed_ingest", "rank_correlation", "ar1_fit",
+    "kruskal_many_groups", "burst_wait_percentiles",
 )
 
 

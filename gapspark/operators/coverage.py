@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gapspark.operators.ordered import join_on, next_in_time, spread
+from gapspark.session import materialize
 
 SLOTS_90_DAYS = 129_600  # one-minute slots in 90 days
 _MINUTE = "INTERVAL 1 MINUTE"
@@ -79,13 +80,16 @@ def islands(missing: DataFrame) -> DataFrame:
     return inner.unionByName(joined).withColumn("gap_minutes", _span_minutes("gap_start", "gap_end"))
 
 
-def gap_intervals(heartbeats: DataFrame, slots: int = SLOTS_90_DAYS) -> DataFrame:
+def gap_intervals(
+    heartbeats: DataFrame | None, slots: int = SLOTS_90_DAYS, minutes: DataFrame | None = None,
+) -> DataFrame:
     """The same gap intervals read from the observed minutes alone, without a calendar.
 
     Between two consecutive observed minutes everything is missing, as is everything after the
-    last observed minute of the window.
+    last observed minute of the window. ``minutes``: the minute counts, where they are known.
     """
-    minutes = minute_counts(heartbeats)
+    if minutes is None:
+        minutes = materialize(minute_counts(heartbeats), "minutes")
     observed = join_on(minutes, slot_windows(minutes, slots), ["node_id"]).where(
         F.col("minute") <= F.col("slot_last")
     ).select("node_id", "minute", "slot_last")
@@ -107,7 +111,7 @@ def heartbeat_coverage(heartbeats: DataFrame, slots: int = SLOTS_90_DAYS) -> Dat
 
     covered + missing = slots by construction; rows after the window are counted, not dropped.
     """
-    minutes = minute_counts(heartbeats)
+    minutes = materialize(minute_counts(heartbeats), "minutes")  # at most one row per node and slot
     windows = slot_windows(minutes, slots)
     inside = F.col("minute") <= F.col("slot_last")
     counted = join_on(minutes, windows, ["node_id"]).groupBy("node_id").agg(
@@ -117,7 +121,7 @@ def heartbeat_coverage(heartbeats: DataFrame, slots: int = SLOTS_90_DAYS) -> Dat
         F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).alias("rows_after"),
         F.coalesce(F.sum(F.when(inside, F.col("n") - 1)), F.lit(0)).alias("duplicate_extra_rows"),
     )
-    gaps = gap_intervals(heartbeats, slots).groupBy("node_id").agg(
+    gaps = gap_intervals(None, slots, minutes).groupBy("node_id").agg(
         F.count(F.lit(1)).alias("n_gaps"), F.max("gap_minutes").alias("longest_gap_minutes")
     )
     total = F.lit(slots)

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from gapspark.operators.ordered import halo_blocks, join_on, midranks, spread, value_counts
 from gapspark.schemas import WEEKDAY_LABELS
+from gapspark.session import materialize
 
 N_PERM = 10_000
 SEED = 42
@@ -132,6 +133,7 @@ def detrended(series: DataFrame) -> DataFrame:
 
 def ar1_fit(resid: DataFrame, keys: list[str]) -> DataFrame:
     """Lag-1 coefficient and innovation deviation of the centred residuals."""
+    resid = materialize(resid, "residuals")  # one row per day, read three times below
     centred = join_on(resid, resid.groupBy(*keys).agg(F.avg("resid").alias("_m")), keys).withColumn(
         "_r", F.col("resid") - F.col("_m"))
     lagged = centred.withColumn("_lag", F.lag("_r").over(Window.partitionBy(*keys).orderBy("idx"))).where(

@@ -27,9 +27,15 @@ FLUSH_INTERVAL = "1 second"
 MAX_FILES_PER_BATCH = 1000
 
 
-def text_source(spark: SparkSession, path: str, max_files: int = MAX_FILES_PER_BATCH) -> DataFrame:
-    """Raw lines with their ingest time (the file's modification time, so replays agree)."""
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+def text_source(
+    spark: SparkSession, path: str, max_files: int = MAX_FILES_PER_BATCH, max_bytes: int | None = None,
+) -> DataFrame:
+    """Raw lines with their ingest time (the file's modification time, so replays agree).
+
+    A micro-batch takes ``max_files`` files or, where given, as many as fit ``max_bytes``.
+    """
+    bound = ("maxBytesPerTrigger", max_bytes) if max_bytes else ("maxFilesPerTrigger", max_files)
+    lines = spark.readStream.option(*bound).text(path)
     return lines.withColumn("ingest_ts", F.col("_metadata.file_modification_time"))
 
 

@@ -167,6 +167,17 @@ def test_routed_stream_keeps_every_line_and_survives_restart(spark, tmp_path):
     assert set(r.raw for r in tables.read_route(spark, base, "quarantine").where("reason = 'parse_error'").collect()) == {"{broken"}
 
 
+def test_byte_bound_of_micro_batches(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    raw_files(spark, str(src))
+    size = max(f.stat().st_size for f in src.iterdir())
+    base = str(tmp_path / "out")
+    jobs.routed_ingest(jobs.text_source(spark, str(src), max_bytes=size), base, str(tmp_path / "ckpt"))
+    metrics = spark.read.parquet(f"{base}/ingest_metrics")
+    assert metrics.select("batch_id").distinct().count() == 3 and metrics.agg(F.sum("n_rows")).first()[0] == 60
+
+
 def test_retry_of_a_batch_writes_nothing_twice(spark, tmp_path):
     batch = ingest.validate_rows(lines(spark, ['{"severity": 1}', '{"severity": "bad"}', '{"inject_id": "a"}']))
     for _ in range(2):
