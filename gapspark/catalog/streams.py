@@ -96,11 +96,13 @@ def _(spark, d):
     return jobs.heartbeat_totals(spark.read.parquet(table))
 
 
-@query("stream_resent_ids", "X7", "SELECT inject_id, count(*) AS n_rows FROM threat_events WHERE inject_id <> '' GROUP BY 1")
+@query("stream_resent_ids", "X7", "SELECT inject_id, 'stream' AS origin, count(*) AS n_rows FROM threat_events WHERE inject_id <> '' GROUP BY 1")
 def _(spark, d):
     tagged = stream_view(spark, d, "threat_events").where("inject_id <> ''")
     resent = tagged.unionByName(stream_view(spark, d, "threat_events").where("inject_id <> '' AND event_id % 3 <> 0"))
-    return _drained(spark, "resent", jobs.deduplicated(resent, "10 minutes")).groupBy("inject_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    emitted = _drained(spark, "resent", jobs.deduplicated(resent, "10 minutes"))
+    whole = jobs.corrected_ids(view(spark, d, "threat_events").where("inject_id <> ''"), emitted)
+    return whole.groupBy("inject_id", "origin").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("stream_silence_alarms", "X8", """

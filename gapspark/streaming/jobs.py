@@ -124,9 +124,14 @@ def corrected_windows(raw: DataFrame, emitted: DataFrame, seconds: int = 300) ->
                          F.when(F.col("_stream"), "stream").otherwise("correction").alias("origin"))
 
 
-def late_for_stream(raw: DataFrame, emitted: DataFrame, key: str) -> DataFrame:
-    """Rows of ``raw`` whose key the stream never emitted: behind the watermark, counted not lost."""
-    return raw.join(emitted.select(key).distinct(), key, "left_anti")
+def corrected_ids(raw: DataFrame, emitted: DataFrame, key: str = "inject_id") -> DataFrame:
+    """Batch correction of a deduplicated stream: ids that only came behind the watermark are added
+    once, with the row of their earliest time. ``origin`` tells which ids the stream emitted."""
+    late = raw.join(emitted.select(key).distinct(), key, "left_anti")
+    others = [c for c in emitted.columns if c != key]
+    first = late.groupBy(key).agg(F.min_by(F.struct(*others), "timestamp").alias("_row"))
+    added = first.select(*[F.col(f"_row.{c}").alias(c) if c != key else F.col(c) for c in emitted.columns])
+    return emitted.withColumn("origin", F.lit("stream")).unionByName(added.withColumn("origin", F.lit("correction")))
 
 
 def deduplicated(tagged: DataFrame, lateness: str) -> DataFrame:

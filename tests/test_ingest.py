@@ -235,6 +235,15 @@ def test_late_windows_are_corrected(spark, tmp_path):
     assert got == [(0, 3, "correction"), (5, 1, "stream"), (40, 1, "correction")]
 
 
+def test_late_ids_are_added_once(spark):
+    t0 = datetime(2024, 1, 1)
+    schema = "inject_id STRING, timestamp TIMESTAMP, v INT"
+    emitted = spark.createDataFrame([("a", t0, 1)], schema)
+    raw = spark.createDataFrame([("a", t0, 1), ("a", t0, 1), ("b", t0 + timedelta(seconds=5), 3), ("b", t0, 2)], schema)
+    got = sorted((r.inject_id, r.v, r.origin) for r in jobs.corrected_ids(raw, emitted).collect())
+    assert got == [("a", 1, "stream"), ("b", 2, "correction")]
+
+
 def test_verified_export_day_by_day(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     data = [(t0 + timedelta(days=d), f"s{i}") for d in range(4) for i in range(5)]
