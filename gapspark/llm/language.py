@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gapspark.llm.common import arrow_schema, batches_of, in_chunks, worker_state
+from gapspark.llm.common import arrow_schema, batches_of, in_chunks, materialize, worker_state
 
 DIMENSIONS = 1024
 SEED = 20240
 #: Bound of the training sample: this many texts of each language, chosen by a hash of their ids.
 SAMPLE_PER_LANGUAGE = 1000
+#: Ids of sampled texts that are broadcast at most.
+BROADCAST_IDS = 100_000
 UNKNOWN = "und"
 GAP = 32
 #: Characters whose trigrams are counted at once, and trigrams whose vectors are held at once.
@@ -122,8 +124,14 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc
     batches_of(spark)
     labelled = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where(
         "lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("k", rank).where(F.col("k") <= sample).select("doc_id").distinct()
+    # a share of the hashes leaves about twice the sample of each language to rank
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)
+    near = labelled.join(sizes, "lang").where(share * F.col("n") < 2 * sample + 20)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id"))
+    chosen = materialize(near.withColumn("k", rank).where(F.col("k") <= sample).select("doc_id").distinct(), "sample")
+    if chosen.count() <= BROADCAST_IDS:  # at most ``sample`` ids per language: else the join shuffles
+        chosen = F.broadcast(chosen)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     learned = own.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
     ddl = "lang string, total array<double>"
