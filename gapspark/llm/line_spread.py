@@ -48,7 +48,8 @@ def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
     common = counted.where(F.col("n") >= min_sites)
     if min_sites > 1:
         common = common.where(F.col("low") < F.col("high"))
-    repeated = materialize(rows.join(common.select("a", "b"), ["a", "b"], "left_semi"), "repeated-lines")
+    common = materialize(common.select("a", "b"), "common-lines")
+    repeated = materialize(rows.join(common, ["a", "b"], "left_semi"), "repeated-lines")
     sketches = repeated.groupBy("a", "b").agg(F.hll_sketch_agg("site").alias("sketch"))
     spread = materialize(sketches.select("a", "b", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
     near = spread.where(F.col("sites").between(min_sites * (1 - BAND), min_sites * (1 + BAND)))
