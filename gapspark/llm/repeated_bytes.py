@@ -170,7 +170,7 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, gram: int | No
         .select("ta", "tb", first.alias("a"), last.alias("b")).distinct()
     )
     # a gram that leads more than one kind: these are looked at more closely, one stretch of each kind
-    mixed = kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g")
+    mixed = materialize(kinds.groupBy("g").agg(F.count("*").alias("k")).where("k > 1").select("g"), "mixed-grams")
     fine = kinds.join(mixed, "g", "left_semi").select("g", "s", "n", "one.ta", "one.tb", "one.place")
     wanted = fine.groupBy("ta", "tb").agg(F.collect_list(F.struct("g", "s", "n", "place")).alias("cuts"))
     own = squeezed(docs, doc_id, text).select("ta", "tb", "packed")
@@ -226,7 +226,8 @@ def repeated_windows(docs: DataFrame, threshold: int = THRESHOLD, gram: int | No
         covers.where("covers > 1").select("g", "c", "core", "cover"), ["g", "c", "core", "cover"], "left_semi"
     ).select("ta", "tb", F.col("a").cast("long"), F.col("b").cast("long"))
     # last digit: single windows, only where one core has more than one cover
-    split = covers.groupBy("g", "c", "core").agg(F.count("*").alias("k")).where("k > 1").select("g", "c", "core")
+    split = materialize(
+        covers.groupBy("g", "c", "core").agg(F.count("*").alias("k")).where("k > 1").select("g", "c", "core"), "open-cores")
     open_groups = covers.join(split, ["g", "c", "core"], "left_semi").groupBy("g", "s").agg(
         F.collect_list(F.struct("c", (F.col("covers") * F.col("n") == 1).alias("open"))).alias("open_groups"))
     ddl_w = "w1 long, w2 long, ta long, tb long, a long, open boolean"
