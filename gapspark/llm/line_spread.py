@@ -75,6 +75,7 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_sha
         lines.select("ta", "tb", "pos", a.alias("a"), b.alias("b")).join(wide, ["a", "b"], "left_semi")
         .groupBy("ta", "tb").agg(F.collect_set("pos").alias("gone"))
     )
+    hits = materialize(hits, "lines-to-remove")  # so that the join can split a text of many copies
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_removed_lines")]
     keyed = docs.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"),
                         lines_of(body).alias("parts"), ta.alias("ta"), tb.alias("tb"))
