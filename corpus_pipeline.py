@@ -60,7 +60,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts are shuffled twice: to compare shingle sets inside loose groups, and to give the result.
     """
     keyed = with_text_key(as_documents(docs)).withColumn("name", F.coalesce("doc_id", F.lit(NAMELESS)))
-    prints = simhash.fingerprints(keyed, SHINGLE_WORDS, simhash.WIDE_WORDS, ("ta", "tb", "name"))
+    prints = simhash.fingerprints(keyed, SHINGLE_WORDS, simhash.WIDE_WORDS, ("ta", "tb", "name"), distinct=True)
     words = [f"fp{k}" for k in range(simhash.WIDE_WORDS)]
     # one row per distinct text, which stands for all of its copies
     nodes = materialize(

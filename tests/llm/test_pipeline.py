@@ -79,6 +79,14 @@ def test_stages(spark, folder, tmp_path):
     assert max(loads.values()) <= 1024
 
 
+def test_near_copies_with_repeated_lines(spark):
+    rng = random.Random(12)
+    body = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))
+    rows = [(1, body + "\nread more on our pages" * 2), (2, body + "\nread more on our pages" * 20), (3, "other text")]
+    out = pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id for r in out) == [1, 3]
+
+
 def test_run_and_empty_table(spark, folder, tmp_path):
     path, _ = folder
     assert pipeline.run(spark, path).count() > 100

@@ -92,6 +92,30 @@ def test_near_duplicates_match_brute_force(spark, seed):
     assert [found.get(i, i) for i in range(len(texts))] == components(len(texts), linked)
 
 
+def texts_with_repeated_lines():
+    """Pairs of near copies that differ in how often a line repeats, or in a line that repeats."""
+    rng = random.Random(11)
+
+    def own(n):
+        return " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+
+    a, b, c, d = own(300), own(200), own(300), own(200)
+    foot, other = "\nread more on our pages", "\nall of it may be copied"
+    return [a + 2 * foot, a + 20 * foot, b + foot, b + 40 * foot, c + " -" * 100, c + " =" * 100,
+            d + 30 * foot, d + 30 * other, own(300) + 20 * foot, own(200) + " -" * 100]
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    texts = texts_with_repeated_lines()
+    sets = [set(simhash.shingles_of(simhash.words_of(t), 5)) for t in texts]
+    linked = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    expected = components(len(texts), linked)
+    assert expected == [0, 0, 2, 2, 4, 4, 6, 6, 8, 9]
+    found = {r.node: r.root for r in simhash.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == expected
+
+
 def test_long_path_is_one_component(spark):
     path = list(range(40))
     random.Random(1).shuffle(path)
