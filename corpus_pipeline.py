@@ -48,9 +48,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 
+def proven_copies(texts: DataFrame) -> DataFrame:
+    """ta and tb of those of the distinct ``texts`` (ta, tb, text, n) that repeat or have a near copy
+    among them."""
+    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "mostly-shared-texts")
+    near = simhash.near_duplicates(texts.select("node", "text"), SHINGLE_WORDS, SIMILARITY)
+    repeated = texts.where(F.col("n") > 1).select("node")
+    return texts.join(near.select("node").unionByName(repeated).distinct(), "node").select("ta", "tb")
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that many sites share; documents that are mostly such lines stay whole."""
-    cleaned = line_spread.remove_widespread_lines(as_documents(docs))
+    """Removes lines that many sites share. Of documents that are mostly such lines, copies and near
+    copies of one another stay whole, for the next stage."""
+    cleaned = line_spread.remove_widespread_lines(as_documents(docs), copies=proven_copies)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -7,8 +7,9 @@ are built where the rows are and merge by aggregation; a line far from the thres
 its estimate, one within ``BAND`` of it by an exact distinct count.
 
 A document of which more than ``max_share`` (of its characters, line ends left out) is boilerplate
-is not a page with a frame around it but a copy of a document that many sites carry. It stays as it
-is, for near-duplicate removal to judge.
+may be no page with a frame around it but a copy of a document that many sites carry. It stays as it
+is, for near-duplicate removal to judge; where the caller can tell copies from pages (``copies``),
+copies alone do, and pages lose their boilerplate however large its share.
 
 Defined cases: a null text stays null and an empty one empty; blank lines are never boilerplate; a
 null site counts for no line, but lines of such a document are removed like others; a line repeated
@@ -17,6 +18,8 @@ inside a document counts its site once and goes everywhere; an empty table gives
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,9 +65,12 @@ def widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
 
 
 def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE,
-                            site: str = "source", text: str = "text") -> DataFrame:
+                            site: str = "source", text: str = "text",
+                            copies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``docs`` with the cleaned text in place, and the number of removed lines in ``n_removed_lines``
-    (which takes the place of a column of that name)."""
+    (which takes the place of a column of that name). ``copies`` gets the distinct texts beyond
+    ``max_share`` (ta, tb, text and n, the rows that hold it) and gives ta and tb of those to leave
+    whole; without it all of them stay."""
     wide = widespread_lines(docs, min_sites, site, text)
     body = F.col(f"`{text}`")
     ta, tb = hash_pair(body)
@@ -79,6 +85,17 @@ def remove_widespread_lines(docs: DataFrame, min_sites: int = MIN_SITES, max_sha
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, "n_removed_lines")]
     keyed = docs.select(F.struct(*others).alias("row") if others else F.lit(0).alias("row"),
                         lines_of(body).alias("parts"), ta.alias("ta"), tb.alias("tb"))
+    if copies:
+        length = lambda i: F.length(F.get("parts", i))
+        gone = F.aggregate(F.transform("gone", length), F.lit(0), lambda s, n: s + n)
+        whole = F.array_join("parts", "\n")
+        mostly = (
+            keyed.select("ta", "tb", "parts").join(hits, ["ta", "tb"])
+            .where(gone > max_share * F.length(F.translate(whole, "\n", "")))
+            .groupBy("ta", "tb").agg(F.first(whole).alias("text"), F.count("*").alias("n"))
+        )
+        hits = materialize(hits.join(copies(mostly), ["ta", "tb"], "left_anti"), "lines-to-remove")
+        max_share = 1
     # the text crosses the join as its lines, so no line is looked up by splitting it again
     kept = F.transform(
         F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("gone")), lambda i: F.get("parts", i))

@@ -79,6 +79,21 @@ def test_stages(spark, folder, tmp_path):
     assert max(loads.values()) <= 1024
 
 
+def test_lines_of_pages_go_and_copies_stay(spark):
+    rng = random.Random(13)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    frame, twice, near = ([line(12) for _ in range(4)] for _ in range(3))
+    near += [line(12) for _ in range(8)]
+    own = [line(20) for _ in range(12)]
+    rows = [(i, "\n".join([*frame, own[i]]), f"s{i}") for i in range(12)]
+    rows += [(20 + i, "\n".join(twice), f"s{i}") for i in range(12)]
+    rows += [(40 + i, "\n".join([*near, f"copy number {i}"]), f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, "").collect()}
+    assert [out[i] for i in range(12)] == own
+    assert all(out[i] == t for i, t, _ in rows[12:])
+
+
 def test_near_copies_with_repeated_lines(spark):
     rng = random.Random(12)
     body = " ".join(f"v{rng.randrange(10**6)}" for _ in range(300))
