@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gapspark.llm import (
-    decontamination, id_files, impact_search, language, line_spread, packing, repeated_bytes, simhash, token_counts,
-    warc,
+    decontamination, id_files, impact_search, language, line_spread, neighbour_graph, packing, repeated_bytes, simhash,
+    token_counts, vector_codes, warc, whitening,
 )
 from gapspark.llm.common import materialize, read_table
 
@@ -68,13 +68,69 @@ def op10_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "n_removed_lines")
 
 
+def op11_neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return neighbour_graph.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.vector_codes(read_table(spark, sf_dir, "embeddings"))
+    return vector_codes.code_report(coded, books)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_impact_search, op2_best_fit_packing, op3_repeated_bytes, op4_token_id_files, op5_language_id, op6_simhash,
-        op7_decontamination, op8_warc, op9_token_counts, op10_line_spread)
+        op7_decontamination, op8_warc, op9_token_counts, op10_line_spread,
+        op11_neighbour_graph, op12_vector_codes, op13_whitening)
 }
 
+
+
+def lloyd_sql(rounds: int, parts: int, entries: int, scale: int) -> str:
+    """Lloyd's rounds in SQL: the nearest entry by the least of distance * entries + index."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS rid, vec_id, label,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+points AS MATERIALIZED (
+  SELECT rid, part, list_slice(x, part * len(x) // {parts} + 1, (part + 1) * len(x) // {parts}) AS p
+  FROM kept, (SELECT unnest(range({parts})) AS part)),
+book0 AS MATERIALIZED (SELECT part, rid - 1 AS entry, p AS c FROM points WHERE rid <= {entries})"""]
+    for k in range(rounds + 1):
+        steps.append(f"""
+near{k} AS MATERIALIZED (
+  SELECT rid, part, p, least % {entries} AS entry, least // {entries} AS error FROM (
+    SELECT rid, part, any_value(p) AS p, min(
+      list_sum(list_transform(list_zip(p, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {entries} + entry) AS least
+    FROM points JOIN book{k} USING (part) GROUP BY rid, part))""")
+        if k < rounds:
+            steps.append(f"""
+means{k} AS (
+  SELECT part, entry, list((s - ((s % n + n) % n)) // n ORDER BY pos)::BIGINT[] AS c FROM (
+    SELECT part, entry, pos, sum(v)::HUGEINT AS s, count(*) AS n FROM (
+      SELECT part, entry, unnest(p) AS v, generate_subscripts(p, 1) AS pos FROM near{k}) GROUP BY ALL) GROUP BY part, entry),
+book{k + 1} AS MATERIALIZED (
+  SELECT part, entry, coalesce(m.c, b.c) AS c FROM book{k} b LEFT JOIN means{k} m USING (part, entry))""")
+    return ",".join(steps) + f""",
+coded AS (
+  SELECT rid, string_agg(format('{{:02x}}', entry::BIGINT), '' ORDER BY part) AS code, sum(error)::BIGINT AS error
+  FROM near{rounds} GROUP BY rid),
+digest AS (
+  SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM (
+    SELECT part, entry, unnest(c) AS v, generate_subscripts(c, 1) AS pos FROM book{rounds}))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM coded JOIN kept USING (rid), digest
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_codes": lloyd_sql(4, 4, 256, 1024),
     "op1_impact_search": """
 WITH sound AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings

@@ -13,7 +13,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 def test_all_are_registered():
     found = contract.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {k.partition("_")[0] for k in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {k.partition("_")[0] for k in queries.QUERIES}
     assert queries.QUERIES.keys() | {"pipeline"} <= found.keys()
     assert contract.oracle_sql().keys() <= found.keys()
     assert importlib.import_module("corpus_pipeline").run is found["pipeline"]
