@@ -35,14 +35,31 @@ def test_search_prunes_and_shorter_vectors(spark):
     base = np.floor(rng.normal(0, 8, (4000, 16))).astype(np.int64)
     base[:40] *= 6
     index = impact_search.ImpactIndex(np.arange(4000), base)
-    found = index.search(base[3], 10, 3)
-    assert len(found) < 4000
+    scores = base @ base[3]
+    bar = float(np.sort(scores)[-11])
+    _, found, levels = index.possible(base[3:4], np.array([bar]))
+    assert len(found) < 400 and levels < impact_search.LEVELS  # proof before the last segments
+    assert set(np.flatnonzero(scores >= bar)) <= set(found.tolist())
     few = spark.createDataFrame([(0, [1, 2]), (1, [3]), (2, [])], "vec_id long, v array<bigint>")
     out = {(r.query_id, r.vec_id): r.score for r in impact_search.top_k(few, few, 20).collect()}
     assert out == {(0, 1): 3, (0, 2): 0, (1, 0): 3, (1, 2): 0, (2, 0): 0, (2, 1): 0}
     assert impact_search.top_k(few.limit(0), few.limit(0), 3).collect() == []
 
 
+def test_search_with_large_components(spark):
+    rows = [(20, [200000.0, 1.0]), (1, [1e6, -3.0]), (2, [-1e6, 5.0]), (3, [0.5, 0.25]), (40, [1e15, 1.0]), (5, [1e-3, 2.0]),
+            (60, [3e38, 0.0])]
+    whole = impact_search.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 64)
+    out = impact_search.top_k(whole, whole.where("vec_id % 20 = 0"), 3, block=2, sample=4).collect()
+    ints = {i: [int(np.floor(x * 64)) for x in v] for i, v in rows[:-1]}  # no whole number of 64 bits: takes no part
+    score = lambda a, b: sum(x * y for x, y in zip(ints[a], ints[b]))
+    want = []
+    for q in (20, 40):
+        best = sorted((-score(q, i), i) for i in ints if i != q)[:3]
+        want += [(q, r + 1, i, -s if abs(s) < 1 << 63 else None) for r, (s, i) in enumerate(best)]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out) == sorted(want)
+
+
 def test_captures(spark, tmp_path):
     big = "ü" * 60
     rows = [(5, "http://a.example/x?y=1#z", big, 0), (2, "http://a.example/", big, 0), (9, None, big, 0), (1, "u", "small", 0),
