@@ -3,7 +3,7 @@
 Both pre-tokenizers in use always cut where white space begins after other characters and look at
 nothing before that cut. So the ids of a text are those of its chunks (white space and the run of
 other characters after it), one after another, and a word that comes again need not be encoded
-again. The tokenizers library encodes every chunk; a chunk that is plainly one word, or one word
+again. A special token's own string in a text becomes that token, as the library has it. The tokenizers library encodes every chunk; a chunk that is plainly one word, or one word
 and marks after it, goes straight to its merge model, which skips the cost of a whole encoding.
 """
 
@@ -70,7 +70,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.keep_space, self.room = keep_space, room
         self.letters = byte_letters()
