@@ -156,19 +156,21 @@ FROM p LEFT JOIN f USING (payload_digest)
 """,
     "op10_line_spread": """
 WITH lines AS (
-  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) AS pos
-  FROM documents WHERE text IS NOT NULL),
+  SELECT row_number() OVER () AS rid, doc_id, source, text FROM documents WHERE text IS NOT NULL),
+parts AS (
+  SELECT rid, source, length(replace(text, chr(10), '')) AS whole, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM lines),
+shared AS (
+  SELECT line FROM parts WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
+held AS (SELECT * FROM parts WHERE line IN (SELECT line FROM shared)),
+witnesses AS (SELECT rid FROM held GROUP BY rid HAVING sum(length(line)) <= 0.5 * any_value(whole)),
 wide AS (
-  SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 10),
-judged AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS cleaned,
-         count(*) FILTER (WHERE gone) AS n_gone,
-         sum(length(line)) FILTER (WHERE NOT gone) AS n_left, sum(length(line)) AS n_all
-  FROM (SELECT doc_id, pos, line, line IN (SELECT line FROM wide) AS gone FROM lines) GROUP BY doc_id)
-SELECT d.doc_id,
-       CASE WHEN n_gone > 0 AND coalesce(n_left, 0) >= 0.5 * n_all THEN coalesce(cleaned, '') ELSE d.text END AS text,
-       CASE WHEN n_gone > 0 AND coalesce(n_left, 0) >= 0.5 * n_all THEN n_gone ELSE 0 END AS n_removed_lines
-FROM documents d LEFT JOIN judged USING (doc_id)
+  SELECT line FROM held WHERE rid IN (SELECT rid FROM witnesses) GROUP BY line HAVING count(DISTINCT source) >= 10),
+cleaned AS (
+  SELECT rid, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS text,
+         count(*) FILTER (WHERE gone) AS n_removed_lines
+  FROM (SELECT rid, pos, line, line IN (SELECT line FROM wide) AS gone FROM parts) GROUP BY rid)
+SELECT doc_id, c.text, c.n_removed_lines FROM lines JOIN cleaned c USING (rid)
+UNION ALL SELECT doc_id, NULL, 0 FROM documents WHERE text IS NULL
 """,
 }
