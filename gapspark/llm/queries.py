@@ -31,7 +31,9 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_bytes.remove_repeated_bytes(read_table(spark, sf_dir, "documents"), 400, with_bytes=False)
+    found = repeated_bytes.remove_repeated_bytes(read_table(spark, sf_dir, "documents"), 400, with_bytes=True)
+    # bytes of a character that was cut apart cannot be shown as text
+    return found.withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op4_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
