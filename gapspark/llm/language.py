@@ -28,6 +28,10 @@ SEED = 20240
 SAMPLE_PER_LANGUAGE = 1000
 #: Ids of sampled texts that are broadcast at most.
 BROADCAST_IDS = 100_000
+#: Sizes of at most so many languages are sent to all executors.
+BROADCAST_LANGUAGES = 10_000
+#: A text is like none of the languages if it scores less than this share of the least right score learned.
+BOUND_SHARE = 0.5
 UNKNOWN = "und"
 GAP = 32
 #: Characters whose trigrams are counted at once, and trigrams whose vectors are held at once.
@@ -117,15 +121,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
-          lang: str = "lang") -> dict[str, np.ndarray]:
-    """Language prototypes at length one, from at most ``sample`` texts of each language."""
-    spark = docs.sparkSession
-    batches_of(spark)
+def training_texts(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
+                   lang: str = "lang") -> DataFrame:
+    """(lang, text) of at most ``sample`` documents of each language, picked by a hash of the id."""
     labelled = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where(
         "lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     # a share of the hashes leaves about twice the sample of each language to rank
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
+    if sizes.count() <= BROADCAST_LANGUAGES:  # else the join shuffles by language
+        sizes = F.broadcast(sizes)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) / (1 << 31)
     near = labelled.join(sizes, "lang").where(share * F.col("n") < 2 * sample + 20)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(share, "doc_id"))
@@ -133,7 +137,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc
     if chosen.count() <= BROADCAST_IDS:  # at most ``sample`` ids per language: else the join shuffles
         chosen = F.broadcast(chosen)
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
-    learned = own.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
+    return own.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
+
+
+def learn_from(texts: DataFrame) -> dict[str, np.ndarray]:
+    """Language prototypes at length one, from rows of lang and text."""
+    batches_of(texts.sparkSession)
     ddl = "lang string, total array<double>"
     schema = arrow_schema(ddl)
 
@@ -147,11 +156,24 @@ def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc
         yield from in_chunks(((k, v.tolist()) for k, v in sums.items()), schema, 64)
 
     sums: dict[str, np.ndarray] = {}
-    for row in learned.repartition(16).mapInArrow(total, ddl).collect():  # 16 rows per language at most
+    for row in texts.repartition(16).mapInArrow(total, ddl).collect():  # 16 rows per language at most
         sums[row.lang] = sums.get(row.lang, 0) + np.array(row.total)
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(sums.items()) if np.linalg.norm(v) > 0}
 
 
+def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
+          lang: str = "lang") -> dict[str, np.ndarray]:
+    """Language prototypes at length one, from at most ``sample`` texts of each language."""
+    return learn_from(training_texts(docs, sample, doc_id, text, lang))
+
+
+def least_score(texts: DataFrame, prototypes: dict[str, np.ndarray]) -> float:
+    """``BOUND_SHARE`` of the least score with which one of the labelled ``texts`` got its language: what
+    scores less is like no text that was learned from. Zero if none got it."""
+    judged = predict(texts, prototypes, ("lang",)).where(F.col("lang") == F.col("lang_pred"))
+    return BOUND_SHARE * (judged.agg(F.min("score")).first()[0] or 0.0)
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",),
             text: str = "text") -> DataFrame:
     """Columns ``keep``, lang_pred and score (the cosine, at least 0) of every row."""
