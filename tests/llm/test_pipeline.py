@@ -82,16 +82,27 @@ def test_stages(spark, folder, tmp_path):
 def test_lines_of_pages_go_and_copies_stay(spark):
     rng = random.Random(13)
     line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
-    frame, twice, near = ([line(12) for _ in range(4)] for _ in range(3))
+    frame, twice, near = ([line(n) for _ in range(4)] for n in (4, 12, 12))
     near += [line(12) for _ in range(8)]
     own = [line(20) for _ in range(12)]
     rows = [(i, "\n".join([*frame, own[i]]), f"s{i}") for i in range(12)]
+    rows += [(15, "\n".join([*frame, "little"]), "s1")]
     rows += [(20 + i, "\n".join(twice), f"s{i}") for i in range(12)]
     rows += [(40 + i, "\n".join([*near, f"copy number {i}"]), f"s{i}") for i in range(12)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     out = {r.doc_id: r.text for r in pipeline.line_dedup(spark, docs, "").collect()}
-    assert [out[i] for i in range(12)] == own
-    assert all(out[i] == t for i, t, _ in rows[12:])
+    assert [out[i] for i in range(12)] == own and out[15] == "little"
+    assert all(out[i] == t for i, t, _ in rows[13:])
+
+
+def test_texts_like_no_language_go(spark):
+    _, rows = make()
+    rows += [(300, "\u0436\u0449 " * 40, None, "s1", 0), (301, "5 6 7", None, "s1", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {300, 301}
+    unlabelled = pipeline.language_id(spark, docs.drop("lang"), "")
+    assert {r.doc_id for r in unlabelled.collect()} == {r[0] for r in rows} - {301}
 
 
 def test_near_copies_with_repeated_lines(spark):

@@ -152,6 +152,19 @@ def test_language_cases(spark):
     assert language.identify_languages(docs.limit(0)).collect() == []
 
 
+def test_bound_of_scores(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = language.training_texts(docs, 100).cache()
+    prototypes = language.learn_from(texts)
+    bound = language.least_score(texts, prototypes)
+    assert 0 < bound < 0.3
+    # practically no held-out document scores below it; a text that repeats one foreign letter does
+    judged = language.predict(docs.where(language.held_out(docs.doc_id) & docs.lang.isNotNull()), prototypes, ("doc_id",))
+    held = judged.where("lang_pred <> 'und'").collect()
+    assert sum(r.score < bound for r in held) <= 0.005 * len(held)
+    assert language.least_score(texts, {"xx": -prototypes["en"]}) == 0
+
+
 def test_long_text_profile_equals_short_spans(monkeypatch):
     text = "Ein langer Satz, der über Grenzen läuft! " * 50
     whole = language.Profiles(64).bundles([text])

@@ -116,6 +116,25 @@ def test_near_duplicates_with_repeated_lines(spark):
     assert [found.get(i, i) for i in range(len(texts))] == expected
 
 
+def test_recall_of_near_pairs(spark):
+    rng = random.Random(17)
+    texts, near = [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(12, 150))]
+        copy = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 45))):
+            copy[rng.randrange(len(copy))] = "changed"
+        texts += [" ".join(words), " ".join(copy)]
+        a, b = (set(simhash.shingles_of(simhash.words_of(t), 5)) for t in texts[-2:])
+        near.append(len(a & b) >= 0.8 * len(a | b))
+    assert 60 < sum(near) < 300
+    found = {r.node: r.root for r in simhash.near_duplicates(
+        spark.createDataFrame(list(enumerate(texts)), "node long, text string")).collect()}
+    hits = [found.get(2 * k) is not None and found.get(2 * k) == found.get(2 * k + 1) for k in range(300)]
+    assert not any(h and not n for h, n in zip(hits, near))  # no pair below 0.8
+    assert sum(hits) >= 0.99 * sum(near)
+
+
 def test_long_path_is_one_component(spark):
     path = list(range(40))
     random.Random(1).shuffle(path)
