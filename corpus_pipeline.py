@@ -2,7 +2,10 @@
 
 Every stage takes all that its predecessor kept, is written as Parquet and read again. Documents are
 told apart by their text (a pair of 64-bit hashes), so null and repeated ids are safe throughout.
-Columns beyond those of ``documents`` are dropped by the first stage, missing ones count as null.
+Columns beyond those of ``documents`` are dropped by the first stage, missing ones count as null. Rows
+with equal ids and different texts are documents of their own; rows equal in both count once from
+near-duplicate removal on, and of a group of copies the smallest id stays, of equal ids the text with
+the smaller hash. Every stage returns no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -38,29 +41,23 @@ def with_text_key(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without any letters, which have no language (``und``); none where no label
-    could be learned from."""
+    """Rejects documents without any letters, which have no language (``und``), and those that score
+    below the bound learned with the languages. Without labels to learn from, no text but those without
+    letters is rejected."""
     docs = as_documents(docs)
-    prototypes = language.learn(docs)
+    texts = materialize(language.training_texts(docs), "training-texts")
+    prototypes = language.learn_from(texts)
     if not prototypes:
-        return docs
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    bound = language.least_score(texts, prototypes)
     found = language.predict(docs, prototypes, tuple(COLUMNS))
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
-
-
-def proven_copies(texts: DataFrame) -> DataFrame:
-    """ta and tb of those of the distinct ``texts`` (ta, tb, text, n) that repeat or have a near copy
-    among them."""
-    texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "mostly-shared-texts")
-    near = simhash.near_duplicates(texts.select("node", "text"), SHINGLE_WORDS, SIMILARITY)
-    repeated = texts.where(F.col("n") > 1).select("node")
-    return texts.join(near.select("node").unionByName(repeated).distinct(), "node").select("ta", "tb")
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= bound)).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that many sites share. Of documents that are mostly such lines, copies and near
-    copies of one another stay whole, for the next stage."""
-    cleaned = line_spread.remove_widespread_lines(as_documents(docs), copies=proven_copies)
+    """Removes lines that many sites share. Copies and near copies of one document on many sites do not
+    make its lines boilerplate, so they come whole to the next stage."""
+    cleaned = line_spread.remove_widespread_lines(as_documents(docs))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -70,14 +67,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts are shuffled twice: to compare shingle sets inside loose groups, and to give the result.
     """
     keyed = with_text_key(as_documents(docs)).withColumn("name", F.coalesce("doc_id", F.lit(NAMELESS)))
-    prints = simhash.fingerprints(keyed, SHINGLE_WORDS, simhash.WIDE_WORDS, ("ta", "tb", "name"), distinct=True)
+    prints = simhash.fingerprints(keyed, SHINGLE_WORDS, simhash.WIDE_WORDS, ("ta", "tb", "name"), distinct=True, bands=True)
     words = [f"fp{k}" for k in range(simhash.WIDE_WORDS)]
     # one row per distinct text, which stands for all of its copies
     nodes = materialize(
         prints.groupBy("ta", "tb").agg(
-            F.min("name").alias("name"), F.max("n_shingles").alias("n"), *[F.max(w).alias(w) for w in words])
+            F.min("name").alias("name"), F.max("n_shingles").alias("n"), F.max("bands").alias("bands"),
+            *[F.max(w).alias(w) for w in words])
         .withColumn("node", F.monotonically_increasing_id()), "distinct-texts")
-    loose = simhash.loose_groups(nodes.select("node", "n", *words), SIMILARITY)
+    loose = simhash.loose_groups(nodes.select("node", "n", "bands", *words), SIMILARITY)
     once = keyed.dropDuplicates(["ta", "tb", "name"])
     members = once.join(nodes.select("ta", "tb", "name", "node").join(loose, "node"), ["ta", "tb", "name"])
     roots = simhash.exact_groups(members.select("root", "node", "text"), SHINGLE_WORDS, SIMILARITY)
