@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from gapspark.catalog.features import WINDOWS
 from gapspark.catalog.ingestion import BURSTS, GAP, VALID
 from gapspark.operators import features as ft
-from gapspark.operators import monitor, reconcile, retention
+from gapspark.operators import ingest, monitor, retention
 from gapspark.registry import query
 from gapspark.schemas import FEATURE_TYPES
 from gapspark.session import shared_dir
 from gapspark.sinks import tables
 from gapspark.sources.driver_tables import VIEWS, load, view
-from gapspark.streaming import jobs
+from gapspark.streaming import jobs, watches
 
 
 def stream_view(spark, d, name):
@@ -139,12 +139,99 @@ def _(spark, d):
     return spark.read.parquet(table).groupBy("body_status", "node_id").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("late_rows", "X2", """
-SELECT event_id, sensor_id FROM threat_events WHERE severity = 4 AND CAST(timestamp AS DATE) = DATE '2024-01-12'""")
+SILENCE = 5.0
+
+
+@query("stream_total_outage", "X8", """
+SELECT node_id, CAST(min(timestamp) AS VARCHAR) AS first_seen, CAST(max(timestamp) AS VARCHAR) AS last_seen, count(*) AS n_heartbeats,
+  CAST(1 AS BIGINT) AS n_alarms FROM heartbeats WHERE node_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY node_id""")
 def _(spark, d):
-    ev = view(spark, d, "threat_events")
-    stored = ev.where(~((F.col("severity") == 4) & (F.to_date("timestamp") == F.lit("2024-01-12").cast("date"))))
-    return reconcile.late_rows(ev, stored, ["event_id"]).select("event_id", "sensor_id")
+    table, checkpoint = jobs.job_dirs(spark, "outage-watch")
+    beats = stream_view(spark, d, "heartbeats")
+    n_nodes = view(spark, d, "heartbeats").where("node_id IS NOT NULL AND timestamp IS NOT NULL").select("node_id").distinct().count()
+    alarms = lambda: spark.read.schema(watches.ALARMS).parquet(table)
+    # all nodes stop and nothing else runs: the job's own clock tells; a restart repeats no alarm
+    query = watches.run_watch(watches.silence_watch(beats, SILENCE), table, checkpoint)
+    watches.stop_when(query, lambda: bool(query.recentProgress) and alarms().count() >= n_nodes, 180)
+    again = watches.run_watch(watches.silence_watch(beats, SILENCE), table, checkpoint)
+    watches.stop_when(again, lambda: False, 2 * SILENCE)
+    return alarms().groupBy("node_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n_heartbeats").alias("n_heartbeats"),
+        F.count(F.lit(1)).alias("n_alarms"))
+
+
+BATCHES = 104
+
+
+@query("stream_observed_ingest", "X9 G33", f"""
+{VALID} SELECT count(*) AS received, count(*) FILTER (WHERE reason IS NULL) AS accepted, count(*) FILTER (WHERE reason IS NOT NULL) AS quarantined,
+  count(*) FILTER (WHERE reason = 'parse_error') AS parse_errors, count(*) FILTER (WHERE reason IS NULL AND t = '') AS ts_substituted,
+  count(*) AS stored_rows, count(*) FILTER (WHERE reason IS NOT NULL) AS stored_quarantined, CAST({BATCHES} AS BIGINT) AS n_batches FROM r""")
+def _(spark, d):
+    base = shared_dir(spark, "observed-ingest")
+    lines = view(spark, d, "raw_lines").repartition(BATCHES, "event_id")
+    lines.select("value").write.text(f"{base}/lines")
+    table, checkpoint = jobs.job_dirs(spark, "observed-table")
+    ledger = watches.BatchLedger(spark, "ingest", f"{base}/ledger")
+    source = jobs.text_source(spark, f"{base}/lines", max_files=1)
+    watches.run_observed(watches.observed_ingest(ingest.validate_rows(source)), table, checkpoint, ledger, ("target",))
+    counts = [c for c in ("received", "accepted", "quarantined", "parse_errors", "ts_substituted")]
+    seen = ledger.read().agg(*[F.sum(c).alias(c) for c in counts], F.count(F.lit(1)).alias("n_batches"))
+    stored = spark.read.parquet(table).agg(
+        F.count(F.lit(1)).alias("stored_rows"), F.count_if(F.col("target") == "quarantine").alias("stored_quarantined"))
+    return seen.crossJoin(F.broadcast(stored))  # one row each
+
+
+@query("stream_collapsed_tail", "A17 X9 G19", """
+SELECT count(*) FILTER (WHERE event_id % 13 <> 0) AS n_groups, count(*) FILTER (WHERE event_id % 13 = 0) AS parse_errors,
+  CAST(coalesce(sum(event_id % 5) FILTER (WHERE event_id % 13 <> 0), 0) AS BIGINT) AS total_count,
+  count(*) AS stored_rows, CAST(coalesce(sum(event_id % 7) FILTER (WHERE event_id % 13 <> 0), 0) AS BIGINT) AS total_span_ms FROM events""")
+def _(spark, d):
+    base = shared_dir(spark, "collapsed-tail")
+    line = F.when(F.col("event_id") % 13 == 0, F.lit('{"count": 1, "vector_ingest_ts_first": "x"}')).otherwise(
+        F.to_json(F.struct((F.col("event_id") % 5).alias("count"), F.col("event_id").alias("vector_ingest_ts_first"),
+                           (F.col("event_id") + F.col("event_id") % 7).alias("vector_ingest_ts_last"))))
+    load(spark, d, "events").repartition(12, "event_id").select(line.alias("value")).write.text(f"{base}/lines")
+    table, checkpoint = jobs.job_dirs(spark, "collapsed-table")
+    ledger = watches.BatchLedger(spark, "tail", f"{base}/ledger", flush=5)
+    lines = jobs.text_source(spark, f"{base}/lines", max_files=1)
+    watches.run_observed(watches.collapsed_tail(lines), table, checkpoint, ledger)
+    seen = ledger.read().agg(*[F.sum(c).alias(c) for c in ("n_groups", "parse_errors", "total_count")])
+    span = F.coalesce(F.sum(F.col("wait_upper_ms") - F.col("wait_lower_ms")), F.lit(0)).cast("bigint")
+    stored = spark.read.parquet(table).agg(F.count(F.lit(1)).alias("stored_rows"), span.alias("total_span_ms"))
+    return seen.crossJoin(F.broadcast(stored))  # one row each
+
+
+LATENESS = 86400
+#: The delivery that brings an event: five days each, every seventh event two deliveries later.
+_DELIVERY = "CAST(floor((day(timestamp) - 1) / 5) AS BIGINT) + CASE WHEN event_id % 7 = 0 THEN 2 ELSE 0 END"
+
+
+def _deliveries(spark, d):
+    """The ledger job, started anew from its checkpoint for every delivery."""
+    base, checkpoint = jobs.job_dirs(spark, "burst-ledger")
+    events = view(spark, d, "threat_events").withColumn("delivery", F.expr(_DELIVERY))
+    schema = events.drop("delivery").schema
+    for n in range(9):
+        part = events.where(F.col("delivery") == n).drop("delivery")
+        part.write.parquet(f"{base}/in/delivery={n}")
+        source = spark.readStream.schema(schema).parquet(f"{base}/in/*")
+        watches.burst_ledger(source, f"{base}/out", checkpoint, GAP, LATENESS)
+    return f"{base}/out"
+
+
+@query("stream_late_bursts", "X2 X1", f"""
+WITH {BURSTS} SELECT sensor_id, event_type, CAST(first_ts AS VARCHAR) AS first_ts, CAST(last_ts AS VARCHAR) AS timestamp, count, severity, raw_rows FROM bursts""")
+def _(spark, d):
+    return watches.ledger_bursts(spark, _deliveries(spark, d), GAP).drop("origin")
+
+
+@query("late_rows", "X2", f"""
+WITH e AS (SELECT *, {_DELIVERY} AS delivery FROM threat_events),
+m AS (SELECT delivery, max(max(timestamp)) OVER (ORDER BY delivery ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e GROUP BY delivery)
+SELECT event_id, sensor_id FROM e JOIN m USING (delivery) WHERE timestamp < before - INTERVAL {LATENESS} SECOND""")
+def _(spark, d):
+    return watches.late_table(spark, _deliveries(spark, d)).select("event_id", "sensor_id")
 
 
 @query("verified_day_export", "S7 S5", """
