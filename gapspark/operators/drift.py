@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gapspark.operators.ordered import join_on
+from gapspark.operators.ordered import halo_blocks, join_on, running_totals
 
 MAX_CONFIRMING_LAG = 8
 ACCURACY_FACTOR = 3.0
+RANGE = 4096  # blocks of a run that one window orders
 
 
 def block_errors(predictions: DataFrame, keys: list[str], error: str = "error") -> DataFrame:
@@ -72,13 +72,19 @@ def profile_scores(profile: DataFrame, keys: list[str], baseline_blocks: int) ->
         F.when(F.col("block") < baseline_blocks - 1, loo).alias("score_loo"))
 
 
-def _trailing_mean(keys: list[str], value: str) -> Column:
-    return F.avg(value).over(Window.partitionBy(*keys).orderBy("block").rowsBetween(-4, 0))
+def _with_trailing_mean(blocks: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Adds ``moving_avg``, the mean of five blocks (fewer at the start). A run is cut into ranges that
+    overlap by four blocks, so one long run is many tasks' work."""
+    ranges = blocks.withColumn("_range", F.floor(F.col("block") / F.lit(RANGE)))
+    placed = running_totals(ranges, keys, "block", {"_idx": F.lit(1)}, bucket="_range").drop("_range")
+    halo, window = halo_blocks(placed, keys, "_idx", 4, 0, RANGE)
+    mean = F.avg(value).over(window.rowsBetween(-4, 0))
+    return halo.withColumn("moving_avg", mean).where("_own").select(*blocks.columns, "moving_avg")
 
 
 def monitor_absolute(fidelity: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Trailing mean of five blocks (fewer at the start) below a fixed threshold."""
-    return fidelity.withColumn("moving_avg", _trailing_mean(keys, "fidelity_score")).withColumn(
+    return _with_trailing_mean(fidelity, keys, "fidelity_score").withColumn(
         "drift_detected", F.col("moving_avg") < threshold)
 
 
@@ -99,7 +105,7 @@ def monitor_adaptive(
     limits = scores.groupBy(*keys).agg(
         (F.avg(baseline_fidelity) - margin(F.stddev_pop(baseline_fidelity))).alias("_fid"),
         (F.avg("score_loo") - margin(F.stddev_pop("score_loo"))).alias("_prof"))
-    joined = join_on(scores, limits, keys).withColumn("moving_avg", _trailing_mean(keys, "fidelity_score"))
+    joined = _with_trailing_mean(join_on(scores, limits, keys), keys, "fidelity_score")
     detected = F.when(armed, F.coalesce(F.col("score") < F.col("_prof"), F.lit(False))).otherwise(
         F.col("moving_avg") < threshold)
     return joined.select(

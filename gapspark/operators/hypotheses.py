@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,8 @@ SEED = 42
 EXACT_SIDE = 8  # a side this small and no ties: the exact rank-sum distribution applies
 PERIOD = 840  # of the counts below: the least common multiple of 1 to 8
 LISTABLE_FLIPS = 48  # values whose half sums, 2 ** 24 of them, can be listed
+GRID_DIGITS = 6  # decimal places that a common grid of values may have
+GRID_CELLS, GRID_WORK = 1 << 22, 1 << 33  # sums on the grid, and steps over them, that one key may take
 
 
 # --- two samples ------------------------------------------------------------------------------
@@ -225,15 +228,21 @@ def kruskal_wallis(samples: DataFrame, keys: list[str], group: str, value: str =
 
 
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Rank correlation with its t-approximated two-sided p per key."""
-    complete = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """Rank correlation with its t-approximated two-sided p per key.
+
+    The pairs are written once, and both columns are ranked in one long table.
+    """
+    complete = materialize(pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")), "complete-pairs")
+    long = complete.select(*keys, F.explode(F.array(
+        F.struct(F.lit("x").alias("axis"), F.col("_x").alias("at")), F.struct(F.lit("y").alias("axis"), F.col("_y").alias("at")))
+    ).alias("_p")).select(*keys, F.col("_p.axis").alias("_axis"), F.col("_p.at").alias("_at"))
+    ranks = materialize(midranks(value_counts(long, [*keys, "_axis"], "_at"), [*keys, "_axis"], "_at"), "ranks")
     out = complete
-    for c in (x, y):
-        ranks = midranks(value_counts(complete, keys, c), keys, c).select(
-            *keys, c, F.col("midrank").alias(f"_rank_{c}"))
-        out = join_on(out, ranks, [*keys, c])
-    s = out.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.corr(f"_rank_{x}", f"_rank_{y}").alias("rho"))
+    for axis in ("x", "y"):
+        own = ranks.where(F.col("_axis") == axis).select(*keys, F.col("_at").alias(f"_{axis}"), F.col("midrank").alias(f"_rank_{axis}"))
+        out = join_on(out, own, [*keys, f"_{axis}"])
+    s = out.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rank_x", "_rank_y").alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.when(F.abs("rho") < 1, 1 - F.col("rho") * F.col("rho")))
     p = F.when(F.abs("rho") >= 1, F.lit(0.0)).otherwise(student_two_sided(t, F.col("n") - 2))
     return s.select(*keys, "n", "rho", F.when(F.col("n") > 2, p).alias("p_value"))
@@ -340,21 +349,82 @@ def bootstrap_ci(
     )
 
 
+def _grid_p(steps: np.ndarray, copies: np.ndarray, observed: int) -> float:
+    """P(|sum of +-steps| >= |observed|) by the product of the generating polynomials: the chance of
+    every total of flipped steps, one shift and sum for each value."""
+    total = int((steps * copies).sum())
+    if observed == 0:
+        return 1.0
+    chance = np.zeros(total + 1)
+    chance[0], reach = 1.0, 0
+    for step, n in zip(steps.tolist(), copies.tolist()):
+        for _ in range(n):
+            flipped = chance[: reach + 1] / 2
+            chance[: reach + 1] = flipped
+            chance[step : reach + step + 1] += flipped
+            reach += step
+    # a total t of flipped steps leaves the sum total - 2 t
+    return min(1.0, 2.0 * float(chance[: (total - abs(observed)) // 2 + 1].sum()))
+
+
+def sign_flip_on_grid(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Exact two-sided sign-flip p of the keys whose values lie on a common decimal grid, for any number
+    of values: ``_p`` and ``_why`` (``off_grid``, ``grid_too_fine`` or NULL) per key.
+
+    Values become whole steps of the grid and their counts, so what is gathered per key is bounded by
+    the grid's cells and not by the rows.
+    """
+    scaled = [F.col(value) * F.lit(10.0**d) for d in range(GRID_DIGITS + 1)]
+    nonzero = values.where(F.col(value) != 0)
+    # the tolerance covers what a mean of decimal numbers rounds
+    whole = nonzero.groupBy(*keys).agg(*[
+        F.bool_and(F.abs(s - F.round(s)) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(s))).alias(f"_g{d}") for d, s in enumerate(scaled)])
+    digits = F.coalesce(*[F.when(F.col(f"_g{d}"), F.lit(d)) for d in range(GRID_DIGITS + 1)])
+    grids = whole.select(*keys, digits.alias("_digits"))
+    stepped = join_on(nonzero, grids, keys).where(F.col("_digits").isNotNull()).select(
+        *keys, F.round(F.col(value) * F.pow(F.lit(10.0), F.col("_digits"))).cast("decimal(38,0)").alias("_step"))
+    counts = stepped.groupBy(*keys, F.abs("_step").alias("_size")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_step").alias("_sum"))
+    counts = materialize(counts, "grid-steps")
+    sums = counts.groupBy(*keys).agg(
+        F.sum(F.col("_size") * F.col("_n")).alias("_cells"), F.sum("_n").alias("_flips"), F.abs(F.sum("_sum")).alias("_observed"))
+    fits = (F.col("_cells") <= GRID_CELLS) & (F.col("_cells").cast("double") * F.col("_flips") <= GRID_WORK)
+    state = materialize(join_on(grids, sums, keys, "left").withColumn("_why", F.when(
+        F.col("_digits").isNull(), "off_grid").when(~fits, "grid_too_fine")), "grid-state")
+    small = state.where(F.col("_why").isNull()).select(*keys, F.col("_observed").cast("long").alias("_observed"))
+    gathered = join_on(counts, small, keys).groupBy(*keys).agg(
+        F.max("_observed").alias("_observed"),
+        F.collect_list(F.struct(F.col("_size").cast("long").alias("s"), F.col("_n").alias("n"))).alias("_steps"))
+
+    @F.pandas_udf(T.DoubleType())
+    def chance(observed: pd.Series, steps: pd.Series) -> pd.Series:
+        return pd.Series([
+            _grid_p(np.array([x["s"] for x in own], np.int64), np.array([x["n"] for x in own], np.int64), int(o))
+            for o, own in zip(observed, steps)], dtype="float64")
+
+    tested = spread(gathered, *keys).select(*keys, chance("_observed", "_steps").alias("_p"))
+    return join_on(state.select(*keys, "_why"), tested, keys, "left")
+
+
 def sign_flip_exact(
     values: DataFrame, keys: list[str], value: str, order: str, listable: int = LISTABLE_FLIPS,
 ) -> DataFrame:
     """Exact two-sided sign-flip test of a zero mean per key; zeros carry no information.
 
-    All 2^n sign patterns are counted without listing them: the values are split in two halves,
-    each half lists its 2^(n/2) signed sums, and pairs reaching the observed sum are counted by
-    an ordered pass that is split by value, so a long list never sits in one task. A key with more
-    than ``listable`` non-zero values has no exact p: its ``status`` says so and its p is NULL, other
-    keys are not touched. ``sign_flip_sampled`` is the test to name for such keys.
+    Keys with up to ``listable`` non-zero values count all 2^n sign patterns without listing them: the
+    values are split in two halves, each half lists its 2^(n/2) signed sums, and pairs reaching the
+    observed sum are counted by an ordered pass that is split by value, so a long list never sits in one
+    task. Keys with more values are counted on their common decimal grid (``sign_flip_on_grid``). Only
+    where there is none, or too fine a one, the p is NULL and ``status`` says why;
+    ``sign_flip_sampled`` is the test to name for such keys.
     """
+    values = materialize(values.select(*keys, value, order), "sign-flip-values")
     nonzero = values.where(F.col(value) != 0)
-    sizes = nonzero.groupBy(*keys).agg(
+    sizes = materialize(nonzero.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_size"), F.count_if(F.col(value) > 0).alias("n_positive"),
-        F.count_if(F.col(value) < 0).alias("n_negative"))
+        F.count_if(F.col(value) < 0).alias("n_negative")), "sign-flip-sizes")
+    many = sizes.where(F.col("_size") > listable).select(*keys)
+    on_grid = sign_flip_on_grid(join_on(values, many, keys), keys, value) if many.limit(1).count() else None
     # decided before anything is gathered
     checked = join_on(nonzero, sizes.where(F.col("_size") <= listable), keys)
     s = checked.groupBy(*keys).agg(
@@ -382,6 +452,7 @@ def sign_flip_exact(
     points = sums.select(
         *keys, "_n", "_obs", (F.col("_h.part") == 1).cast("int").alias("_kind"),
         F.when(F.col("_h.part") == 1, F.col("_sum")).otherwise(reach - F.col("_sum")).alias("_at"))
+    points = materialize(points, "sign-flip-sums")
     bucketed = quantile_bucket(points, keys, "_at").withColumn("_order", F.struct("_at", "_kind"))
     counted = running_totals(bucketed, keys, "_order", {"_before": F.col("_kind")})
     hits = counted.groupBy(*keys).agg(
@@ -391,16 +462,17 @@ def sign_flip_exact(
     upper = F.col("_left") * F.col("_right") + F.col("_minus")
     all_patterns = F.col("_left") * F.col("_right")
     p = F.when(F.col("_o") - 1e-12 <= 0, F.lit(1.0)).otherwise(2 * upper / all_patterns)
-    tested = hits.select(*keys, p.alias("_p"))
+    tested = hits.select(*keys, p.alias("_p"), F.lit(None).cast("string").alias("_why"))
+    if on_grid is not None:
+        tested = tested.unionByName(on_grid.select(*tested.columns))
     everyone = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"))
     out = join_on(join_on(everyone, sizes, keys, "left"), tested, keys, "left")
     zero = F.lit(0).cast("bigint")
-    listed = F.coalesce("_size", zero) <= listable
     return out.select(
         *keys, "n_values", F.coalesce("n_positive", zero).alias("n_positive"),
         F.coalesce("n_negative", zero).alias("n_negative"),
-        F.when(listed, F.coalesce("_p", F.lit(1.0))).alias("p_value"),
-        F.when(listed, "exact").otherwise("too_many_values").alias("status"))
+        F.when(F.col("_why").isNull(), F.coalesce("_p", F.lit(1.0))).alias("p_value"),
+        F.coalesce("_why", F.lit("exact")).alias("status"))
 
 
 def sign_flip_sampled(
@@ -447,15 +519,54 @@ def holm(tests: DataFrame, family: list[str], p: str = "p_value", tie: list[str]
     ).drop("_step")
 
 
-def profile_repeatability(profiles: DataFrame, keys: list[str], run: str, feature: str, value: str) -> DataFrame:
+def profile_repeatability(profiles: DataFrame, keys: list[str], run: str, feature: str, value: str,
+                          block: int = 512) -> DataFrame:
     """Smallest and largest cosine between repeated profiles of the same window.
 
-    The pairs are the repeats of one experiment (its repeat count), matched feature by feature.
+    A run's profile becomes one unit vector (as pairs of feature and value). Runs lie in blocks of at
+    most ``block`` per key, and every pair of blocks is one row of work: a block product of the Gram
+    matrix, of which only the number, minimum and maximum of the cosines go on. Runs with a feature in
+    common make a pair; a profile that is zero throughout has no cosine.
     """
-    norms = profiles.groupBy(*keys, run).agg(F.sqrt(F.sum(F.col(value) * F.col(value))).alias("_norm"))
-    a = join_on(profiles, norms, [*keys, run])
-    b = a.select(*keys, F.col(run).alias("_run2"), feature, F.col(value).alias("_v2"), F.col("_norm").alias("_norm2"))
-    pairs = join_on(a, b, [*keys, feature]).where(F.col(run) < F.col("_run2")).groupBy(*keys, run, "_run2").agg(
-        (F.sum(F.col(value) * F.col("_v2")) / F.max("_norm") / F.max("_norm2")).alias("_cos"))
-    return pairs.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_pairs"), F.min("_cos").alias("min_cosine"), F.max("_cos").alias("max_cosine"))
+    squares = profiles.groupBy(*keys, run).agg(F.sum(F.col(value) * F.col(value)).alias("_sq"))
+    units = join_on(profiles, squares, [*keys, run]).groupBy(*keys, run).agg(F.collect_list(F.struct(
+        F.xxhash64(F.col(feature)).alias("f"), F.try_divide(F.col(value), F.sqrt("_sq")).alias("x"))).alias("_vector"))
+    sizes = squares.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).alias("_blocks"))
+    dealt = join_on(units, sizes, keys).withColumn("_block", F.pmod(F.xxhash64(F.col(run)), F.col("_blocks")))
+    blocks = materialize(dealt.groupBy(*keys, "_block").agg(F.collect_list("_vector").alias("_runs")), "run-blocks")
+    numbers = blocks.select(*keys, "_block")
+    partners = numbers.withColumnRenamed("_block", "_other")
+    pairs = spread(join_on(numbers, partners, keys).where(F.col("_block") <= F.col("_other")), *keys, "_block", "_other")
+    left = join_on(pairs, blocks, [*keys, "_block"])
+    right = blocks.withColumnRenamed("_block", "_other").withColumnRenamed("_runs", "_runs2")
+    met = join_on(left, right, [*keys, "_other"])
+    fields = {f.name: f.dataType.simpleString() for f in met.schema.fields}
+    ddl = "".join(f"`{k}` {fields[k]}, " for k in keys) + "_n long, _low double, _high double"
+
+    def cosines(batches):
+        for batch in batches:
+            found = []
+            for own, other, twin in zip(*(c.to_pylist() for c in batch.columns[len(keys):])):
+                names = {f: i for i, f in enumerate(sorted({x["f"] for runs in (own, other) for r in runs for x in r}))}
+                matrices = []
+                for runs in (own, other):
+                    m, there = np.zeros((len(runs), len(names))), np.zeros((len(runs), len(names)))
+                    for i, r in enumerate(runs):
+                        for x in r:
+                            m[i, names[x["f"]]] += np.nan if x["x"] is None else x["x"]
+                            there[i, names[x["f"]]] = 1
+                    matrices.append((m, there))
+                (m, here), (n, there) = matrices
+                pick = (here @ there.T) > 0
+                if twin:
+                    pick &= np.triu(np.ones(pick.shape, bool), 1)
+                cos = (m @ n.T)[pick]
+                known = cos[~np.isnan(cos)]
+                found.append((len(cos), float(known.min()) if len(known) else None, float(known.max()) if len(known) else None))
+            measures = [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *measures], names=[*keys, "_n", "_low", "_high"])
+
+    each = met.select(*keys, "_runs", "_runs2", (F.col("_block") == F.col("_other")).alias("_same")).mapInArrow(cosines, ddl)
+    return each.groupBy(*keys).agg(
+        F.sum("_n").alias("n_pairs"), F.min("_low").alias("min_cosine"), F.max("_high").alias("max_cosine")
+    ).where("n_pairs > 0")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from gapspark.session import materialize
 
-QUANTILE_BUCKETS = 1024  # bounds that the sketch gives; as many of them are used as a key needs
+SPLIT = 256  # parts into which one round cuts a bucket that is too large
 BUCKET_ABOVE = 100_000  # rows of one key that one window may order
 
 
@@ -45,24 +45,30 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def quantile_bucket(df: DataFrame, keys: list[str], value: str, name: str = "_bucket") -> DataFrame:
-    """Adds an order-preserving bucket number per key, from approximate value quantiles.
+    """Adds an order-preserving bucket per key, so that no bucket holds more than ``BUCKET_ABOVE`` rows
+    but those of one value.
 
-    The quantile sketch merges map-side and has a fixed size per key; the bucket is only a way to
-    spread the work, so its approximation never reaches a result. A key has one bucket for every
-    ``BUCKET_ABOVE`` of its rows.
+    A bucket is a path of numbers. Every round splits only the buckets that are still too large, each by
+    approximate quantiles of its own values (and its least one, so every round splits), until none is left;
+    the sketch merges map-side and only spreads the work, so its approximation never reaches a result. Keys that fit from the start cost one
+    count. ``df`` is read in every round, so it should be a written table.
     """
-    probs = [i / QUANTILE_BUCKETS for i in range(1, QUANTILE_BUCKETS)]
-    buckets = F.least(F.lit(QUANTILE_BUCKETS), F.ceil(F.col("_size") / F.lit(BUCKET_ABOVE)).cast("int"))
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10 * QUANTILE_BUCKETS).alias("_all"), F.count(F.lit(1)).alias("_size")
-    ).withColumn("_buckets", buckets).select(*keys, F.when(
-        F.col("_buckets") > 1, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.col("_buckets") - 1, F.lit(1))),
-            lambda i: F.get("_all", F.floor(i * QUANTILE_BUCKETS / F.col("_buckets")).cast("int") - 1))
-    ).otherwise(F.slice("_all", 1, 0)).alias("_bounds"))
-    return join_on(df, bounds, keys).withColumn(
-        name, F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    ).drop("_bounds")
+    out = df.withColumn(name, F.array().cast("array<int>"))
+    while True:
+        sizes = out.groupBy(*keys, name).agg(
+            F.count(F.lit(1)).alias("_size"), (F.min(value) < F.max(value)).alias("_varied")
+        ).where((F.col("_size") > BUCKET_ABOVE) & F.col("_varied"))
+        if not sizes.limit(1).count():
+            return out
+        large = materialize(sizes.drop("_varied"), "large-buckets")
+        probs = [i / SPLIT for i in range(1, SPLIT)]
+        bounds = join_on(out, large, [*keys, name]).groupBy(*keys, name).agg(
+            F.array_union(F.array(F.min(value)), F.percentile_approx(value, probs, 10 * SPLIT)).alias("_bounds"))
+        below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+        out = materialize(
+            join_on(out, bounds, [*keys, name], "left").withColumn(
+                name, F.when(F.col("_bounds").isNotNull(), F.concat(name, F.array(below))).otherwise(F.col(name))
+            ).drop("_bounds"), "buckets")
 
 
 def running_totals(

@@ -168,13 +168,46 @@ def test_many_values_of_one_key_do_not_stop_the_others(spark):
     data = [("big", i, 1.0 if i % 3 else -1.0) for i in range(60)] + [("small", i, 1.0) for i in range(6)]
     df = spark.createDataFrame(data, "k STRING, i INT, v DOUBLE")
     got = {r.k: r for r in hy.sign_flip_exact(df, ["k"], "v", "i").collect()}
-    assert (got["big"].p_value, got["big"].status, got["big"].n_positive) == (None, "too_many_values", 40)
-    assert (got["small"].p_value, got["small"].status) == (pytest.approx(2 / 64), "exact")
     want = sum(math.comb(60, j) for j in range(61) if abs(60 - 2 * j) >= 20) / 2**60
+    assert (got["big"].p_value, got["big"].status, got["big"].n_positive) == (pytest.approx(want), "exact", 40)
+    assert (got["small"].p_value, got["small"].status) == (pytest.approx(2 / 64), "exact")
     sampled = {r.k: r.p_value for r in hy.sign_flip_sampled(df, ["k"], "v", "i", 2000).collect()}
     assert sampled["big"] == pytest.approx(want, abs=0.01) and sampled["small"] == pytest.approx(2 / 64, abs=0.02)
 
 
+def test_sign_flip_on_a_grid_equals_listing(spark):
+    rng = random.Random(6)
+    sets = {"whole": [rng.randint(-9, 9) for _ in range(14)], "means": [rng.randint(-400, 400) / 500 for _ in range(15)],
+            "zeros": [0.0] * 5, "even": [1.5, -1.5]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in sets.items() for i, v in enumerate(vs)], "k STRING, i INT, v DOUBLE")
+    listed = {r.k: r for r in hy.sign_flip_exact(df, ["k"], "v", "i").collect()}
+    on_grid = {r.k: r for r in hy.sign_flip_exact(df, ["k"], "v", "i", listable=1).collect()}
+    for k in sets:
+        assert on_grid[k].p_value == pytest.approx(listed[k].p_value) and on_grid[k].status == listed[k].status == "exact"
+    off = [("odd", i, math.sqrt(i + 2)) for i in range(50)] + [("fine", i, 10.0**6 + i + 0.000001) for i in range(50)]
+    out = hy.sign_flip_exact(spark.createDataFrame(off, "k STRING, i INT, v DOUBLE"), ["k"], "v", "i").collect()
+    assert {(r.k, r.p_value, r.status) for r in out} == {("odd", None, "off_grid"), ("fine", None, "grid_too_fine")}
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_profile_cosines_match_plain_pairs(spark, block):
+    rng = random.Random(3)
+    data = [(k, r, f, rng.random()) for k in "ab" for r in range(11) for f in range(6) if rng.random() < 0.8]
+    data += [("z", 1, 0, 0.0), ("z", 2, 0, 1.0), ("one", 1, 0, 1.0), ("apart", 1, 0, 1.0), ("apart", 2, 1, 1.0)]
+    out = hy.profile_repeatability(spark.createDataFrame(data, "k STRING, run INT, f INT, v DOUBLE"), ["k"], "run", "f", "v", block).collect()
+    got = {r.k: (r.n_pairs, r.min_cosine, r.max_cosine) for r in out}
+    runs = {}
+    for k, r, f, v in data:
+        runs.setdefault(k, {}).setdefault(r, {})[f] = v
+    for k in "ab":
+        cos = []
+        for x, y in itertools.combinations(runs[k].values(), 2):
+            if x.keys() & y.keys():
+                cos.append(sum(x[f] * y[f] for f in x.keys() & y.keys()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values())))
+        assert got[k] == (len(cos), pytest.approx(min(cos)), pytest.approx(max(cos)))
+    assert got["z"] == (1, None, None) and "one" not in got and "apart" not in got
+
+
 @pytest.mark.parametrize("df, x, want", [(2000, 2000.0, 0.4957949), (2001, 2001.0, 0.4957960), (1, 3.841458820694124, 0.05),
                                          (2, 5.991464547107979, 0.05), (9, 16.91897760462045, 0.05), (5, 0.0, 1.0)])
 def test_chi_square_tail_for_few_and_many_degrees(spark, df, x, want):
@@ -188,10 +221,25 @@ def test_student_tail_for_many_degrees(spark):
     assert p(2.0, 1000) == pytest.approx(p(2.0, 1001), abs=1e-5)
 
 
-def test_bucket_count_follows_size(spark):
-    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("k"), F.col("id").alias("v"))
-    used = {r.k: r.n for r in ordered.quantile_bucket(df, ["k"], "v").groupBy("k").agg(F.count_distinct("_bucket").alias("n")).collect()}
-    assert used == {True: 17, False: 34}  # a bucket for every 20 rows here
+def test_buckets_fit_after_as_many_rounds_as_needed(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SPLIT", 3)
+    monkeypatch.setattr(ordered, "BUCKET_ABOVE", 7)
+    df = spark.range(1000).select((F.col("id") % 3 == 0).alias("k"), (F.col("id") * F.col("id") % 997).alias("v"))
+    counts = ordered.value_counts(df, ["k"], "v")
+    placed = ordered.quantile_bucket(counts, ["k"], "v").collect()
+    sizes, paths = {}, {}
+    for r in placed:
+        sizes[r.k, tuple(r["_bucket"])] = sizes.get((r.k, tuple(r["_bucket"])), 0) + 1
+        paths.setdefault(r.k, []).append((r.v, tuple(r["_bucket"])))
+    assert max(sizes.values()) <= 7 and max(len(p) for _, p in sizes) >= 4  # many rounds
+    for own in paths.values():
+        own.sort()
+        assert [p for _, p in own] == sorted(p for _, p in own)
+    q = {r.k: (r.a, r.b) for r in ordered.quantiles(df, ["k"], "v", {"a": 0.5, "b": 0.95}).collect()}
+    values = {k: sorted(r.v for r in df.collect() if r.k == k) for k in (True, False)}
+    assert q == {k: tuple(np.quantile(v, [0.5, 0.95])) for k, v in values.items()}
+    heavy = spark.range(500).select(F.lit(1).alias("k"), F.lit(2.0).alias("v"))  # one value cannot be split
+    assert ordered.quantile_bucket(heavy, ["k"], "v").select("_bucket").distinct().count() == 1
 
 
 def test_holm_and_bonferroni(spark):
@@ -299,3 +347,17 @@ def test_permutations_keep_the_values(spark):
     got = rows(p.select("perm", F.array_sort("resid"), "resid"))
     assert len(got) == 50 and all(r[1] == [float(i) for i in range(20)] for r in got)
     assert len({tuple(r[2]) for r in got}) == 50
+
+
+def test_trailing_mean_of_a_long_run(spark, monkeypatch):
+    from gapspark.operators import drift
+
+    monkeypatch.setattr(drift, "RANGE", 16)
+    rng = random.Random(2)
+    data = [("long", b, rng.random()) for b in range(300) if b % 11] + [("short", b, rng.random()) for b in range(3)]
+    out = drift.monitor_absolute(spark.createDataFrame(data, "run STRING, block LONG, fidelity_score DOUBLE"), ["run"]).collect()
+    assert len(out) == len(data)
+    for run in ("long", "short"):
+        own = sorted((b, v) for r, b, v in data if r == run)
+        want = {b: sum(v for _, v in own[max(0, i - 4) : i + 1]) / len(own[max(0, i - 4) : i + 1]) for i, (b, _) in enumerate(own)}
+        assert {r.block: r.moving_avg for r in out if r.run == run} == pytest.approx(want)
