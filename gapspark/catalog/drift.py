@@ -93,6 +93,15 @@ def _(spark, d):
     return dr.false_alarms(_monitor(spark, d), ["run"], BASE - 1)
 
 
+@query("alarms_before_change", "D11 D9", f"""
+WITH {MON} SELECT run, coalesce(string_agg(CAST(block AS VARCHAR), ',' ORDER BY block) FILTER (WHERE block < {BASE} AND dd), '') AS blocks,
+  count(*) FILTER (WHERE block < {BASE} AND dd) AS n_blocks FROM mo GROUP BY 1""")
+def _(spark, d):
+    early = dr.alarms_before_change(_monitor(spark, d), ["run"], BASE)
+    blocks = F.col("false_alarm_blocks_before_change")
+    return early.select("run", F.concat_ws(",", F.transform(blocks, lambda b: b.cast("string"))).alias("blocks"), F.size(blocks).alias("n_blocks"))
+
+
 _VECTOR = ", ".join(f"CAST({c} AS DOUBLE)" for c in FEATURE_COLUMNS)
 
 

@@ -258,6 +258,41 @@ def _(spark, d):
     return t.select("trial", "cpu_peak", "cpu_mean", "n_resource_samples", F.array_join("containers_seen", ",").alias("containers_seen"), "complete")
 
 
+@query("ablation_folder_scan", "A14", """
+WITH g AS (SELECT l_linenumber AS w, l_suppkey % 20 AS k, count(*) AS n, count(DISTINCT l_partkey) AS g, max(l_quantity) AS cpu, avg(l_quantity) AS cpu_mean,
+  max(l_tax) AS up, min(l_tax) AS low FROM lineitem GROUP BY 1, 2)
+SELECT concat('w', w * 100, '_trial', k) AS trial, CASE k % 7 WHEN 2 THEN 'unreadable' WHEN 3 THEN 'missing' ELSE 'ok' END AS result_status,
+  CASE WHEN k % 7 NOT IN (2, 3) THEN CAST(w * 100 AS BIGINT) END AS window_ms, CASE WHEN k % 7 NOT IN (2, 3) THEN n END AS raw_event_count,
+  CASE WHEN k % 7 NOT IN (2, 3) THEN g END AS n_aggregated_groups, CASE WHEN k % 7 NOT IN (2, 3) THEN round(up, 6) END AS upper_mean,
+  CASE WHEN k % 7 NOT IN (2, 3) AND k % 7 <> 5 THEN round(low, 6) END AS lower_mean, CASE WHEN k % 7 <> 4 THEN round(CAST(cpu AS DOUBLE), 6) END AS cpu_peak,
+  k % 7 NOT IN (2, 3, 4) AS complete FROM g""")
+def _(spark, d):
+    li = load(spark, d, "lineitem")
+    g = li.groupBy(F.col("l_linenumber").alias("w"), (F.col("l_suppkey") % 20).alias("k")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("l_partkey").alias("g"), F.max("l_quantity").alias("cpu"),
+        F.min("l_quantity").alias("cpu_low"), F.max("l_tax").cast("double").alias("up"), F.min("l_tax").cast("double").alias("low"))
+    folder = F.concat(F.lit("batch/w"), F.col("w") * 100, F.lit("_trial"), "k", F.lit("/"))
+    kind = F.col("k") % 7  # every seventh folder: a result that breaks off, no result, no samples, no lower bound
+    body = F.to_json(F.struct(
+        (F.col("w") * 100).alias("window_ms"), F.col("n").alias("raw_event_count"), F.col("n").alias("aggregated_count_sum"),
+        F.lit(True).alias("count_matches"), F.col("g").alias("n_aggregated_groups"),
+        F.struct(F.col("up").alias("mean")).alias("latency_upper_ms"),
+        F.when(kind != 5, F.struct(F.col("low").alias("mean"))).alias("latency_lower_ms")), {"pretty": "true"})
+    results = g.where(kind != 3).select(
+        F.concat(folder, F.lit("results.json")).alias("path"),
+        F.when(kind == 2, F.substring(body, 1, 20)).otherwise(body).alias("content"))
+    header = "timestamp,container,cpu_percent,mem_usage,mem_percent,block_io\n"
+    line = lambda c: F.concat(F.lit("1,obs-ablation-vector,"), F.col(c).cast("string"), F.lit(",1MiB / 2MiB,1,0B / 0B\n"))
+    samples = g.where(kind != 4).select(
+        F.concat(folder, F.lit("resource_vector.csv")).alias("path"),
+        F.concat(F.lit(header), line("cpu"), F.lit("2,obs-ablation-vector,broken,,,\n"), line("cpu_low")).alias("content"))
+    base = shared_dir(spark, "ablation")
+    write_texts(results.unionByName(samples), base)
+    return trial_files.scan_ablation(spark, base).select(
+        "trial", "result_status", "window_ms", "raw_event_count", "n_aggregated_groups", F.col("latency_upper_ms.mean").alias("upper_mean"),
+        F.col("latency_lower_ms.mean").alias("lower_mean"), "cpu_peak", "complete")
+
+
 ABL = ", ".join(
     f"round({f}({s}_{c}), 6) AS {s}_{label}" for s in ("upper", "lower")
     for f, c, label in (("avg", "mean", "mean_of_means"), ("avg", "p95", "mean_of_p95"), ("max", "max", "max_of_max")))

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from gapspark.functions.labels import empty_to_unknown
 from gapspark.operators import filters, monitor, retention
 from gapspark.registry import query
+from gapspark.session import shared_dir
+from gapspark.sinks.files import write_texts
+from gapspark.sources import guarded
 from gapspark.sources.driver_tables import load, view
 
 CLEAN = ("inject_id = '' AND sensor_id NOT IN ('203.0.113.10','203.0.113.11') "
@@ -91,6 +94,20 @@ def _(spark, d):
     return filters.known_node_ids(view(spark, d, "known_nodes").where("role = 'retired'"))
 
 
+@query("events_with_unreadable_nodes", "A16", """
+SELECT CASE WHEN sensor_id IN ('203.0.113.10', '203.0.113.11') THEN 'own' ELSE 'other' END AS kind, 'unreadable' AS source_status, count(*) AS n_rows
+FROM threat_events GROUP BY 1""")
+def _(spark, d):
+    nodes = view(spark, d, "known_nodes")
+    base = shared_dir(spark, "nodes")
+    nodes.write.parquet(f"{base}/known_nodes")
+    write_texts(spark.range(1).select(F.lit("known_nodes/part-broken.parquet").alias("path"), F.lit("PAR1").alias("content")), base)
+    ids, status = guarded.guarded_node_ids(spark, f"{base}/known_nodes", nodes.schema)
+    events = view(spark, d, "threat_events")
+    own = events.join(ids, F.col("sensor_id") == F.col("ip"), "left").select(F.when(F.col("ip").isNotNull(), "own").otherwise("other").alias("kind"))
+    return own.groupBy("kind").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("source_status", F.lit(status))
+
+
 @query("parameterised_select", "A5", """
 SELECT sensor_id, count(*) AS n_rows FROM threat_events
 WHERE severity >= 3 AND event_type IN ('alert', 'ssh') GROUP BY sensor_id""")

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from gapspark.functions import parsing
 from gapspark.operators import reconcile
 from gapspark.registry import query
-from gapspark.sources import send_logs
+from gapspark.session import shared_dir
+from gapspark.sinks.files import write_texts
+from gapspark.sources import guarded, send_logs
 from gapspark.sources.driver_tables import view
 
 SENT = """
@@ -59,8 +61,31 @@ SELECT system, total_injected, total_recorded, total_injected - total_recorded A
   CASE WHEN system = 'baseline' THEN 'UNVERIFIED' WHEN total_injected = total_recorded THEN 'OK' ELSE 'DATA LOSS' END AS status FROM c""")
 def _(spark, d):
     sent, recorded = _inputs(spark, d)
-    systems = _systems(spark).withColumn("verification_failed", F.col("system") == "baseline")
-    return reconcile.loss_report(sent, recorded, systems)
+    base = shared_dir(spark, "exports")
+    for system in ("proposed", "baseline"):
+        recorded.write.parquet(f"{base}/{system}")
+    # one file of the baseline's export broke off while it was written
+    write_texts(spark.range(1).select(F.lit("baseline/part-broken.parquet").alias("path"), F.lit("PAR1 and no end").alias("content")), base)
+    rows, states = guarded.guarded_sources(spark, {s: f"{base}/{s}" for s in ("proposed", "baseline")}, recorded.schema)
+    failed = states.select("system", (F.col("source_status") != "ok").alias("verification_failed"))
+    systems = _systems(spark).drop("verification_failed").join(failed, "system")
+    return reconcile.loss_report(sent, rows.select(*recorded.columns).distinct(), systems)
+
+
+@query("export_read_status", "A8", f"""
+WITH {SENT}, n AS (SELECT count(*) AS n FROM r)
+SELECT 'whole' AS system, 'ok' AS source_status, n AS n_rows, CAST(0 AS BIGINT) AS n_unreadable FROM n UNION ALL SELECT 'broken', 'unreadable', n, 1 FROM n
+UNION ALL SELECT 'absent', 'missing', 0, 0 UNION ALL SELECT 'empty', 'ok', 0, 0""")
+def _(spark, d):
+    _, recorded = _inputs(spark, d)
+    base = shared_dir(spark, "exports")
+    for system in ("whole", "broken"):
+        recorded.write.parquet(f"{base}/{system}")
+    recorded.limit(0).write.parquet(f"{base}/empty")
+    write_texts(spark.range(1).select(F.lit("broken/part-broken.parquet").alias("path"), F.lit("").alias("content")), base)
+    _, states = guarded.guarded_sources(
+        spark, {s: f"{base}/{s}" for s in ("whole", "broken", "absent", "empty")}, recorded.schema)
+    return states.select("system", "source_status", "n_rows", "n_unreadable")
 
 
 @query("lost_ids", "J1 U2", f"WITH {SENT} SELECT host, inject_id FROM s ANTI JOIN r USING (inject_id)")

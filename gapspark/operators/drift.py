@@ -144,3 +144,10 @@ def false_alarms(monitor: DataFrame, keys: list[str], first_eval_block: int) ->
         F.count_if(evaluated & F.col("drift_detected")).alias("false_alarms"),
         F.count_if(evaluated).alias("n_evaluated_windows"),
         F.min(F.when(evaluated & F.col("drift_detected"), F.col("block"))).alias("first_false_alarm"))
+
+
+def alarms_before_change(monitor: DataFrame, keys: list[str], drift_block: int) -> DataFrame:
+    """Flagged blocks before the change, in order: false alarms, since nothing had drifted yet. Their
+    number is bounded by the blocks of the normal period."""
+    early = F.when(F.col("drift_detected") & (F.col("block") < drift_block), F.col("block"))
+    return monitor.groupBy(*keys).agg(F.sort_array(F.collect_list(early)).alias("false_alarm_blocks_before_change"))

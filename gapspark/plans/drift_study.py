@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gapspark.operators import drift as dr
 from gapspark.operators import features as ft
+from gapspark.operators.ordered import join_on
 from gapspark.session import materialize
 
 BACKGROUND = 20
@@ -111,7 +112,8 @@ def drift_study(
     """(monitor rows, verdicts) per seed; a seed is one bootstrap replicate of the training rows.
 
     Training rows are the first 80 % of the normal period; blocks hold ten sequences and an
-    incomplete tail block is dropped. The baseline covers the blocks before the change.
+    incomplete tail block is dropped. The baseline covers the blocks before the change; blocks flagged
+    there are listed with the verdict as false alarms.
     """
     seq_len = ft.SEQUENCE_LENGTH
     ft.require_sequences(n_normal, seq_len)
@@ -133,4 +135,6 @@ def drift_study(
     fidelity = dr.explanation_fidelity(scored, [*keys, "block"])
     monitor = dr.monitor_adaptive(fidelity, dr.profiles(attributions, keys), keys, baseline)
     errors = scored.groupBy(*keys, "block").agg(F.avg("mse").alias("mse"), F.avg("mae").alias("mae"))
-    return monitor, dr.verdicts(monitor, errors, keys, baseline)
+    monitor = materialize(monitor, "monitor")
+    verdicts = dr.verdicts(monitor, errors, keys, baseline)
+    return monitor, join_on(verdicts, dr.alarms_before_change(monitor, keys, baseline), keys)

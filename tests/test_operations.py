@@ -238,3 +238,4 @@ def test_linear_forecaster_explains_itself_and_sees_drift(spark):
     assert len(m) == 24 and all(r.fidelity_score == pytest.approx(1.0) for r in m)
     v = verdict.first()
     assert v.first_accuracy_drop is not None and v.first_accuracy_drop >= 18
+    assert v.false_alarm_blocks_before_change == sorted(r.block for r in m if r.drift_detected and r.block < 18)

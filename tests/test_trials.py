@@ -63,6 +63,28 @@ def test_edge_ablation_and_drift_folders(spark, tmp_path):
     assert (drift["cron_run2"].result_status, drift["cron_run2"].scenario) == ("unreadable", None)
 
 
+def test_guarded_reads_tell_empty_from_broken(spark, tmp_path):
+    from gapspark.operators.filters import KNOWN_SENSOR_IDS
+    from gapspark.sources import guarded
+
+    schema = spark.createDataFrame([], "ip string, n int").schema
+    rows = spark.createDataFrame([("10.0.0.1", 1), ("10.0.0.2", 2)], schema)
+    rows.repartition(2).write.parquet(f"{tmp_path}/whole")
+    rows.write.parquet(f"{tmp_path}/cut")
+    rows.limit(0).write.parquet(f"{tmp_path}/empty")
+    one = next((tmp_path / "cut").glob("part-*.parquet"))
+    (tmp_path / "cut" / "part-half.parquet").write_bytes(one.read_bytes()[:-20])
+    (tmp_path / "cut" / "part-none.parquet").write_bytes(b"")
+    names = {n: f"{tmp_path}/{n}" for n in ("whole", "cut", "empty", "absent")}
+    read, states = guarded.guarded_sources(spark, names, schema)
+    got = {r.system: (r.source_status, r.n_rows, r.n_unreadable) for r in states.collect()}
+    assert got == {"whole": ("ok", 2, 0), "cut": ("unreadable", 2, 2), "empty": ("ok", 0, 0), "absent": ("missing", 0, 0)}
+    assert {r.system: r["count"] for r in read.groupBy("system").count().collect()} == {"whole": 2, "cut": 2}
+    ids = {n: guarded.guarded_node_ids(spark, p, schema) for n, p in names.items()}
+    assert {r.ip for r in ids["whole"][0].collect()} == {"10.0.0.1", "10.0.0.2"}
+    assert all({r.ip for r in ids[n][0].collect()} == set(KNOWN_SENSOR_IDS) for n in ("cut", "empty", "absent"))
+
+
 def test_shared_folder_is_needed_on_a_cluster():
     class Session:
         class conf:
