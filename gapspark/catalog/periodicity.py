@@ -114,8 +114,7 @@ pm AS (SELECT variant, n, perm, r, row_number() OVER (PARTITION BY variant, perm
 """
 
 
-@query("weekday_permutation_test", "T10 J15", f"""
-WITH {PERM}
+WEEKDAY = f"""
 ob AS (SELECT variant, n, idx, wd, rank() OVER (PARTITION BY variant ORDER BY r) + (count(*) OVER (PARTITION BY variant, r) - 1) / 2 AS mr,
   count(*) OVER (PARTITION BY variant, r) AS tie FROM re),
 tc AS (SELECT variant, 1 - sum(CAST(tie AS DOUBLE) * tie - 1) / (power(any_value(n), 3) - any_value(n)) AS cf FROM ob GROUP BY 1),
@@ -126,7 +125,11 @@ pr AS (SELECT pm.variant, perm, ob.wd, sum(pm.mr) AS rs, any_value(pm.n) AS n FR
 hp AS (SELECT pr.variant, perm, 12 / (any_value(n) * (any_value(n) + 1)) * sum(rs * rs / g) - 3 * (any_value(n) + 1) AS hx
   FROM pr JOIN sz ON sz.variant = pr.variant AND sz.wd = pr.wd GROUP BY 1, 2),
 ge AS (SELECT hp.variant, count(*) FILTER (WHERE hx / cf >= h0 / cf - 1e-9) AS ge FROM hp JOIN oh USING (variant) JOIN tc USING (variant) GROUP BY 1)
-SELECT variant, n AS n_days, round(h0 / cf, 6) AS "H", round(h0 / cf / (n - 1), 6) AS eps2, round((ge + 1) / 10001, 6) AS p FROM oh JOIN tc USING (variant) JOIN ge USING (variant)""")
+"""
+
+
+@query("weekday_permutation_test", "T10 J15", f"""
+WITH {PERM} {WEEKDAY}SELECT variant, n AS n_days, round(h0 / cf, 6) AS "H", round(h0 / cf / (n - 1), 6) AS eps2, round((ge + 1) / 10001, 6) AS p FROM oh JOIN tc USING (variant) JOIN ge USING (variant)""")
 def _(spark, d):
     return pe.weekday_permutation_test(_arrays(spark, d), ["variant"])
 
@@ -148,22 +151,61 @@ def _(spark, d):
     return pe.band_power(_arrays(spark, d), ["variant"], BANDS)
 
 
-@query("periodicity_permutation_test", "T12 J15", f"""
-WITH {PERM} {FREQ},
-pc AS (SELECT pm.variant, perm, pos, pm.r - m AS y FROM pm JOIN (SELECT variant, avg(r) AS m FROM re GROUP BY 1) a ON a.variant = pm.variant WHERE pm.variant IN ('main', 'rolling_median')),
+BAND_PERM = """
+pc AS (SELECT pm.variant, perm, pos, pm.r - m AS y FROM pm JOIN (SELECT variant, avg(r) AS m FROM re GROUP BY 1) a ON a.variant = pm.variant),
 pp AS (SELECT pc.variant, perm, band, ba.i, sum(y * cc) AS yc, sum(y * ss) AS ys FROM pc JOIN ba ON ba.variant = pc.variant AND ba.idx = pc.pos GROUP BY 1, 2, 3, 4),
 px AS (SELECT pp.variant, perm, pp.band, max((yc * yc / c2 + ys * ys / s2) / yy) AS power FROM pp JOIN nm ON nm.variant = pp.variant AND nm.band = pp.band AND nm.i = pp.i JOIN en ON en.variant = pp.variant GROUP BY 1, 2, 3),
 ge AS (SELECT px.variant, px.band, count(*) FILTER (WHERE px.power >= bp.power) AS ge FROM px JOIN bp ON bp.variant = px.variant AND bp.band = px.band GROUP BY 1, 2)
-SELECT bp.variant, (SELECT any_value(n) FROM se WHERE se.variant = bp.variant) AS n_days,
+"""
+
+
+@query("periodicity_permutation_test", "T12 J15", f"""
+WITH {PERM} {FREQ}, {BAND_PERM}SELECT bp.variant, (SELECT any_value(n) FROM se WHERE se.variant = bp.variant) AS n_days,
   round(max(power) FILTER (WHERE bp.band = '7d'), 6) AS power_7d, round(max((ge + 1) / 10001) FILTER (WHERE bp.band = '7d'), 6) AS p_perm_7d,
   round(max(power) FILTER (WHERE bp.band = '24d'), 6) AS power_24d, round(max((ge + 1) / 10001) FILTER (WHERE bp.band = '24d'), 6) AS p_perm_24d
 FROM bp JOIN ge ON ge.variant = bp.variant AND ge.band = bp.band GROUP BY 1""")
 def _(spark, d):
-    arrays = _arrays(spark, d).where(F.col("variant").isin("main", "rolling_median"))
-    return pe.periodicity_test(arrays, ["variant"], BANDS)
+    return pe.periodicity_test(_arrays(spark, d), ["variant"], BANDS)
+
+
+AR1 = """
+c0 AS (SELECT variant, idx, r - avg(r) OVER (PARTITION BY variant) AS r0 FROM re),
+g0 AS (SELECT variant, r0, lag(r0) OVER (PARTITION BY variant ORDER BY idx) AS r1 FROM c0),
+p0 AS (SELECT variant, sum(r0 * r1) / sum(r1 * r1) AS phi FROM g0 WHERE r1 IS NOT NULL GROUP BY 1),
+ft AS (SELECT g0.variant, any_value(phi) AS phi, stddev_samp(r0 - phi * r1) AS sigma, count(*) + 1 AS n FROM g0 JOIN p0 USING (variant) WHERE r1 IS NOT NULL GROUP BY 1),
+path AS (SELECT variant, s, CAST(0 AS BIGINT) AS k, phi, sigma, n, sigma * {z0} AS x FROM ft, range(0, 10000) t(s)
+  UNION ALL SELECT variant, s, k + 1, phi, sigma, n, phi * x + sigma * {z1} FROM path WHERE k < n + 99),
+sg AS (SELECT variant, s, k - 100 AS pos, x - avg(x) OVER (PARTITION BY variant, s) AS y FROM path WHERE k >= 100),
+se2 AS (SELECT variant, s, sum(y * y) AS yy FROM sg GROUP BY 1, 2),
+sp AS (SELECT sg.variant, s, band, ba.i, sum(y * cc) AS yc, sum(y * ss) AS ys FROM sg JOIN ba ON ba.variant = sg.variant AND ba.idx = sg.pos GROUP BY 1, 2, 3, 4),
+sx AS (SELECT sp.variant, sp.s, sp.band, max((yc * yc / c2 + ys * ys / s2) / yy) AS power FROM sp JOIN nm ON nm.variant = sp.variant AND nm.band = sp.band AND nm.i = sp.i
+  JOIN se2 ON se2.variant = sp.variant AND se2.s = sp.s GROUP BY 1, 2, 3),
+ga AS (SELECT sx.variant, sx.band, count(*) FILTER (WHERE sx.power >= bp.power) AS ge FROM sx JOIN bp ON bp.variant = sx.variant AND bp.band = sx.band GROUP BY 1, 2)
+"""
+
+
+def _normal_sql(k: str) -> str:
+    """The draw of surrogate s at step k, from the md5 of its name."""
+    h = f"md5('42:' || variant || ':' || s || ':' || {k})"
+    part = lambda at: f"CAST('0x' || substr({h}, {at}, 13) AS BIGINT)"
+    return f"sqrt(-2 * ln(({part(1)} + 1) / 4503599627370496.0)) * cos(2 * pi() * ({part(14)} / 4503599627370496.0))"
+
+
+AR1 = AR1.format(z0=_normal_sql("0"), z1=_normal_sql("(k + 1)"))
 
 
-@query("periodicity_claims", "T13 T12 T9 B24")
+@query("periodicity_claims", "T13 T12 T9 B24", f"""
+WITH RECURSIVE {PERM} {WEEKDAY}, {FREQ}, {BAND_PERM.replace('ge AS (', 'gp AS (')}, {AR1},
+wk AS (SELECT variant, n AS n_days, h0 / cf AS hh, h0 / cf / (n - 1) AS eps2, (ge + 1) / 10001 AS p FROM oh JOIN tc USING (variant) JOIN ge USING (variant)),
+bd AS (SELECT variant, band, power, (gp.ge + 1) / 10001 AS pp, (ga.ge + 1) / 10001 AS pa FROM bp JOIN gp USING (variant, band) JOIN ga USING (variant, band)),
+ts AS (SELECT variant, 'weekday' AS test, p FROM wk UNION ALL SELECT variant, band, greatest(pp, pa) FROM bd),
+rk AS (SELECT variant, test, p, row_number() OVER (PARTITION BY variant ORDER BY p, test) AS i FROM ts),
+hm AS (SELECT variant, test, max(least(1, (4 - i) * p)) OVER (PARTITION BY variant ORDER BY i) AS ph FROM rk)
+SELECT wk.variant, n_days, round(hh, 6) AS "H", round(eps2, 6) AS eps2, round(wk.p, 6) AS p_weekday, round(any_value(phi), 6) AS ar1_phi,
+  {", ".join(f"round(max({c}) FILTER (WHERE band = '{b}'), 6) AS {n}_{b}" for b in ("7d", "24d") for n, c in (("power", "power"), ("p_perm", "pp"), ("p_ar1", "pa"), ("p", "greatest(pp, pa)")))},
+  {", ".join(f"(SELECT round(ph, 6) FROM hm WHERE hm.variant = wk.variant AND test = '{t}') AS p_holm_{t}" for t in ("weekday", "7d", "24d"))},
+  (SELECT bool_or(ph < 0.05 AND (test <> 'weekday' OR wk.eps2 >= 0.14)) FROM hm WHERE hm.variant = wk.variant) AS claim_periodicity
+FROM wk JOIN bd ON bd.variant = wk.variant JOIN ft ON ft.variant = wk.variant GROUP BY wk.variant, n_days, hh, eps2, wk.p""")
 def _(spark, d):
     return periodicity_claims(_daily(spark, d), VARIANTS, START)
 

@@ -6,6 +6,8 @@ The resampling is spread instead: one row per (series, replicate), never one tas
 
 from __future__ import annotations
 
+from hashlib import md5
+
 import math
 
 import numpy as np
@@ -231,25 +233,32 @@ def band_power(series: DataFrame, keep: list[str], bands: dict[str, tuple[float,
     return series.select(*keep, "resid").mapInPandas(compute, ddl)
 
 
+def _hashed_normals(label: str, first: int, count: int, length: int) -> np.ndarray:
+    """Standard normal draws that any engine can repeat: draw k of surrogate r is made from the md5 of
+    ``label:r:k``, two numbers of 52 bits, by the Box-Muller rule."""
+    digits = [md5(f"{label}:{r}:{k}".encode()).hexdigest() for r in range(first, first + count) for k in range(length)]
+    u = np.array([(int(h[:13], 16) + 1, int(h[13:26], 16)) for h in digits], np.float64) / 2.0**52
+    return (np.sqrt(-2 * np.log(u[:, 0])) * np.cos(2 * np.pi * u[:, 1])).reshape(count, length)
+
+
 def ar1_surrogates(fits: DataFrame, keys: list[str], n: int = N_PERM, seed: int = SEED) -> DataFrame:
     """One row per (series, surrogate): a simulated AR(1) path of the same length.
 
     The recursion runs inside tasks over ranges of surrogates; draws depend only on
-    (seed, series, range).
+    (seed, series, surrogate, day), by a hash that SQL has too.
     """
     step = 250
     ranges = spread(
         fits.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // step)))).withColumn(
-            "_key", F.xxhash64(*keys)), *keys, "_range")
+            "_label", F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys, "_range")
     types = {f.name: f.dataType.simpleString() for f in fits.schema.fields}
 
     def simulate(frames):
         for pdf in frames:
             for i in range(len(pdf)):
                 row = pdf.iloc[i]
-                size, days = min(step, n - int(row["_range"]) * step), int(row["n_days"])
-                rng = np.random.default_rng([seed, int(row["_key"]) & 0xFFFFFFFFFFFFFFFF, int(row["_range"])])
-                noise = rng.normal(0.0, row["sigma"], (size, days + BURN_IN))
+                first, days = int(row["_range"]) * step, int(row["n_days"])
+                noise = row["sigma"] * _hashed_normals(row["_label"], first, min(step, n - first), days + BURN_IN)
                 path = np.empty_like(noise)
                 path[:, 0] = noise[:, 0]
                 for k in range(1, noise.shape[1]):
@@ -260,7 +269,7 @@ def ar1_surrogates(fits: DataFrame, keys: list[str], n: int = N_PERM, seed: int
                 yield out[[*keys, "resid"]]
 
     ddl = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "resid array<double>"])
-    return ranges.select(*keys, "n_days", "phi", "sigma", "_key", "_range").mapInPandas(simulate, ddl)
+    return ranges.select(*keys, "n_days", "phi", "sigma", "_label", "_range").mapInPandas(simulate, ddl)
 
 
 def _exceedances(replicates: DataFrame, observed: DataFrame, keys: list[str], bands, label: str) -> DataFrame:

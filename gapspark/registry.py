@@ -55,6 +55,8 @@ def with_views(sql: str) -> str:
     if not used:
         return body
     head = ", ".join(f"{v} AS ({view_sql(v)})" for v in used)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {head}, {body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {head}, {body[4:].lstrip()}"
     return f"WITH {head} {body}"

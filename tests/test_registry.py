@@ -12,7 +12,7 @@ from gapspark.sources.driver_tables import VIEWS
 
 WITHOUT_ORACLE = {
     "bootstrap_ci", "condition_battery", "forecast_by_block", "observed_drift_monitor",
-    "observed_drift_study", "periodicity_claims",
+    "observed_drift_study",
 }
 QUICK = [
     "clean_daily_counts", "heartbeat_coverage", "backup_log_gaps", "sent_vs_recorded", "burst_collapse",
