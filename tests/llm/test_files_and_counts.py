@@ -121,6 +121,37 @@ def test_packing(spark, monkeypatch):
     assert packing.pack(packing.token_pieces(df.limit(0), path, True, 2, 128), 128).collect() == []
 
 
+def fewest_bins(sizes, capacity):
+    best = len(sizes)
+
+    def place(i, loads):
+        nonlocal best
+        if len(loads) >= best:
+            return
+        if i == len(sizes):
+            best = len(loads)
+            return
+        for k in range(len(loads)):
+            if loads[k] + sizes[i] <= capacity:
+                place(i + 1, [*loads[:k], loads[k] + sizes[i], *loads[k + 1 :]])
+        place(i + 1, [*loads, sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_evolution_meets_the_optimum_and_beats_best_fit():
+    rng = random.Random(1)
+    beaten = 0
+    for k in range(150):
+        sizes = sorted((rng.randint(3, 60) for _ in range(11)), reverse=True)
+        lengths, want = np.array(sizes), fewest_bins(sizes, 100)
+        evolved = packing.Packing(packing.evolve(lengths, 100, str(k)), lengths, 100)
+        assert evolved.count == want >= packing.least_bins(lengths, 100) and evolved.loads.max() <= 100
+        beaten += packing.packed(lengths, 100).count > want
+    assert beaten >= 4  # where best fit alone needs a bin more
+
+
 def test_evolution_beats_no_bound_and_keeps_capacity():
     rng = np.random.default_rng(3)
     for n in (1, 7, 800):
