@@ -113,34 +113,34 @@ CASE WHEN h <= 0 THEN 1.0 WHEN dof % 2 = 0 THEN exp(-h / 2) * list_sum(list_tran
 
 
 @query("kruskal_batches", "T4 T0", f"""
-WITH {LONG}, g AS (SELECT pattern, rps, batch, x, rank() OVER w + (count(*) OVER (PARTITION BY pattern, rps, x) - 1) / 2 AS mr,
-  count(*) OVER (PARTITION BY pattern, rps, x) AS tie FROM loss WHERE system = 'baseline' AND x IS NOT NULL WINDOW w AS (PARTITION BY pattern, rps ORDER BY x)),
-r AS (SELECT pattern, rps, batch, sum(mr) AS r, count(*) AS n FROM g GROUP BY 1, 2, 3),
-t AS (SELECT pattern, rps, CAST(count(*) AS DOUBLE) AS n, sum(CAST(tie AS DOUBLE) * tie - 1) AS ties FROM g GROUP BY 1, 2),
-s AS (SELECT r.pattern, r.rps, count(*) AS k, any_value(t.n) AS n, any_value(ties) AS ties, sum(r * r / r.n) AS rr FROM r JOIN t ON r.pattern = t.pattern AND r.rps = t.rps GROUP BY 1, 2),
+WITH {LONG}, g AS (SELECT pattern, rps, system, batch, x, rank() OVER w + (count(*) OVER (PARTITION BY pattern, rps, system, x) - 1) / 2 AS mr,
+  count(*) OVER (PARTITION BY pattern, rps, system, x) AS tie FROM loss WHERE x IS NOT NULL WINDOW w AS (PARTITION BY pattern, rps, system ORDER BY x)),
+r AS (SELECT pattern, rps, system, batch, sum(mr) AS r, count(*) AS n FROM g GROUP BY 1, 2, 3, 4),
+t AS (SELECT pattern, rps, system, CAST(count(*) AS DOUBLE) AS n, sum(CAST(tie AS DOUBLE) * tie - 1) AS ties FROM g GROUP BY 1, 2, 3),
+s AS (SELECT r.pattern, r.rps, r.system, count(*) AS k, any_value(t.n) AS n, any_value(ties) AS ties, sum(r * r / r.n) AS rr FROM r JOIN t ON r.pattern = t.pattern AND r.rps = t.rps AND r.system = t.system GROUP BY 1, 2, 3),
 q AS (SELECT *, k - 1 AS dof, (12 / (n * (n + 1)) * rr - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS h FROM s),
 a AS (SELECT *, sqrt(greatest(h, 0)) AS az FROM q)
-SELECT pattern, CAST(rps AS BIGINT) AS rps, k AS n_groups, CAST(n AS BIGINT) AS n_values, round(h, 6) AS "H_statistic",
+SELECT pattern, CAST(rps AS BIGINT) AS rps, system, k AS n_groups, CAST(n AS BIGINT) AS n_values, round(h, 6) AS "H_statistic",
   round({CHI2_SQL.format(tail=tail_sql('az'))}, 6) AS p_value FROM a""")
 def _(spark, d):
-    long = _long(spark, d).where("metric = 'loss_rate' AND system = 'baseline'")
-    return hy.kruskal_wallis(long, ex.CONDITION, "batch")
+    long = _long(spark, d).where("metric = 'loss_rate'")
+    return hy.kruskal_wallis(long, [*ex.CONDITION, "system"], "batch")
 
 
 @query("bootstrap_ci", "T5")
 def _(spark, d):
-    return hy.bootstrap_ci(_long(spark, d).where("metric = 'loss_rate'"), [*ex.CONDITION, "system"])
+    return hy.bootstrap_ci(_long(spark, d), [*ex.CONDITION, "metric", "system"])
 
 
 @query("bootstrap_interval_check", "T5", f"""
-WITH {LONG} SELECT pattern, CAST(rps AS BIGINT) AS rps, system, count(x) AS n_values, round(avg(x), 6) AS mean,
-  true AS lower_near_normal, true AS upper_near_normal FROM loss WHERE x IS NOT NULL GROUP BY 1, 2, 3""")
+WITH {LONG} SELECT pattern, CAST(rps AS BIGINT) AS rps, metric, system, count(x) AS n_values, round(avg(x), 6) AS mean,
+  true AS lower_near_normal, true AS upper_near_normal FROM v WHERE x IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
     """The resampled bounds against the normal interval of the mean, which they approach."""
-    loss = _long(spark, d).where("metric = 'loss_rate'")
-    keys = [*ex.CONDITION, "system"]
-    spread = loss.groupBy(*keys).agg((F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("se"))
-    both = hy.bootstrap_ci(loss, keys).join(spread, keys)
+    samples = _long(spark, d)
+    keys = [*ex.CONDITION, "metric", "system"]
+    spread = samples.groupBy(*keys).agg((F.stddev_pop("value") / F.sqrt(F.count("value"))).alias("se"))
+    both = hy.bootstrap_ci(samples, keys).join(spread, keys)
     near = lambda c, sign: F.abs(F.col(c) - (F.col("mean") + sign * sp.Z_975 * F.col("se"))) < 0.2 * F.col("se")
     return both.select(*keys, "n_values", "mean", near("lower", -1).alias("lower_near_normal"), near("upper", 1).alias("upper_near_normal"))
 

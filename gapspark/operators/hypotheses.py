@@ -254,88 +254,101 @@ def _rng(*parts: int) -> np.random.Generator:
     return np.random.default_rng([int(p) & 0xFFFFFFFFFFFFFFFF for p in parts])
 
 
+def _draws_of_children(draws: DataFrame, parents: DataFrame, keys: list[str], level: int, seed: int) -> DataFrame:
+    """One step down the tree of blocks: each node's draws, per replicate, dealt to its children by mass."""
+    fields = draws.schema
+    key_ddl = "".join(f"`{k}` {fields[k].dataType.simpleString()}, " for k in keys)
+
+    def deal(frames):
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                mass = np.asarray(row["_masses"], dtype=np.int64)
+                own = np.asarray(row["_draws"], dtype=np.int64)
+                if len(mass) == 1:
+                    dealt = own[:, None]
+                else:
+                    dealt = _rng(seed, row["_key"], level, row["_node"], row["_range"]).multinomial(own, mass / mass.sum())
+                out = pd.DataFrame({
+                    "_key": row["_key"], "_node": np.asarray(row["_children"], dtype=np.int64), "_range": row["_range"],
+                    "_draws": list(dealt.T)})
+                for k in keys:
+                    out[k] = row[k]
+                yield out[[*keys, "_key", "_node", "_range", "_draws"]]
+
+    paired = spread(join_on(draws, parents, [*keys, "_node"]), *keys, "_node", "_range")
+    return paired.mapInPandas(deal, f"{key_ddl}_key bigint, _node bigint, _range int, _draws array<bigint>")
+
+
 def bootstrap_ci(
     samples: DataFrame, keys: list[str], value: str = "value", n_bootstrap: int = N_BOOTSTRAP,
-    confidence: float = 0.95, seed: int = SEED, cell_block: int = 2048, rep_block: int = 500,
+    confidence: float = 0.95, seed: int = SEED, cell_block: int = 2048, rep_block: int = 500, fanout: int = 256,
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean per key.
 
-    A resample with replacement is a multinomial draw over the distinct values. The draw is split
-    in two levels: first how many of the n draws fall into each block of distinct values, then
-    the draws inside each block. Blocks and replicate ranges are independent tasks, so a key with
-    any number of rows or distinct values never sits in one task. Draws depend only on
-    (seed, key, block, replicate range), not on partitioning.
+    A resample with replacement is a multinomial draw over the distinct values. Values lie in blocks,
+    and blocks are the leaves of a tree in which a node has at most ``fanout`` children: the n draws of
+    a replicate go from the root to the blocks level by level, then to the values inside each block. A
+    row holds the masses of one node's children or the values of one block, never all of a key, and
+    (node, range of replicates) is the unit of work. Draws depend only on (seed, key, level, node,
+    range), not on partitioning or on other keys.
     """
-    counts = value_counts(samples, keys, value)
+    counts = materialize(value_counts(samples, keys, value), "value-counts")
     sizes = counts.groupBy(*keys).agg(
         F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("_cells"),
         F.sum(F.col(value) * F.col("n")).alias("_total"))
-    key_hash = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
     n_blocks = F.ceil(F.col("_cells") / F.lit(cell_block))
-    blocks = (
+    blocks = materialize(
         join_on(counts, sizes, keys)
-        .withColumn("_b", F.pmod(F.xxhash64(value), n_blocks))
-        .groupBy(*keys, "_b").agg(
+        .withColumn("_node", F.pmod(F.xxhash64(value), n_blocks))
+        .groupBy(*keys, "_node").agg(
             F.sum("n").alias("_mass"),
             F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("n").alias("n")))).alias("_list"))
-        .withColumn("_values", F.col("_list.v")).withColumn("_counts", F.col("_list.n")).drop("_list")
-    )
-    masses = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_mass"))).alias("_m"))
+        .withColumn("_values", F.col("_list.v")).withColumn("_counts", F.col("_list.n")).drop("_list"), "value-blocks")
+
+    levels = [blocks.select(*keys, "_node", "_mass")]  # from the blocks to the root
+    widest = blocks.agg(F.max("_node")).first()[0] or 0
+    parents = []
+    while widest > 0:
+        below = levels[-1]
+        parent = F.floor(F.col("_node") / F.lit(fanout)).cast("bigint")
+        grouped = below.groupBy(*keys, parent.alias("_parent")).agg(
+            F.sum("_mass").alias("_mass"), F.array_sort(F.collect_list(F.struct("_node", "_mass"))).alias("_of"))
+        parents.append(grouped.select(
+            *keys, F.col("_parent").alias("_node"), F.col("_of._node").alias("_children"), F.col("_of._mass").alias("_masses")))
+        levels.append(grouped.select(*keys, F.col("_parent").alias("_node"), "_mass"))
+        widest //= fanout
+
     last = (n_bootstrap + rep_block - 1) // rep_block - 1
-    ranges = spread(masses.select(
-        *keys, key_hash.alias("_key"), F.col("_m._b").alias("_bs"), F.col("_m._mass").alias("_ms"),
+    key_hash = F.xxhash64(*[F.col(k) for k in keys]) if keys else F.lit(0).cast("bigint")
+    replicates = F.least(F.lit(rep_block), F.lit(n_bootstrap) - F.col("_range") * rep_block)
+    draws = sizes.select(
+        *keys, key_hash.alias("_key"), F.lit(0).cast("bigint").alias("_node"), "n_values",
         F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_range"),
-    ), *keys, "_range")
-
-    key_fields = [f for f in counts.schema.fields if f.name in keys]
-    key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in key_fields)
+    ).select(*keys, "_key", "_node", "_range", F.array_repeat("n_values", replicates).alias("_draws"))
+    for level in reversed(range(len(parents))):
+        draws = _draws_of_children(draws, parents[level], keys, level + 1, seed)
 
-    def split_over_blocks(frames):
-        for pdf in frames:
-            parts = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
-                mass = np.asarray(row["_ms"], dtype=np.int64)
-                reps = min(rep_block, n_bootstrap - int(row["_range"]) * rep_block)
-                if len(mass) == 1:
-                    draws = np.full((reps, 1), mass[0])
-                else:
-                    rng = _rng(seed, row["_key"], 0, row["_range"])
-                    draws = rng.multinomial(int(mass.sum()), mass / mass.sum(), size=reps)
-                part = pd.DataFrame({
-                    "_b": np.asarray(row["_bs"], dtype=np.int64), "_range": row["_range"], "_key": row["_key"],
-                    "_draws": [draws[:, j].tolist() for j in range(len(mass))],
-                })
-                for k in keys:
-                    part[k] = row[k]
-                parts.append(part[[*keys, "_key", "_b", "_range", "_draws"]])
-            if parts:
-                yield pd.concat(parts, ignore_index=True)
+    key_ddl = "".join(f"`{k}` {counts.schema[k].dataType.simpleString()}, " for k in keys)
 
     def sum_inside_block(frames):
         for pdf in frames:
             sums = []
-            for i in range(len(pdf)):
-                row = pdf.iloc[i]
+            for row in pdf.to_dict("records"):
                 values = np.asarray(row["_values"], dtype=float)
                 weights = np.asarray(row["_counts"], dtype=np.int64)
-                draws = np.asarray(row["_draws"], dtype=np.int64)
-                rng = _rng(seed, row["_key"], row["_b"] + 1, row["_range"])
-                mass = int(weights.sum())
+                own = np.asarray(row["_draws"], dtype=np.int64)
                 if len(values) == 1:
-                    part = draws * values[0]
+                    part = own * values[0]
                 else:
-                    part = rng.multinomial(draws, weights / mass) @ values
+                    rng = _rng(seed, row["_key"], 0, row["_node"], row["_range"])
+                    part = rng.multinomial(own, weights / weights.sum()) @ values
                 sums.append(part.tolist())
             out = pdf[[*keys, "_range"]].copy()
             out["_sums"] = sums
             yield out
 
-    draws = ranges.mapInPandas(
-        split_over_blocks, f"{key_ddl}_key bigint, _b bigint, _range int, _draws array<bigint>")
-    paired = spread(join_on(draws, blocks, [*keys, "_b"]), *keys, "_b", "_range")
-    inside = paired.mapInPandas(
-        sum_inside_block, f"{key_ddl}_range int, _sums array<double>")
+    paired = spread(join_on(draws, blocks.drop("_mass"), [*keys, "_node"]), *keys, "_node", "_range")
+    inside = paired.mapInPandas(sum_inside_block, f"{key_ddl}_range int, _sums array<double>")
     means = inside.select(*keys, "_range", F.posexplode("_sums").alias("_rep", "_sum")).groupBy(
         *keys, "_range", "_rep").agg(F.sum("_sum").alias("_sum"))
     alpha = (1 - confidence) / 2

@@ -268,6 +268,22 @@ def test_bootstrap_agrees_with_plain_resampling_and_ignores_partitioning(spark):
         assert out[k].upper == pytest.approx(np.percentile(means, 97.5), abs=half)
 
 
+def test_bootstrap_deals_draws_down_a_tree_of_any_depth(spark):
+    rng = random.Random(5)
+    wide = [("wide", rng.gauss(5, 2)) for _ in range(700)]
+    other = [("other", float(v)) for v in range(30)]
+    schema = "k STRING, value DOUBLE"
+    run = lambda rows: {r.k: r for r in hy.bootstrap_ci(
+        spark.createDataFrame(rows, schema), ["k"], n_bootstrap=2000, cell_block=2, rep_block=300, fanout=4).collect()}
+    both, alone = run(wide + other), run(other)
+    assert list(both["other"])[2:] == pytest.approx(list(alone["other"])[2:], rel=1e-12)  # deeper trees of other keys change nothing
+    v = np.array([x for _, x in wide])
+    error = v.std() / math.sqrt(len(v))
+    assert both["wide"].lower == pytest.approx(v.mean() - 1.96 * error, abs=0.2 * error)
+    assert both["wide"].upper == pytest.approx(v.mean() + 1.96 * error, abs=0.2 * error)
+    assert hy.bootstrap_ci(spark.createDataFrame([], schema), ["k"], n_bootstrap=100).collect() == []
+
+
 def test_spearman(spark):
     df = spark.createDataFrame([("k", float(i), float(v)) for i, v in enumerate([2, 1, 4, 3, 5, 7, 6, 8])], "k STRING, x DOUBLE, y DOUBLE")
     r = hy.spearman(df, ["k"], "x", "y").first()
