@@ -1,17 +1,22 @@
 """Benchmark decontamination by greedy string tiling.
 
-Seeds are the ``min_match``-word windows that a document shares with a benchmark item, found by a
-rolling Karp-Rabin hash and confirmed word by word. Seeds that follow one another form the maximal
-matches. Tiling marks the longest match first and never marks a word twice, on either side; a match
-of which words are taken already goes back with what is left of it. The share of the item's words
-under tiles is its coverage, so passages in another order count in full.
-
-The benchmark is read in blocks of at most ``BLOCK_WORDS`` words (a longer item is a block of its
-own), and the documents are passed over once per block: what is broadcast has that bound whatever
-the benchmark's size.
-
-Defined cases: null and empty texts and items of fewer than ``min_match`` words match nothing;
-repeated rows are reported each; an empty table on either side gives no rows.
+Seeds are the ``min_match``-word windows that a document shares with a benchmark item. Both sides give
+their windows as rows and meet in a join on the window's words, so equal hashes alone never count. Of a
+document only windows travel whose rolling Karp-Rabin hash is set in a bitmap of the benchmark's
+hashes; the bitmap has ``BITMAP_BITS`` bits whatever the benchmark's size, and a bit set by chance costs
+a row that finds no partner. Texts are never shuffled, and no table passes through the driver.
+
+Seeds that follow one another form the maximal matches. Tiling marks the longest match first and never
+marks a word twice, on either side; a match of which words are taken already goes back with what is
+left of it. The share of the item's words under tiles is its coverage, so passages in another order
+count in full.
+
+A word is a run of word characters in lower case; in scripts written without spaces each character is
+a word.
+
+Defined cases: null and empty texts and items match nothing; an item of fewer than ``min_match`` words
+matches where all its words follow one another; repeated rows are reported each; an empty table on
+either side gives no rows; very long texts are walked in spans of ``SPAN_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -19,26 +24,62 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gapspark.llm.common import arrow_schema, batches_of, in_chunks
+from gapspark.llm.common import arrow_limits, arrow_schema, in_chunks, materialize
 
 MIN_MATCH = 5
 THRESHOLD = 0.6
-BLOCK_WORDS = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15)
-WORD = re.compile(r"\w+")
+#: Bits of the filter over the benchmark's windows, and of one of its rows.
+BITMAP_BITS, ROW_BITS = 1 << 25, 1 << 15
+#: A window's documents are dealt to so many tasks; the benchmark's rows are copied as often.
+SALTS = 16
+SPAN_WORDS = 1 << 20
+#: Thai, Lao, Burmese, Khmer, kana and ideographs.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+WORD = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+")
+
+
+class WordHashes(dict):
+    """Hashes of words, remembered for the next texts."""
+
+    MOST = 1 << 20
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
 
 
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def spans_of(text: str, overlap: int) -> Iterator[tuple[int, list[str]]]:
+    """Words of a text in spans, each with the place of its first word; spans share ``overlap`` words."""
+    if len(text) <= SPAN_WORDS:
+        yield 0, words_of(text)
+        return
+    found = (m.group() for m in WORD.finditer(text.lower()))
+    words, first = list(islice(found, SPAN_WORDS)), 0
+    while words:
+        yield first, words
+        more = list(islice(found, SPAN_WORDS))
+        if not more:
+            return
+        kept = words[len(words) - overlap:] if overlap else []
+        first += len(words) - len(kept)
+        words = kept + more
+
+
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     """Karp-Rabin hash of every window of ``size`` ids."""
     n = len(ids) - size + 1
@@ -50,51 +91,10 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-class Seeds:
-    """A block of benchmark items: word numbers, and where each window comes."""
-
-    def __init__(self, items: list[tuple[int, str]], size: int):
-        self.size, self.number, self.items = size, {}, []
-        hashes, owners, places = [], [], []
-        for item_id, text in items:
-            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.uint64)
-            own = rolling(ids, size)
-            hashes.append(own)
-            owners.append(np.full(len(own), len(self.items)))
-            places.append(np.arange(len(own)))
-            self.items.append((item_id, ids))
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.owner = np.concatenate(owners)[order] if owners else order
-        self.place = np.concatenate(places)[order] if places else order
-        self.hashes, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
-
-    def matches(self, text: str) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, item places, text places, text ids) of the seeds that a text shares with each item."""
-        words = words_of(text)
-        if len(words) < self.size or not len(self.hashes):
-            return
-        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.uint64, len(words))
-        own = rolling(ids, self.size)
-        at = np.searchsorted(self.hashes, own)
-        at[at == len(self.hashes)] = 0
-        hit = np.flatnonzero(self.hashes[at] == own)
-        if not len(hit):
-            return
-        times = self.times[at[hit]]
-        where = np.repeat(hit, times)
-        step = np.arange(len(where)) - np.repeat(np.cumsum(times) - times, times)
-        row = np.repeat(self.first[at[hit]], times) + step
-        owner, place = self.owner[row], self.place[row]
-        for item in np.unique(owner).tolist():
-            own_rows = owner == item
-            i, j = place[own_rows], where[own_rows]
-            item_ids = self.items[item][1]
-            same = np.ones(len(i), bool)
-            for k in range(self.size):  # equal hashes are confirmed
-                same &= item_ids[i + k] == ids[j + k]
-            if same.any():
-                yield item, i[same], j[same], ids
+def bits_of(words: list[str], size: int, hashes: WordHashes) -> np.ndarray:
+    """The bit of every window of ``size`` words."""
+    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    return ((rolling(ids, size) * BASE) >> np.uint64(64 - BITMAP_BITS.bit_length() + 1)).astype(np.int64)
 
 
 def tiles_of(i: np.ndarray, j: np.ndarray, size: int, n_item: int) -> list[tuple[int, int, int]]:
@@ -129,56 +129,135 @@ def tiles_of(i: np.ndarray, j: np.ndarray, size: int, n_item: int) -> list[tuple
     return tiles
 
 
-def benchmark_blocks(benchmark: DataFrame, item_id: str, text: str, most: int) -> Iterator[list[tuple[int, str]]]:
-    block, words = [], 0
-    for row in benchmark.select(F.col(f"`{item_id}`").cast("long"), F.col(f"`{text}`")).toLocalIterator():
-        n = len(words_of(row[1] or ""))
-        if block and words + n > most:
-            yield block
-            block, words = [], 0
-        if n:
-            block.append((row[0], row[1]))
-            words += n
-    if block:
-        yield block
+def item_windows(benchmark: DataFrame, item_id: str, text: str, min_match: int) -> DataFrame:
+    """A row for each distinct window of an item: item (number of the row), item_id, n_words, size, words,
+    places, bit."""
+    ddl = "item long, item_id long, n_words int, size int, words string, places array<int>, bit long"
+    schema = arrow_schema(ddl)
+    items = benchmark.select(
+        F.monotonically_increasing_id().alias("item"), F.col(f"`{item_id}`").cast("long").alias("item_id"),
+        F.col(f"`{text}`").alias("value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+
+        def rows():
+            for batch in batches:
+                for item, name, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    words = words_of(value or "")
+                    size = min(min_match, len(words))
+                    if not size:
+                        continue
+                    bits = bits_of(words, size, hashes)
+                    places: dict[str, list[int]] = {}
+                    for k in range(len(bits)):
+                        places.setdefault(" ".join(words[k : k + size]), []).append(k)
+                    for window, at in places.items():
+                        yield item, name, len(words), size, window, at, int(bits[at[0]])
+
+        yield from in_chunks(rows(), schema)
+
+    return items.mapInArrow(run, ddl)
+
+
+def bitmap_of(windows: DataFrame) -> bytes:
+    """The filter over all windows: at most ``BITMAP_BITS`` bits come to the driver."""
+    found = np.zeros(BITMAP_BITS // 8, np.uint8)
+    row_bytes = ROW_BITS // 8
+    at = F.floor(F.col("bit") / ROW_BITS)
+    for r in windows.groupBy(at.alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % ROW_BITS).alias("bits")).collect():
+        own = np.frombuffer(bytes(r["bits"]), np.uint8)
+        found[r["at"] * row_bytes : r["at"] * row_bytes + len(own)] = own
+    return found.tobytes()
+
+
+def document_windows(docs: DataFrame, text: str, keep: tuple[str, ...], sizes: list[int], bitmap: bytes) -> DataFrame:
+    """A row for each document with windows in the filter: row, kept columns k0.., windows (words, places)."""
+    kept = [F.col(f"`{c}`").alias(f"k{k}") for k, c in enumerate(keep)]
+    source = docs.select(F.monotonically_increasing_id().alias("row"), *kept, F.col(f"`{text}`").alias("value"))
+    ddl = ", ".join(["row long", *(f"k{k} {source.schema[f'k{k}'].dataType.simpleString()}" for k in range(len(keep))),
+                     "windows array<struct<words:string,places:array<int>>>"])
+    schema = arrow_schema(ddl)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled, hashes = np.frombuffer(shared.value, np.uint8), WordHashes()
+
+        def rows():
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                for r, value in enumerate(columns[-1]):
+                    places: dict[str, list[int]] = {}
+                    for size in sizes:
+                        for first, words in spans_of(value or "", size - 1):
+                            bits = bits_of(words, size, hashes)
+                            hit = np.flatnonzero((filled[bits >> 3] >> (bits & 7).astype(np.uint8)) & 1)
+                            for k in hit.tolist():
+                                places.setdefault(" ".join(words[k : k + size]), []).append(first + k)
+                    if places:
+                        yield (*(c[r] for c in columns[:-1]), [{"words": w, "places": p} for w, p in places.items()])
+
+        yield from in_chunks(rows(), schema, 256)
+
+    return source.mapInArrow(run, ddl)
+
+
+def tiled(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Tiles of each (document, item) from their shared windows, where they cover enough of the item."""
+    ddl = ("row long, item_id long, coverage double, "
+           "tiles array<struct<item_start:int,doc_start:int,length:int>>")
+    schema = arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows():
+            for batch in batches:
+                for r in batch.select(["row", "item_id", "n_words", "size", "shared"]).to_pylist():
+                    n, size = r["n_words"], r["size"]
+                    spots = [(np.array(s["item_places"]), np.array(s["doc_places"])) for s in r["shared"]]
+                    places = np.unique(np.concatenate([a for a, _ in spots]))
+                    reach = np.zeros(n + 1, np.int64)
+                    np.add.at(reach, places, 1)
+                    np.add.at(reach, places + size, -1)
+                    if (np.cumsum(reach) > 0).sum() < threshold * n:
+                        continue  # even all seeds together do not cover enough
+                    i = np.concatenate([np.repeat(a, len(b)) for a, b in spots])
+                    j = np.concatenate([np.tile(b, len(a)) for a, b in spots])
+                    tiles = tiles_of(i, j, size, n)
+                    coverage = sum(length for _, _, length in tiles) / n
+                    if coverage >= threshold:
+                        yield r["row"], r["item_id"], coverage, [
+                            {"item_start": a, "doc_start": b, "length": length} for a, b, length in tiles]
+
+        yield from in_chunks(rows(), schema, 256)
+
+    return pairs.mapInArrow(run, ddl)
 
 
 def benchmark_overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH, threshold: float = THRESHOLD,
                        keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id",
-                       item_text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+                       item_text: str = "text", salts: int = SALTS) -> DataFrame:
     """Columns ``keep`` with item_id, coverage (share of the item's words under tiles, at least
-    ``threshold``) and tiles (places in words and lengths), one row for each document and item."""
+    ``threshold``) and tiles (places in words and lengths), one row for each document and item.
+
+    The windows found are written once, so numbers of rows hold for all that follows. A window that many
+    documents share is dealt to ``salts`` tasks; a pair goes on to tiling only if its windows can cover
+    enough of the item.
+    """
     spark = docs.sparkSession
-    batches_of(spark)
-    kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text of it"))
-    ddl = ", ".join([f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep]
-                    + ["item_id long, coverage double, tiles array<struct<item_start:int,doc_start:int,length:int>>"])
-    schema = arrow_schema(ddl)
-    found = spark.createDataFrame([], ddl)
-    for block in benchmark_blocks(benchmark, item_id, item_text, block_words):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            seeds = Seeds(shared.value, min_match)
-
-            def rows():
-                for batch in batches:
-                    columns = [c.to_pylist() for c in batch.columns]
-                    for r, value in enumerate(columns[-1]):
-                        for item, i, j, _ in seeds.matches(value or ""):
-                            name, ids = seeds.items[item]
-                            reach = np.zeros(len(ids) + 1, np.int64)
-                            np.add.at(reach, np.unique(i), 1)
-                            np.add.at(reach, np.unique(i) + min_match, -1)
-                            if (np.cumsum(reach) > 0).sum() < threshold * len(ids):
-                                continue  # even all seeds together do not cover enough
-                            tiles = tiles_of(i, j, min_match, len(ids))
-                            coverage = sum(n for _, _, n in tiles) / len(ids)
-                            if coverage >= threshold:
-                                spots = [{"item_start": a, "doc_start": b, "length": n} for a, b, n in tiles]
-                                yield (*(c[r] for c in columns[:-1]), name, coverage, spots)
-
-            yield from in_chunks(rows(), schema, 256)
-
-        found = found.unionByName(kept.mapInArrow(run, ddl))
-    return found
+    with arrow_limits(spark):
+        items = materialize(item_windows(benchmark, item_id, item_text, min_match), "benchmark-windows")
+        sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # min_match at most
+        found = materialize(document_windows(docs, text, keep, sizes, bitmap_of(items)), "document-windows")
+    seeds = found.select("row", F.explode("windows").alias("w")).select(
+        "row", F.col("w.words").alias("words"), F.col("w.places").alias("doc_places"),
+        F.pmod(F.xxhash64("row"), F.lit(salts)).alias("salt"))
+    copies = items.select(
+        "item", "item_id", "n_words", "size", "words", F.col("places").alias("item_places"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
+    pairs = seeds.join(copies, ["words", "salt"]).groupBy("row", "item").agg(
+        F.first("item_id").alias("item_id"), F.first("n_words").alias("n_words"), F.first("size").alias("size"),
+        F.sum(F.size("item_places")).alias("n_places"),
+        F.collect_list(F.struct("item_places", "doc_places")).alias("shared"),
+    ).where(F.col("n_places") * F.col("size") >= F.lit(threshold) * F.col("n_words"))
+    return tiled(pairs, threshold).join(found.drop("windows"), "row").select(
+        *[F.col(f"k{k}").alias(c) for k, c in enumerate(keep)], "item_id", "coverage", "tiles")

@@ -116,8 +116,8 @@ def test_tiling_matches_plain_version(spark):
     docs += [(None, None, 1), docs[1], docs[1]]
     a = spark.createDataFrame(docs, "doc_id long, text string, item_id int")
     b = spark.createDataFrame(items, "item_id long, text string")
-    for most in (10, 10**6):
-        out = decontamination.benchmark_overlaps(a, b, 3, 0.5, block_words=most).collect()
+    for salts in (1, 16):
+        out = decontamination.benchmark_overlaps(a, b, 3, 0.5, salts=salts).collect()
         want = []
         for d, t, _ in docs:
             for k, x in items:
@@ -130,6 +130,23 @@ def test_tiling_matches_plain_version(spark):
     assert decontamination.benchmark_overlaps(a, b.limit(0)).collect() == []
 
 
+def test_short_and_unspaced_items_and_long_texts(spark, monkeypatch):
+    ideographs = "".join(chr(0x4E00 + 7 * k) for k in range(40))
+    items = [(1, "forty two"), (2, ideographs), (3, " ".join(f"n{k}" for k in range(20))), (3, " ".join(f"n{k}" for k in range(20)))]
+    docs = [(1, "The answer is Forty-Two."), (2, "two forty"), (3, f"x{ideographs[20:]}y{ideographs[:20]}"), (4, ideographs[:20]),
+            (5, " ".join(["pad"] * 700_000 + [f"N{k}" for k in range(20)] + ["pad"] * 700_000))]
+    a = spark.createDataFrame([(d, t, "row", 0) for d, t in docs], "doc_id long, text string, `row` string, words int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    out = decontamination.benchmark_overlaps(a, b, keep=("doc_id", "row")).collect()
+    assert sorted((r.doc_id, r.row, r.item_id, r.coverage) for r in out) == [
+        (1, "row", 1, 1.0), (3, "row", 2, 1.0), (5, "row", 3, 1.0), (5, "row", 3, 1.0)]
+    assert {r.tiles[0].doc_start for r in out if r.doc_id == 5} == {700_000}
+    text = " ".join(f"w{k}" for k in range(50))
+    monkeypatch.setattr(decontamination, "SPAN_WORDS", 7)
+    windows = [words[k : k + 3] for first, words in decontamination.spans_of(text, 2) for k in range(len(words) - 2)]
+    assert windows == [[f"w{k}", f"w{k + 1}", f"w{k + 2}"] for k in range(48)]
+
+
 def test_languages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     out = language.identify_languages(docs, 100).join(docs.select("doc_id", "lang"), "doc_id").collect()
