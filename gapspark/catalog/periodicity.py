@@ -23,8 +23,9 @@ VARIANTS = {
 
 
 def _daily(spark, d):
+    """One row per day; written once, because fits and medians of every variant read it."""
     events = view(spark, d, "threat_events")
-    return clean_daily_counts(events, *day_range(events))
+    return materialize(clean_daily_counts(events, *day_range(events)), "daily-counts")
 
 
 DAILY = f"""

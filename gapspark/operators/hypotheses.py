@@ -91,17 +91,18 @@ def _exact_p(n1: pd.Series, n2: pd.Series, u: pd.Series) -> pd.Series:
 
 def mann_whitney(
     samples: DataFrame, keys: list[str], side: str = "system", value: str = "value",
-    sides: tuple[str, str] = ("baseline", "proposed"), exact: bool = True,
+    sides: tuple[str, str] = ("baseline", "proposed"), exact: bool = True, weight: str | None = None,
 ) -> DataFrame:
     """U of the first side, two-sided p and rank-biserial r = 1 - 2U/(n1 n2) per key.
 
     Ties use the corrected normal approximation with continuity correction; a tie-free key with
     a side of at most eight values gets the exact p. Fewer than two values on a side gives NULLs,
-    one common value p = 1 and r = 0.
+    one common value p = 1 and r = 0. ``weight``: how many samples a row stands for.
     """
-    first, second = (F.col(side) == s for s in sides)
+    times = F.col(weight) if weight else F.lit(1)
+    first, second = (F.sum(F.when(F.col(side) == s, times).otherwise(0)) for s in sides)
     cells = samples.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count_if(first).alias("_n1"), F.count_if(second).alias("_n2")
+        first.alias("_n1"), second.alias("_n2")
     ).withColumn("n", F.col("_n1") + F.col("_n2")).where("n > 0")
     n = F.col("n").cast("double")
     s = midranks(cells, keys, value).groupBy(*keys).agg(
@@ -129,12 +130,16 @@ def mann_whitney(
     )
 
 
-def loss_occurrence(samples: DataFrame, keys: list[str], side: str = "system", value: str = "value") -> DataFrame:
+def loss_occurrence(
+    samples: DataFrame, keys: list[str], side: str = "system", value: str = "value", weight: str | None = None,
+) -> DataFrame:
     """2x2 table per key: trials with and without any loss on both sides."""
     v, b, p = F.col(value), F.col(side) == "baseline", F.col(side) == "proposed"
+    times = F.col(weight) if weight else F.lit(1)
+    number = lambda which: F.sum(F.when(which, times).otherwise(0))
     return samples.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count_if(b & (v > 0)).alias("baseline_loss_count"), F.count_if(b).alias("n_baseline"),
-        F.count_if(p & (v > 0)).alias("proposed_loss_count"), F.count_if(p).alias("n_proposed"),
+        number(b & (v > 0)).alias("baseline_loss_count"), number(b).alias("n_baseline"),
+        number(p & (v > 0)).alias("proposed_loss_count"), number(p).alias("n_proposed"),
     )
 
 
@@ -282,6 +287,7 @@ def _draws_of_children(draws: DataFrame, parents: DataFrame, keys: list[str], le
 def bootstrap_ci(
     samples: DataFrame, keys: list[str], value: str = "value", n_bootstrap: int = N_BOOTSTRAP,
     confidence: float = 0.95, seed: int = SEED, cell_block: int = 2048, rep_block: int = 500, fanout: int = 256,
+    weight: str | None = None,
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean per key.
 
@@ -290,9 +296,9 @@ def bootstrap_ci(
     a replicate go from the root to the blocks level by level, then to the values inside each block. A
     row holds the masses of one node's children or the values of one block, never all of a key, and
     (node, range of replicates) is the unit of work. Draws depend only on (seed, key, level, node,
-    range), not on partitioning or on other keys.
+    range), not on partitioning or on other keys. ``weight``: how many samples a row stands for.
     """
-    counts = materialize(value_counts(samples, keys, value), "value-counts")
+    counts = materialize(value_counts(samples, keys, value, weight=weight), "value-counts")
     sizes = counts.groupBy(*keys).agg(
         F.sum("n").alias("n_values"), F.count(F.lit(1)).alias("_cells"),
         F.sum(F.col(value) * F.col("n")).alias("_total"))

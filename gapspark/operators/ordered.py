@@ -104,9 +104,13 @@ def running_totals(
     )
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:
-    """One row per (keys, value) with its multiplicity; equal values collapse map-side."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias(n))
+def value_counts(df: DataFrame, keys: list[str], value: str, n: str = "n", weight: str | None = None) -> DataFrame:
+    """One row per (keys, value) with its multiplicity; equal values collapse map-side.
+
+    ``weight``: a column that says how many samples a row stands for, one if there is none.
+    """
+    times = F.sum(weight) if weight else F.count(F.lit(1))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(times.alias(n))
 
 
 def midranks(counts: DataFrame, keys: list[str], value: str, n: str = "n") -> DataFrame:

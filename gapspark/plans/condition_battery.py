@@ -14,22 +14,26 @@ from gapspark.session import materialize
 def condition_battery(trials: DataFrame, n_bootstrap: int = hy.N_BOOTSTRAP) -> DataFrame:
     """Per (pattern, rps, metric): rank test, both bootstrap intervals, occurrence test of losses.
 
-    All metrics are one column of a long table, so each test runs once for all of them.
+    All metrics are one column of a long table, so each test runs once for all of them. The trials are
+    read once: equal samples become one row with a count, and every test reads that table.
     """
-    long = ex.long_trials(trials).withColumn("value", ex.verified_value())
     keys = [*ex.CONDITION, "metric"]
-    tests = hy.mann_whitney(long, keys)
-    ci = hy.bootstrap_ci(long, [*keys, "system"], n_bootstrap=n_bootstrap)
+    samples = materialize(
+        ex.long_trials(trials).withColumn("value", ex.verified_value())
+        .groupBy(*keys, "system", "verified", "value").agg(F.count(F.lit(1)).alias("_times")), "samples")
+    tests = hy.mann_whitney(samples, keys, weight="_times")
+    ci = materialize(hy.bootstrap_ci(samples, [*keys, "system"], n_bootstrap=n_bootstrap, weight="_times"), "intervals")
     for side in ex.SYSTEMS:
         one = ci.where(F.col("system") == side).select(
             *keys, *[F.col(c).alias(f"{side}_{c}") for c in ("lower", "upper", "mean")])
         tests = join_on(tests, one, keys, "left")
-    occurrence = hy.fisher_exact(hy.loss_occurrence(
-        long.where("metric = 'loss_rate'"), keys), keys).select(
+    losses = samples.where("metric = 'loss_rate'")
+    occurrence = hy.fisher_exact(hy.loss_occurrence(losses, keys, weight="_times"), keys).select(
         *keys, F.col("odds_ratio"), F.col("p_value").alias("occurrence_p"))
-    failed = ex.long_trials(trials).where("metric = 'loss_rate'").groupBy(*keys).agg(
-        F.count_if(~F.col("verified") & (F.col("system") == "baseline")).alias("baseline_unverified"),
-        F.count_if(~F.col("verified") & (F.col("system") == "proposed")).alias("proposed_unverified"))
+    unverified = lambda side: F.coalesce(F.sum(
+        F.when(~F.col("verified") & (F.col("system") == side), F.col("_times"))), F.lit(0))
+    failed = losses.groupBy(*keys).agg(
+        unverified("baseline").alias("baseline_unverified"), unverified("proposed").alias("proposed_unverified"))
     return join_on(join_on(tests, occurrence, keys, "left"), failed, keys, "left")
 
 
