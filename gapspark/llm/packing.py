@@ -1,13 +1,13 @@
 """Best-fit packing of token pieces by a grouping genetic algorithm.
 
 Pieces are dealt at random into blocks of about ``BLOCK`` and each block is packed by ``ISLANDS``
-islands, which are Spark rows. An island's population starts from best-fit-decreasing and random-order
-packings. Crossover injects whole well-filled bins of one parent into the other, removes every bin that
+islands, which are Spark rows. An island's population starts from best-fit-decreasing, exact-fill and
+random-order packings. Crossover injects whole well-filled bins of one parent into the other, removes every bin that
 then holds an injected piece twice, exchanges the pieces that lost their bin for smaller ones of other
 bins where that fills these better, and best-fits what is left. After the first epoch
 each island receives the elite of its neighbour, evolves on, and the best packing of a block stays.
-A population stops when it reaches a bound that no packing can beat (``least_bins``), or makes no
-progress any more.
+A population runs through all its generations unless it reaches a bound that no packing can beat
+(``least_bins``). Pieces that fill a sequence lie alone in every packing and take no part.
 
 Only piece lengths travel to the islands; a block has a bounded number of them, so no task grows
 with the input. At most one bin of a block is lost against packing all blocks as one.
@@ -35,8 +35,8 @@ BLOCK = 4096
 ISLANDS = 2
 POPULATION = 6
 GENERATIONS = 24
-#: An island gives up after so many generations without a bin less: one, or as many as fit this many pieces.
-PATIENCE = 4096
+#: Pieces that are tried as the first of three to fill a bin exactly.
+TRIED = 48
 #: Bins of more pieces than this are not searched for exchanges.
 MOST_SWAPPED = 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -123,6 +123,58 @@ def packed(lengths: np.ndarray, capacity: int, shake: random.Random | None = Non
     return Packing(bins, lengths, capacity)
 
 
+def exact_fill(lengths: np.ndarray, capacity: int) -> Packing:
+    """Bin by bin: the longest piece left, then the longest of one, two or three pieces that fill the rest
+    exactly; where there are none, the longest that fits, and so on with what is left."""
+    held: list[list[int]] = [[] for _ in range(capacity + 1)]
+    for i, size in enumerate(lengths.tolist()):
+        held[size].append(i)
+    sizes = sum(1 << s for s, own in enumerate(held) if own)  # bit s: a piece of length s is left
+    mirror = sum(1 << (capacity - s) for s, own in enumerate(held) if own)
+    bins = np.full(len(lengths), -1, np.int32)
+
+    def two(room: int) -> int:
+        """The larger of two pieces that fill ``room`` (0: none)."""
+        both = sizes & (mirror >> (capacity - room))
+        while both:
+            a = both.bit_length() - 1
+            if 2 * a < room:
+                return 0
+            if 2 * a != room or len(held[a]) > 1:
+                return a
+            both ^= 1 << a
+        return 0
+
+    def next_piece(room: int) -> int:
+        if sizes >> room & 1:
+            return room
+        if a := two(room):
+            return a
+        fits = sizes & ((1 << room) - 1)
+        largest = fits.bit_length() - 1
+        for _ in range(TRIED):
+            if not fits:
+                break
+            a = fits.bit_length() - 1
+            if (b := two(room - a)) and not (a in (b, room - a - b) and len(held[a]) < 1 + (a == b) + (a == room - a - b)):
+                return a
+            fits ^= 1 << a
+        return largest
+
+    b = 0
+    while sizes:
+        room, size = capacity, sizes.bit_length() - 1
+        while size > 0:
+            bins[held[size].pop()] = b
+            if not held[size]:
+                sizes ^= 1 << size
+                mirror ^= 1 << (capacity - size)
+            room -= size
+            size = next_piece(room) if room and sizes else 0
+        b += 1
+    return Packing(bins, lengths, capacity)
+
+
 def swap_in(bins: np.ndarray, loads: list[int], loose: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Exchanges pieces of open bins for loose ones that fill the bin better, one for one, two for one or
     one for two; returns the loose pieces then, which are smaller or fewer than before."""
@@ -228,14 +280,13 @@ def evolve(lengths: np.ndarray, capacity: int, seed: str, immigrants: list[np.nd
     rng = random.Random(seed)
     bound = least_bins(lengths, capacity)
     group = [Packing(b, lengths, capacity) for b in immigrants] or [packed(lengths, capacity)]
+    if not len(immigrants) and group[0].count > bound:
+        group.append(exact_fill(lengths, capacity))
     while len(group) < population and min(p.count for p in group) > bound:
         group.append(packed(lengths, capacity, rng))
-    patience, idle, least = max(1, PATIENCE // len(lengths)), 0, None
     for _ in range(generations):
         group.sort(key=lambda p: p.fitness)
-        idle = idle + 1 if group[0].count == least else 0
-        least = group[0].count
-        if least <= bound or idle >= patience:
+        if group[0].count <= bound:
             break
         children = []
         for k in range(max(1, population // 2)):
@@ -255,12 +306,13 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", block: int =
     batches_of(spark, 16)
     names = pieces.columns
     pieces = materialize(pieces, "pieces")
-    n_blocks = max(1, round(pieces.count() / block))
+    size = F.col(f"`{length}`").cast("int")
+    n_blocks = max(1, round(pieces.where(size < capacity).count() / block))
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    dealt = pieces.select(
-        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"),
-        F.col(f"`{length}`").cast("int").alias("size"), row,
-    )
+    dealt = pieces.where(size < capacity).select(
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_blocks)).alias("block"), size.alias("size"), row)
+    alone = pieces.where(size >= capacity).select(
+        "*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     blocks = materialize(
         dealt.groupBy("block").agg(F.collect_list(F.struct("size", "row")).alias("rows"))
         .select("block", F.col("rows.size").alias("sizes"), F.col("rows.row").alias("rows")), "blocks")
@@ -310,9 +362,10 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", block: int =
         yield from in_chunks(rows(), out, 16)
 
     spots = blocks.select("block", "sizes").join(best, "block").mapInArrow(places, placed)
-    return (
+    together = (
         blocks.select("block", "rows").join(spots, "block")
         .select("block", F.explode(F.arrays_zip("rows", "places")).alias("x"))
         .select("x.rows.*", (F.col("block") * (1 << 20) + F.col("x.places.bin")).alias("sequence_id"),
                 F.col("x.places.offset").alias("offset"))
     )
+    return together.unionByName(alone)

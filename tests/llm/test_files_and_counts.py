@@ -160,3 +160,37 @@ def test_evolution_beats_no_bound_and_keeps_capacity():
         loads = np.bincount(bins, weights=lengths)
         assert loads.max() <= 1024 and len(loads) >= -(-lengths.sum() // 1024)
         assert len(loads) <= packing.packed(lengths, 1024).count
+
+
+def test_evolution_runs_all_generations_below_the_bound(monkeypatch):
+    rng = np.random.default_rng(6)
+    lengths = np.sort(rng.integers(260, 520, 4100))  # three a bin at most: no packing comes near the bound
+    assert packing.packed(lengths, 1024).count > packing.least_bins(lengths, 1024)
+    runs = []
+    monkeypatch.setattr(packing, "crossover", lambda one, *rest: runs.append(1) or one)
+    monkeypatch.setattr(packing, "mutation", lambda one, *rest: one)
+    packing.evolve(lengths, 1024, "seed")
+    assert len(runs) == packing.GENERATIONS * (packing.POPULATION // 2)
+
+
+def test_exact_fill_meets_the_bound_where_best_fit_does_not():
+    rng = np.random.default_rng(8)
+    won = 0
+    for _ in range(12):
+        lengths = rng.integers(1, 700, 1200)
+        found = packing.exact_fill(lengths, 1024)
+        assert sorted(np.unique(found.bins)) == list(range(found.count)) and found.loads.max() <= 1024
+        least = packing.least_bins(lengths, 1024)
+        won += found.count == least < packing.packed(lengths, 1024).count
+        assert packing.Packing(packing.evolve(lengths, 1024, "s"), lengths, 1024).count >= least
+    assert won >= 3
+
+
+def test_full_pieces_lie_alone(spark):
+    df = spark.createDataFrame([(i, 10 if i % 3 else 4) for i in range(90)], "doc_id long, length int")
+    bins = {}
+    for r in packing.pack(df, 10, block=8).collect():
+        bins.setdefault(r.sequence_id, []).append((r.length, r.offset))
+    assert sum(b == [(10, 0)] for b in bins.values()) == 60
+    assert all(b == [(10, 0)] or sorted(b) in ([(4, 0)], [(4, 0), (4, 4)]) for b in bins.values())
+    assert sum(map(len, bins.values())) == 90
