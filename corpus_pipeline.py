@@ -42,15 +42,15 @@ def with_text_key(docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without any letters, which have no language (``und``), and those that score
-    below the bound learned with the languages. Without labels to learn from, no text but those without
-    letters is rejected."""
+    below the bound learned with the languages. Both are learned from every labelled document of the
+    folds that are not held out. Without labels to learn from, no text but those without letters is
+    rejected."""
     docs = as_documents(docs)
-    texts = materialize(language.training_texts(docs), "training-texts")
-    prototypes = language.learn_from(texts)
+    prototypes = language.learn(docs)
     if not prototypes:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    bound = language.least_score(texts, prototypes)
-    found = language.predict(docs, prototypes, tuple(COLUMNS))
+    found = materialize(language.predict(docs, prototypes, tuple(COLUMNS)), "language-scores")
+    bound = language.least_of(found.where(language.learned_from(F.col("doc_id"), F.col("lang"), F.col("text"))))
     return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= bound)).select(*COLUMNS)
 
 

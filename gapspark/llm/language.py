@@ -24,8 +24,6 @@ from gapspark.llm.common import arrow_schema, batches_of, in_chunks, materialize
 
 DIMENSIONS = 1024
 SEED = 20240
-#: Bound of the training sample: this many texts of each language, chosen by a hash of their ids.
-SAMPLE_PER_LANGUAGE = 1000
 #: Ids of sampled texts that are broadcast at most.
 BROADCAST_IDS = 100_000
 #: Sizes of at most so many languages are sent to all executors.
@@ -121,11 +119,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def training_texts(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
+def learned_from(doc_id: Column, lang: Column, text: Column) -> Column:
+    """Whether a document is one to learn from: labelled, with an id that is not held out."""
+    return lang.isNotNull() & text.isNotNull() & doc_id.isNotNull() & ~held_out(doc_id)
+
+
+def training_texts(docs: DataFrame, sample: int | None = None, doc_id: str = "doc_id", text: str = "text",
                    lang: str = "lang") -> DataFrame:
-    """(lang, text) of at most ``sample`` documents of each language, picked by a hash of the id."""
-    labelled = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang")).where(
-        "lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
+    """(lang, text) of all documents to learn from, or only of ``sample`` ids of each language, picked by a
+    hash of the id."""
+    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
+    if sample is None:
+        return own.where(learned_from(F.col("doc_id"), F.col("lang"), F.col("text"))).select("lang", "text")
+    labelled = own.select("doc_id", "lang").where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     # a share of the hashes leaves about twice the sample of each language to rank
     sizes = materialize(labelled.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")
     if sizes.count() <= BROADCAST_LANGUAGES:  # else the join shuffles by language
@@ -136,12 +142,12 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: s
     chosen = materialize(near.withColumn("k", rank).where(F.col("k") <= sample).select("doc_id").distinct(), "sample")
     if chosen.count() <= BROADCAST_IDS:  # at most ``sample`` ids per language: else the join shuffles
         chosen = F.broadcast(chosen)
-    own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"))
     return own.where("lang is not null and text is not null").join(chosen, "doc_id", "left_semi").select("lang", "text")
 
 
 def learn_from(texts: DataFrame) -> dict[str, np.ndarray]:
-    """Language prototypes at length one, from rows of lang and text."""
+    """Language prototypes at length one, from all rows of lang and text. Every task sums its own texts,
+    Spark sums the tasks; one row per language comes back."""
     batches_of(texts.sparkSession)
     ddl = "lang string, total array<double>"
     schema = arrow_schema(ddl)
@@ -155,23 +161,29 @@ def learn_from(texts: DataFrame) -> dict[str, np.ndarray]:
                 sums[name] = sums.get(name, 0) + vectors[names == name].sum(0, dtype=np.float64)
         yield from in_chunks(((k, v.tolist()) for k, v in sums.items()), schema, 64)
 
-    sums: dict[str, np.ndarray] = {}
-    for row in texts.repartition(16).mapInArrow(total, ddl).collect():  # 16 rows per language at most
-        sums[row.lang] = sums.get(row.lang, 0) + np.array(row.total)
+    parts = texts.mapInArrow(total, ddl).select("lang", F.posexplode("total").alias("at", "x"))
+    whole = parts.groupBy("lang", "at").agg(F.sum("x").alias("x")).groupBy("lang").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda r: r["x"]).alias("total"))
+    sums = {row.lang: np.array(row.total) for row in whole.collect()}
     return {k: (v / np.linalg.norm(v)).astype(np.float32) for k, v in sorted(sums.items()) if np.linalg.norm(v) > 0}
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text",
+def learn(docs: DataFrame, sample: int | None = None, doc_id: str = "doc_id", text: str = "text",
           lang: str = "lang") -> dict[str, np.ndarray]:
-    """Language prototypes at length one, from at most ``sample`` texts of each language."""
+    """Language prototypes at length one, from all texts to learn from, or ``sample`` ids of each language."""
     return learn_from(training_texts(docs, sample, doc_id, text, lang))
 
 
+def least_of(judged: DataFrame) -> float:
+    """``BOUND_SHARE`` of the least score among rows of lang, lang_pred and score that got their language:
+    what scores less is like no text that was learned from. Zero if none got it."""
+    right = judged.where(F.col("lang") == F.col("lang_pred"))
+    return BOUND_SHARE * (right.agg(F.min("score")).first()[0] or 0.0)
+
+
 def least_score(texts: DataFrame, prototypes: dict[str, np.ndarray]) -> float:
-    """``BOUND_SHARE`` of the least score with which one of the labelled ``texts`` got its language: what
-    scores less is like no text that was learned from. Zero if none got it."""
-    judged = predict(texts, prototypes, ("lang",)).where(F.col("lang") == F.col("lang_pred"))
-    return BOUND_SHARE * (judged.agg(F.min("score")).first()[0] or 0.0)
+    """``least_of`` the labelled ``texts``."""
+    return least_of(predict(texts, prototypes, ("lang",)))
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",),
@@ -201,8 +213,9 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: tuple[str,
     return kept.mapInArrow(run, ddl)
 
 
-def identify_languages(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; learns from the other folds."""
+def identify_languages(docs: DataFrame, sample: int | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; learns from all of the other folds,
+    or from ``sample`` ids of each language in them."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     found = predict(ids, learn(ids, sample))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
