@@ -29,6 +29,9 @@ SEED = 42
 EXACT_SIDE = 8  # a side this small and no ties: the exact rank-sum distribution applies
 PERIOD = 840  # of the counts below: the least common multiple of 1 to 8
 LISTABLE_FLIPS = 48  # values whose half sums, 2 ** 24 of them, can be listed
+FEW_CELLS = 512  # distinct values of a block that are drawn one by one
+MANY_COPIES = 64  # samples per distinct value from which on numpy's own draw is the faster one
+SLOTS = 1 << 12  # of a table of Poisson counts
 GRID_DIGITS = 6  # decimal places that a common grid of values may have
 GRID_CELLS, GRID_WORK = 1 << 22, 1 << 33  # sums on the grid, and steps over them, that one key may take
 
@@ -259,6 +262,49 @@ def _rng(*parts: int) -> np.random.Generator:
     return np.random.default_rng([int(p) & 0xFFFFFFFFFFFFFFFF for p in parts])
 
 
+def _poisson_counts(rng: np.random.Generator, mean: float, shape: tuple[int, int]) -> np.ndarray:
+    """Poisson counts of one mean, as floats: a slot of the unit interval is drawn and looked up; only in
+    the few slots where the count changes the place inside the slot is drawn too."""
+    k = np.arange(int(mean + 12 * math.sqrt(mean) + 30))
+    cdf = np.cumsum(np.exp(k * math.log(mean) - mean - np.array([math.lgamma(i + 1) for i in k.tolist()])))
+    edges = np.searchsorted(cdf, np.arange(SLOTS + 1) / SLOTS, "right")
+    table = np.where(edges[:-1] == edges[1:], edges[:-1], -1).astype(float)
+    slots = rng.integers(0, SLOTS, shape, dtype=np.uint16)
+    counts = table[slots]
+    split = counts < 0
+    places = (slots[split] + rng.random(int(split.sum()))) / SLOTS
+    counts[split] = np.minimum(np.searchsorted(cdf, places, "right"), len(k) - 1)
+    return counts
+
+
+def _resampled_sums(rng: np.random.Generator, own: np.ndarray, values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of ``own[r]`` draws with replacement from a block's samples, for each replicate r.
+
+    Counts of a multinomial draw are independent Poisson counts, given their total. Values with the
+    same number of samples have the same mean, so a block with many values draws Poisson counts from
+    tables, for a few samples less than wanted; a replicate that exceeds its number is drawn again, and
+    what a replicate lacks is drawn one by one. The distribution is that of the multinomial draw.
+    """
+    mass = int(weights.sum())
+    base = mass - 8 * math.sqrt(mass)
+    kinds, place = np.unique(weights, return_inverse=True)
+    if len(values) < FEW_CELLS or mass > MANY_COPIES * len(values) or 4 * len(kinds) > len(values):
+        return rng.multinomial(own, weights / mass) @ values
+    cells = np.split(np.argsort(place, kind="stable"), np.cumsum(np.bincount(place))[:-1])
+    sums, drawn, todo = np.zeros(len(own)), np.zeros(len(own), np.int64), np.arange(len(own))
+    while len(todo):
+        s, d = np.zeros(len(todo)), np.zeros(len(todo))
+        for kind, at in zip(kinds.tolist(), cells):
+            counts = _poisson_counts(rng, base * kind / mass, (len(todo), len(at)))
+            s += counts @ values[at]
+            d += counts.sum(1)
+        sums[todo], drawn[todo] = s, d
+        todo = todo[d > own[todo]]
+    rest = own - drawn
+    single = np.repeat(values, weights)[rng.integers(0, mass, int(rest.sum()))]
+    return sums + np.bincount(np.repeat(np.arange(len(own)), rest), weights=single, minlength=len(own))
+
+
 def _draws_of_children(draws: DataFrame, parents: DataFrame, keys: list[str], level: int, seed: int) -> DataFrame:
     """One step down the tree of blocks: each node's draws, per replicate, dealt to its children by mass."""
     fields = draws.schema
@@ -266,6 +312,7 @@ def _draws_of_children(draws: DataFrame, parents: DataFrame, keys: list[str], le
 
     def deal(frames):
         for pdf in frames:
+            found = []
             for row in pdf.to_dict("records"):
                 mass = np.asarray(row["_masses"], dtype=np.int64)
                 own = np.asarray(row["_draws"], dtype=np.int64)
@@ -278,7 +325,9 @@ def _draws_of_children(draws: DataFrame, parents: DataFrame, keys: list[str], le
                     "_draws": list(dealt.T)})
                 for k in keys:
                     out[k] = row[k]
-                yield out[[*keys, "_key", "_node", "_range", "_draws"]]
+                found.append(out[[*keys, "_key", "_node", "_range", "_draws"]])
+            if found:
+                yield pd.concat(found)
 
     paired = spread(join_on(draws, parents, [*keys, "_node"]), *keys, "_node", "_range")
     return paired.mapInPandas(deal, f"{key_ddl}_key bigint, _node bigint, _range int, _draws array<bigint>")
@@ -347,7 +396,7 @@ def bootstrap_ci(
                     part = own * values[0]
                 else:
                     rng = _rng(seed, row["_key"], 0, row["_node"], row["_range"])
-                    part = rng.multinomial(own, weights / weights.sum()) @ values
+                    part = _resampled_sums(rng, own, values, weights)
                 sums.append(part.tolist())
             out = pdf[[*keys, "_range"]].copy()
             out["_sums"] = sums

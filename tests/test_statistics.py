@@ -377,3 +377,33 @@ def test_trailing_mean_of_a_long_run(spark, monkeypatch):
         own = sorted((b, v) for r, b, v in data if r == run)
         want = {b: sum(v for _, v in own[max(0, i - 4) : i + 1]) / len(own[max(0, i - 4) : i + 1]) for i, (b, _) in enumerate(own)}
         assert {r.block: r.moving_avg for r in out if r.run == run} == pytest.approx(want)
+
+
+class NoMultinomial:
+    """A generator whose draw per value and replicate, the slow one, is not to be used."""
+
+    def __init__(self, seed):
+        own = np.random.default_rng(seed)
+        self.integers, self.random = own.integers, own.random
+
+
+@pytest.mark.parametrize("copies", [1, 3, 20])
+def test_resampled_sums_of_large_blocks_have_the_multinomial_distribution(copies):
+    rng = np.random.default_rng(copies)
+    weights = rng.integers(max(1, copies // 2), copies * 3 // 2 + 1, 2048)
+    mass = int(weights.sum())
+    own = rng.binomial(20 * mass, 1 / 20, 500)
+    draw = lambda values, n: hy._resampled_sums(NoMultinomial(n), own, values, weights)
+    assert (draw(np.ones(2048), 0) == own).all()  # every replicate has exactly its number of draws
+    for share in (0.001, 0.2, 0.5):
+        inside = (np.arange(2048) < max(2, int(2048 * share))).astype(float)
+        p = float((inside * weights).sum() / mass)
+        z = np.concatenate([(draw(inside, n) - own * p) / np.sqrt(own * p * (1 - p)) for n in range(8)])
+        assert abs(z.mean()) < 5 / np.sqrt(len(z)) and abs(z.var() - 1) < 0.15
+
+
+def test_resampled_sums_of_few_or_heavy_values_are_multinomial_draws():
+    for weights in (np.arange(1, 100), np.full(600, 1000), np.arange(1, 601)):
+        own, values = np.full(20, weights.sum()), np.arange(len(weights)) / 4
+        got = hy._resampled_sums(np.random.default_rng(3), own, values, weights)
+        assert (got == np.random.default_rng(3).multinomial(own, weights / weights.sum()) @ values).all()
