@@ -356,7 +356,7 @@ def bootstrap_ci(
         join_on(counts, sizes, keys)
         .withColumn("_node", F.pmod(F.xxhash64(value), n_blocks))
         .groupBy(*keys, "_node").agg(
-            F.sum("n").alias("_mass"),
+            F.sum("n").alias("_mass"), (F.max("_cells") > cell_block).alias("_large"),
             F.array_sort(F.collect_list(F.struct(F.col(value).cast("double").alias("v"), F.col("n").alias("n")))).alias("_list"))
         .withColumn("_values", F.col("_list.v")).withColumn("_counts", F.col("_list.n")).drop("_list"), "value-blocks")
 
@@ -396,7 +396,10 @@ def bootstrap_ci(
                     part = own * values[0]
                 else:
                     rng = _rng(seed, row["_key"], 0, row["_node"], row["_range"])
-                    part = _resampled_sums(rng, own, values, weights)
+                    if row["_large"]:
+                        part = _resampled_sums(rng, own, values, weights)
+                    else:  # a key of one block has bounded work
+                        part = rng.multinomial(own, weights / weights.sum()) @ values
                 sums.append(part.tolist())
             out = pdf[[*keys, "_range"]].copy()
             out["_sums"] = sums
