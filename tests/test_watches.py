@@ -46,6 +46,22 @@ def test_observed_counts_equal_stored_rows(spark, tmp_path):
     assert (stored.count(), bad.count()) == (24, 12) and bad.where("reason = 'parse_error'").count() == 6
 
 
+def test_a_batch_of_one_file_is_read_by_several_tasks(spark, tmp_path):
+    line = '{"timestamp":"2024-01-01T00:00:00","sensor_id":"s","event_type":"login","severity":2}'
+    n = 20_000  # 1.7 MB: one part, where a part has the usual 4 MB at least
+    spark.createDataFrame([(line,)], "value string").selectExpr(f"explode(array_repeat(value, {n})) AS value").coalesce(1).write.text(
+        f"{tmp_path}/in")
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    ledger = watches.BatchLedger(spark, "ingest", f"{tmp_path}/ledger")
+    source = jobs.text_source(spark, f"{tmp_path}/in", max_files=1)
+    watches.run_observed(watches.observed_ingest(ingest.validate_rows(source)), f"{tmp_path}/out", f"{tmp_path}/cp", ledger)
+    stored = spark.read.parquet(f"{tmp_path}/out")
+    assert len(stored.inputFiles()) >= 4
+    assert stored.where("reason IS NULL").count() == n
+    assert ledger.read().selectExpr("count(*)", "sum(received)", "sum(accepted)").first() == (1, n, n)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
 def test_tail_counts_groups_and_errors(spark, tmp_path):
     lines = ['{"vector_ingest_ts_first": 1000, "vector_ingest_ts_last": 1400, "count": 3}', "", "{", '{"vector_ingest_ts_first": 1}',
              '{"vector_ingest_ts_first": "5", "vector_ingest_ts_last": 9}']
