@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,36 +186,40 @@ def swap_in(bins: np.ndarray, loads: list[int], loose: np.ndarray, lengths: np.n
         held.setdefault(int(bins[i]), []).append(i)
     size = lengths.tolist()
     free = sorted((size[i], i) for i in loose.tolist())
-
-    def largest(low: int, high: int, but: int = -1) -> int:
-        """Place in ``free`` of the largest piece over ``low`` and up to ``high`` (-1: none)."""
-        at = bisect_right(free, (high, len(size))) - 1
-        while at >= 0 and at == but:
-            at -= 1
-        return at if at >= 0 and free[at][0] > low else -1
-
+    left = [s for s, _ in free]
     for b, own in held.items():
         room = capacity - loads[b]
         if room <= 0 or not free or len(own) > MOST_SWAPPED:
             continue
-        best = (0, (), ())
-        for x, i in enumerate(own):
-            for out in ((i,), *((i, k) for k in own[x + 1 :])):
-                gone = sum(size[o] for o in out)
-                one = largest(gone, gone + room)
-                if one >= 0 and free[one][0] - gone > best[0]:
-                    best = (free[one][0] - gone, out, (one,))
-                if len(out) == 1 and (first := largest(0, gone + room - free[0][0])) >= 0:
-                    second = largest(0, gone + room - free[first][0], first)
-                    if second >= 0 and (gain := free[first][0] + free[second][0] - gone) > best[0]:
-                        best = (gain, out, (first, second))
-        gain, out, places = best
+        gain, out, places = 0, (), ()
+        sizes, most = [size[i] for i in own], left[-1]
+        for x, gone in enumerate(sizes):
+            one = bisect_right(left, gone + room) - 1
+            if one >= 0 and left[one] - gone > gain:
+                gain, out, places = left[one] - gone, (x,), (one,)
+            if (first := bisect_right(left, gone + room - left[0]) - 1) >= 0:
+                second = bisect_right(left, gone + room - left[first]) - 1
+                second -= second == first
+                if second >= 0 and left[first] + left[second] - gone > gain:
+                    gain, out, places = left[first] + left[second] - gone, (x,), (first, second)
+            for y in range(x + 1, len(sizes)):
+                both = gone + sizes[y]
+                if most - both > gain:  # else no loose piece is long enough
+                    one = bisect_right(left, both + room) - 1
+                    if one >= 0 and left[one] - both > gain:
+                        gain, out, places = left[one] - both, (x, y), (one,)
+            if gain == room:  # the bin is full, nothing is better
+                break
         if gain:
             taken = [free[at][1] for at in places]
             for at in sorted(places, reverse=True):
                 free.pop(at)
-            for i in out:
-                insort(free, (size[i], i))
+                left.pop(at)
+            for x in out:
+                piece = (sizes[x], own[x])
+                at = bisect_right(free, piece)
+                free.insert(at, piece)
+                left.insert(at, sizes[x])
             for i in taken:
                 bins[i] = b
             loads[b] += gain

@@ -194,3 +194,17 @@ def test_full_pieces_lie_alone(spark):
     assert sum(b == [(10, 0)] for b in bins.values()) == 60
     assert all(b == [(10, 0)] or sorted(b) in ([(4, 0)], [(4, 0), (4, 4)]) for b in bins.values())
     assert sum(map(len, bins.values())) == 90
+
+
+def test_an_exchange_stops_where_nothing_better_can_come(monkeypatch):
+    searches = []
+    plain = packing.bisect_right
+    monkeypatch.setattr(packing, "bisect_right", lambda *a: searches.append(1) or plain(*a))
+    # 50 bins of 20 pieces with 24 tokens of room: the first piece given for a loose one of 74 fills the bin
+    lengths = np.array([50] * 1000 + [74] * 50)
+    bins = np.concatenate([np.repeat(np.arange(50), 20), np.full(50, -1)]).astype(np.int32)
+    loads = [1000] * 50
+    loose = packing.swap_in(bins, loads, np.arange(1000, 1050), lengths, 1024)
+    assert loads == [1024] * 50 and lengths[loose].tolist() == [50] * 50
+    assert sorted(bins[1000:].tolist()) == list(range(50))
+    assert len(searches) < 50 * 50  # all pairs of a bin are 190
