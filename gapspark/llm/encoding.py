@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from operator import attrgetter
 
 from gapspark.llm.common import worker_state
 
@@ -19,9 +20,10 @@ from gapspark.llm.common import worker_state
 ODD_SPACE = re.compile("[\x1c-\x1f᠎]")
 CHUNK = re.compile(r"\s*\S+|\s+")
 #: One word of Latin letters, with marks after it that never join a word.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:]*)")
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([.,!?;:$%&*#]*)")
 #: Longer chunks are encoded but not remembered.
 LONG_CHUNK = 48
+TOKEN_ID = attrgetter("id")
 
 
 def byte_letters() -> dict[int, str]:
@@ -81,20 +83,26 @@ class Encoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def word(self, lead: str, word: str) -> bytes:
-        if plain := PLAIN.fullmatch(word):
-            if not self.keep_space:
-                lead, word = "", word.lower()
+        if word.isalpha() and word.isascii():
+            end = len(word)
+        elif plain := PLAIN.fullmatch(word):
             end = plain.end(1)
-            ids = self.pieces(lead + word[:end])
-            return ids + self.marks[word[end:]] if end < len(word) else ids
-        return self.whole(lead + word)
+        else:
+            return self.whole(lead + word)
+        known = self.inner if lead else self.first
+        if not self.keep_space:
+            lead, word = "", word.lower()
+        if end == len(word):
+            return self.pieces(lead + word)
+        return (known.get(word[:end]) or self.pieces(lead + word[:end])) + self.marks[word[end:]]
 
     def pieces(self, word: str) -> bytes:
         """Ids of what is one pre-token, spelled in the vocabulary's stand-ins for bytes."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1")
-        tokens = self.model.tokenize(word.translate(self.letters))
-        return array("I", [t.id for t in tokens]).tobytes()
+        if word.isascii():  # printable but for the space
+            word = word.replace(" ", self.letters[32])
+        else:
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", map(TOKEN_ID, self.model.tokenize(word))).tobytes()
 
     def encode(self, text: str) -> bytes:
         if ODD_SPACE.search(text):

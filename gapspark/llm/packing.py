@@ -7,7 +7,8 @@ then holds an injected piece twice, exchanges the pieces that lost their bin for
 bins where that fills these better, and best-fits what is left. After the first epoch
 each island receives the elite of its neighbour, evolves on, and the best packing of a block stays.
 A population runs through all its generations unless it reaches a bound that no packing can beat
-(``least_bins``). Pieces that fill a sequence lie alone in every packing and take no part.
+(``least_bins``). Pieces that fill a sequence lie alone in every packing and take no part, nor do two that fill
+one together: some best packing has them so (``exact_pairs``).
 
 Only piece lengths travel to the islands; a block has a bounded number of them, so no task grows
 with the input. At most one bin of a block is lost against packing all blocks as one.
@@ -86,28 +87,49 @@ class Packing:
 
 def best_fit(bins: np.ndarray, loads: list[int], loose: np.ndarray, lengths: np.ndarray, capacity: int) -> None:
     """Puts the ``loose`` pieces, longest first, each into the fullest bin that still takes it."""
-    room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    room: dict[int, list[int]] = {}
     mask = 0
-    for b, load in enumerate(loads):
-        if load < capacity and load >= 0:
-            room[capacity - load].append(b)
-            mask |= 1 << (capacity - load)
-    for i in loose[np.argsort(-lengths[loose], kind="stable")].tolist():
-        need = int(lengths[i])
+    filled = np.array(loads, np.int64)
+    for b in np.flatnonzero((filled < capacity) & (filled >= 0)).tolist():
+        room.setdefault(capacity - loads[b], []).append(b)
+    for free in room:
+        mask |= 1 << free
+    order = loose[np.argsort(-lengths[loose], kind="stable")]
+    chosen = []
+    for need in lengths[order].tolist():
         fits = mask >> need
         if fits:
             free = need + (fits & -fits).bit_length() - 1
-            b = room[free].pop()
-            if not room[free]:
+            held = room[free]
+            b = held.pop()
+            if not held:
                 mask ^= 1 << free
+            loads[b] += need
         else:
             b, free = len(loads), capacity
-            loads.append(0)
-        loads[b] += need
-        bins[i] = b
+            loads.append(need)
+        chosen.append(b)
         if left := free - need:
-            room[left].append(b)
-            mask |= 1 << left
+            if held := room.get(left):
+                held.append(b)
+            else:
+                room[left] = [b]
+                mask |= 1 << left
+    bins[order] = chosen
+
+
+def exact_pairs(lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Bins of pieces that pair up to exactly ``capacity``, -1 for the others. No packing is lost by it: in any
+    packing of two such pieces in different bins, one can trade places with all that lies beside the other."""
+    held: dict[int, list[int]] = {}
+    bins, count = np.full(len(lengths), -1, np.int32), 0
+    for i, size in enumerate(lengths.tolist()):
+        if others := held.get(capacity - size):
+            bins[i] = bins[others.pop()] = count
+            count += 1
+        else:
+            held.setdefault(size, []).append(i)
+    return bins
 
 
 def packed(lengths: np.ndarray, capacity: int, shake: random.Random | None = None) -> Packing:
@@ -178,43 +200,56 @@ def exact_fill(lengths: np.ndarray, capacity: int) -> Packing:
 def swap_in(bins: np.ndarray, loads: list[int], loose: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Exchanges pieces of open bins for loose ones that fill the bin better, one for one, two for one or
     one for two; returns the loose pieces then, which are smaller or fewer than before."""
-    held: dict[int, list[int]] = {}
     inside = bins >= 0
     inside[loose] = False
-    inside[inside] = np.array(loads)[bins[inside]] < capacity
-    for i in np.flatnonzero(inside).tolist():
-        held.setdefault(int(bins[i]), []).append(i)
+    filled = np.array(loads)
+    inside[inside] = filled[bins[inside]] < capacity
+    held: dict[int, list[int]] = {}
+    members = np.flatnonzero(inside)
+    for i, b in zip(members.tolist(), bins[members].tolist()):
+        if b in held:
+            held[b].append(i)
+        else:
+            held[b] = [i]
     size = lengths.tolist()
-    free = sorted((size[i], i) for i in loose.tolist())
+    free = sorted(zip(lengths[loose].tolist(), loose.tolist()))
     left = [s for s, _ in free]
     for b, own in held.items():
         room = capacity - loads[b]
-        if room <= 0 or not free or len(own) > MOST_SWAPPED:
+        if room <= 0 or not left or len(own) > MOST_SWAPPED:
             continue
         gain, out, places = 0, (), ()
-        sizes, most = [size[i] for i in own], left[-1]
+        sizes, least, most = [size[i] for i in own], left[0], left[-1]
         for x, gone in enumerate(sizes):
-            one = bisect_right(left, gone + room) - 1
-            if one >= 0 and left[one] - gone > gain:
-                gain, out, places = left[one] - gone, (x,), (one,)
-            if (first := bisect_right(left, gone + room - left[0]) - 1) >= 0:
-                second = bisect_right(left, gone + room - left[first]) - 1
+            upto = gone + room
+            if least > upto:
+                first = -1
+            else:
+                one = bisect_right(left, upto) - 1
+                if (more := left[one] - gone) > gain:
+                    gain, out, places = more, (x,), (one,)
+                    if gain == room:  # the bin is full, nothing is better
+                        break
+                first = bisect_right(left, upto - least) - 1
+            if first >= 0:
+                second = bisect_right(left, upto - left[first]) - 1
                 second -= second == first
-                if second >= 0 and left[first] + left[second] - gone > gain:
-                    gain, out, places = left[first] + left[second] - gone, (x,), (first, second)
+                if second >= 0 and (more := left[first] + left[second] - gone) > gain:
+                    gain, out, places = more, (x,), (first, second)
+                    if gain == room:
+                        break
             for y in range(x + 1, len(sizes)):
                 both = gone + sizes[y]
                 if most - both > gain:  # else no loose piece is long enough
                     one = bisect_right(left, both + room) - 1
-                    if one >= 0 and left[one] - both > gain:
-                        gain, out, places = left[one] - both, (x, y), (one,)
-            if gain == room:  # the bin is full, nothing is better
+                    if one >= 0 and (more := left[one] - both) > gain:
+                        gain, out, places = more, (x, y), (one,)
+            if gain == room:
                 break
         if gain:
             taken = [free[at][1] for at in places]
             for at in sorted(places, reverse=True):
-                free.pop(at)
-                left.pop(at)
+                del free[at], left[at]
             for x in out:
                 piece = (sizes[x], own[x])
                 at = bisect_right(free, piece)
@@ -329,8 +364,10 @@ def pack(pieces: DataFrame, capacity: int, length: str = "length", block: int =
                 for batch in batches:
                     for b, island, sizes, *elites in zip(*(c.to_pylist() for c in batch.columns)):
                         sizes = np.array(sizes, np.int64)
-                        first = [np.array(e, np.int32) for e in elites]
-                        bins = evolve(sizes, capacity, f"{b}/{island}/{epoch}", first)
+                        bins = exact_pairs(sizes, capacity)
+                        rest = bins < 0
+                        first = [np.array(e, np.int32)[rest] for e in elites]
+                        bins[rest] = bins.max() + 1 + evolve(sizes[rest], capacity, f"{b}/{island}/{epoch}", first)
                         p = Packing(bins, sizes, capacity)
                         yield b, island, p.bins.tolist(), [float(v) for v in p.fitness]
 

@@ -208,3 +208,42 @@ def test_an_exchange_stops_where_nothing_better_can_come(monkeypatch):
     assert loads == [1024] * 50 and lengths[loose].tolist() == [50] * 50
     assert sorted(bins[1000:].tolist()) == list(range(50))
     assert len(searches) < 50 * 50  # all pairs of a bin are 190
+
+
+def test_pieces_that_fill_a_sequence_together_lose_no_packing():
+    lengths = np.array([600, 424, 424, 512, 512, 512, 1, 600])
+    bins = packing.exact_pairs(lengths, 1024)
+    assert sorted(lengths[bins == b].tolist() for b in range(3)) == [[424, 600], [512, 512], [600, 424]]
+    assert lengths[bins < 0].tolist() == [512, 1]
+    for seed in range(150):
+        rng = random.Random(seed)
+        sizes = np.array([rng.randint(1, 19) for _ in range(rng.randint(1, 11))])
+        paired = packing.exact_pairs(sizes, 20)
+        rest = sizes[paired < 0].tolist()
+        assert not any(a + b == 20 for i, a in enumerate(rest) for b in rest[:i])
+        assert fewest_bins(sizes.tolist(), 20) == paired.max() + 1 + (fewest_bins(rest, 20) if rest else 0), sizes
+
+
+def test_pairs_that_fill_a_sequence_stay_together(spark):
+    sizes = [600] * 30 + [424] * 30 + [700, 200, 300, 90]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id long, length long").coalesce(1)
+    out = packing.pack(df, 1024, block=100).collect()
+    held = {}
+    for r in out:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert len(out) == len(sizes) and len(held) == 32
+    assert sum(sorted(x for _, x in own) == [424, 600] for own in held.values()) == 30
+    for own in held.values():
+        assert [at for at, _ in sorted(own)] == [sum(x for _, x in sorted(own)[:k]) for k in range(len(own))]
+
+
+@pytest.mark.parametrize("name,keep_space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_a_known_word_with_marks_is_not_encoded_again(name, keep_space, monkeypatch):
+    encoder = Encoder(public_tokenizers.path(name), keep_space)
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    spelled, pieces = [], encoder.pieces
+    monkeypatch.setattr(encoder, "pieces", lambda word: spelled.append(word) or pieces(word))
+    monkeypatch.setattr(encoder, "whole", lambda text: pytest.fail(text))
+    text = "ab zorble zorble, zorble. zorble$$$ fünfzig fünfzig%%% fünfzig#& zorble!?***"
+    assert np.frombuffer(encoder.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert sum("zorble" in w for w in spelled) == 1 and len(spelled) == len(set(spelled))
