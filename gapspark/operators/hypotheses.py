@@ -33,7 +33,11 @@ FEW_CELLS = 512  # distinct values of a block that are drawn one by one
 MANY_COPIES = 64  # samples per distinct value from which on numpy's own draw is the faster one
 SLOTS = 1 << 12  # of a table of Poisson counts
 GRID_DIGITS = 6  # decimal places that a common grid of values may have
-GRID_CELLS, GRID_WORK = 1 << 22, 1 << 33  # sums on the grid, and steps over them, that one key may take
+GRID_CELLS, GRID_WORK = 1 << 22, 1 << 33  # sums on the grid, and steps over them, up to which one task counts a key
+WHOLE_CELLS = 1 << 53  # up to here doubles hold every whole number
+HEAD_STATES, HEAD_WORK = 1 << 16, 1 << 24  # sums of large steps that are listed, at once and in all
+GRID_SIDE, GRID_CHUNK = 1 << 12, 1 << 19  # frequencies that share a table of angles, and that are held at once
+UNIT_LEAST, UNIT_WORK, UNITS = 1 << 20, 1 << 28, 1 << 20  # frequencies of a unit, factors of one, units of a key
 
 
 # --- two samples ------------------------------------------------------------------------------
@@ -438,12 +442,158 @@ def _grid_p(steps: np.ndarray, copies: np.ndarray, observed: int) -> float:
     return min(1.0, 2.0 * float(chance[: (total - abs(observed)) // 2 + 1].sum()))
 
 
-def sign_flip_on_grid(values: DataFrame, keys: list[str], value: str) -> DataFrame:
+def _tilt(ends: np.ndarray, weights: np.ndarray, sizes: np.ndarray, copies: np.ndarray) -> float:
+    """The exponent that moves the mean of the flipped total to the ends; 0 if it lies below them anyhow."""
+
+    def above(tilt: float) -> float:
+        own = weights * np.exp(tilt * (ends - ends.max()))
+        return float((own * ends).sum() / own.sum() - (copies * sizes / (1 + np.exp(np.minimum(tilt * sizes, 700.0)))).sum())
+
+    if above(0.0) >= 0:
+        return 0.0
+    low, high = 0.0, 1.0 / float((sizes * copies).sum())
+    while above(high) < 0:
+        low, high = high, 2 * high
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if above(mid) < 0 else (low, mid)
+    return high
+
+
+def _grid_plan(steps: np.ndarray, copies: np.ndarray, observed: int, states: int = HEAD_STATES) -> tuple:
+    """What ``_grid_part`` needs for P(flipped total <= end), and the part of that chance known already.
+
+    Totals of the largest steps are listed as long as that makes the rest cheaper: a total that no rest
+    can carry over the end counts whole, one beyond the end not at all. The others go on, each with the
+    room left to the end. A step far from all others thus costs nothing, and few distinct totals are
+    listed to the end.
+    """
+    order = np.argsort(-steps)
+    steps, copies = steps[order], copies[order]
+    reach = int((steps * copies).sum())
+    end = (reach - abs(observed)) // 2
+    if end * 2 == reach:
+        return 1.0, 0.0, 0, [], [], [], []
+    known, at, weights, work = 0.0, np.zeros(1, np.int64), np.ones(1), 0
+    least, best = math.inf, None
+    for i in range(len(steps) + 1):
+        left = int(copies[i]) if i < len(steps) else 0
+        while True:
+            cost = (len(steps) - i + len(at)) * (reach + 1) if len(at) else 0
+            if cost < least:
+                least, best = cost, (known, at, weights, i, left)
+            work += len(at) + HEAD_WORK // 4096  # no more than so many rounds
+            if not left or not len(at) or len(at) > states or work > HEAD_WORK:
+                break
+            left -= 1
+            reach -= int(steps[i])
+            at, found = np.unique(np.concatenate([at, at + steps[i]]), return_inverse=True)
+            weights = np.bincount(found, weights=np.concatenate([weights, weights]) / 2)
+            sure, open_ = at + reach <= end, (at <= end) & (at + reach > end)
+            known += float(weights[sure].sum())
+            at, weights = at[open_], weights[open_]
+        if not len(at) or len(at) > states or work > HEAD_WORK:
+            break
+    known, at, weights, i, left = best
+    steps, copies = steps[i:], np.concatenate([[left] if i < len(steps) else [], copies[i + 1 :]]).astype(np.int64)
+    steps, copies = steps[copies > 0], copies[copies > 0]
+    at, weights = at[weights > 0], weights[weights > 0]
+    ends = end - at
+    if len(ends):  # with less room than the least step no flip is left but none
+        none = ends < steps[-1]
+        known += float(weights[none].sum()) * 2.0 ** -float(copies.sum())
+        ends, weights = ends[~none], weights[~none]
+    if not len(ends):
+        return min(1.0, 2 * known), 0.0, 0, [], [], [], []
+    tilt = _tilt(ends, weights, steps, copies)
+    scale = float((copies * (np.log1p(np.exp(-tilt * steps)) - math.log(2.0))).sum())
+    weights = np.exp(np.log(weights) + scale + tilt * ends)
+    cells = (int((steps * copies).sum()) + 1) | 1  # an odd number, so frequencies other than 0 come in pairs
+    sums = np.expm1(-tilt * (ends + 1.0)) / math.expm1(-tilt) if tilt else ends + 1.0
+    return 2 * (known + float((weights * sums).sum()) / cells), tilt, cells, steps, copies, ends, weights
+
+
+def _turns(step: int, k: np.ndarray | list[int], cells: int) -> np.ndarray:
+    """exp(2 pi i step k / cells); whole turns are dropped while the numbers are whole."""
+    rest = np.array([step * int(x) % cells for x in k], np.int64) if isinstance(k, list) else step * k % cells
+    return np.exp(2j * np.pi / cells * rest)
+
+
+def _grid_part(first: int, last: int, tilt: float, cells: int, sizes: np.ndarray, copies: np.ndarray, ends: np.ndarray, weights: np.ndarray) -> float:
+    """The share of the frequencies first to last in the two-sided p.
+
+    The chance of a total is the inverse Fourier transform of the product of (1 + turned step) / 2, and
+    the sum up to an end has a closed form per frequency, so frequencies need neither each other nor
+    memory for the totals. Steps are weighed by exp(-tilt step), so a small p keeps its digits.
+    """
+    side = int(min(GRID_SIDE, (1 << 62) // cells))
+    near = np.arange(side, dtype=np.int64)
+    factors = np.exp(-tilt * sizes)
+    edge = float((weights * np.exp(-tilt * (ends + 1.0))).sum())
+    total = 0.0
+    for begin in range(first, last + 1, GRID_CHUNK):
+        stop = min(begin + GRID_CHUNK, last + 1)
+        starts = list(range(begin, stop, side))
+        product = np.ones((len(starts), side), complex)
+        turned = np.empty(side, complex)
+        for size, n, r in zip(sizes.tolist(), copies.tolist(), factors.tolist()):
+            table, base = _turns(size, near, cells) * (r / (1 + r)), 1 / (1 + r)
+            for row, start in zip(product, _turns(size, starts, cells)):
+                np.multiply(table, start, out=turned)
+                turned += base
+                row *= turned if n == 1 else turned**n
+        sums = np.zeros_like(product)
+        for end, weight in zip(ends.tolist(), weights.tolist()):
+            table = weight * _turns(end, near, cells).conj()
+            for row, start in zip(sums, _turns(end, starts, cells).conj()):
+                np.multiply(table, start, out=turned)
+                row += turned
+        angle = 2j * np.pi / cells * np.arange(begin, stop)
+        own, kernel = product.ravel()[: stop - begin], sums.ravel()[: stop - begin] - edge * np.exp(angle)
+        total += float((own * kernel / -np.expm1(angle - tilt)).real.sum())
+    return 4 * total / cells
+
+
+def _by_frequencies(gathered: DataFrame, keys: list[str]) -> DataFrame:
+    """``_p`` of keys with more cells than one task should step over, as a sum over units of frequencies."""
+
+    @F.pandas_udf("_p double, _tilt double, _cells bigint, _sizes array<bigint>, _copies array<bigint>, _ends array<bigint>, _weights array<double>")
+    def plan(observed: pd.Series, sizes: pd.Series, copies: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(
+            [_grid_plan(np.asarray(s, np.int64), np.asarray(n, np.int64), int(o)) for o, s, n in zip(observed, sizes, copies)],
+            columns=["_p", "_tilt", "_cells", "_sizes", "_copies", "_ends", "_weights"])
+
+    @F.pandas_udf(T.DoubleType())
+    def part(
+        first: pd.Series, last: pd.Series, tilt: pd.Series, cells: pd.Series, sizes: pd.Series, copies: pd.Series,
+        ends: pd.Series, weights: pd.Series,
+    ) -> pd.Series:
+        return pd.Series([
+            _grid_part(int(f), int(e), float(t), int(c), *map(np.asarray, arrays))
+            for f, e, t, c, *arrays in zip(first, last, tilt, cells, sizes, copies, ends, weights)], dtype="float64")
+
+    planned = materialize(spread(gathered, *keys).withColumn(
+        "_plan", plan("_observed", F.col("_steps.s"), F.col("_steps.n"))).select(*keys, "_plan.*"), "grid-plans")
+    half = F.floor(F.col("_cells") / 2)
+    width = F.greatest(F.lit(UNIT_LEAST), F.floor(F.lit(UNIT_WORK) / F.size("_sizes")), F.ceil(half / UNITS))
+    units = planned.where(F.col("_cells") > 0).withColumn("_width", width).withColumn(
+        "_unit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(half / F.col("_width")) - 1)))
+    first = F.col("_unit") * F.col("_width") + 1
+    parts = spread(units, *keys, "_unit").select(*keys, part(
+        first, F.least(first + F.col("_width") - 1, half), "_tilt", "_cells", "_sizes", "_copies", "_ends", "_weights").alias("_part"))
+    rest = parts.groupBy(*keys).agg(F.sum("_part").alias("_rest"))
+    p = F.col("_p") + F.coalesce("_rest", F.lit(0.0))
+    return join_on(planned.select(*keys, "_p"), rest, keys, "left").select(*keys, F.least(F.lit(1.0), p).alias("_p"))
+
+
+def sign_flip_on_grid(values: DataFrame, keys: list[str], value: str, finest: int = WHOLE_CELLS) -> DataFrame:
     """Exact two-sided sign-flip p of the keys whose values lie on a common decimal grid, for any number
     of values: ``_p`` and ``_why`` (``off_grid``, ``grid_too_fine`` or NULL) per key.
 
     Values become whole steps of the grid and their counts, so what is gathered per key is bounded by
-    the grid's cells and not by the rows.
+    the grid's cells and not by the rows. One task steps over the cells of a small grid; a larger one is
+    summed over its frequencies, by as many tasks as there are. ``finest``: the most cells a key may have,
+    for callers whose values may lie on any grid; beyond ``WHOLE_CELLS`` doubles hold no whole steps.
     """
     scaled = [F.col(value) * F.lit(10.0**d) for d in range(GRID_DIGITS + 1)]
     nonzero = values.where(F.col(value) != 0)
@@ -459,13 +609,15 @@ def sign_flip_on_grid(values: DataFrame, keys: list[str], value: str) -> DataFra
     counts = materialize(counts, "grid-steps")
     sums = counts.groupBy(*keys).agg(
         F.sum(F.col("_size") * F.col("_n")).alias("_cells"), F.sum("_n").alias("_flips"), F.abs(F.sum("_sum")).alias("_observed"))
-    fits = (F.col("_cells") <= GRID_CELLS) & (F.col("_cells").cast("double") * F.col("_flips") <= GRID_WORK)
     state = materialize(join_on(grids, sums, keys, "left").withColumn("_why", F.when(
-        F.col("_digits").isNull(), "off_grid").when(~fits, "grid_too_fine")), "grid-state")
-    small = state.where(F.col("_why").isNull()).select(*keys, F.col("_observed").cast("long").alias("_observed"))
-    gathered = join_on(counts, small, keys).groupBy(*keys).agg(
-        F.max("_observed").alias("_observed"),
-        F.collect_list(F.struct(F.col("_size").cast("long").alias("s"), F.col("_n").alias("n"))).alias("_steps"))
+        F.col("_digits").isNull(), "off_grid").when(F.col("_cells") > min(finest, WHOLE_CELLS), "grid_too_fine")).withColumn(
+        "_small", (F.col("_cells") <= GRID_CELLS) & (F.col("_cells").cast("double") * F.col("_flips") <= GRID_WORK)), "grid-state")
+
+    def gather(some: DataFrame) -> DataFrame:
+        own = some.where(F.col("_why").isNull()).select(*keys, F.col("_observed").cast("long").alias("_observed"))
+        return join_on(counts, own, keys).groupBy(*keys).agg(
+            F.max("_observed").alias("_observed"),
+            F.collect_list(F.struct(F.col("_size").cast("long").alias("s"), F.col("_n").alias("n"))).alias("_steps"))
 
     @F.pandas_udf(T.DoubleType())
     def chance(observed: pd.Series, steps: pd.Series) -> pd.Series:
@@ -473,12 +625,15 @@ def sign_flip_on_grid(values: DataFrame, keys: list[str], value: str) -> DataFra
             _grid_p(np.array([x["s"] for x in own], np.int64), np.array([x["n"] for x in own], np.int64), int(o))
             for o, own in zip(observed, steps)], dtype="float64")
 
-    tested = spread(gathered, *keys).select(*keys, chance("_observed", "_steps").alias("_p"))
+    tested = spread(gather(state.where("_small")), *keys).select(*keys, chance("_observed", "_steps").alias("_p"))
+    large = state.where(~F.col("_small") & F.col("_why").isNull())
+    if large.limit(1).count():
+        tested = tested.unionByName(_by_frequencies(gather(large), keys))
     return join_on(state.select(*keys, "_why"), tested, keys, "left")
 
 
 def sign_flip_exact(
-    values: DataFrame, keys: list[str], value: str, order: str, listable: int = LISTABLE_FLIPS,
+    values: DataFrame, keys: list[str], value: str, order: str, listable: int = LISTABLE_FLIPS, finest: int = GRID_CELLS,
 ) -> DataFrame:
     """Exact two-sided sign-flip test of a zero mean per key; zeros carry no information.
 
@@ -486,8 +641,9 @@ def sign_flip_exact(
     values are split in two halves, each half lists its 2^(n/2) signed sums, and pairs reaching the
     observed sum are counted by an ordered pass that is split by value, so a long list never sits in one
     task. Keys with more values are counted on their common decimal grid (``sign_flip_on_grid``). Only
-    where there is none, or too fine a one, the p is NULL and ``status`` says why;
-    ``sign_flip_sampled`` is the test to name for such keys.
+    where there is none, or one of more than ``finest`` cells, the p is NULL and ``status`` says why;
+    ``sign_flip_sampled`` is the test to name for such keys. Callers whose cells are bounded by their
+    rows name ``WHOLE_CELLS``: the work is then in proportion to them, and no key is refused.
     """
     values = materialize(values.select(*keys, value, order), "sign-flip-values")
     nonzero = values.where(F.col(value) != 0)
@@ -495,7 +651,7 @@ def sign_flip_exact(
         F.count(F.lit(1)).alias("_size"), F.count_if(F.col(value) > 0).alias("n_positive"),
         F.count_if(F.col(value) < 0).alias("n_negative")), "sign-flip-sizes")
     many = sizes.where(F.col("_size") > listable).select(*keys)
-    on_grid = sign_flip_on_grid(join_on(values, many, keys), keys, value) if many.limit(1).count() else None
+    on_grid = sign_flip_on_grid(join_on(values, many, keys), keys, value, finest) if many.limit(1).count() else None
     # decided before anything is gathered
     checked = join_on(nonzero, sizes.where(F.col("_size") <= listable), keys)
     s = checked.groupBy(*keys).agg(

@@ -1,14 +1,18 @@
 """Tests, intervals and resampling against brute force and published values."""
 
+import collections
+import datetime
 import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from gapspark import registry
 from gapspark.functions import special as sp
 from gapspark.operators import experiments as ex
 from gapspark.operators import hypotheses as hy
@@ -189,6 +193,63 @@ def test_sign_flip_on_a_grid_equals_listing(spark):
     assert {(r.k, r.p_value, r.status) for r in out} == {("odd", None, "off_grid"), ("fine", None, "grid_too_fine")}
 
 
+@pytest.mark.parametrize("largest, states", [(1, 0), (9, 0), (9, 8), (400, 0), (400, 1 << 16)])
+def test_sums_over_frequencies_equal_counted_patterns(largest, states):
+    rng = random.Random(largest)
+    for case in range(12):
+        values = [rng.choice((-1, 1, 1, 1)[: 2 + case % 3]) * rng.randint(1, largest) for _ in range(rng.randint(2, 60))]
+        values += [10**6 + case, 10**6][: case % 4]
+        patterns = {0: 1}
+        for v in values:
+            patterns = dict(sum((collections.Counter({t + f: n for t, n in patterns.items()}) for f in (0, abs(v))), collections.Counter()))
+        total, observed = sum(map(abs, values)), abs(sum(values))
+        want = sum(n for t, n in patterns.items() if abs(total - 2 * t) >= observed) / 2 ** len(values)
+        steps = collections.Counter(map(abs, values))
+        p, tilt, cells, *rest = hy._grid_plan(np.array([*steps]), np.array([*steps.values()]), observed, states)
+        if cells:
+            rest, third = [np.asarray(x) for x in rest], cells // 6
+            p += hy._grid_part(1, third, tilt, cells, *rest) if third else 0.0
+            p += hy._grid_part(third + 1, cells // 2, tilt, cells, *rest)
+        assert min(1.0, p) == pytest.approx(want, rel=1e-11)
+
+
+def test_sign_flip_on_a_large_grid_is_exact(spark):
+    rng = random.Random(8)
+    sets = {None: [rng.randint(10**5, 2 * 10**5) * (1 if i % 3 else -1) for i in range(52)],
+            "few totals": [10.0**6 * rng.choice([-1, 1, 1]) for _ in range(60)],
+            "one far off": [10**12, *[rng.choice([-2, -1, 1, 2]) for _ in range(50)]],
+            "one sign": [rng.randint(10**7, 10**8) for _ in range(49)]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, vs in sets.items() for i, v in enumerate(vs)], "k STRING, i INT, v DOUBLE")
+    got = {r.k: r for r in hy.sign_flip_exact(df, ["k"], "v", "i", finest=hy.WHOLE_CELLS).collect()}
+    assert {r.status for r in got.values()} == {"exact"}
+
+    def dense(values):
+        return hy._grid_p(np.array([abs(v) for v in values], np.int64), np.ones(len(values), np.int64), int(sum(values)))
+
+    assert sum(map(abs, sets[None])) > hy.GRID_CELLS
+    assert got[None].p_value == pytest.approx(dense(sets[None]), rel=1e-10)
+    assert got["few totals"].p_value == pytest.approx(dense([v // 10**6 for v in sets["few totals"]]), rel=1e-10)
+    assert got["one far off"].p_value == pytest.approx(dense([200, *sets["one far off"][1:]]), rel=1e-10)
+    assert got["one sign"].p_value == pytest.approx(2.0**-48, rel=1e-10)
+
+
+def test_the_many_batches_query_tests_every_flag(spark, tmp_path):
+    rng = random.Random(9)
+    months = [datetime.datetime(1992 + i // 12, 1 + i % 12, 3) for i in range(60)]
+    quantity = {"A": lambda: 100_003.0 * rng.randint(1, 9), "N": lambda: rng.randint(1, 9) / 7, "R": lambda: float(rng.randint(1, 50))}
+    lines = [(flag, m, rng.randint(1, 3), q()) for flag, q in quantity.items() for m in months for _ in range(2)]
+    lines.append(("R", datetime.datetime(1998, 1, 1), 2, 10.0**11))
+    spark.createDataFrame(lines, "l_returnflag STRING, l_shipdate TIMESTAMP, l_linenumber INT, l_quantity DOUBLE").coalesce(1).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    entry = registry.entries()["sign_flip_many_batches"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    want = sorted(con.execute(entry.oracle).fetchall())
+    got = sorted(rows(entry.run(spark, str(tmp_path))))
+    assert [r[:4] + r[5:] for r in got] == [r[:4] + r[5:] for r in want] and len(got) == 3
+    assert [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=2e-6)
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_profile_cosines_match_plain_pairs(spark, block):
     rng = random.Random(3)
